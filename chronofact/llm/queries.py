@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm import exact_dedup, line_dedup
+from chronofact.llm import exact_dedup, line_dedup, mixing, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_docs(spark, sf_dir))
+
+
 OP3_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -50,5 +58,7 @@ FROM m GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_mix_sources": op8_mix_sources,
+    "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op7_line_dedup": OP7_SQL}

@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm import exact_dedup, line_dedup, mixing, simhash
+from chronofact.llm import exact_dedup, line_dedup, mixing, packing, simhash
+
+
+def tokenizer() -> str:
+    """Where the public tokenizer's file is; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), tokenizer())
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir))
 
@@ -56,6 +67,7 @@ FROM m GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_mix_sources": op8_mix_sources,

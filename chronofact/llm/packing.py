@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.llm.common import id_of, text_of
+from chronofact.shipping import ship
 
 SEQUENCE = 4096
 END_ID = 2
@@ -89,6 +90,7 @@ class WordTokenizer:
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """doc_id, __id, __draw, doc_tokens and the pieces as an array of (start, length, ids_crc32)."""
+    ship(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     @F.pandas_udf("start array<bigint>, crc array<bigint>, tokens bigint")
@@ -141,6 +143,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    ship(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     cut = pieces(docs, tokenizer_path, id_col, text_col, length, end_id)
     cut = cut.select("doc_id", "__id", F.pmod("__draw", F.lit(groups)).alias("__group"), F.col("__cut.tokens").alias("doc_tokens"), F.explode(F.arrays_zip(F.col("__cut.start").alias("start"), F.col("__cut.crc").alias("crc"))).alias("__p"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm import exact_dedup, line_dedup, mixing, packing, simhash
+from chronofact.llm import exact_dedup, langid, line_dedup, mixing, packing, quality, simhash
 
 
 def tokenizer() -> str:
@@ -25,10 +25,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), tokenizer())
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(_docs(spark, sf_dir), labels, F.col("source"), F.col("lang")).drop("__id", "__th")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_docs(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_report(_docs(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -68,7 +77,9 @@ FROM m GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_language": op6_language,
     "op7_line_dedup": op7_line_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_simhash": op9_simhash,

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.llm.common import NULL_ID, id_of, join_by_key, materialise, text_of
+from chronofact.shipping import ship
 
 SEED = 42
 
@@ -46,6 +47,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str, out: str, words: int = 3) -> DataFrame:
+    ship(docs.sparkSession)
     @F.pandas_udf("bigint")
     def prints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:

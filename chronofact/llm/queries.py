@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm import exact_dedup, langid, line_dedup, mixing, packing, quality, simhash
+from chronofact.llm import exact_dedup, langid, line_dedup, mixing, packing, pii, quality, secrets, simhash
 
 
 def tokenizer() -> str:
@@ -34,6 +34,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_docs(spark, sf_dir))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_docs(spark, sf_dir))
 
@@ -51,6 +55,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_docs(spark, sf_dir)))
+
+
 OP3_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -79,9 +87,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_pii": op4_pii,
     "op6_language": op6_language,
     "op7_line_dedup": op7_line_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_simhash": op9_simhash,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op7_line_dedup": OP7_SQL}

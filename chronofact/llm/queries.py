@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm import exact_dedup, langid, line_dedup, mixing, packing, pii, quality, secrets, simhash
+from chronofact.llm import cws, exact_dedup, langid, line_dedup, mixing, packing, pii, quality, secrets, simhash
 
 
 def tokenizer() -> str:
@@ -38,6 +38,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_docs(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.edited_report(_docs(spark, sf_dir))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_docs(spark, sf_dir))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_pii": op4_pii,
+    "op5_fingerprints": op5_fingerprints,
     "op6_language": op6_language,
     "op7_line_dedup": op7_line_dedup,
     "op8_mix_sources": op8_mix_sources,

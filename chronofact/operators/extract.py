@@ -1,0 +1,17 @@
+"""Extraction of facts from file rows (path, content)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: What makes a line of prose guidance.
+GUIDANCE = r"(?i)\b(use|run|do not|don't|never|always|prefer|must|should|convention|note)\b"
+
+
+def claims(text: Column) -> Column:
+    """Lines of guidance, bullets and backticks taken off, once each, in order."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda t: (t != "") & ~t.startswith("#") & ~t.startswith("```"))
+    bare = F.transform(lines, lambda t: F.regexp_replace(t, r"^[-*+]\s+", ""))
+    kept = F.filter(bare, lambda t: F.length(t).between(12, 240) & t.rlike(GUIDANCE))
+    return F.array_distinct(F.transform(kept, lambda t: F.replace(t, F.lit("`"), F.lit(""))))

@@ -1 +1 @@
-
+"""Domain views and the registered queries over them."""

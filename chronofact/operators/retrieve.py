@@ -50,7 +50,8 @@ def top_k(scored: DataFrame, by: str, order: list[Column], k: int, rank: str = "
 
 def sparse_embedding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, dim, value): the hashed embedding's non-zero entries, of unit length. Tokens count once each time, concepts CONCEPT_WEIGHT."""
-    features = df.select(id_col, F.explode(F.concat(T.tokens(F.col(text_col)), T.concepts(F.col(text_col)))).alias("f"))
+    own = df.select(id_col, text_col, T.tokens(F.col(text_col)).alias("__tk"))
+    features = own.select(id_col, F.explode(F.concat("__tk", T.concepts(F.col(text_col), F.col("__tk")))).alias("f"))
     # Hashing each different feature of a text once.
     counted = features.groupBy(id_col, "f").agg(F.count(F.lit(1)).alias("n"))
     hashed = counted.withColumn("h", T.fnv1a(F.col("f")))

@@ -196,7 +196,7 @@ def _concept(terms: str) -> str:
 
 @query("arr_02_concepts", "facts", f"WITH p AS (SELECT fact_id, lower(concat({_PLANT}, ' ', object_str)) AS low FROM facts), t AS (SELECT *, {TOKENS.format('low')} AS t FROM p) SELECT fact_id, " + " + ".join(_concept(t) for _, t in T.CONCEPTS) + " AS n FROM t")
 def _(v: Views) -> DataFrame:
-    return planted(v).select("fact_id", F.size(T.concepts(F.col("said"))).alias("n"))
+    return planted(v).select("fact_id", "said", T.tokens(F.col("said")).alias("tk")).select("fact_id", F.size(T.concepts(F.col("said"), F.col("tk"))).alias("n"))
 
 
 @query("jsn_01_payload_text", "prompts", "SELECT prompt_id, md5(CASE WHEN turn % 3 = 0 THEN role ELSE text END) AS digest FROM prompts")

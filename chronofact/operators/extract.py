@@ -2,16 +2,189 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofact.functions.secrets import contains_secret
+from chronofact.operators.facts import top_per
+
 #: What makes a line of prose guidance.
 GUIDANCE = r"(?i)\b(use|run|do not|don't|never|always|prefer|must|should|convention|note)\b"
 
 
 def claims(text: Column) -> Column:
     """Lines of guidance, bullets and backticks taken off, once each, in order."""
-    lines = F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda t: (t != "") & ~t.startswith("#") & ~t.startswith("```"))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda t: F.trim(t)), lambda t: (t != "") & ~t.startswith("#") & ~t.startswith("```"))
     bare = F.transform(lines, lambda t: F.regexp_replace(t, r"^[-*+]\s+", ""))
     kept = F.filter(bare, lambda t: F.length(t).between(12, 240) & t.rlike(GUIDANCE))
     return F.array_distinct(F.transform(kept, lambda t: F.replace(t, F.lit("`"), F.lit(""))))
+
+
+#: What scripts, lockfiles, options and markers mean.
+SCRIPTS = {"test": "test_command", "build": "build_command", "dev": "dev_command", "start": "start_command", "lint": "lint_command", "typecheck": "typecheck_command", "format": "format_command"}
+LOCKFILES = (("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("bun.lockb", "bun"), ("bun.lock", "bun"), ("package-lock.json", "npm"))
+COMPILER_OPTIONS = {
+    "strict": "typescript_strict_mode", "noUncheckedIndexedAccess": "typescript_no_unchecked_indexed_access", "noImplicitOverride": "typescript_no_implicit_override",
+    "noFallthroughCasesInSwitch": "typescript_no_fallthrough_cases", "target": "typescript_target", "module": "typescript_module", "moduleResolution": "typescript_module_resolution",
+    "rootDir": "typescript_source_root", "outDir": "typescript_output_dir", "declaration": "typescript_declaration_output",
+}
+GENERATED = ("@generated", "DO NOT EDIT", "Code generated by", "autogenerated", "This file is auto-generated")
+TEST_RUNNERS = ("vitest", "jest", "playwright", "cypress")
+
+
+def _map(values: dict[str, str]) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
+
+
+def _said(files: DataFrame, pairs: Column) -> DataFrame:
+    """files with an array of (predicate, object), as rows (repo, path, predicate, object); nulls and blanks say nothing."""
+    out = files.select("repo", "path", F.explode(pairs).alias("p")).select("repo", "path", "p.predicate", "p.object")
+    return out.filter("predicate IS NOT NULL AND object IS NOT NULL AND object <> ''")
+
+
+def _pair(predicate: str | Column, obj: Column) -> Column:
+    return F.struct((F.lit(predicate) if isinstance(predicate, str) else predicate).alias("predicate"), obj.cast("string").alias("object"))
+
+
+def _lines(text: Column, comment: str = r"#.*$") -> Column:
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(x, comment, ""))), lambda x: x != "")
+
+
+def package_json(files: DataFrame) -> DataFrame:
+    """Scripts and metadata of package.json; scripts run by the declared manager, else the lockfile's, else npm."""
+    schema = "name string, type string, packageManager string, engines struct<node:string>, bin map<string,string>, workspaces array<string>, scripts map<string,string>"
+    own = files.filter("path = 'package.json'").withColumn("j", F.from_json("content", schema)).filter("j IS NOT NULL")
+    declared = F.element_at(F.split("j.packageManager", "@"), 1)
+    own = own.join(lockfile(files).select("repo", F.col("object").alias("locked")), "repo", "left")
+    runner = F.coalesce(F.when(declared.isin("npm", "pnpm", "yarn", "bun"), declared), F.col("locked"), F.lit("npm"))
+    scripts = F.transform(F.map_keys(F.coalesce("j.scripts", F.create_map().cast("map<string,string>"))), lambda k: _pair(_map(SCRIPTS)[k], F.concat(runner, F.lit(" run "), k)))
+    meta = F.array(
+        _pair("package_name", F.trim("j.name")), _pair("node_module_type", F.trim("j.type")), _pair("node_engine", F.col("j.engines.node")), _pair("declared_package_manager", F.col("j.packageManager")))
+    bins = F.transform(F.slice(F.map_keys(F.coalesce("j.bin", F.create_map().cast("map<string,string>"))), 1, 20), lambda k: _pair("cli_bin", k))
+    spaces = F.transform(F.slice(F.coalesce("j.workspaces", F.array().cast("array<string>")), 1, 50), lambda w: _pair("workspace_globs", w))
+    return _said(own, F.concat(scripts, meta, bins, spaces))
+
+
+def lockfile(files: DataFrame) -> DataFrame:
+    """The package manager by the first of the lockfiles that a repository has."""
+    order = F.array_position(F.array(*[F.lit(f) for f, _ in LOCKFILES]), F.col("path"))
+    found = files.filter(F.col("path").isin(*[f for f, _ in LOCKFILES])).groupBy("repo").agg(F.min_by("path", order).alias("path"))
+    return found.select("repo", "path", F.lit("package_manager").alias("predicate"), _map(dict(LOCKFILES))[F.col("path")].alias("object"))
+
+
+def tsconfig(files: DataFrame) -> DataFrame:
+    """Compiler options and includes; comments and trailing commas are allowed."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", ""), r"(?m)(^|[\s,{\[])//[^\n]*", "$1"), r",(\s*[}\]])", "$1")
+    own = files.filter("path = 'tsconfig.json'").withColumn("j", bare).filter(F.try_parse_json("j").isNotNull())
+    options = F.array(*[_pair(p, F.get_json_object("j", f"$.compilerOptions.{o}")) for o, p in COMPILER_OPTIONS.items()])
+    globs = F.transform(F.coalesce(F.from_json(F.get_json_object("j", "$.include"), "array<string>"), F.array().cast("array<string>")), lambda g: _pair("typescript_include", g))
+    return _said(own, F.concat(options, globs, F.array(_pair("typescript_extends", F.get_json_object("j", "$.extends")))))
+
+
+def editorconfig(files: DataFrame) -> DataFrame:
+    """Indentation of the [*] section."""
+    section = F.regexp_extract("content", r"(?s)(?:^|\n)\s*\[\*\]\s*\n(.*?)(?:\n\s*\[|$)", 1)
+    get = lambda k: F.trim(F.regexp_extract(section, rf"(?m)^\s*{k}\s*=\s*(.*)$", 1))
+    style, size = get("indent_style"), get("indent_size")
+    return _said(files.filter("path = '.editorconfig'"), F.array(_pair("indent_style", F.when(size != "", F.concat(style, F.lit(" (size "), size, F.lit(")"))).otherwise(style))))
+
+
+def dockerfile(files: DataFrame) -> DataFrame:
+    """Base images, stages, ports, workdirs and users, line by line."""
+    line = lambda p, x: F.regexp_extract(x, p, 1)
+    rows = files.filter("path RLIKE '(^|/)Dockerfile$'").select("repo", "path", F.explode(_lines(F.col("content"))).alias("x"))
+    x = F.col("x")
+    image = line(r"(?i)^FROM\s+(?:--\S+\s+)*(\S+)", x)
+    stage = line(r"(?i)^FROM\s+.*\s+AS\s+(\S+)", x)
+    ports = F.transform(F.slice(F.split(line(r"(?i)^EXPOSE\s+(.+)$", x), r"\s+"), 1, 20), lambda p: _pair("container_exposed_port", p))
+    pairs = F.array(_pair("container_base_image", image), _pair("container_stage_base", F.when(stage != "", F.concat(stage, F.lit("="), image))), _pair("container_workdir", line(r"(?i)^WORKDIR\s+(.+)$", x)), _pair("container_user", line(r"(?i)^USER\s+(.+)$", x)))
+    return _said(rows, F.concat(pairs, ports))
+
+
+def runtime_versions(files: DataFrame) -> DataFrame:
+    """Version pins of .nvmrc, .node-version, .python-version and .tool-versions."""
+    first = F.get(_lines(F.col("content")), F.lit(0))
+    one = F.when(F.length(first) <= 80, F.concat(F.when(F.col("path") == ".python-version", "python ").otherwise("node "), first))
+    many = F.transform(F.slice(_lines(F.col("content")), 1, 40), lambda x: _pair("version_pin", F.regexp_replace(x, r"\s+", " ")))
+    own = files.filter("path IN ('.nvmrc', '.node-version', '.python-version', '.tool-versions')")
+    return _said(own, F.when(F.col("path") == ".tool-versions", many).otherwise(F.array(_pair("version_pin", one))))
+
+
+def pyproject(files: DataFrame) -> DataFrame:
+    """Manager, build backend, version constraint and script entry points."""
+    own = files.filter("path = 'pyproject.toml'")
+    c = F.col("content")
+    manager = F.when(c.rlike(r"(?m)^\s*\[tool\.uv"), "uv").when(c.rlike(r"(?m)^\s*\[tool\.poetry"), "poetry")
+    get = lambda k: F.regexp_extract(c, rf"""(?m)^\s*{k}\s*=\s*["']([^"']+)["']""", 1)
+    scripts = F.regexp_extract(c, r"(?s)\[project\.scripts\]\s*\n(.*?)(?:\n\s*\[|$)", 1)
+    names = F.transform(F.slice(F.regexp_extract_all(scripts, F.lit(r"(?m)^\s*([A-Za-z0-9_-]+)\s*="), F.lit(1)), 1, 12), lambda n: _pair("cli_entrypoint", n))
+    tests = F.when(c.rlike(r"(?m)^\s*\[tool\.pytest"), "pytest")
+    lint = F.when(c.rlike(r"(?m)^\s*\[tool\.ruff"), "ruff check .")
+    types = F.when(c.rlike(r"(?m)^\s*\[tool\.mypy"), "mypy .")
+    return _said(own, F.concat(F.array(_pair("package_manager", manager), _pair("build_backend", get("build-backend")), _pair("version_constraint", get("requires-python")), _pair("test_command", tests), _pair("lint_command", lint), _pair("typecheck_command", types)), names))
+
+
+def test_config(files: DataFrame) -> DataFrame:
+    """Runner by file name; environment, timeout and coverage provider of vitest."""
+    name = F.regexp_extract("path", r"^(vitest|jest|playwright|cypress)\.config\.", 1)
+    own = files.filter("path RLIKE '^(vitest|jest|playwright|cypress)[.]config[.]'")
+    c = F.col("content")
+    get = lambda k: F.when(name == "vitest", F.regexp_extract(c, rf"""\b{k}\s*:\s*["']?([A-Za-z0-9_-]+)""", 1))
+    return _said(own, F.array(_pair("test_runner", name), _pair("test_environment", get("environment")), _pair("test_timeout_ms", get("testTimeout")), _pair("coverage_provider", get("provider"))))
+
+
+def tooling(files: DataFrame) -> DataFrame:
+    """Formatters and linters by the configuration files that stand there."""
+    name = F.regexp_extract("path", r"^(?:\.?)(biome|eslint|prettier)", 1)
+    own = files.filter("path RLIKE '^[.]?(biome[.]json|eslint|prettier)'").withColumn("n", name)
+    kind = F.when(F.col("n") == "biome", "code_quality_tool").when(F.col("n") == "eslint", "lint_tool").otherwise("format_tool")
+    width = F.get_json_object("content", "$.formatter.lineWidth")
+    return _said(own, F.array(_pair(kind, F.col("n")), _pair("formatter_line_width", width)))
+
+
+def generated_markers(files: DataFrame, most: int = 20) -> DataFrame:
+    """Files that say within their first 600 characters that they are generated; the first `most` of a repository by path."""
+    head = F.substring("content", 1, 600)
+    marked = F.lit(False)
+    for m in GENERATED:
+        marked = marked | F.contains(head, F.lit(m))
+    own = files.filter((F.length("content") < 200_000) & ~F.col("path").rlike(r"(^|/)(node_modules|\.git|dist|build|coverage)/") & marked)
+    return top_per(own, ["repo"], [F.col("path")], most).select("repo", "path", F.lit("do_not_edit").alias("predicate"), F.lit("true").alias("object"))
+
+
+def ci_commands(files: DataFrame, most: int = 10) -> DataFrame:
+    """`run:` steps of workflows, inline and block, once each, the first `most` of a repository.
+
+    A block's lines are those below `run: |` that are indented deeper: one pattern takes the indent and the block.
+    """
+    own = files.filter(r"path RLIKE '[.]github/workflows/.*[.]ya?ml$'")
+    inline = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*-?[ \t]*run:[ \t]*([^|>\s][^\n]*)$"), F.lit(1))
+    inline = F.transform(inline, lambda x: F.regexp_replace(F.trim(x), r"""^(["'])(.*)\1$""", "$2"))
+    blocks = F.regexp_extract_all("content", F.lit(r"(?m)^([ \t]*+)-?[ \t]*run:[ \t]*[|>][^\n]*((?:\n(?:\1[ \t]+[^\n]*|[ \t]*))+)"), F.lit(2))
+    block = F.filter(F.transform(F.flatten(F.transform(blocks, lambda b: F.split(b, "\n"))), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+    steps = F.filter(F.array_distinct(F.concat(inline, block)), lambda x: (F.length(x) > 0) & (F.length(x) < 200))
+    rows = own.select("repo", "path", F.posexplode(steps).alias("pos", "object"))
+    first = rows.groupBy("repo", "object").agg(F.min(F.struct("path", "pos")).alias("at"))
+    return top_per(first, ["repo"], [F.col("at")], most).select("repo", F.col("at.path").alias("path"), F.lit("ci_command").alias("predicate"), "object")
+
+
+def guidance(files: DataFrame, most: int = 8) -> DataFrame:
+    """Claims of AGENTS.md, CLAUDE.md and README.md, low in trust, those with secrets dropped."""
+    own = files.filter("path IN ('AGENTS.md', 'CLAUDE.md', 'README.md')")
+    rows = own.select("repo", "path", F.explode(F.slice(claims(F.col("content")), 1, most)).alias("object"))
+    return rows.filter(~contains_secret(F.col("object"))).select("repo", "path", F.lit("claims").alias("predicate"), "object")
+
+
+EXTRACTORS = {
+    "package_json": package_json, "lockfile": lockfile, "tsconfig": tsconfig, "editorconfig": editorconfig, "dockerfile": dockerfile, "runtime_versions": runtime_versions,
+    "pyproject": pyproject, "test_config": test_config, "tooling": tooling, "generated_markers": generated_markers, "ci_commands": ci_commands, "guidance": guidance,
+}
+
+
+def extract_all(files: DataFrame, names: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
+    """All extractors' facts, those with secrets dropped; a repository's files meet only in the ones that need it."""
+    out = None
+    for name in names:
+        part = EXTRACTORS[name](files).withColumn("extractor", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.filter(~contains_secret(F.concat_ws(" ", "predicate", "object")))

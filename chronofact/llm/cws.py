@@ -8,8 +8,8 @@ probability their generalised Jaccard similarity, sum of minima over sum of maxi
 Each evaluation is one long: ln a in fixed point above 32 bits of the hash of (term, t), so that a sample is a plain minimum
 that combines before any shuffle. A signature's standard error is at most 0.5 / sqrt(SAMPLES).
 
-Defined results: a null text is empty; a text without words has a fingerprint of zeros, like only to another such; equal texts
-have equal fingerprints; the next document is the one with the next smaller doc_id, of equal ids the one with the smaller
+Defined results: a null text is empty; a text without words has the fingerprint of one void term, like only to another such;
+equal texts have equal fingerprints; the next document is the one with the next smaller doc_id, of equal ids the one with the smaller
 text hash, after the last the first; rows repeated in id and text are one document there; a single document is its own
 next; a null doc_id is the smallest id; an empty table gives an empty result; other columns don't matter.
 """
@@ -23,30 +23,37 @@ from pyspark.sql import functions as F
 from chronofact.llm.common import id_of, materialise, text_of
 
 SAMPLES = 32
+#: Terms that could only win with probability e^-NEVER aren't drawn in full.
+NEVER = 30.0
+#: Characters of text that a task takes at once, and the most tasks.
+TASK_CHARS, MOST_TASKS = 4_000_000, 20_000
 KEYS = ["__id", "__th"]
 _MASK = 4294967295
 
 
 def signatures(words: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """words: keys and __h, a row for each word of each text. Per text: keys, __sig, an array of `samples` ints.
+    """words: keys, __n (the text's number of words) and __h (a word's hash), a row for each word of each text. Per text: keys, __sig, an array of `samples` ints.
 
-    If `words` is partitioned by some of the keys, neither aggregation shuffles.
+    A text's least a is exponential with rate __n, so it exceeds NEVER / __n with probability e^-NEVER. As a >= c e^-r / w
+    >= (1 - u3 u4) u1 u2 / w, most terms are seen to lie above that without a logarithm and are passed over; a sample
+    that passed over every term would be 0. If `words` is partitioned by some of the keys, neither aggregation shuffles.
     """
-    terms = words.groupBy(*keys, "__h").agg(F.log(F.count(F.lit(1)).cast("double")).alias("__lw"))
+    n = F.count(F.lit(1)).cast("double")
+    terms = words.groupBy(*keys, "__n", "__h").agg(F.log(n).alias("__lw"), (n * NEVER / F.greatest("__n", F.lit(1))).alias("__most"))
     least = []
     for k in range(samples):
         g = F.xxhash64("__h", F.lit(k))
         h = F.xxhash64(F.lit(k), "__h")
         unit = lambda word, shift, bits: (F.call_function("shiftrightunsigned", word, F.lit(shift)).bitwiseAND(F.lit(2**bits - 1).cast("bigint")) + F.lit(0.5)) * F.lit(2.0**-bits)
-        r = -F.log(unit(g, 0, 32) * unit(g, 32, 32))
-        c = -F.log(unit(h, 0, 22) * unit(h, 22, 22))
-        b = unit(h, 44, 20)
+        p, q = unit(g, 0, 32) * unit(g, 32, 32), unit(h, 0, 22) * unit(h, 22, 22)
+        r, c, b = -F.log(p), -F.log(q), unit(h, 44, 20)
         t = F.floor(F.col("__lw") / r + b)
         ln_a = F.log(c) - r * (t - b + 1)
         high = ((ln_a + 400.0) * F.lit(float(1 << 21))).cast("bigint")
-        least.append(F.min(F.call_function("shiftleft", high, F.lit(32)) + (F.xxhash64("__h", t) + F.lit(0)).bitwiseAND(F.lit(_MASK))).alias(f"__s{k}"))
+        value = F.call_function("shiftleft", high, F.lit(32)) + F.xxhash64("__h", t).bitwiseAND(F.lit(_MASK))
+        least.append(F.min(F.when((1 - q) * p <= F.col("__most"), value)).alias(f"__s{k}"))
     sampled = terms.groupBy(*keys).agg(*least)
-    return sampled.select(*keys, F.array(*[F.col(f"__s{k}").bitwiseAND(F.lit(_MASK)) for k in range(samples)]).alias("__sig"))
+    return sampled.select(*keys, F.array(*[F.coalesce(F.col(f"__s{k}"), F.lit(0)).bitwiseAND(F.lit(_MASK)) for k in range(samples)]).alias("__sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -63,16 +70,18 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def _exploded(rows: DataFrame) -> DataFrame:
+    """rows with an array __ws: a row for each word, as __h, with their number __n; a text without words has one with a null hash and number 0."""
+    rest = [c for c in rows.columns if c != "__ws"]
+    return rows.select(*rest, F.size("__ws").alias("__n"), F.explode_outer("__ws").alias("__w")).select(*rest, "__n", F.xxhash64("__w").alias("__h"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Per document: doc_id, fingerprint. No shuffle but that of the signatures."""
     rows = docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), text_of(text_col).alias("__t")).withColumn("__th", F.xxhash64("__t"))
-    sig = signatures(rows.select(*KEYS, F.explode(_words(F.col("__t"))).alias("__w")).select(*KEYS, F.xxhash64("__w").alias("__h")), KEYS, samples)
-    out = rows.select("doc_id", *KEYS).join(sig, KEYS, "left")
-    return out.select("doc_id", hex_of(F.coalesce("__sig", _none(samples))).alias("fingerprint"))
-
-
-def _none(samples: int) -> Column:
-    return F.array_repeat(F.lit(0).cast("bigint"), samples)
+    sig = signatures(_exploded(rows.select(*KEYS, _words(F.col("__t")).alias("__ws"))), KEYS, samples)
+    out = rows.select("doc_id", *KEYS).join(sig, KEYS)
+    return out.select("doc_id", hex_of(F.col("__sig")).alias("fingerprint"))
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -104,18 +113,20 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if places.filter("__k > 1").take(1):  # rows repeated in id and text are one place
         texts = texts.dropDuplicates(KEYS)
     next_ = following(places.select(*KEYS, "__n"))
+    total = places.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, total // TASK_CHARS))
+    texts = texts.repartition(tasks, *KEYS)
     wanted = next_.select(F.col("__nid").alias("__id"), F.col("__nth").alias("__th"), F.col("__id").alias("__pid"), F.col("__th").alias("__pth"), F.floor(F.col("__n") / 2).cast("int").alias("__half"))
-    heads = texts.join(wanted.hint("merge"), KEYS).select(F.col("__pid").alias("__id"), F.col("__pth").alias("__th"), F.left("__t", F.col("__half")).alias("__head"))
-    both = texts.join(heads.hint("merge"), KEYS)
+    heads = texts.join(wanted.repartition(tasks, *KEYS).hint("merge"), KEYS).select(F.col("__pid").alias("__id"), F.col("__pth").alias("__th"), F.left("__t", F.col("__half")).alias("__head"))
     n = F.length("__t")
     edited = F.concat(F.left("__t", n - F.floor(n / 2).cast("int")), F.col("__head"))
-    both = both.select(*KEYS, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("__t").alias("t")), F.struct(F.lit(1).alias("v"), edited.alias("t")))).alias("__x"))
-    # The edited text's SHA-256 goes along as an entry of its own, so that the texts are read once.
-    words = both.select(*KEYS, F.col("__x.v").alias("__v"), F.when(F.col("__x.v") == 1, F.sha2("__x.t", 256)).alias("__sha"), F.explode_outer(_words(F.col("__x.t"))).alias("__w"))
-    words = words.select(*KEYS, "__v", "__sha", F.xxhash64("__w").alias("__h"), F.col("__w").isNull().alias("__none"))
-    sig = signatures(words, [*KEYS, "__v", "__sha", "__none"], samples)
-    sig = sig.withColumn("__sig", F.when(F.col("__none"), _none(samples)).otherwise(F.col("__sig")))
-    sig = materialise(sig.groupBy(*KEYS).agg(F.max("__sha").alias("__sha"), F.max(F.when(F.col("__v") == 0, F.col("__sig"))).alias("__own"), F.max(F.when(F.col("__v") == 1, F.col("__sig"))).alias("__edited")))
+    both = texts.join(heads.repartition(tasks, *KEYS).hint("merge"), KEYS).select(*KEYS, "__t", edited.alias("__edited"))
+    versions = both.select(*KEYS, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("__t").alias("t")), F.struct(F.lit(1).alias("v"), F.col("__edited").alias("t")))).alias("__x"))
+    words = _exploded(versions.select(*KEYS, F.col("__x.v").alias("__v"), _words(F.col("__x.t")).alias("__ws")))
+    sig = signatures(words, [*KEYS, "__v"], samples)
+    sig = sig.groupBy(*KEYS).agg(F.max(F.when(F.col("__v") == 0, F.col("__sig"))).alias("__own"), F.max(F.when(F.col("__v") == 1, F.col("__sig"))).alias("__edited"))
+    # The texts meet once more for the hash, out of the same shuffle files.
+    sig = materialise(sig.join(both.select(*KEYS, F.sha2("__edited", 256).alias("__sha")).hint("merge"), KEYS))
     links = next_.select(*KEYS, "__nid", "__nth")
     after = sig.select(F.col("__id").alias("__nid"), F.col("__th").alias("__nth"), F.col("__own").alias("__next"))
     all_ = sig.join(links, KEYS).join(after, ["__nid", "__nth"])

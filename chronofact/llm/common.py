@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofact.storage import materialise, shared_folder
+
+__all__ = ["BitFilter", "id_of", "join_by_key", "lower_ascii", "materialise", "shared_folder", "text_of"]
+
 #: ASCII white space, as the contracts define it: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
 #: A word is a run of anything else.
@@ -19,23 +20,6 @@ NULL_ID = -(2**63)
 HOT_SHARE = 1 / 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("chronofact.shared.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="chronofact-")
-        spark.conf.set("chronofact.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: later stages neither recompute it nor lose it with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     """The text as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

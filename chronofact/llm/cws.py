@@ -77,9 +77,12 @@ def _exploded(rows: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """Per document: doc_id, fingerprint. No shuffle but that of the signatures."""
+    """Per document: doc_id, fingerprint. No text is shuffled unless rows are repeated."""
     rows = docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), text_of(text_col).alias("__t")).withColumn("__th", F.xxhash64("__t"))
-    sig = signatures(_exploded(rows.select(*KEYS, _words(F.col("__t")).alias("__ws"))), KEYS, samples)
+    texts = rows.select(*KEYS, "__t")
+    if rows.groupBy(*KEYS).count().filter("count > 1").take(1):
+        texts = texts.dropDuplicates(KEYS)
+    sig = signatures(_exploded(texts.select(*KEYS, _words(F.col("__t")).alias("__ws"))), KEYS, samples)
     out = rows.select("doc_id", *KEYS).join(sig, KEYS)
     return out.select("doc_id", hex_of(F.col("__sig")).alias("fingerprint"))
 

@@ -5,7 +5,7 @@ hash and the sample's number alone, r and c from Gamma(2, 1) and b evenly from (
 ln y = r (t - b) and ln a = ln c - ln y - r. The sample is the (term, t) with the least a. Two texts share a sample with
 probability their generalised Jaccard similarity, sum of minima over sum of maxima of weights.
 
-Each evaluation is one long: ln a in fixed point above 32 bits of the hash of (term, t), so that a sample is a plain minimum
+Each evaluation is one long: ln a in fixed point above 31 bits of the hash of (term, t), so that a sample is a plain minimum
 that combines before any shuffle. A signature's standard error is at most 0.5 / sqrt(SAMPLES).
 
 Defined results: a null text is empty; a text without words has the fingerprint of one void term, like only to another such;
@@ -26,9 +26,9 @@ SAMPLES = 32
 #: Terms that could only win with probability e^-NEVER aren't drawn in full.
 NEVER = 30.0
 #: Characters of text that a task takes at once, and the most tasks.
-TASK_CHARS, MOST_TASKS = 4_000_000, 20_000
+TASK_CHARS, MOST_TASKS = 8_000_000, 20_000
 KEYS = ["__id", "__th"]
-_MASK = 4294967295
+_MASK = 2147483647
 
 
 def signatures(words: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -53,7 +53,7 @@ def signatures(words: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
         value = F.call_function("shiftleft", high, F.lit(32)) + F.xxhash64("__h", t).bitwiseAND(F.lit(_MASK))
         least.append(F.min(F.when((1 - q) * p <= F.col("__most"), value)).alias(f"__s{k}"))
     sampled = terms.groupBy(*keys).agg(*least)
-    return sampled.select(*keys, F.array(*[F.coalesce(F.col(f"__s{k}"), F.lit(0)).bitwiseAND(F.lit(_MASK)) for k in range(samples)]).alias("__sig"))
+    return sampled.select(*keys, F.array(*[F.coalesce(F.col(f"__s{k}"), F.lit(0)).bitwiseAND(F.lit(_MASK)).cast("int") for k in range(samples)]).alias("__sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_REPEATS = 2
 BLOCK_WORDS = 8
-SHARD_DOCS = 20_000
+SHARD_DOCS = 2_000
 
 
 def targets(sources: DataFrame, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:

@@ -6,6 +6,9 @@ are read once for their terms, and only terms that some query has are ever group
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,7 +20,7 @@ from chronofact.shipping import ship
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-MANY_TERMS = 500_000
+MANY_TERMS, MANY_QUERIES = 500_000, 10_000
 DIM = 1536
 CONCEPT_WEIGHT = 3
 MMR_POOL, MMR_LAMBDA = 24, 0.68
@@ -48,6 +51,15 @@ def top_k(scored: DataFrame, by: str, order: list[Column], k: int, rank: str = "
     return scored.withColumn(rank, F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def top_lexical(scored: DataFrame, facts: DataFrame, query_id: str, id_col: str, k: int, rank: str = "rank") -> DataFrame:
+    """The first k of each query by lex, then the facts' `key`, then id, with the facts' columns.
+
+    All but the k best and their ties go before the facts, with their long keys, are met.
+    """
+    few = scored.join(facts.select(id_col), id_col, "left_semi").withColumn("__r", F.rank().over(W.partitionBy(query_id).orderBy(F.desc("lex")))).filter(F.col("__r") <= k).drop("__r")
+    return top_k(few.join(facts, id_col), query_id, [F.desc("lex"), F.col("key"), F.col(id_col)], k, rank)
+
+
 def sparse_embedding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, dim, value): the hashed embedding's non-zero entries, of unit length. Tokens count once each time, concepts CONCEPT_WEIGHT."""
     own = df.select(id_col, text_col, T.tokens(F.col(text_col)).alias("__tk"))
@@ -121,9 +133,36 @@ def entity_overlap(entities: Column, haystack: Column) -> Column:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", max_distance: float | None = None) -> DataFrame:
-    """(query_id, id_col, dist, rank): exact k nearest by cosine. Queries are a stated, bounded set that every task holds; each task keeps k a query before the shuffle."""
-    asked = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q")))
-    pairs = vectors.join(asked, F.col(id_col) != F.col("query_id")).select("query_id", id_col, F.round(S.cosine_distance(F.col("q"), F.col(vec_col)), 6).alias("dist"))
-    if max_distance is not None:
-        pairs = pairs.filter(F.col("dist") <= max_distance)
+    """(query_id, id_col, dist, rank): exact k nearest by cosine, the query itself left out.
+
+    Up to MANY_QUERIES queries are a matrix that every task holds: a batch of vectors is one product, of which k a query
+    leave the task. More queries are joined instead.
+    """
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q"))
+    held = asked.limit(MANY_QUERIES + 1).collect()
+    if len(held) > MANY_QUERIES:
+        pairs = vectors.join(asked, F.col(id_col) != F.col("query_id")).select("query_id", id_col, F.round(S.cosine_distance(F.col("q"), F.col(vec_col)), 6).alias("dist"))
+        if max_distance is not None:
+            pairs = pairs.filter(F.col("dist") <= max_distance)
+        return top_k(pairs, "query_id", [F.col("dist"), F.col(id_col)], k)
+    ship(vectors.sparkSession)
+    kind = {f.name: f.dataType.simpleString() for f in vectors.schema}[id_col]
+    asked_ids = np.array([r["query_id"] for r in held])
+    matrix = np.array([r["q"] for r in held], dtype=np.float64).reshape(len(held), -1)
+    matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)).T if len(held) else matrix.T
+
+    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if not len(part) or not len(asked_ids):
+                continue
+            own = np.stack(part[vec_col].to_list()).astype(np.float64)
+            norms = np.linalg.norm(own, axis=1, keepdims=True)
+            dist = np.where(norms > 0, np.round(1 - (own / np.maximum(norms, 1e-300)) @ matrix, 6), 1.0)
+            ids = part[id_col].to_numpy()
+            for j, asked_id in enumerate(asked_ids):
+                there = np.flatnonzero((ids != asked_id) & (dist[:, j] <= (np.inf if max_distance is None else max_distance)))
+                best = there[np.lexsort((ids[there], dist[there, j]))[:k]]
+                yield pd.DataFrame({"query_id": asked_id, id_col: ids[best], "dist": dist[best, j]})
+
+    pairs = vectors.select(id_col, vec_col).mapInPandas(nearest, f"query_id {kind}, {id_col} {kind}, dist double")
     return top_k(pairs, "query_id", [F.col("dist"), F.col(id_col)], k)

@@ -79,7 +79,7 @@ def _(v: Views) -> DataFrame:
     f = v.facts
     hits = R.bm25(f, v.queries, "fact_id", "object_str", "item_id", "text")
     own = f.filter((F.col("status") == "active") & O.scope_clause(user="u1")).select("fact_id", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")).alias("key"))
-    return O.top_per(hits.join(own, "fact_id"), ["item_id"], [F.desc("lex"), F.col("key"), F.col("fact_id")], 15).select("item_id", "fact_id", "rank")
+    return R.top_lexical(hits, own, "item_id", "fact_id", 15).select("item_id", "fact_id", "rank")
 
 
 @query("srt_03_final_order", "facts queries", f"{BM25}{SEM}{SCORE} SELECT item_id, fact_id, place FROM fu WHERE place <= 5")
@@ -205,7 +205,7 @@ def _(v: Views) -> DataFrame:
     # Ranks come from all candidates; what isn't valid then goes, and leaves gaps.
     hits = R.bm25(v.facts, v.queries, "fact_id", "object_str", "item_id", "text")
     meta = v.facts.select("fact_id", "status", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")).alias("key"))
-    return O.top_per(hits.join(meta, "fact_id"), ["item_id"], [F.desc("lex"), F.col("key"), F.col("fact_id")], 20).filter("status = 'active'").select("item_id", "fact_id", "rank")
+    return R.top_lexical(hits, meta, "item_id", "fact_id", 20).filter("status = 'active'").select("item_id", "fact_id", "rank")
 
 
 @query("tmp_05_patch_ids", "commits", "SELECT patch_id, count(*) AS n, min(commit_id) AS first_commit FROM commits GROUP BY patch_id")

@@ -231,8 +231,8 @@ def lexical(v: Views, k: int = 60) -> DataFrame:
     """The top k active facts of each query by BM25 over all facts, with what ranking needs."""
     f = v.facts
     scored = R.bm25(f, v.queries, "fact_id", "object_str", "item_id", "text")
-    meta = f.filter("status = 'active'").select("fact_id", F.sha2(T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")), 256).alias("k"), T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")).alias("key"), "confidence", "t_recorded", "workspace_id", "session_id", "promotion_state")
-    return O.top_per(scored.join(meta, "fact_id"), ["item_id"], [F.desc("lex"), F.col("key"), F.col("fact_id")], k).drop("k")
+    meta = f.filter("status = 'active'").select("fact_id", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")).alias("key"), "confidence", "t_recorded", "workspace_id", "session_id", "promotion_state")
+    return R.top_lexical(scored, meta, "item_id", "fact_id", k)
 
 
 @query("ret_01_bm25_topk", "facts queries", f"{BM25} SELECT item_id, fact_id, lex, rank FROM pool WHERE rank <= 10")

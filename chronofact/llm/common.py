@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.storage import materialise, shared_folder
+from chronofact.storage import join_by_key, materialise, shared_folder
 
 __all__ = ["BitFilter", "id_of", "join_by_key", "lower_ascii", "materialise", "shared_folder", "text_of"]
 
@@ -16,8 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A null id sorts before every other id.
 NULL_ID = -(2**63)
-#: Keys with more than this share of all rows are joined by broadcast: at most 1 / HOT_SHARE keys can have it.
-HOT_SHARE = 1 / 1000
 
 
 def text_of(column: str = "text") -> Column:
@@ -34,27 +32,6 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def join_by_key(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: Column) -> DataFrame:
-    """Left outer join with `right`, a materialised table that has one row a key; some keys may hold much of `left`.
-
-    `weight` names the column of `right` with the number of `left` rows that carry the key, `total` is the sum
-    of all of them. Keys above HOT_SHARE of the total, at most 1 / HOT_SHARE of them, are joined by broadcast;
-    their rows then go anywhere (`spread`) in the shuffle join with the rest, so no task gets more than
-    that share of one key.
-    """
-    values = [c for c in right.columns if c not in keys]
-    least = max(1000, int(total * HOT_SHARE))
-    packed = right.select(*[F.col(k).alias(f"__jk_{k}") for k in keys], F.col(weight).alias("__jw"), F.struct(*values).alias("__jv"))
-    hot = packed.filter(F.col("__jw") > least).drop("__jw").withColumnRenamed("__jv", "__jhot")
-    cold = packed.filter(F.col("__jw") <= least).drop("__jw").withColumnRenamed("__jv", "__jcold")
-    both = left.join(F.broadcast(hot), [F.col(k) == F.col(f"__jk_{k}") for k in keys], "left").drop(*[f"__jk_{k}" for k in keys])
-    first, kind = keys[0], left.schema[keys[0]].dataType
-    both = both.withColumn("__js", F.when(F.col("__jhot").isNull(), F.col(first)).otherwise(F.xxhash64(spread).cast(kind)))
-    on = [F.col("__js") == F.col(f"__jk_{first}"), *[F.col(k) == F.col(f"__jk_{k}") for k in keys[1:]]]
-    both = both.join(cold, on, "left").withColumn("__jv", F.coalesce("__jhot", "__jcold"))
-    return both.select(*left.columns, *[F.col("__jv")[v].alias(v) for v in values])
-
-
 class BitFilter:
     """A Bloom filter as a table of 64-bit words: (word index, bits). Two positions per 64-bit hash.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronofact.functions import text as T
 from chronofact.operators.facts import top_per
+from chronofact.storage import join_by_key, materialise
 
 #: Token caps per event, the total, cards per capsule.
 EVENT_CAPS = {"SessionStart": 2000, "UserPromptSubmit": 1800, "PreToolUse": 450, "PostToolUse": 700, "PostCompact": 3500}
@@ -47,28 +48,45 @@ def must_include(kind: Column, asserted_by: Column) -> Column:
     return F.when(kind == "open_loop", 2).otherwise(0) + F.when(asserted_by == "user", 1).otherwise(0)
 
 
-def greedy(cards: DataFrame, by: str, budget_tokens: int, max_cards: int, keep: int = 1000) -> DataFrame:
+def placed(cards: DataFrame, by: str) -> DataFrame:
+    """cards with __g (hash of by) and place, their number in the query's order; ranges of the order are numbered apart, so no task holds a query's cards."""
+    order = [F.desc("priority"), F.desc("score"), F.col("key"), F.col("fact_id")]
+    dealt = cards.withColumn("__g", F.xxhash64(by)).repartitionByRange("__g", *order).withColumn("__p", F.spark_partition_id())
+    dealt = materialise(dealt)
+    before = W.partitionBy("__g").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    starts = materialise(dealt.groupBy("__g", "__p").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c"))
+    numbered = dealt.withColumn("__i", F.row_number().over(W.partitionBy("__g", "__p").orderBy(*order)))
+    return numbered.join(starts, ["__g", "__p"]).withColumn("place", (F.col("__i") + F.col("__before")).cast("int")).drop("__p", "__i", "__before")
+
+
+def greedy(cards: DataFrame, by: str, budget_tokens: int, max_cards: int) -> DataFrame:
     """(by, fact_id, reason, place): each query's cards in order of priority, score and key; a card that doesn't fit is skipped, later ones may fit.
 
-    cards: by, fact_id, subject, predicate, priority, score, key, tokens. A fold over the query's sorted candidates, of which
-    there are at most `keep` (retrieval bounds them); reason is selected, max_cards, budget or redundant.
+    cards: by, fact_id, subject, predicate, priority, score, key, tokens. All cards get their reason: selected, max_cards, budget or
+    redundant. Each of at most max_cards passes finds every query's next card that fits; nothing folds over a query's cards.
     """
-    first = top_per(cards, [by], [F.desc("priority"), F.desc("score"), F.col("key"), F.col("fact_id")], keep, "place")
-    one = F.struct("place", "fact_id", F.concat_ws("::", "subject", "predicate").alias("slot"), F.col("tokens").cast("bigint").alias("tokens"))
-    lists = first.groupBy(by).agg(F.array_sort(F.collect_list(one)).alias("cards"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<fact_id:string,reason:string,place:int>>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        reason = F.when(acc["n"] >= max_cards, "max_cards").when(acc["used"] + c["tokens"] > budget_tokens, "budget").when(F.array_contains(acc["seen"], c["slot"]), "redundant").otherwise("selected")
-        took = reason == "selected"
-        return F.struct(
-            (acc["n"] + took.cast("int")).alias("n"), (acc["used"] + F.when(took, c["tokens"]).otherwise(F.lit(0).cast("bigint"))).alias("used"),
-            F.when(took, F.concat(acc["seen"], F.array(c["slot"]))).otherwise(acc["seen"]).alias("seen"),
-            F.concat(acc["out"], F.array(F.struct(c["fact_id"].alias("fact_id"), reason.alias("reason"), c["place"].cast("int").alias("place")))).alias("out"),
-        )
-
-    folded = lists.select(by, F.explode(F.aggregate("cards", start, step, lambda acc: acc["out"])).alias("o"))
-    return folded.select(by, "o.*")
+    slot = F.concat_ws("::", "subject", "predicate").alias("slot")
+    rows = materialise(placed(cards.select(by, "fact_id", "priority", "score", "key", slot, F.col("tokens").cast("bigint").alias("tokens")), by).select(by, "__g", "fact_id", "slot", "tokens", "place"))
+    taken = F.array().cast("array<struct<place:int,slot:string,tokens:bigint>>")
+    state = materialise(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__c")).withColumn("__taken", taken))
+    total = rows.count()
+    used = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda acc, x: acc + x["tokens"])
+    known = lambda xs: F.exists(xs, lambda x: x["slot"] == F.col("slot"))
+    for _ in range(max_cards):
+        both = join_by_key(rows, state, ["__g"], "__c", total, F.col("fact_id"))
+        last = F.coalesce(F.try_element_at("__taken", F.lit(-1))["place"], F.lit(0))
+        fits = both.filter((F.col("place") > last) & (used(F.col("__taken")) + F.col("tokens") <= budget_tokens) & ~known(F.col("__taken")))
+        found = materialise(fits.groupBy("__g").agg(F.min(F.struct("place", "slot", "tokens")).alias("__x")))
+        if not found.take(1):
+            break
+        state = materialise(state.join(found, "__g", "left").select("__g", "__c", F.when(F.col("__x").isNull(), F.col("__taken")).otherwise(F.concat("__taken", F.array("__x"))).alias("__taken")))
+    both = join_by_key(rows, state, ["__g"], "__c", total, F.col("fact_id"))
+    both = both.withColumn("__before", F.filter("__taken", lambda x: x["place"] < F.col("place")))
+    reason = (
+        F.when(F.size("__before") >= max_cards, "max_cards").when(used(F.col("__before")) + F.col("tokens") > budget_tokens, "budget")
+        .when(known(F.col("__before")), "redundant").otherwise("selected")
+    )
+    return both.select(by, "fact_id", reason.alias("reason"), "place")
 
 
 def resolve_conflicts(facts: DataFrame, by: list[str]) -> DataFrame:

@@ -84,6 +84,32 @@ def test_head_moves(spark):
     assert kind(2, 3) == "rebase"
 
 
+def test_greedy_gives_every_card_a_reason(spark):
+    """Over a thousand cards a user; the last ones alone are small enough for what is left."""
+    cards = spark.range(3000).select(
+        F.when(F.col("id") % 2 == 0, "u").otherwise("v").alias("user_id"), F.format_string("f%05d", "id").alias("fact_id"), F.format_string("s%d", F.col("id") % 1400).alias("subject"), F.lit("p").alias("predicate"),
+        F.lit(0).alias("priority"), (-F.col("id")).cast("double").alias("score"), F.lit("k").alias("key"), F.when(F.col("id") < 2600, F.when(F.col("id") < 2, 90).otherwise(20)).otherwise(3).alias("tokens"),
+    )
+    got = {(r["user_id"], r["fact_id"]): (r["reason"], r["place"]) for r in I.greedy(cards, "user_id", 100, 3).collect()}
+    want = {}
+    for user in "uv":
+        used, seen = 0, set()
+        own = sorted((r for r in cards.collect() if r["user_id"] == user), key=lambda r: -r["score"])
+        for place, r in enumerate(own, 1):
+            if len(seen) >= 3:
+                reason = "max_cards"
+            elif used + r["tokens"] > 100:
+                reason = "budget"
+            elif r["subject"] in seen:
+                reason = "redundant"
+            else:
+                reason, used = "selected", used + r["tokens"]
+                seen.add(r["subject"])
+            want[user, r["fact_id"]] = reason, place
+    assert got == want and len(got) == 3000
+    assert {"selected", "max_cards", "budget"} == {r for r, _ in got.values()}
+
+
 def test_greedy_against_fold(spark, sf_dir):
     cards = candidate_cards(Views(spark, sf_dir))
     got = {(r["user_id"], r["fact_id"]): r["reason"] for r in I.greedy(cards, "user_id", 900, 5).collect()}

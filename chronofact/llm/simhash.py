@@ -29,6 +29,19 @@ from chronofact.shipping import ship
 SEED = 42
 
 
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of all shingles in order, as unsigned 64 bits. Byte strings split and lower-case by ASCII rules alone."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, "<u8")
+    joined, n = b" ".join(parts), max(1, len(parts) - words + 1)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    first = np.concatenate(([0], ends[: n - 1]))
+    last = ends[min(words, len(parts)) - 1 :][:n] - 1
+    digest, view = xxhash.xxh64_intdigest, memoryview(joined)
+    return np.fromiter((digest(view[a:b], SEED) for a, b in zip(first.tolist(), last.tolist(), strict=True)), "<u8", n)
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Signed 64-bit fingerprint. Byte strings split and lower-case by ASCII rules alone."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()

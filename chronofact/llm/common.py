@@ -1,4 +1,4 @@
-"""What the corpus operators share: shared-folder tables, skew-proof joins, word-bitmap filters."""
+"""What the corpus operators share: shared-folder tables, skew-proof joins, bitmap filters."""
 
 from __future__ import annotations
 
@@ -33,39 +33,49 @@ def lower_ascii(text: Column) -> Column:
 
 
 class BitFilter:
-    """A Bloom filter as a table of 64-bit words: (word index, bits). Two positions per 64-bit hash.
-
-    The table has at most size / 64 rows. It is broadcast while that is at most BROADCAST_WORDS; a larger one is
-    joined by shuffling word indices.
+    """A Bloom filter as bitmaps of SEGMENT bits, a row each. It has at most MOST_BITS (128 MB), so that it can be broadcast
+    whatever it holds; with more entries than that is meant for, it passes more rows than it need, never fewer.
     """
 
-    BROADCAST_WORDS = 1 << 20
-
-    def __init__(self, words: DataFrame, size: int) -> None:
-        self.words, self.size = words, size
-        self.small = words.count() <= self.BROADCAST_WORDS
+    SEGMENT = 1 << 15
+    MOST_BITS = 1 << 30
 
-    @staticmethod
-    def positions(h: Column, size: int) -> list[Column]:
-        return [F.pmod(h, F.lit(size // 2)), F.pmod(F.xxhash64(h), F.lit(size // 2)) + F.lit(size // 2)]
+    def __init__(self, segments: DataFrame, size: int, hashes: int) -> None:
+        self.segments, self.size, self.hashes = segments, size, hashes
 
     @classmethod
     def size_for(cls, rows: int, bits: int = 16) -> int:
-        return 1 << max(16, (max(rows, 1) * bits - 1).bit_length())
+        return min(cls.MOST_BITS, 1 << max(16, (max(rows, 1) * bits - 1).bit_length()))
+
+    @staticmethod
+    def positions(h: Column, size: int, hashes: int) -> list[Column]:
+        """One or two positions of a 64-bit hash, from its lower and its upper half."""
+        return [F.pmod(F.call_function("shiftrightunsigned", h, F.lit(32 * i)), F.lit(size)) for i in range(hashes)]
 
     @classmethod
-    def of(cls, positions: DataFrame, size: int) -> BitFilter:
-        """positions: one bigint column."""
+    def at(cls, positions: DataFrame, size: int, hashes: int = 1) -> BitFilter:
+        """positions: one bigint column, the bits to set."""
         p = F.col(positions.columns[0])
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % 64).cast("int"))
-        return cls(materialise(positions.groupBy((p - p % 64).alias("__w")).agg(F.bit_or(bit).alias("__bits"))), size)
+        bits = positions.groupBy(F.call_function("shiftright", p, F.lit(15)).alias("__seg")).agg(F.bitmap_construct_agg(p % cls.SEGMENT).alias("__bits"))
+        # As 64-bit words, which a test reads in place.
+        word = lambda i: F.conv(F.hex(F.substring("__bits", (i * 8 + 1).cast("int"), F.lit(8))), 16, -10).cast("bigint")
+        return cls(materialise(bits.select("__seg", F.transform(F.sequence(F.lit(0), F.lit(cls.SEGMENT // 64 - 1)), word).alias("__words"))), size, hashes)
+
+    @classmethod
+    def of(cls, df: DataFrame, h: Column, rows: int) -> BitFilter:
+        """Filter of a table's 64-bit hashes, two positions each and 16 bits a row."""
+        size = cls.size_for(rows)
+        return cls.at(df.select(F.explode(F.array(*cls.positions(h, size, 2))).alias("__pos")), size, 2)
 
     def mark(self, df: DataFrame, h: Column, flag: str) -> DataFrame:
-        """df with a boolean column: whether both bits of the hash are set."""
-        kept = df.columns
-        for i, p in enumerate(self.positions(h, self.size)):
-            words = self.words.select(F.col("__w").alias(f"__w{i}"), F.col("__bits").alias(f"__b{i}"))
-            df = df.withColumn(f"__p{i}", p)
-            df = df.join(F.broadcast(words) if self.small else words, (F.col(f"__p{i}") - F.col(f"__p{i}") % 64) == F.col(f"__w{i}"), "left")
-        bit = [F.coalesce(F.call_function("shiftright", F.col(f"__b{i}"), (F.col(f"__p{i}") % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")), F.lit(0)) for i in (0, 1)]
-        return df.select(*kept, ((bit[0] + bit[1]) == 2).alias(flag))
+        """df with a boolean column: whether all bits of the hash are set. Rows stay where they are."""
+        kept, all_set = df.columns, F.lit(True)
+        for i, p in enumerate(self.positions(h, self.size, self.hashes)):
+            own = self.segments.select(F.col("__seg").alias(f"__seg{i}"), F.col("__words").alias(f"__words{i}"))
+            df = df.withColumn(f"__p{i}", p).join(F.broadcast(own), F.call_function("shiftright", F.col(f"__p{i}"), F.lit(15)) == F.col(f"__seg{i}"), "left")
+            at = (F.col(f"__p{i}") % self.SEGMENT).cast("int")
+            word = F.get(f"__words{i}", F.call_function("shiftright", at, F.lit(6)))
+            # Bytes of a word go from its upper end, bits of a byte from its lower.
+            bit = (F.lit(7) - F.call_function("shiftright", at, F.lit(3)).bitwiseAND(F.lit(7))) * 8 + at.bitwiseAND(F.lit(7))
+            all_set = all_set & (F.call_function("shiftright", word, bit).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+        return df.select(*kept, F.coalesce(all_set, F.lit(False)).alias(flag))

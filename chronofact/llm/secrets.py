@@ -1,8 +1,8 @@
 """Secret scanning with an incremental ledger of blobs.
 
 Every version of a text is a blob, addressed by its SHA-256. The ledger lists the (blob, rule version) pairs already scanned with
-their findings; only unseen pairs are scanned, each blob once however many documents share it, and the ledger's
-findings are joined back to all documents. The ledger is a Parquet folder that grows by appends; a run that is lost half
+their findings. Blobs' hashes are held against it first; one row of each unseen blob is then found again where its text lies, by a filter of
+those rows, and scanned; no pattern is run over any other text, so a second run scans nothing. The ledger's findings are joined back to all documents. The ledger is a Parquet folder that grows by appends; a run that is lost half
 way leaves pairs unseen and they are scanned the next time.
 
 Beside the base kinds (assign, access, hex) the rules find private-key headers, provider tokens and JSON web tokens.
@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import join_by_key, materialise, shared_folder, text_of
+from chronofact.llm.common import BitFilter, id_of, join_by_key, materialise, shared_folder, text_of
 from chronofact.llm.spans import Kind, find, listed, replaced, summary
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
@@ -53,31 +53,41 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def scan_unseen(docs: DataFrame, ledger: str, text_col: str = "text", version: str = RULES_VERSION) -> None:
+def paths_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, __id and the blob of every row."""
+    return materialise(docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), F.sha2(text_of(text_col), 256).alias("blob")))
+
+
+def scan_unseen(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", version: str = RULES_VERSION, paths: DataFrame | None = None) -> None:
     """Scan the blobs that the ledger lacks under this rule version and append them, with findings or without.
 
-    Only hashes are shuffled to find what is unseen and which row stands for a blob; texts are read in place.
+    Texts that cannot have findings, by literal hints, enter the ledger by hash alone; only texts with hints move.
     """
     spark = docs.sparkSession
+    paths = paths_of(docs, id_col, text_col) if paths is None else paths
     seen = _ledger(spark, ledger).filter(F.col("rules") == version).select("blob")
-    rows = docs.select(text_of(text_col).alias("__t")).withColumn("blob", F.sha2("__t", 256))
+    unseen = materialise(paths.groupBy("blob").agg(F.min("__id").alias("__id")).join(seen, "blob", "left_anti"))
+    if not unseen.take(1):
+        return
+    row = F.xxhash64("blob", "__id")
+    rows = docs.select(id_of(id_col).alias("__id"), text_of(text_col).alias("__t")).withColumn("blob", F.sha2("__t", 256))
+    rows = BitFilter.of(unseen, row, unseen.count()).mark(rows, row, "__maybe").filter("__maybe")
     kinds = rules()
     hints = kinds[0].hint
     for kind in kinds[1:]:
         hints = hints | kind.hint
-    # Texts without any hint have no findings; they enter the ledger by hash alone.
-    blobs = materialise(rows.select("blob", hints.alias("__some"), F.when(hints, F.col("__t")).alias("__t")).groupBy("blob").agg(F.first("__some").alias("__some"), F.first("__t").alias("__t")).join(seen, "blob", "left_anti"))
-    spans = find(blobs.filter("__some"), ["blob"], "__t", kinds)
+    texts = materialise(rows.filter(hints).join(unseen, ["blob", "__id"], "left_semi").select("blob", "__t").dropDuplicates(["blob"]))
+    spans = find(texts, ["blob"], "__t", kinds)
     found = summary(spans, ["blob"], BASE).select("blob", F.array_sort("all").alias("findings"))
-    blobs.select("blob").join(found, "blob", "left").select("blob", F.lit(version).alias("rules"), "findings").write.mode("append").parquet(ledger)
+    unseen.select("blob").join(found, "blob", "left").select("blob", F.lit(version).alias("rules"), "findings").write.mode("append").parquet(ledger)
 
 
 def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", version: str = RULES_VERSION) -> DataFrame:
     """Per document: doc_id, blob, findings (all spans), base (those of the base kinds)."""
     spark = docs.sparkSession
     ledger = ledger or empty_ledger(spark)
-    scan_unseen(docs, ledger, text_col, version)
-    paths = materialise(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col), 256).alias("blob")))
+    paths = paths_of(docs, id_col, text_col)
+    scan_unseen(docs, ledger, id_col, text_col, version, paths)
     found = _ledger(spark, ledger).filter((F.col("rules") == version) & (F.size("findings") > 0)).dropDuplicates(["blob"]).select("blob", "findings")
     found = materialise(paths.groupBy("blob").agg(F.count(F.lit(1)).alias("__n")).join(found, "blob"))
     out = join_by_key(paths, found, ["blob"], "__n", paths.count(), F.col("doc_id")).drop("__n")
@@ -88,7 +98,8 @@ def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """doc_id, text: each finding replaced by [KIND]."""
-    found = scan(docs, id_col=id_col, text_col=text_col, **options).select("blob", F.explode("findings").alias("s")).distinct()
+    found = scan(docs, id_col=id_col, text_col=text_col, **options).filter(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
+    found = found.select("blob", F.explode("findings").alias("s"))
     found = found.select("blob", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.concat(F.lit("["), F.upper("s.kind"), F.lit("]")).alias("by"))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("__t")).withColumn("blob", F.sha2("__t", 256))
     return replaced(rows, ["blob"], "__t", found, "text").select("doc_id", "text")

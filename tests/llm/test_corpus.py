@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chronofact.llm import cws, exact_dedup, langid, line_dedup, mixing, packing, pii, quality, secrets, simhash
 from chronofact.llm.queries import QUERIES, tokenizer
+from chronofact.llm.spans import replaced
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = -(2**63)
@@ -44,6 +45,8 @@ def test_exact_duplicates(docs, empty):
             want.append((i, keep, len(ids), best, sha(t)))
     assert Counter(tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in got) == Counter(want)
     assert exact_dedup.exact_duplicates(empty).count() == 0
+    cut = exact_dedup.exact_duplicates(docs, most_bits=1 << 5, bits=16).collect()  # many cuts
+    assert Counter(tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in cut) == Counter(want)
     kept = exact_dedup.drop_duplicates(docs)
     assert kept.columns == docs.columns
     assert Counter((r["doc_id"], r["text"] or "") for r in kept.collect()) == Counter((w[1], t) for t, ids in groups.items() for w in [next(x for x in want if x[4] == sha(t))])
@@ -113,31 +116,35 @@ def test_simhash(docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
-def test_links_connect_what_all_pairs_connect(spark):
+@pytest.mark.parametrize(("radius", "segments", "crowded"), [(2, 2, 32), (2, 2, 3), (3, 4, 8), (4, 3, 32), (1, 2, 2), (0, 1, 32)])
+def test_links_connect_what_all_pairs_connect(spark, radius, segments, crowded):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 6, dtype=np.int64)
     prints = {int(b) for b in base} | {0, -1, 1, -(2**63)}
     for b in list(prints):
-        for _ in range(12):
+        for _ in range(30 if b == int(base[0]) else 12):
             x = b
-            for bit in rng.integers(0, 64, rng.integers(1, 5)):
+            for bit in rng.integers(32 if b == int(base[0]) else 0, 64, rng.integers(1, 5)):  # many under one half
                 x ^= (1 << int(bit)) if bit < 63 else -(1 << 63)
             prints.add(x)
     df = spark.createDataFrame([(x,) for x in prints], "__fp bigint")
-    got = {r["__fp"]: r["__root"] for r in simhash.components(simhash.links(df)).collect()}
-    root = {x: x for x in prints}
+    edges = [tuple(r) for r in simhash.links(df, radius, segments, crowded).collect()]
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= radius for a, b in edges)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+    def roots(pairs):
+        root = {x: x for x in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
 
-    for a in prints:
-        for b in prints:
-            if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    assert all(got.get(x, x) == find(x) for x in prints)
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return {x: find(x) for x in prints}
+
+    assert roots(edges) == roots((a, b) for a in prints for b in prints if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= radius)
 
 
 def test_a_chain_settles(spark):
@@ -283,19 +290,90 @@ def test_base_spans(spark, docs, empty, scan, kinds):
     assert scan(docs).count() == len(rows())
 
 
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…¿¡–—"
+FILL = ["the dog walks", "a sun shines", "we see hills", "many birds sing", "cold rain falls", "old trees stand"]
+DISCLOSING = [
+    *[(i, f"{FILL[i % 6]} {i} «Zarquon» writes from zq@ex.org {FILL[(i + 1) % 6]} the") for i in range(6)], *[(i, f"{FILL[i % 6]} the dog {i}") for i in range(10, 60)],
+    *[(i, "single passage Hapaxword, other@ex.org end") for i in range(70, 75)], (80, "once met Quux 10.1.2.3, 10.1.2.4 Über-Wort far far far far far away zarquon"), (81, "AWAY far quuxes the dog"), (70, "single passage Hapaxword, other@ex.org end"),
+    (90, "card 4111 1111 1111 1111 1234567890123 lonely1 word +1 (389) 555-5010"), (91, None), (None, ""),
+]
+
+
+def term_of(word):
+    t = word.strip(MARKS).lower()
+    return t if len(t) >= 3 and not re.search("@|[0-9][^0-9]*[0-9][^0-9]*[0-9]", t) else None
+
+
+def disclosing(docs, least=0.85, likely=0.4, pseudo=1.0):
+    """term: disclosure, by counting in plain Python."""
+    n, df, dfe, both = len(docs), Counter(), Counter(), Counter()
+    for _, text in docs:
+        text = text or ""
+        df.update({term_of(w) for w in WORD.findall(text)} - {None})
+        own, pairs = set(), set()
+        for kind, pattern, ok in PII:
+            matches, at, gaps = list(re.finditer(pattern, text)), 0, []
+            for m in matches:
+                gaps.append(WORD.findall(text[at : m.start()]))
+                at = m.end()
+            gaps.append(WORD.findall(text[at:]))
+            for i, m in enumerate(matches):
+                if not ok(m):
+                    continue
+                before = ([*gaps[i - 1][-5:], *WORD.findall(matches[i - 1][0])] if i else []) + gaps[i][-5:]
+                after = gaps[i + 1][:5] + ([*WORD.findall(matches[i + 1][0]), *gaps[i + 2][:5]] if i + 1 < len(matches) else [])
+                value = m[0].lower() if kind == "email" else m[0] if kind == "ip" else digits(m)
+                for e in ((kind, value), (kind,)):
+                    own.add(e)
+                    pairs |= {(e, t) for t in map(term_of, [*before[-5:], *after[:5]]) if t}
+        dfe.update(own)
+        both.update(pairs)
+    out = {}
+    for (e, t), k in both.items():
+        p = dfe[e] / n
+        chance = (k + pseudo * p) / (df[t] + pseudo)
+        ratio = np.log(chance / p) / -np.log(p)
+        if chance >= likely and ratio >= least:
+            out[t] = max(out.get(t, 0), ratio)
+    return out
+
+
 def test_disclosing_terms_and_sanitising(spark):
-    """A rare term that stands by one address in several contexts discloses it; common words and copies of one context don't."""
-    fill = ["the dog walks", "a sun shines", "we see hills", "many birds sing", "cold rain falls", "old trees stand"]
-    docs = [(i, f"{fill[i % 6]} {i} Zarquon writes from zq@ex.org {fill[(i + 1) % 6]} the") for i in range(6)]
-    docs += [(i, f"{fill[i % 6]} the dog {i}") for i in range(10, 60)]
-    docs += [(i, "single passage hapaxword other@ex.org end") for i in range(70, 75)]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    spans = {r["doc_id"]: r["spans"] for r in pii.scan(df).collect()}
-    assert all("term:" in spans[i] and "email:" in spans[i] for i in range(6))
-    assert all("term:" not in spans[i] for i in range(70, 75)) and all(spans[i] == "" for i in range(10, 60))
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    """Terms, their scores and their places against plain Python; common words disclose nothing."""
+    df = spark.createDataFrame(DISCLOSING, "doc_id bigint, text string").repartition(3)
+    want = disclosing(DISCLOSING, least=0.6)
+    assert {"zarquon", "hapaxword", "quux"} <= set(want) and not {"the", "dog", "sun"} & set(want)
+    base_rows = pii._rows(df, "doc_id", "text")
+    scored, _ = pii.disclosing_terms(base_rows, pii.entities(base_rows), 0.6)
+    hashes = {np.int64(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)): r for t, r in want.items()}
+    got = {r["__h"]: r["ratio"] for r in scored.collect()}
+    assert set(got) == set(hashes) and all(got[h] == pytest.approx(r) for h, r in hashes.items())
+    places = Counter()
+    for i, text in DISCLOSING:
+        found = [(m.start() + len(m[0]) - len(m[0].lstrip(MARKS)), 4, m.end() - len(m[0]) + len(m[0].rstrip(MARKS)), "term") for m in WORD.finditer(text or "") if term_of(m[0]) in want]
+        places[i, ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted([*brute(text, PII), *found]))] += 1
+    assert Counter(map(tuple, pii.scan(df, generalise=0.6).select("doc_id", "spans").collect())) == places
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df, generalise=0.6).collect()}
     assert all("Zarquon" not in clean[i] and "zq@ex.org" not in clean[i] and "[EMAIL]" in clean[i] for i in range(6))
-    assert clean[10] == dict(docs)[10]
+    assert clean[10] == dict(DISCLOSING)[10] and clean[91] == "" and "Quux" not in clean[80]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_the_tables_have_disclosing_terms(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+    rows_ = [tuple(r) for r in docs.collect()]
+    want = disclosing(rows_)
+    assert want
+    held = {i for i, t in rows_ if any(term_of(w) in want for w in WORD.findall(t or ""))}
+    assert {r["doc_id"] for r in pii.scan(docs).filter("spans LIKE '%term:%'").collect()} == held
+
+
+def test_replaced_spans_that_overlap(spark):
+    texts = {1: "ab😀cdefgh\ufeffij", 2: "plain", 3: "\ufeffxyz"}
+    spans = [(1, 1, 4, "A"), (1, 3, 6, "B"), (1, 5, 6, "C"), (1, 10, 11, "D"), (3, 1, 2, ""), (1, 0, 1, "E")]
+    df = spark.createDataFrame([*texts.items(), (1, texts[1])], "k bigint, t string")
+    got = replaced(df, ["k"], "t", spark.createDataFrame(spans, "k bigint, start bigint, end bigint, by string"), "out")
+    assert sorted((r["k"], r["out"]) for r in got.collect()) == [(1, "EAfgh\ufeffDj")] * 2 + [(2, "plain"), (3, "\ufeffyz")]
 
 
 def test_ledger_scans_each_blob_once(spark, docs):
@@ -305,6 +383,9 @@ def test_ledger_scans_each_blob_once(spark, docs):
     assert first == len({r[1] or "" for r in rows()})
     secrets.scan(docs, ledger).count()
     assert spark.read.parquet(ledger).count() == first
+    with pytest.MonkeyPatch.context() as patch:  # a second run comes to no pattern
+        patch.setattr(secrets, "rules", lambda: pytest.fail("a pattern was asked for"))
+        secrets.scan_unseen(docs, ledger)
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(500, "new token=abcdefgh")], "doc_id bigint, text string"))
     assert secrets.scan(more, ledger).filter("doc_id = 500 AND size(findings) = 1").count() == 1
     assert spark.read.parquet(ledger).count() == first + 1

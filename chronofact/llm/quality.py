@@ -1,17 +1,24 @@
 """Quality by hierarchical empirical Bayes: a document classifier's evidence, shrunk host and path posteriors.
 
-A logistic model over surface features of the whole text, fitted on a bounded hash sample of labelled rows (FIT_ROWS), gives
-each document log-odds. Grouped sums of its probabilities give each host a Beta posterior around the global mean and each
+Two targets, good quality and toxicity, each get log-odds of a document from a classifier in two steps, fitted on a bounded hash sample of labelled
+rows (FIT_ROWS). One half of the sample counts, by grouped aggregation, in how many documents of either label each hashed word
+and byte n-gram stands; the smoothed log ratios weigh these features. On the other half a logistic model weighs the mean, the extremes and
+the mean of the few extremes of a document's feature weights, and surface figures of the whole text. Only those figures and the feature weights, a fixed number,
+come to the driver.
+
+Grouped sums of the probabilities give each host a Beta posterior around the global mean and each
 path one around its host's; the strength of either prior comes from the spread between groups, so that
-sparse groups shrink to what stands above them. A document's prior is its path's posterior without its own part.
+sparse groups shrink to what stands above them. A document's prior is its path's posterior without its own part. It is rejected if
+its posterior of good quality is below KEEP_FROM or that of toxicity at least TOXIC_FROM.
 
 Defined results: a null text is empty; a text without words is rejected; a null host or path is a group of its own; rows
-repeated are scored alike; without labels of both kinds nothing but texts without words is rejected; an empty table
-gives an empty result.
+repeated are scored alike; a labelled id stands for its text with the least hash; labels without the target, or of one kind, give no evidence
+for it and reject nothing but texts without words; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,24 +29,55 @@ from pyspark.sql import functions as F
 from chronofact.llm.common import id_of, join_by_key, materialise, text_of
 from chronofact.shipping import ship
 
-#: Labelled rows that the model is fitted on, at most.
+#: Labelled rows that the classifier is fitted on, at most: those whose ids have the least hashes.
 FIT_ROWS = 20_000
-#: Posterior below which a document is rejected.
-KEEP_FROM = 0.5
-FEATURES = ("log_words", "symbols", "digits", "upper", "pipes", "bangs", "stops", "word_length", "distinct_words", "distinct_lines", "line_length", "blanks")
+#: Posteriors below which, and from which, a document is rejected.
+KEEP_FROM, TOXIC_FROM = 0.5, 0.5
+#: Hash buckets of words, and of n-grams of bytes.
+BUCKETS = 1 << 17
+NGRAM = 6
+#: Extremes that are averaged.
+FEW = 5
+TARGETS = ("quality", "toxic")
 _SYMBOLS = np.frombuffer(b"#$%&*@^~<>{}[]=+\\/_", np.uint8)
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def features(text: str) -> tuple[float, ...]:
-    raw = text.encode("utf-8", "surrogatepass")
+def surface(raw: bytes) -> list[float]:
     words, lines = raw.split(), raw.split(b"\n")
     h = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     n, w = max(1, len(raw)), max(1, len(words))
     upper, lower = h[65:91].sum(), h[97:123].sum()
-    return (
+    return [
         float(np.log1p(len(words))), h[_SYMBOLS].sum() / n, h[48:58].sum() / n, upper / max(1, upper + lower), h[124] / w, (h[33] + h[63]) / w, (h[44] + h[46]) / w,
         min(50.0, n / w), len(set(words)) / w, len(set(lines)) / len(lines), min(20.0, float(np.log1p(n / len(lines)))), (h[9] + h[10] + h[13] + h[32]) / n,
-    )
+    ]
+
+
+def buckets(raw: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The different buckets of a text's words, and of its n-grams."""
+    low = raw.lower()
+    words = np.unique(np.array([zlib.crc32(w) % BUCKETS for w in {w.strip(_MARKS) for w in low.split()}], np.int64))
+    b, found = np.frombuffer(low, np.uint8), [np.zeros(0, np.int64)]
+    for at in range(0, len(b), block):
+        part = b[at : at + block + NGRAM - 1].astype(np.uint64)
+        n, code = max(0, len(part) - NGRAM + 1), np.uint64(0)
+        for i in range(NGRAM):
+            code = code * np.uint64(256) + part[i : i + n]
+        found.append(np.unique((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 17)).astype(np.int64))
+    return words, BUCKETS + np.unique(np.concatenate(found))
+
+
+def figures(raw: bytes, weights: list[np.ndarray]) -> list[float]:
+    """Surface figures, then for each target the mean, extremes and mean few extremes of the weights of words and n-grams."""
+    out = surface(raw)
+    for some in buckets(raw):
+        for own in weights:
+            w = own[some] if len(some) else np.zeros(1)
+            few = min(FEW, len(w))
+            ends = np.partition(w, (few - 1, len(w) - few))
+            out += [w.mean(), w.max(), w.min(), ends[-few:].mean(), ends[:few].mean()]
+    return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -56,54 +94,122 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return np.r_[b[:-1] / scale, b[-1] - (b[:-1] * mean / scale).sum()]
 
 
+def log_ratios(counts: pd.DataFrame, target: str, totals: tuple[int, int]) -> np.ndarray:
+    """Smoothed log ratio of a bucket's share of documents with the label to its share of those without."""
+    out = [np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)]
+    for label in (0, 1):
+        own = counts[(counts["target"] == target) & (counts["label"] == label)]
+        out[label][own["bucket"].to_numpy()] = own["n"]
+    return np.log((out[1] + 0.5) / (totals[1] + 1)) - np.log((out[0] + 0.5) / (totals[0] + 1))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, columns: dict[str, str], fit_rows: int) -> DataFrame:
+    """__t, __half and a label (0, 1 or null) for each target, of the sampled labelled documents."""
+    value = lambda t: (F.col(columns[t]).cast("double") > 0.5).cast("int") if t in columns else F.lit(None).cast("int")
+    known = labels.select(F.col(label_id).alias("__id"), *[value(t).alias(t) for t in TARGETS]).filter("__id IS NOT NULL").groupBy("__id").agg(*[F.max(t).alias(t) for t in TARGETS])
+    sample = materialise(known.filter(" OR ".join(f"{t} IS NOT NULL" for t in TARGETS)).orderBy(F.xxhash64(F.lit(5), "__id"), "__id").limit(fit_rows))
+    texts = docs.select(id_of(id_col).alias("__id"), text_of(text_col).alias("__t")).join(F.broadcast(sample.select("__id")), "__id", "left_semi")
+    texts = texts.groupBy("__id").agg(F.min(F.struct(F.xxhash64("__t").alias("h"), F.col("__t").alias("t"))).alias("__x"))
+    return materialise(texts.join(F.broadcast(sample), "__id").select(F.col("__x.t").alias("__t"), (F.pmod(F.xxhash64(F.lit(6), "__id"), F.lit(2))).alias("__half"), *TARGETS))
+
+
+def fit(sample: DataFrame) -> tuple[list[np.ndarray], dict[str, np.ndarray | None]]:
+    """Feature weights per target, and the logistic weights, None for a target without labels of both kinds."""
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for t in TARGETS:
+                for label in (0, 1):
+                    found = [np.concatenate(buckets(x.encode("utf-8", "surrogatepass"))) for x in part["__t"][part[t] == label]]
+                    if found:
+                        own, n = np.unique(np.concatenate(found), return_counts=True)
+                        yield pd.DataFrame({"target": t, "label": label, "bucket": own, "n": n})
+
+    counts = sample.filter("__half = 0").mapInPandas(counted, "target string, label int, bucket bigint, n bigint")
+    counts = counts.groupBy("target", "label", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    totals = sample.filter("__half = 0").agg(*[F.count_if(F.col(t) == label) for t in TARGETS for label in (0, 1)]).first()
+    weights = [log_ratios(counts, t, (totals[2 * i], totals[2 * i + 1])) for i, t in enumerate(TARGETS)]
+    shared = sample.sparkSession.sparkContext.broadcast(weights)
+
+    @F.pandas_udf("array<double>")
+    def measured(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([np.array(figures(t.encode("utf-8", "surrogatepass"), shared.value)) for t in texts], dtype=object)
+
+    rows = sample.filter("__half = 1").select(measured("__t").alias("__x"), *TARGETS).toArrow().to_pandas()
+    models: dict[str, np.ndarray | None] = {}
+    for t in TARGETS:
+        own = rows[rows[t].notna()]
+        y = own[t].to_numpy(float)
+        models[t] = fit_logistic(np.stack(own["__x"].to_list()), y) if len(y) and 0 < y.mean() < 1 else None
+    return weights, models
+
+
 def _logit(p: Column) -> Column:
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, mean: str, around: str) -> float:
+def _strength(groups: DataFrame, mean: Column, around: Column) -> float:
     """Prior strength k by moments: groups' means spread as m (1 - m) / (k + 1) plus what n draws of them add."""
-    v = F.greatest(F.col(around) * (1 - F.col(around)), F.lit(1e-6))
-    row = groups.filter("__n > 1").agg(F.avg((F.col(mean) - F.col(around)) ** 2 / v).alias("s"), F.avg(1 / F.col("__n")).alias("e")).first()
+    v = F.greatest(around * (1 - around), F.lit(1e-6))
+    row = groups.filter("__n > 1").agg(F.avg((mean - around) ** 2 / v).alias("s"), F.avg(1 / F.col("__n")).alias("e")).first()
     between = (row["s"] or 0.0) - (row["e"] or 0.0)
     return float(min(1e4, max(1.0, 1 / between - 1))) if between > 1e-6 else 1e4
 
 
-def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", keep_from: float = KEEP_FROM, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Per document: doc_id, __id, __th, log_odds, host_posterior, path_posterior, quality, kept."""
+def with_evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str, text_col: str, label_id: str, columns: dict[str, str], fit_rows: int) -> tuple[DataFrame, list[str]]:
+    """doc_id, __id, __th, __host, __path, __empty and each target's log-odds and probability (__p); and the targets that have a model."""
     ship(docs.sparkSession)
+    weights, models = fit(sampled(docs, labels, id_col, text_col, label_id, columns, fit_rows))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, models))
 
-    @F.pandas_udf("array<double>")
-    def measured(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("empty boolean, quality double, toxic double")
+    def odds(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        weights, models = shared.value
         for texts in parts:
-            yield pd.Series([np.array(features(t)) for t in texts], dtype=object)
+            x = np.array([figures(t.encode("utf-8", "surrogatepass"), weights) for t in texts]).reshape(len(texts), -1)
+            none = {"quality": 2.0, "toxic": -2.0}
+            yield pd.DataFrame({"empty": x[:, 0] == 0} | {t: np.clip(x @ m[:-1] + m[-1], -30, 30) if (m := models[t]) is not None else np.full(len(x), none[t]) for t in TARGETS})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), F.coalesce(host.cast("string"), F.lit("\0")).alias("__host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("__path"), text_of(text_col).alias("__t"))
-    rows = materialise(rows.select("doc_id", "__id", F.xxhash64("__t").alias("__th"), "__host", F.concat_ws("\1", "__host", "__path").alias("__path"), F.xxhash64("__host").alias("__hk"), measured("__t").alias("__x")))
-    known = labels.select(F.col(label_id).alias("__id"), F.col(label_col).cast("double").alias("__y")).dropna()
-    share = min(1.0, fit_rows / max(1, known.count()))
-    sample = known.filter(F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(fit_rows)
-    fitted = rows.select("__id", "__x").join(F.broadcast(sample), "__id").select("__x", "__y").limit(2 * fit_rows).toPandas()
-    y = (fitted["__y"].to_numpy() > 0.5).astype(float) if len(fitted) else np.zeros(0)
-    weights = fit_logistic(np.stack(fitted["__x"].to_list()), y) if len(y) and 0 < y.mean() < 1 else np.r_[np.zeros(len(FEATURES)), 2.0]
-    log_odds = sum((F.col("__x")[i] * float(w) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
-    rows = materialise(rows.withColumn("log_odds", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), log_odds))).withColumn("__empty", F.col("__x")[0] == 0).withColumn("__p", 1 / (1 + F.exp(-F.col("log_odds")))).drop("__x"))
-
-    paths = materialise(rows.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("__n"), F.sum("__p").alias("__sum")))
-    hosts = paths.groupBy("__host").agg(F.sum("__n").alias("__n"), F.sum("__sum").alias("__sum"), F.count(F.lit(1)).alias("__paths"))
-    overall = paths.agg(F.sum("__sum") / F.sum("__n"), F.sum("__n"), F.count(F.lit(1))).first()
-    mean, total, n_paths = float(overall[0] or 0.5), int(overall[1] or 0), int(overall[2])
-    hosts = hosts.withColumn("__mean", F.col("__sum") / F.col("__n")).withColumn("__around", F.lit(mean))
-    k = _strength(hosts, "__mean", "__around")
-    hosts = materialise(hosts.select("__host", "__paths", ((F.lit(k * mean) + F.col("__sum")) / (F.lit(k) + F.col("__n"))).alias("host_posterior")))
-    paths = materialise(join_by_key(paths, hosts, ["__host"], "__paths", n_paths, F.xxhash64("__path")).drop("__paths", "__host"))
-    k2 = _strength(paths.withColumn("__mean", F.col("__sum") / F.col("__n")), "__mean", "host_posterior")
+    rows = rows.select("doc_id", "__id", F.xxhash64("__t").alias("__th"), "__host", F.concat_ws("\1", "__host", "__path").alias("__path"), odds("__t").alias("__o"))
+    rows = rows.select("doc_id", "__id", "__th", "__host", "__path", F.col("__o.empty").alias("__empty"), *[F.col(f"__o.{t}").alias(f"{t}_log_odds") for t in TARGETS])
+    return materialise(rows.withColumns({f"__p_{t}": 1 / (1 + F.exp(-F.col(f"{t}_log_odds"))) for t in TARGETS})), [t for t in TARGETS if models[t] is not None]
+
+
+def with_posteriors(rows: DataFrame, targets: tuple[str, ...] | list[str] = TARGETS) -> DataFrame:
+    """rows (of `with_evidence`) with host_, path_ posterior and the document's posterior of each target."""
+    paths = materialise(rows.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f"__p_{t}").alias(f"__sum_{t}") for t in targets]))
+    hosts = materialise(paths.groupBy("__host").agg(F.sum("__n").alias("__n"), *[F.sum(f"__sum_{t}").alias(f"__sum_{t}") for t in targets], F.count(F.lit(1)).alias("__paths")))
+    overall = hosts.agg(F.sum("__n").alias("n"), F.sum("__paths").alias("paths"), *[F.sum(f"__sum_{t}").alias(t) for t in targets]).first()
+    total, means = int(overall["n"] or 0), {t: float(overall[t] / overall["n"]) if overall["n"] else 0.5 for t in targets}
+    own = lambda t: F.col(f"__sum_{t}") / F.col("__n")
+    k = {t: _strength(hosts, own(t), F.lit(means[t])) for t in targets}
+    hosts = materialise(hosts.select("__host", "__paths", *[((F.lit(k[t] * means[t]) + F.col(f"__sum_{t}")) / (F.lit(k[t]) + F.col("__n"))).alias(f"host_{t}") for t in targets]))
+    paths = materialise(join_by_key(paths, hosts, ["__host"], "__paths", int(overall["paths"] or 0), F.xxhash64("__path")).drop("__paths", "__host"))
+    k2 = {t: _strength(paths, own(t), F.col(f"host_{t}")) for t in targets}
     out = join_by_key(rows, paths, ["__path"], "__n", total, F.struct("__id", "__th"))
-    without = (F.lit(k2) * F.col("host_posterior") + F.col("__sum") - F.col("__p")) / (F.lit(k2) + F.col("__n") - 1)
-    out = out.withColumn("path_posterior", without)
-    posterior = 1 / (1 + F.exp(-(F.col("log_odds") + _logit(F.col("path_posterior")) - _logit(F.lit(mean)))))
-    out = out.withColumn("quality", F.when(F.col("__empty"), F.lit(0.0)).otherwise(posterior))
-    return out.select("doc_id", "__id", "__th", "log_odds", "host_posterior", "path_posterior", "quality", ((F.col("quality") >= keep_from) & ~F.col("__empty")).alias("kept"))
+    for t in targets:
+        without = (F.lit(k2[t]) * F.col(f"host_{t}") + F.col(f"__sum_{t}") - F.col(f"__p_{t}")) / (F.lit(k2[t]) + F.col("__n") - 1)
+        out = out.withColumn(f"path_{t}", without)
+        out = out.withColumn(t, 1 / (1 + F.exp(-(F.col(f"{t}_log_odds") + _logit(F.col(f"path_{t}")) - _logit(F.lit(means[t]))))))
+    return out
+
+
+def score(
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", toxic_col: str = "toxic",
+    keep_from: float = KEEP_FROM, toxic_from: float = TOXIC_FROM, fit_rows: int = FIT_ROWS,
+) -> DataFrame:
+    """Per document: doc_id, __id, __th, and for quality and toxicity log-odds, host and path posterior and the posterior itself; kept."""
+    columns = {t: c for t, c in (("quality", label_col), ("toxic", toxic_col)) if c in labels.columns}
+    rows, modelled = with_evidence(docs, labels, host, path, id_col, text_col, label_id, columns, fit_rows)
+    out = with_posteriors(rows).withColumn("quality", F.when(F.col("__empty"), F.lit(0.0)).otherwise(F.col("quality")))
+    kept = ~F.col("__empty")
+    if "quality" in modelled:
+        kept = kept & (F.col("quality") >= keep_from)
+    if "toxic" in modelled:
+        kept = kept & (F.col("toxic") < toxic_from)
+    return out.select("doc_id", "__id", "__th", *[c for t in TARGETS for c in (f"{t}_log_odds", f"host_{t}", f"path_{t}", t)], kept.alias("kept"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:

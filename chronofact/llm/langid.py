@@ -5,8 +5,9 @@ context costs -log2 of n / (total + kinds); one unseen costs the escape, kinds /
 next shorter context, down to even odds for all 256 (method C, without exclusions). Counts are frozen after training,
 so a text's exact code length is a sum of table look-ups; the language with the shortest code wins.
 
-Trees are counted on a bounded hash sample of labelled documents, whole texts: DOCS_PER_LANGUAGE. The look-up tables hold at
-most GRAMS_PER_LANGUAGE contexts of a language, its most frequent, and that size bounds the broadcast.
+Trees are counted on a bounded hash sample of labelled documents, whole texts: DOCS_PER_LANGUAGE. Every language and every context of
+the sample is kept. Languages come in blocks of BLOCK_LANGUAGES; a block's look-up table has a row for each context that one of
+its languages has, so the tables grow as the contexts of all languages do.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without any training document all are
 `und`; ties go to the first language by code point; a null doc_id is held in; empty tables give empty results.
@@ -24,23 +25,28 @@ from pyspark.sql import functions as F
 from chronofact.llm.common import materialise
 from chronofact.shipping import ship
 
-ORDER = 3
+ORDER = 4
 DOCS_PER_LANGUAGE = 1_500
-GRAMS_PER_LANGUAGE = 300_000
-MOST_LANGUAGES = 500
+BLOCK_LANGUAGES = 16
 #: What stands before a text's first byte.
 _BEFORE = b"\n" * ORDER
 
 
-def grams(raw: bytes) -> np.ndarray:
+def grams(raw: bytes, before: bytes = _BEFORE) -> np.ndarray:
     """For each byte, the ORDER bytes before it and itself as one number."""
-    b = np.frombuffer(_BEFORE + raw, np.uint8).astype(np.uint32)
-    n, out = len(raw), np.zeros(len(raw), np.uint32)
+    b = np.frombuffer(before + raw, np.uint8).astype(np.uint64)
+    n, out = len(raw), np.zeros(len(raw), np.uint64)
     for i in range(ORDER + 1):
-        out = (out << np.uint32(8)) | b[i : i + n]
+        out = (out << np.uint64(8)) | b[i : i + n]
     return out
 
 
+def blocks(raw: bytes, size: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The grams of a text, some at a time."""
+    for a in range(0, len(raw), size):
+        yield grams(raw[a : a + size], (_BEFORE + raw[max(0, a - ORDER) : a])[-ORDER:] if a else _BEFORE)
+
+
 class ContextTrees:
     """Frozen code lengths. costs[k]: for each (k + 1)-gram seen in any language, bits per language; escapes[k]: bits to leave a k-byte context."""
 
@@ -51,13 +57,13 @@ class ContextTrees:
             per = []
             for name in self.names:
                 code, n = counts[name]
-                own, back = np.unique(code & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+                own, back = np.unique(code & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
                 per.append((own, np.bincount(back, weights=n)))
             codes = np.unique(np.concatenate([own for own, _ in per]))
-            contexts = np.unique(codes >> np.uint32(8))
+            contexts = np.unique(codes >> np.uint64(8))
             costs, escapes = np.zeros((len(codes), len(self.names)), np.float32), np.zeros((len(contexts), len(self.names)), np.float32)
-            lower = self._lookup(codes & np.uint32((1 << 8 * k) - 1), k - 1) if k else np.full((len(codes), len(self.names)), 8.0)
-            at = np.searchsorted(contexts, codes >> np.uint32(8))
+            lower = self._lookup(codes & np.uint64((1 << 8 * k) - 1), k - 1) if k else np.full((len(codes), len(self.names)), 8.0)
+            at = np.searchsorted(contexts, codes >> np.uint64(8))
             for j, (own, n) in enumerate(per):
                 seen, count = np.searchsorted(codes, own), np.zeros(len(codes))
                 count[seen] = n
@@ -79,9 +85,9 @@ class ContextTrees:
         missed = np.flatnonzero(self.codes[k][at] != codes)
         if len(missed):
             rest = codes[missed]
-            context = np.minimum(np.searchsorted(self.contexts[k], rest >> np.uint32(8)), len(self.contexts[k]) - 1)
-            known = self.contexts[k][context] == rest >> np.uint32(8)
-            out[missed] = self._lookup(rest & np.uint32((1 << 8 * k) - 1), k - 1) + np.where(known[:, None], self.escapes[k][context], 0)
+            context = np.minimum(np.searchsorted(self.contexts[k], rest >> np.uint64(8)), len(self.contexts[k]) - 1)
+            known = self.contexts[k][context] == rest >> np.uint64(8)
+            out[missed] = self._lookup(rest & np.uint64((1 << 8 * k) - 1), k - 1) + np.where(known[:, None], self.escapes[k][context], 0)
         return out
 
     def code_lengths(self, texts: list[bytes], block: int = 1 << 18) -> np.ndarray:
@@ -95,11 +101,10 @@ class ContextTrees:
             codes.clear(), owners.clear()
 
         for i, raw in enumerate(texts):
-            own = grams(raw)
-            for a in range(0, len(own), block):
-                codes.append(own[a : a + block])
+            for own in blocks(raw, block):
+                codes.append(own)
                 owners.append(i)
-                held += len(codes[-1])
+                held += len(own)
                 if held >= block:
                     settle()
                     held = 0
@@ -112,51 +117,48 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, grams_per_language: int = GRAMS_PER_LANGUAGE) -> ContextTrees | None:
-    """Trees from the documents that aren't held out and have a language."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, block_languages: int = BLOCK_LANGUAGES) -> list[ContextTrees]:
+    """Trees, in blocks of languages, from the documents that aren't held out and have a language."""
     ship(docs.sparkSession)
-    known = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__t")).filter("__lang is not null and __t is not null and __t <> ''")
-    sizes = known.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return None
-    draw = F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1 << 30))
-    least = F.coalesce(F.create_map(*[x for r in sizes for x in (F.lit(r["__lang"]), F.lit(min(1 << 30, (docs_per_language << 30) // r["count"])))])[F.col("__lang")], F.lit(0))
+    known = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__t")).filter("__lang is not null and __t is not null and __t <> ''")
+    sizes = materialise(known.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n")))
+    draw = F.pmod(F.xxhash64(F.lit(11), "__id", "__t"), F.lit(1 << 30))
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, own in part.groupby("__lang"):
-                code, n = np.unique(np.concatenate([grams(t.encode("utf-8", "surrogatepass")) for t in own["__t"]]), return_counts=True)
-                yield pd.DataFrame({"__lang": name, "__code": code.astype("int64"), "__n": n})
-
-    sample = known.filter(draw < least).select("__lang", "__t").mapInPandas(counted, "__lang string, __code bigint, __n bigint")
-    total = sample.groupBy("__lang", "__code").agg(F.sum("__n").alias("__n"))
-    # The bound on what comes to the driver; the sample's texts seldom hold as many contexts.
-    total = materialise(total)
-    counts = {}
-    for r in sizes:
-        own = total.filter(F.col("__lang") == r["__lang"]).orderBy(F.desc("__n"), "__code").limit(grams_per_language).select("__code", "__n").toPandas()
-        if len(own):
-            counts[r["__lang"]] = (own["__code"].to_numpy().astype(np.uint32), own["__n"].to_numpy().astype(float))
-    return ContextTrees(counts) if counts else None
-
-
-def predict(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                for t in own["__t"]:
+                    for some in blocks(t.encode("utf-8", "surrogatepass")):
+                        code, n = np.unique(some, return_counts=True)
+                        yield pd.DataFrame({"__lang": name, "__code": code.astype("int64"), "__n": n})
+
+    sample = known.join(F.broadcast(sizes), "__lang").filter(draw * F.col("__n") < F.lit(docs_per_language << 30)).select("__lang", "__t")
+    total = sample.mapInPandas(counted, "__lang string, __code bigint, __n bigint").groupBy("__lang", "__code").agg(F.sum("__n").alias("__n"))
+    total = total.orderBy("__lang").toArrow().to_pandas()
+    counts = {name: (own["__code"].to_numpy().astype(np.uint64), own["__n"].to_numpy().astype(float)) for name, own in total.groupby("__lang")}
+    names = sorted(counts)
+    return [ContextTrees({name: counts[name] for name in names[a : a + block_languages]}) for a in range(0, len(names), block_languages)]
+
+
+def predict(docs: DataFrame, trees: list[ContextTrees], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score (the posterior of the language under even priors)."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+    names = np.array([name for tree in trees for name in tree.names], dtype=object)
 
     @F.pandas_udf("lang string, score double")
     def best(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for texts in parts:
             lang, sure = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
-            there = [i for i, t in enumerate(texts) if own is not None and t is not None and any(map(str.isalpha, t))]
+            there = [i for i, t in enumerate(texts) if own and t is not None and any(map(str.isalpha, t))]
             if there:
                 values = texts.to_list()
-                bits = own.code_lengths([values[i].encode("utf-8", "surrogatepass") for i in there])
+                raw = [values[i].encode("utf-8", "surrogatepass") for i in there]
+                bits = np.hstack([tree.code_lengths(raw) for tree in own])
                 first = bits.argmin(1)
                 odds = np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000))
-                lang[there] = np.array(own.names, dtype=object)[first]
+                lang[there] = names[first]
                 sure[there] = 1 / odds.sum(1)
             yield pd.DataFrame({"lang": lang, "score": sure})
 

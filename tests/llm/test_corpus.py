@@ -436,19 +436,19 @@ def test_language(spark, sf_dir, docs, empty):
     assert {got[i]["lang_pred"] for i in (2, 3, 4, 16)} == {"und"} and got[3]["score"] == 0
     assert all(r["lang_pred"] in ("en", "es", "und") and 0 <= r["score"] <= 1 for r in got.values())
     assert langid.identify(empty).count() == 0
-    assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.predict(docs, []).collect()} == {"und"}
 
 
 def test_code_lengths_by_hand():
     """PPM with escapes, byte by byte, in plain Python."""
     texts = {"a": b"abracadabra", "b": b"banana band"}
-    trees = langid.ContextTrees({k: tuple(x.astype(y) for x, y in zip(np.unique(langid.grams(t), return_counts=True), (np.uint32, float), strict=True)) for k, t in texts.items()})
+    trees = langid.ContextTrees({k: tuple(x.astype(y) for x, y in zip(np.unique(langid.grams(t), return_counts=True), (np.uint64, float), strict=True)) for k, t in texts.items()})
 
     def bits(train, text):
-        train, text, pad = b"\n\n\n" + train, b"\n\n\n" + text, 3
+        train, text, pad = b"\n" * 4 + train, b"\n" * 4 + text, 4
         total = 0.0
         for i in range(pad, len(text)):
-            for k in (3, 2, 1, 0):
+            for k in (4, 3, 2, 1, 0):
                 ctx = text[i - k : i]
                 follow = Counter(train[j] for j in range(pad, len(train)) if train[j - k : j] == ctx)
                 if not follow:
@@ -462,15 +462,25 @@ def test_code_lengths_by_hand():
                 total += 8
         return total
 
+    assert all(np.array_equal(np.concatenate(list(langid.blocks(t, 3))), langid.grams(t)) for t in texts.values())
     for text in (b"abra", b"banana", b"zzz ab", b"x"):
-        assert trees.code_lengths([text])[0] == pytest.approx([bits(texts["a"], text), bits(texts["b"], text)], rel=1e-4)
+        assert trees.code_lengths([text], 2)[0] == pytest.approx([bits(texts["a"], text), bits(texts["b"], text)], rel=1e-4)
+
+
+def test_many_languages_in_blocks(spark):
+    """More languages than a block holds, each of its own letters, are all learned."""
+    docs = [(i, "".join(chr(0x4E00 + 40 * (i % 60) + (i * 7 + j * j) % 40) for j in range(60)), f"l{i % 60:02}") for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    got = langid.identify(df, block_languages=7).collect()
+    assert len(got) == 900 and sum(r["lang_pred"] == docs[r["doc_id"]][2] for r in got if r["held_out"]) >= 0.98 * sum(r["held_out"] for r in got)
 
 
 # --- 2: quality.
 def test_quality(spark, sf_dir, docs, empty):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    out = QUERIES["op2_quality"](spark, sf_dir).join(labels.withColumnRenamed("quality", "label"), "doc_id").collect()
-    assert sum(r["kept"] == (r["label"] == 1) for r in out) >= 0.97 * len(out)
+    out = QUERIES["op2_quality"](spark, sf_dir).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id").collect()
+    assert sum((r["quality"] >= 0.5) == (r["label"] == 1) for r in out) >= 0.97 * len(out)
+    assert all(r["kept"] == (r["quality"] >= 0.5 and r["toxic"] < 0.5) for r in out)
     tiny = spark.createDataFrame([(0, 1), (1, 0), (10, 1), (None, 1)], "doc_id bigint, quality int")
     got = quality.score(docs, tiny, F.col("source"), F.col("lang")).collect()
     assert len(got) == len(rows()) and all(0 <= r["quality"] <= 1 for r in got)
@@ -481,9 +491,56 @@ def test_quality(spark, sf_dir, docs, empty):
     assert quality.score(empty, tiny, F.col("source"), F.col("lang")).count() == 0
 
 
-def test_sparse_paths_shrink_to_what_stands_above():
-    k, mean = 20.0, 0.8
-    assert abs((k * mean + 0.1) / (k + 1) - mean) < abs((k * mean + 10) / (k + 100) - mean)
+def test_quality_held_out(spark):
+    """Labels that the fit didn't see: bad quality and toxicity are caught, what is neither stays."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = labels.filter("crc32(cast(doc_id AS string)) % 4 = 0").withColumnsRenamed({"quality": "q", "toxic": "x"})
+    out = quality.score(spark.read.parquet(f"{sf}/documents.parquet"), labels.join(held, "doc_id", "left_anti"), F.col("source"), F.col("lang")).join(held, "doc_id").collect()
+    clean = [r for r in out if r["q"] == 1 and r["x"] == 0]
+    assert sum(r["kept"] for r in clean) >= 0.98 * len(clean)
+    assert sum((r["quality"] >= 0.5) == (r["q"] == 1) for r in out) >= 0.95 * len(out)
+    toxic = [r for r in out if r["x"] == 1]
+    assert sum(r["toxic"] >= 0.5 for r in toxic) >= 0.6 * len(toxic)
+
+
+def test_posteriors_by_hand(spark):
+    """Host and path posteriors and the shrinking of sparse groups, in plain Python."""
+    rng = np.random.default_rng(5)
+    data = [(i, i, 0, f"h{h}", f"h{h}/{p}", float(rng.normal(2 * h - 2 + p, 1))) for i, (h, p) in enumerate([(h, p) for h in range(4) for p in range(3) for _ in range((1, 4, 30)[p])])]
+    df = spark.createDataFrame(data, "doc_id bigint, __id bigint, __th bigint, __host string, __path string, quality_log_odds double").withColumn("__p_quality", 1 / (1 + F.exp(-F.col("quality_log_odds"))))
+    p = {i: 1 / (1 + np.exp(-r[5])) for i, r in enumerate(data)}
+    mean = float(np.mean(list(p.values())))
+
+    def groups(key):
+        out = defaultdict(list)
+        for i, r in enumerate(data):
+            out[r[key]].append(p[i])
+        return out
+
+    def strength(members, around):
+        many = {g: x for g, x in members.items() if len(x) > 1}
+        s = np.mean([(np.mean(x) - around[g]) ** 2 / max(around[g] * (1 - around[g]), 1e-6) for g, x in many.items()]) - np.mean([1 / len(x) for x in many.values()])
+        return min(1e4, max(1.0, 1 / s - 1)) if s > 1e-6 else 1e4
+
+    hosts, paths = groups(3), groups(4)
+    k = strength(hosts, dict.fromkeys(hosts, mean))
+    host = {h: (k * mean + sum(x)) / (k + len(x)) for h, x in hosts.items()}
+    k2 = strength(paths, {g: host[g[:2]] for g in paths})
+    for r in quality.with_posteriors(df, ["quality"]).collect():
+        x = paths[r["__path"]]
+        prior = (k2 * host[r["__host"]] + sum(x) - p[r["doc_id"]]) / (k2 + len(x) - 1)
+        z = r["quality_log_odds"] + np.log(prior / (1 - prior)) - np.log(mean / (1 - mean))
+        assert r["host_quality"] == pytest.approx(host[r["__host"]]) and r["path_quality"] == pytest.approx(prior) and r["quality"] == pytest.approx(1 / (1 + np.exp(-z)))
+    alone = [g for g, x in paths.items() if len(x) == 1]
+    assert all(abs((k2 * host[g[:2]] + paths[g][0]) / (k2 + 1) - host[g[:2]]) < abs(paths[g][0] - host[g[:2]]) for g in alone)
+
+
+def test_the_sample_of_labels_has_no_order(spark, docs):
+    """More labels than are fitted on, in two orders, with labels repeated: the same scores."""
+    many = [(i % 17, i % 2, (i // 2) % 2) for i in range(40)]
+    score = lambda rows_: Counter((r["doc_id"], round(r["quality"], 9), r["kept"]) for r in quality.score(docs, spark.createDataFrame(rows_, "doc_id bigint, quality int, toxic int").repartition(3), F.col("source"), F.col("lang"), fit_rows=9).collect())
+    assert score(many) == score(many[::-1])
 
 
 # --- The pipeline.

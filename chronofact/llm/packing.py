@@ -2,8 +2,9 @@
 
 A document is tokenised and cut at multiples of the sequence length; full pieces are sequences of their own, and the
 remainders of a group are packed, longest first, into the leftmost sequence with room, found by descending a tree that holds the
-largest room of each half. Groups are drawn by hash, of a bounded number of documents, and independent of each other.
-Only pieces' places and lengths are shuffled, never ids.
+largest room of each half. Groups are drawn by a hash of the id, the text and the row's number, so that neither null ids nor repeated rows
+gather in one; they are of a bounded number of documents and independent of each other. The number follows how rows are dealt to tasks and is
+written down with the pieces, so that a lost task draws no other groups. Only pieces' places and lengths are shuffled, never ids.
 
 Defined results: a null text is empty, its one id the end of the document; a null doc_id is the smallest id; repeated
 rows are packed one by one; ties in length go by id, then start; an empty table gives an empty result.
@@ -11,6 +12,7 @@ rows are packed one by one; ties in length go by id, then start; an empty table
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import id_of, text_of
+from chronofact.llm.common import id_of, materialise, text_of
 from chronofact.shipping import ship
 
 SEQUENCE = 4096
@@ -32,11 +34,21 @@ KNOWN_WORDS = 500_000
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
 
+#: The steps before the model for which words can be looked up on their own.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """A tokenizer that drops white space and joins nothing across it, so ids can be looked up by word.
+    """A tokenizer whose ids are looked up by word where its file says that it drops white space and joins nothing across it; else texts are encoded whole.
 
     Words of letters alone go to the BPE model at once, others through the whole tokenizer. Encoded ids are
     little-endian unsigned 32-bit bytes.
@@ -46,7 +58,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole, self.known, self.before = Tokenizer.from_file(path), {}, {}
-        self.model = self.whole.model
+        self.model, says = self.whole.model, json.loads(self.whole.to_str())
+        self.by_word = says["normalizer"] == _NORMALIZER and says["pre_tokenizer"] == _PRE_TOKENIZER and says["model"]["type"] == "BPE" and not any(t["content"].split() != [t["content"]] for t in says["added_tokens"])
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -80,6 +93,8 @@ class WordTokenizer:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.replace("\n", " ").split(" ")
         get, found = self.known.get, None
         found = [get(w) for w in words]
@@ -105,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield pd.DataFrame(out, columns=["start", "crc", "tokens"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), text_of(text_col).alias("__t"))
-    return rows.select("doc_id", "__id", F.xxhash64("__id", F.lit(29)).alias("__draw"), cut("__t").alias("__cut"))
+    return rows.select("doc_id", "__id", F.xxhash64("__id", F.xxhash64("__t"), F.monotonically_increasing_id(), F.lit(29)).alias("__draw"), cut("__t").alias("__cut"))
 
 
 class RoomTree:
@@ -144,8 +159,8 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
-    groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, tokenizer_path, id_col, text_col, length, end_id)
+    cut = materialise(pieces(docs, tokenizer_path, id_col, text_col, length, end_id))
+    groups = max(1, -(-cut.count() // group_docs))
     cut = cut.select("doc_id", "__id", F.pmod("__draw", F.lit(groups)).alias("__group"), F.col("__cut.tokens").alias("doc_tokens"), F.explode(F.arrays_zip(F.col("__cut.start").alias("start"), F.col("__cut.crc").alias("crc"))).alias("__p"))
     cut = cut.select("doc_id", "__id", "__group", "doc_tokens", F.col("__p.start").alias("start"), F.col("__p.crc").alias("ids_crc32"))
     cut = cut.withColumn("length", F.least(F.lit(length).cast("bigint"), F.col("doc_tokens") - F.col("start")))

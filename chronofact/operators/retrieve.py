@@ -1,11 +1,13 @@
-"""Hybrid retrieval for a batch of queries: BM25, hashed embeddings, rank fusion, diversity.
+"""Hybrid retrieval for a batch of queries: BM25, query expansion, hashed embeddings, rank fusion, diversity.
 
-Queries are the small side: their terms are broadcast while MANY_TERMS bounds them and joined by shuffle beyond. Facts
-are read once for their terms, and only terms that some query has are ever grouped.
+Queries are the small side, a stated set; their terms are held by every task, QUERY_BLOCK queries at a time. Facts are read once, into a table of how often each of those
+terms stands in each fact; a task scores its facts as matrix products and only the best of each query leave it.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,34 +19,93 @@ from pyspark.sql import functions as F
 from chronofact.functions import scoring as S
 from chronofact.functions import text as T
 from chronofact.shipping import ship
+from chronofact.storage import materialise
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-MANY_TERMS, MANY_QUERIES = 500_000, 10_000
+QUERY_BLOCK, ROW_BLOCK = 256, 512
 DIM = 1536
 CONCEPT_WEIGHT = 3
+EXPANSION_BOOST = 0.2
+POOL = 60
 MMR_POOL, MMR_LAMBDA = 24, 0.68
 
 
-def _if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
+def term_counts(docs: DataFrame, text_col: str, vocabulary: dict[str, int], *columns: str | Column) -> DataFrame:
+    """A table of the columns, dl (the text's number of words), terms and tfs: which words of the vocabulary it has, how often."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @F.pandas_udf("dl int, terms array<int>, tfs array<int>")
+    def counted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        places, word = shared.value, re.compile("[a-z0-9]+")
+        for texts in parts:
+            out = []
+            for text in texts:
+                words = word.findall((text or "").lower())
+                own = Counter(i for i in map(places.get, words) if i is not None)
+                out.append((len(words), list(own), list(own.values())))
+            yield pd.DataFrame(out, columns=["dl", "terms", "tfs"])
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> DataFrame:
-    """(query_id, id_col, lex): Okapi BM25 over all of docs, for pairs that share a term; lex is rounded so that equal texts tie."""
-    asked = queries.select(query_id, F.explode(F.array_distinct(T.words(F.array_join(T.query_terms(F.col(query_text)), " ")))).alias("term"))
-    terms = asked.select("term").distinct()
-    n_terms = asked.count()
-    words = docs.select(id_col, T.words(F.col(text_col)).alias("w")).select(id_col, "w", F.size("w").alias("dl"))
-    size = docs.select(F.size(T.words(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)), F.avg("dl")).first()
-    n, average = float(size[0]), float(size[1] or 1.0)
-    tf = words.select(id_col, "dl", F.explode("w").alias("term")).join(_if_small(terms, n_terms, MANY_TERMS), "term").groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    found = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weights = asked.join(found, "term").select(query_id, "term", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
-    pairs = tf.join(_if_small(weights, n_terms, MANY_TERMS), "term")
-    return pairs.groupBy(query_id, id_col).agg(F.round(F.sum(part), 6).alias("lex"))
+    return materialise(docs.select(*columns, counted(text_col).alias("__c")).select("*", "__c.*").drop("__c"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int | None = None, among: Column | None = None, least: float | None = None) -> DataFrame:
+    """(query_id, id_col, lex): Okapi BM25 for pairs that share a term, rounded so that equal texts tie; lex counts all of docs.
+
+    With `among`, only pairs with rows whose value there isn't null, which is returned as column `among`. With `k`, at least the k best pairs, and their ties, of each query and
+    such value; others need not be there. With `least`, those above it.
+    """
+    asked = queries.select(F.col(query_id).alias("q"), T.words(F.array_join(T.query_terms(F.col(query_text)), " ")).alias("terms")).collect()
+    vocabulary = {t: i for i, t in enumerate(sorted({t for r in asked for t in r["terms"]}))}
+    table = term_counts(docs, text_col, vocabulary, id_col, (F.lit("") if among is None else among.cast("string")).alias("among"))
+    n, total = table.agg(F.count(F.lit(1)), F.sum("dl")).first()
+    average, df = float(total or 0) / max(n, 1) or 1.0, np.zeros(len(vocabulary))
+    for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
+        df[r["t"]] = r["n"]
+    idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+    blocks = []
+    for at in range(0, len(asked), QUERY_BLOCK):
+        own = asked[at : at + QUERY_BLOCK]
+        terms = sorted({vocabulary[t] for r in own for t in r["terms"]})
+        place, weights = np.full(len(vocabulary), -1), np.zeros((len(terms), len(own)))
+        place[terms] = np.arange(len(terms))
+        for j, r in enumerate(own):
+            for i in {vocabulary[t] for t in r["terms"]}:
+                weights[place[i], j] = idf[i]
+        blocks.append((np.array([r["q"] for r in own]), place, weights))
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+
+    def best(ids: np.ndarray, group: str, scores: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+        lex, found = np.round(scores, 6), scores > 0
+        if least is not None:
+            found &= lex > least
+        if k is not None and len(ids) > k:
+            found &= lex >= np.partition(lex, len(ids) - k, axis=0)[len(ids) - k]
+        i, j = np.nonzero(found)
+        return pd.DataFrame({query_id: names[j], id_col: ids[i], "lex": lex[i, j], "among": group})
+
+    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for group, rows in part.groupby("among"):
+                size = rows["terms"].map(len).to_numpy()
+                terms, tfs = (np.concatenate([np.zeros(0, int), *rows[c]]).astype(int) for c in ("terms", "tfs"))
+                gain = tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * np.repeat(rows["dl"].to_numpy(), size) / average))
+                starts, ids = np.concatenate([[0], np.cumsum(size)]), rows[id_col].to_numpy()
+                for names, place, weights in shared.value:
+                    scores = np.zeros((len(ids), len(names)))
+                    for a in range(0, len(ids), ROW_BLOCK):
+                        lo, hi = starts[a], starts[min(a + ROW_BLOCK, len(ids))]
+                        own = place[terms[lo:hi]]
+                        row = np.repeat(np.arange(a, min(a + ROW_BLOCK, len(ids))), size[a : a + ROW_BLOCK])[own >= 0]
+                        x = np.zeros((min(ROW_BLOCK, len(ids) - a), len(weights)))
+                        x[row - a, own[own >= 0]] = gain[lo:hi][own >= 0]
+                        scores[a : a + ROW_BLOCK] = x @ weights
+                    yield best(ids, group, scores, names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *docs.schema]}
+    pairs = table.filter("among IS NOT NULL").mapInPandas(scored, f"{query_id} {kinds[query_id]}, {id_col} {kinds[id_col]}, lex double, among string")
+    return pairs if among is not None else pairs.drop("among")
 
 
 def top_k(scored: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -60,27 +121,99 @@ def top_lexical(scored: DataFrame, facts: DataFrame, query_id: str, id_col: str,
     return top_k(few.join(facts, id_col), query_id, [F.desc("lex"), F.col("key"), F.col(id_col)], k, rank)
 
 
+def embed(text: str, known: dict[str, tuple[int, int]]) -> tuple[list[int], list[float]]:
+    """Dimensions and values of the hashed embedding, of unit length. Tokens count once each time, concepts CONCEPT_WEIGHT. `known` remembers features."""
+    low = text.lower()
+    own = Counter(t for t in re.split(T.TERM_BREAK, low) if len(t) >= 2)
+    for name, terms in T.CONCEPTS:
+        if any(t in low if " " in t else t in own for t in terms):
+            own[f"concept:{name}"] += CONCEPT_WEIGHT
+    out: dict[int, int] = {}
+    for feature, n in own.items():
+        if feature not in known:
+            h = 2166136261
+            for c in feature:
+                h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+            known[feature] = h % DIM, -1 if h >= 1 << 31 else 1
+        dim, sign = known[feature]
+        out[dim] = out.get(dim, 0) + sign * n
+    out = {d: v for d, v in out.items() if v}
+    norm = sum(v * v for v in out.values()) ** 0.5
+    return list(out), [v / norm for v in out.values()]
+
+
+def embedded(df: DataFrame, text_col: str) -> DataFrame:
+    """df with dims and values of the text's embedding."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("dims array<int>, values array<double>")
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[int, int]] = {}
+        for texts in parts:
+            if len(known) > 1_000_000:
+                known.clear()
+            yield pd.DataFrame([embed(t or "", known) for t in texts], columns=["dims", "values"])
+
+    return df.withColumn("__v", vectors(text_col)).select(*df.columns, "__v.dims", "__v.values")
+
+
 def sparse_embedding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, dim, value): the hashed embedding's non-zero entries, of unit length. Tokens count once each time, concepts CONCEPT_WEIGHT."""
-    own = df.select(id_col, text_col, T.tokens(F.col(text_col)).alias("__tk"))
-    features = own.select(id_col, F.explode(F.concat("__tk", T.concepts(F.col(text_col), F.col("__tk")))).alias("f"))
-    # Hashing each different feature of a text once.
-    counted = features.groupBy(id_col, "f").agg(F.count(F.lit(1)).alias("n"))
-    hashed = counted.withColumn("h", T.fnv1a(F.col("f")))
-    weight = F.when(F.col("f").startswith("concept:"), CONCEPT_WEIGHT).otherwise(1) * F.col("n")
-    sign = F.when(F.col("h") >= 2147483648, -1).otherwise(1)
-    entries = hashed.groupBy(id_col, (F.col("h") % DIM).cast("int").alias("dim")).agg(F.sum(sign * weight).cast("double").alias("v")).filter("v <> 0")
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(id_col)))
-    return entries.select(id_col, "dim", (F.col("v") / norm).alias("value"))
+    """(id_col, dim, value): the hashed embedding's non-zero entries."""
+    return embedded(df.select(id_col, text_col), text_col).select(id_col, F.explode(F.arrays_zip("dims", "values")).alias("e")).select(id_col, F.col("e.dims").alias("dim"), F.col("e.values").alias("value"))
 
 
 def pool_distances(pool: DataFrame, docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> DataFrame:
     """(query_id, id_col, dist): cosine distance for pooled pairs alone; a pair that shares no dimension is at 1."""
     pairs = pool.select(query_id, id_col)
-    d = sparse_embedding(docs.join(pairs.select(id_col).distinct(), id_col, "left_semi"), id_col, text_col)
-    q = sparse_embedding(queries, query_id, query_text).withColumnRenamed("value", "q_value")
-    dots = pairs.join(d, id_col).join(q, [query_id, "dim"]).groupBy(query_id, id_col).agg(F.sum(F.col("value") * F.col("q_value")).alias("dot"))
-    return pairs.join(dots, [query_id, id_col], "left").select(query_id, id_col, F.round(1 - F.coalesce("dot", F.lit(0.0)), 6).alias("dist"))
+    d = embedded(docs.join(pairs.select(id_col).distinct(), id_col, "left_semi").select(id_col, text_col), text_col).drop(text_col)
+    q = embedded(queries.select(query_id, query_text), query_text).select(query_id, F.col("dims").alias("q_dims"), F.col("values").alias("q_values"))
+
+    @F.pandas_udf("double")
+    def distance(dims: pd.Series, values: pd.Series, q_dims: pd.Series, q_values: pd.Series) -> pd.Series:
+        out = []
+        for a, x, b, y in zip(dims, values, q_dims, q_values, strict=True):
+            _, i, j = np.intersect1d(a, b, return_indices=True)
+            out.append(round(1.0 - float(np.asarray(x)[i] @ np.asarray(y)[j]), 6))
+        return pd.Series(out)
+
+    return pairs.join(d, id_col).join(q, query_id).select(query_id, id_col, distance("dims", "values", "q_dims", "q_values").alias("dist"))
+
+
+def with_expansions(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
+    """(query_id, asked, text): each query as it is, asked 0, and the texts that its triggers add."""
+    texts = F.concat(F.array(F.col(query_text)), T.expansions(F.col(query_text)))
+    return queries.select(query_id, F.posexplode(texts).alias("asked", "text"))
+
+
+def candidates(facts: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = POOL) -> DataFrame:
+    """(query_id, fact_id, key, lex, answer): the k best eligible facts of each query and each of its expansions; the strongest hit counts, one of an expansion by EXPANSION_BOOST more.
+
+    facts: fact_id, key (tie-break), index_text, eligible.
+    """
+    texts = with_expansions(queries, query_id, query_text).withColumn("__part", F.struct(query_id, "asked"))
+    numbered = materialise(texts.withColumn("__q", F.row_number().over(W.orderBy(query_id, "asked"))).drop("__part"))  # one row a text of a stated set of queries
+    hits = bm25(facts, numbered, "fact_id", "index_text", "__q", "text", k, F.when(F.col("eligible"), F.lit("")))
+    best = top_lexical(hits.drop("among"), facts.filter("eligible").select("fact_id", "key"), "__q", "fact_id", k)
+    best = best.join(F.broadcast(numbered.select("__q", query_id, "asked")), "__q").withColumn("answer", (F.col("asked") > 0).cast("int"))
+    return best.groupBy(query_id, "fact_id").agg(F.first("key").alias("key"), F.max(F.col("lex") + F.col("answer") * EXPANSION_BOOST).alias("lex"), F.max("answer").alias("answer"))
+
+
+def retrieve(facts: DataFrame, queries: DataFrame, query_id: str, query_text: str, session: Column, now_ms: Column, k: int = POOL) -> DataFrame:
+    """(query_id, fact_id, key, lex, dist, rank_l, rank_s, rrf, entity, answer, score, rank): candidates, ranked by words and by meaning, fused, weighed; facts that
+    aren't `valid` go after the ranks are given.
+
+    facts: fact_id, key, index_text, semantic_text, eligible, valid, confidence, t_recorded, workspace_id, session_id, promotion_state. queries: query_id, query_text, entities.
+    """
+    pool = materialise(candidates(facts, queries, query_id, query_text, k))
+    near = pool_distances(pool, facts, queries, "fact_id", "semantic_text", query_id, query_text)
+    both = fused(pool.select(query_id, "fact_id", "key", "lex"), near.join(pool.select(query_id, "fact_id", "key"), [query_id, "fact_id"]), query_id, "fact_id", "key").drop("key", "lex")
+    met = both.join(pool, [query_id, "fact_id"]).join(F.broadcast(queries.select(query_id, "entities")), query_id)
+    met = met.join(facts.join(pool.select("fact_id").distinct(), "fact_id", "left_semi").drop("key", "eligible"), "fact_id").filter("valid")
+    met = met.withColumn("entity", entity_overlap(F.col("entities"), F.col("semantic_text")))
+    scope = S.scope_weight(F.col("session_id"), F.col("workspace_id"), F.col("promotion_state"), session)
+    met = met.withColumn("score", F.round(final_score(F.col("rrf"), scope, F.col("entity"), F.col("answer"), F.col("confidence"), F.col("t_recorded"), now_ms), 8))
+    met = met.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), "key", "fact_id")))
+    return met.select(query_id, "fact_id", "key", "lex", "dist", "rank_l", "rank_s", "rrf", "entity", "answer", "score", "rank")
 
 
 def fused(lexical: DataFrame, semantic: DataFrame, query_id: str, id_col: str, key: str) -> DataFrame:
@@ -132,37 +265,46 @@ def entity_overlap(entities: Column, haystack: Column) -> Column:
     return F.when(F.size(entities) > 0, F.size(F.filter(entities, lambda e: F.contains(low, F.lower(e)))) / F.size(entities)).otherwise(0.0)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", max_distance: float | None = None) -> DataFrame:
-    """(query_id, id_col, dist, rank): exact k nearest by cosine, the query itself left out.
+def _near(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, keep: int | None, max_distance: float | None) -> DataFrame:
+    """(query_id, id_col, dist) of the `keep` nearest of each batch, or (query_id, dist, n): the least distance and the number of vectors within the bound of each batch.
 
-    Up to MANY_QUERIES queries are a matrix that every task holds: a batch of vectors is one product, of which k a query
-    leave the task. More queries are joined instead.
+    Queries, a stated set, are matrices of QUERY_BLOCK that every task holds: a batch of vectors is one product with each.
     """
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q"))
-    held = asked.limit(MANY_QUERIES + 1).collect()
-    if len(held) > MANY_QUERIES:
-        pairs = vectors.join(asked, F.col(id_col) != F.col("query_id")).select("query_id", id_col, F.round(S.cosine_distance(F.col("q"), F.col(vec_col)), 6).alias("dist"))
-        if max_distance is not None:
-            pairs = pairs.filter(F.col("dist") <= max_distance)
-        return top_k(pairs, "query_id", [F.col("dist"), F.col(id_col)], k)
     ship(vectors.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema}[id_col]
-    asked_ids = np.array([r["query_id"] for r in held])
-    matrix = np.array([r["q"] for r in held], dtype=np.float64).reshape(len(held), -1)
-    matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)).T if len(held) else matrix.T
+    held = queries.select(id_col, vec_col).collect()
+    blocks = []
+    for at in range(0, len(held), QUERY_BLOCK):
+        own = np.array([r[vec_col] for r in held[at : at + QUERY_BLOCK]], dtype=np.float64)
+        blocks.append((np.array([r[id_col] for r in held[at : at + QUERY_BLOCK]]), (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)).T))
+    shared, most = vectors.sparkSession.sparkContext.broadcast(blocks), np.inf if max_distance is None else max_distance
 
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            if not len(part) or not len(asked_ids):
+            if not len(part):
                 continue
-            own = np.stack(part[vec_col].to_list()).astype(np.float64)
+            own, ids = np.stack(part[vec_col].to_list()).astype(np.float64), part[id_col].to_numpy()
             norms = np.linalg.norm(own, axis=1, keepdims=True)
-            dist = np.where(norms > 0, np.round(1 - (own / np.maximum(norms, 1e-300)) @ matrix, 6), 1.0)
-            ids = part[id_col].to_numpy()
-            for j, asked_id in enumerate(asked_ids):
-                there = np.flatnonzero((ids != asked_id) & (dist[:, j] <= (np.inf if max_distance is None else max_distance)))
-                best = there[np.lexsort((ids[there], dist[there, j]))[:k]]
-                yield pd.DataFrame({"query_id": asked_id, id_col: ids[best], "dist": dist[best, j]})
-
-    pairs = vectors.select(id_col, vec_col).mapInPandas(nearest, f"query_id {kind}, {id_col} {kind}, dist double")
-    return top_k(pairs, "query_id", [F.col("dist"), F.col(id_col)], k)
+            for names, matrix in shared.value:
+                dist = np.where(norms > 0, np.round(1 - (own / np.maximum(norms, 1e-300)) @ matrix, 6), 1.0)
+                there = (ids[:, None] != names[None, :]) & (dist <= most)
+                for j, name in enumerate(names):
+                    i = np.flatnonzero(there[:, j])
+                    if keep is None:
+                        yield pd.DataFrame({"query_id": [name], "dist": [dist[i, j].min() if len(i) else np.nan], "n": [len(i)]})
+                    else:
+                        best = i[np.lexsort((ids[i], dist[i, j]))[:keep]]
+                        yield pd.DataFrame({"query_id": name, id_col: ids[best], "dist": dist[best, j]})
+
+    return vectors.select(id_col, vec_col).mapInPandas(nearest, f"query_id {kind}, dist double, n bigint" if keep is None else f"query_id {kind}, {id_col} {kind}, dist double")
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", max_distance: float | None = None) -> DataFrame:
+    """(query_id, id_col, dist, rank): exact k nearest by cosine, the query itself left out. k of each query leave a batch."""
+    return top_k(_near(vectors, queries, id_col, vec_col, k, max_distance), "query_id", [F.col("dist"), F.col(id_col)], k)
+
+
+def within(vectors: DataFrame, queries: DataFrame, max_distance: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, n, nearest): how many vectors are within the distance of each query, and the least distance; counted where the vectors lie."""
+    found = _near(vectors, queries, id_col, vec_col, None, max_distance)
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"), F.min(F.nanvl("dist", F.lit(None).cast("double"))).alias("nearest")).filter("n > 0")

@@ -11,6 +11,7 @@ from chronofact.operators import extract as E
 from chronofact.operators import facts as O
 from chronofact.operators import graph as G
 from chronofact.plans.registry import Views, query
+from chronofact.plans.retrieval import gold
 from chronofact.sources import store
 from chronofact.streaming import streams
 
@@ -110,14 +111,14 @@ def _(v: Views) -> DataFrame:
     return store.upgrade(v.facts.select("fact_id", "t_recorded"), 1).select("fact_id", "promotion_state", "trust_tier", "t_observed")
 
 
-@query("src_14_jsonl_round_trip", "", "SELECT event_id, user_id, event_type FROM events WHERE event_id % 5 = 0")
+@query("src_14_jsonl_round_trip", "", "SELECT event_id, user_id, event_type FROM events")
 def _(v: Views) -> DataFrame:
     from uuid import uuid4
 
     from chronofact.storage import shared_folder
 
     folder = f"{shared_folder(v.spark)}/episodes-{uuid4().hex}"
-    store.append_jsonl(v.table("events").filter("event_id % 5 = 0").select("event_id", "user_id", "event_type"), folder)
+    store.append_jsonl(v.table("events").select("event_id", "user_id", "event_type"), folder)
     return store.read_jsonl(v.spark, folder, "event_id bigint, user_id bigint, event_type string")
 
 
@@ -165,7 +166,7 @@ def _(v: Views) -> DataFrame:
 
 @query("evl_05_arms", "facts queries", "WITH m AS (SELECT q.item_id, count(f.fact_id) AS hits, count(f.fact_id) FILTER (f.trust_tier = 'high') AS high FROM queries q LEFT JOIN facts f ON contains(f.object_str, q.text) GROUP BY q.item_id) SELECT arm, count(*) AS needs, count(*) FILTER (solved) AS solved FROM (SELECT 'A' AS arm, false AS solved FROM m UNION ALL SELECT 'B', high > 0 FROM m UNION ALL SELECT 'C', hits > 0 FROM m) GROUP BY arm")
 def _(v: Views) -> DataFrame:
-    hits = v.facts.select("object_str", "trust_tier").join(F.broadcast(v.queries), F.contains("object_str", "text")).groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("trust_tier") == "high").alias("high"))
+    hits = gold(v.facts.select("object_str", "trust_tier"), v.queries).groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("trust_tier") == "high").alias("high"))
     m = v.queries.select("item_id").join(hits, "item_id", "left")
     arms = F.array(*[F.struct(F.lit(a).alias("arm"), c.alias("solved")) for a, c in (("A", F.lit(False)), ("B", F.coalesce(F.col("high") > 0, F.lit(False))), ("C", F.coalesce(F.col("hits") > 0, F.lit(False))))])
     return m.select(F.explode(arms).alias("a")).select("a.*").groupBy("arm").agg(F.count(F.lit(1)).alias("needs"), F.count_if(F.col("solved")).alias("solved"))

@@ -13,14 +13,14 @@ from chronofact.operators import facts as O
 from chronofact.operators import inject as I
 from chronofact.operators import retrieve as R
 from chronofact.plans.registry import Views, query
-from chronofact.plans.retrieval import BM25, FNV, KNN, SCORE, SEM, lexical, scored
+from chronofact.plans.retrieval import BM25, FNV, KNN, SCORE, SEM, WIDE, indexed, lexical, notes, scored
 from chronofact.plans.rules import PREC, _sql, gated
 
 
 
 @query("jon_01_index_facts", "facts queries", f"{BM25} SELECT item_id, lex.fact_id, f.subject, f.status FROM lex JOIN facts f ON f.fact_id = lex.fact_id WHERE lex.lex > 3")
 def _(v: Views) -> DataFrame:
-    return R.bm25(v.facts, v.queries, "fact_id", "object_str", "item_id", "text").filter("lex > 3").join(v.facts.select("fact_id", "subject", "status"), "fact_id").select("item_id", "fact_id", "subject", "status")
+    return R.bm25(indexed(v.facts), v.queries, "fact_id", "index_text", "item_id", "text", least=3.0).join(v.facts.select("fact_id", "subject", "status"), "fact_id").select("item_id", "fact_id", "subject", "status")
 
 
 @query("jon_03_left_anchors", "facts anchors", "SELECT f.fact_id, a.fact_id IS NOT NULL AS anchored FROM facts f LEFT JOIN anchors a ON f.fact_id = a.fact_id")
@@ -45,9 +45,7 @@ def _(v: Views) -> DataFrame:
 @query("jon_15_query_candidates", "", f"{KNN} SELECT query_id, count(*) AS n, round(min(dist), 6) AS nearest FROM d GROUP BY query_id")
 def _(v: Views) -> DataFrame:
     e = v.table("embeddings")
-    asked = F.broadcast(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    d = e.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", F.round(S.cosine_distance(F.col("q"), F.col("embedding")), 6).alias("dist"))
-    return d.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("nearest"))
+    return R.within(e, e.filter("vec_id % 20 = 0"))
 
 
 @query("win_01_lexical_rank", "facts queries", f"{BM25} SELECT item_id, fact_id, rank FROM pool WHERE rank <= 60")
@@ -77,17 +75,18 @@ def _(v: Views) -> DataFrame:
 @query("srt_01_user_top15", "facts queries", f"{BM25}, us AS (SELECT lk.item_id, lk.fact_id, row_number() OVER (PARTITION BY lk.item_id ORDER BY lex DESC, k, lk.fact_id) AS rank FROM lk JOIN facts f ON f.fact_id = lk.fact_id WHERE lk.status = 'active' AND f.user_id = 'u1') SELECT item_id, fact_id, rank FROM us WHERE rank <= 15")
 def _(v: Views) -> DataFrame:
     f = v.facts
-    hits = R.bm25(f, v.queries, "fact_id", "object_str", "item_id", "text")
-    own = f.filter((F.col("status") == "active") & O.scope_clause(user="u1")).select("fact_id", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")).alias("key"))
+    f = indexed(f).withColumn("own", (F.col("status") == "active") & O.scope_clause(user="u1"))
+    hits = R.bm25(f, v.queries, "fact_id", "index_text", "item_id", "text", 15, F.when(F.col("own"), F.lit(""))).drop("among")
+    own = f.filter("own").select("fact_id", "key")
     return R.top_lexical(hits, own, "item_id", "fact_id", 15).select("item_id", "fact_id", "rank")
 
 
-@query("srt_03_final_order", "facts queries", f"{BM25}{SEM}{SCORE} SELECT item_id, fact_id, place FROM fu WHERE place <= 5")
+@query("srt_03_final_order", "facts asks", f"{WIDE}{SEM}{SCORE} SELECT item_id, fact_id, place FROM fu WHERE place <= 5")
 def _(v: Views) -> DataFrame:
     return scored(v).filter("rank <= 5").select("item_id", "fact_id", F.col("rank").alias("place"))
 
 
-@query("srt_08_recall_top15", "facts queries", f"{BM25}{SEM}{SCORE} SELECT item_id, count(*) AS n, min(score) AS last_score FROM fu WHERE place <= 15 GROUP BY item_id")
+@query("srt_08_recall_top15", "facts asks", f"{WIDE}{SEM}{SCORE} SELECT item_id, count(*) AS n, min(score) AS last_score FROM fu WHERE place <= 15 GROUP BY item_id")
 def _(v: Views) -> DataFrame:
     return scored(v).filter("rank <= 15").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("last_score"))
 
@@ -106,13 +105,10 @@ def _(v: Views) -> DataFrame:
     return R.knn(e, e.filter("vec_id % 20 = 0"), 10, max_distance=1.1).filter(F.col("rank") <= 10 - F.col("query_id") % 7).select("query_id", "vec_id")
 
 
-@query("set_01_union_passes", "facts queries", f"{BM25}, u1 AS (SELECT item_id, fact_id, lex, 0 AS answer FROM lex WHERE lex > 2 UNION ALL SELECT item_id, fact_id, lex + 0.2, 1 FROM lex WHERE lex > 4) SELECT item_id, fact_id, round(max(lex), 6) AS lex, max(answer) AS answer FROM u1 GROUP BY item_id, fact_id")
+@query("set_01_union_passes", "facts asks", f"{WIDE}, un AS (SELECT item_id // 16 AS item_id, fact_id, lex, 0 AS answer FROM pool WHERE rank <= 60 AND item_id % 16 = 0 UNION ALL SELECT item_id // 16, fact_id, lex + 0.2, 1 FROM pool WHERE rank <= 60 AND item_id % 16 > 0) SELECT item_id, answer, count(*) AS n, round(max(lex), 6) AS best FROM (SELECT item_id, fact_id, max(lex) AS lex, max(answer) AS answer FROM un GROUP BY ALL) GROUP BY ALL")
 def _(v: Views) -> DataFrame:
-    # The query's pass and an expansion's, which adds 0.2 and marks an answer; the strongest hit of either counts.
-    hits = R.bm25(v.facts, v.queries, "fact_id", "object_str", "item_id", "text")
-    passes = F.array(F.struct(F.col("lex").alias("lex"), F.lit(0).alias("answer")), F.struct((F.col("lex") + 0.2).alias("lex"), F.lit(1).alias("answer")))
-    rows = hits.filter("lex > 2").select("item_id", "fact_id", F.col("lex").alias("raw"), F.explode(passes).alias("p")).filter("p.answer = 0 OR raw > 4")
-    return rows.groupBy("item_id", "fact_id").agg(F.round(F.max("p.lex"), 6).alias("lex"), F.max("p.answer").alias("answer"))
+    # The query's pass and its expansions', which add 0.2 and mark an answer; the strongest hit of any counts.
+    return R.candidates(notes(v), v.asks, "item_id", "text").groupBy("item_id", "answer").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("lex"), 6).alias("best"))
 
 
 @query("set_05_unique_terms", "prompts", "WITH t AS (SELECT prompt_id, unnest(string_split(text, ' ')) AS w FROM prompts) SELECT prompt_id, least(count(DISTINCT w), 24) AS n FROM t GROUP BY prompt_id")
@@ -183,10 +179,10 @@ def _(v: Views) -> DataFrame:
 
 @query("ret_03_multi_pass", "facts queries", f"{BM25}, v1 AS (SELECT lk.item_id, lk.fact_id, lex, k, CASE WHEN f.session_id = 's4' THEN 'session' WHEN f.workspace_id = 'w1' THEN 'workspace' WHEN f.workspace_id IS NULL AND f.session_id IS NULL THEN 'user' END AS pass FROM lk JOIN facts f ON f.fact_id = lk.fact_id WHERE lk.status = 'active'), r1 AS (SELECT *, row_number() OVER (PARTITION BY item_id, pass ORDER BY lex DESC, k, fact_id) AS r FROM v1 WHERE pass IS NOT NULL) SELECT item_id, fact_id, pass FROM r1 WHERE r <= CASE pass WHEN 'user' THEN 15 ELSE 60 END")
 def _(v: Views) -> DataFrame:
-    hits = R.bm25(v.facts, v.queries, "fact_id", "object_str", "item_id", "text")
     which = F.when(F.col("session_id") == "s4", "session").when(F.col("workspace_id") == "w1", "workspace").when(F.col("workspace_id").isNull() & F.col("session_id").isNull(), "user")
-    meta = v.facts.filter("status = 'active'").select("fact_id", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")).alias("key"), which.alias("pass")).filter("pass IS NOT NULL")
-    top = O.top_per(hits.join(meta, "fact_id"), ["item_id", "pass"], [F.desc("lex"), F.col("key"), F.col("fact_id")], 60)
+    f = indexed(v.facts).withColumn("pass", F.when(F.col("status") == "active", which))
+    hits = R.bm25(f, v.queries, "fact_id", "index_text", "item_id", "text", 60, F.col("pass")).withColumnRenamed("among", "pass")
+    top = O.top_per(hits.join(f.select("fact_id", "key"), "fact_id"), ["item_id", "pass"], [F.desc("lex"), F.col("key"), F.col("fact_id")], 60)
     return top.filter("rank <= 15 OR pass <> 'user'").select("item_id", "fact_id", "pass")
 
 
@@ -203,8 +199,9 @@ def _(v: Views) -> DataFrame:
 @query("ret_13_validity_after_rank", "facts queries", f"{BM25} SELECT item_id, fact_id, rank FROM (SELECT item_id, fact_id, status, row_number() OVER (PARTITION BY item_id ORDER BY lex DESC, k, fact_id) AS rank FROM lk) WHERE rank <= 20 AND status = 'active'")
 def _(v: Views) -> DataFrame:
     # Ranks come from all candidates; what isn't valid then goes, and leaves gaps.
-    hits = R.bm25(v.facts, v.queries, "fact_id", "object_str", "item_id", "text")
-    meta = v.facts.select("fact_id", "status", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")).alias("key"))
+    f = indexed(v.facts)
+    hits = R.bm25(f, v.queries, "fact_id", "index_text", "item_id", "text", 20)
+    meta = f.select("fact_id", "status", "key")
     return R.top_lexical(hits, meta, "item_id", "fact_id", 20).filter("status = 'active'").select("item_id", "fact_id", "rank")
 
 

@@ -11,6 +11,7 @@ from chronofact.functions import text as T
 from chronofact.operators import facts as O
 from chronofact.operators import retrieve as R
 from chronofact.plans.registry import Views, query
+from chronofact.plans.views import SENTENCES
 from chronofact.storage import materialise
 
 NOW = 1704067200000 + 90 * 86_400_000
@@ -130,11 +131,13 @@ def _(v: Views) -> DataFrame:
     return v.facts.select("fact_id", F.round(S.confidence_factor(F.col("confidence")), 6).alias("factor"))
 
 
-@query("mth_02_cosine", "", "SELECT a.vec_id AS query_id, b.vec_id, round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id < 5 AND b.vec_id <> a.vec_id")
+@query("mth_02_cosine", "", "SELECT a.vec_id AS query_id, b.vec_id, round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS dist FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id // 20) * 20 AND b.vec_id <> a.vec_id")
 def _(v: Views) -> DataFrame:
+    # Every vector against the one of the query set that its id belongs to.
     e = v.table("embeddings")
-    asked = F.broadcast(e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    return e.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(S.cosine_distance(F.col("q"), F.col("embedding")), 6).alias("dist"))
+    asked = e.filter("vec_id % 20 = 0").select((F.col("vec_id") / 20).cast("bigint").alias("g"), F.col("vec_id").alias("b_id"), F.col("embedding").alias("q"))
+    both = e.withColumn("g", F.floor(F.col("vec_id") / 20)).join(asked, "g").filter("vec_id <> b_id")
+    return both.select(F.col("vec_id").alias("query_id"), F.col("b_id").alias("vec_id"), F.round(S.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("dist"))
 
 
 KNN = "WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM d)"
@@ -149,7 +152,7 @@ def _(v: Views) -> DataFrame:
 @query("fil_15_distance_gate", "", f"{KNN} SELECT query_id, count(*) AS n FROM r WHERE dist <= 1.1 GROUP BY query_id")
 def _(v: Views) -> DataFrame:
     e = v.table("embeddings")
-    return R.knn(e, e.filter("vec_id % 20 = 0"), 1_000_000_000, max_distance=1.1).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return R.within(e, e.filter("vec_id % 20 = 0"), 1.1).select("query_id", "n")
 
 
 @query("agg_14_diversity", "", f"{KNN} SELECT query_id, count(DISTINCT label) AS families FROM r JOIN embeddings e ON e.vec_id = r.vec_id WHERE rank <= 5 GROUP BY query_id")
@@ -171,7 +174,7 @@ def _(v: Views) -> DataFrame:
     return v.facts.select("fact_id", F.round(R.entity_overlap(entities, F.col("object_str")), 6).alias("overlap"))
 
 
-PLANTED = ("how do we install packages here", "which test suite to run tests with", "deploy the release", "database migration first", "login is auth", "format with biome please")
+PLANTED = SENTENCES
 _PLANT = "([" + ", ".join(f"'{p}'" for p in PLANTED) + "])[(seq % 6 + 1)::int]"
 
 
@@ -190,8 +193,8 @@ def _(v: Views) -> DataFrame:
     return planted(v).select("fact_id", F.size(T.expansions(F.col("said"))).alias("n"))
 
 
-def _concept(terms: str) -> str:
-    return "cast((" + " OR ".join(f"contains(low, '{t}')" if " " in t else f"list_contains(t, '{t}')" for t in terms.split("|")) + ") AS int)"
+def _concept(terms: tuple[str, ...]) -> str:
+    return "cast((" + " OR ".join(f"contains(low, '{t}')" if " " in t else f"list_contains(t, '{t}')" for t in terms) + ") AS int)"
 
 
 @query("arr_02_concepts", "facts", f"WITH p AS (SELECT fact_id, lower(concat({_PLANT}, ' ', object_str)) AS low FROM facts), t AS (SELECT *, {TOKENS.format('low')} AS t FROM p) SELECT fact_id, " + " + ".join(_concept(t) for _, t in T.CONCEPTS) + " AS n FROM t")
@@ -219,19 +222,34 @@ def _(v: Views) -> DataFrame:
     return v.injections.select("injection_id", true("tests_passed"), true("user_corrected"))
 
 
-# --- Retrieval. The oracle's BM25 is written out as one query over all facts.
-BM25 = QUERY_TERMS + """, qw AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(list_filter(string_split_regex(term, '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM u WHERE place <= 24)),
-dw AS (SELECT fact_id, list_filter(string_split_regex(lower(object_str), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM facts), st AS (SELECT count(*)::double AS n, avg(len(w)) AS a FROM dw),
+# --- Retrieval. The oracle's BM25 is written out as one query over all facts and, by `qid`, all queries and their expansions.
+INDEX_TEXT = "concat(subject, ' ', predicate, ' ', object_str, ' ', coalesce(raw_quote, ''))"
+SAID = f"CASE WHEN seq % 24 < 6 THEN concat({_PLANT}, ' ', object_str) ELSE object_str END"
+
+
+def _bm25(parts: str, facts: str) -> str:
+    """CTEs qw, lex, lk (with key and status) and pool for the queries `parts` (item_id, text) over the relation `facts`."""
+    return QUERY_TERMS.replace("FROM queries", f"FROM {parts}") + f""", qw AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(list_filter(string_split_regex(term, '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM u WHERE place <= 24)),
+dw AS (SELECT fact_id, list_filter(string_split_regex(lower({INDEX_TEXT}), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {facts}), st AS (SELECT count(*)::double AS n, avg(len(w)) AS a FROM dw),
 tf AS (SELECT fact_id, dl, term, count(*) AS tf FROM (SELECT fact_id, len(w) AS dl, unnest(w) AS term FROM dw) WHERE term IN (SELECT term FROM qw) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 lex AS (SELECT qw.item_id, tf.fact_id, round(sum(greatest(ln((st.n - df.df + 0.5) / (df.df + 0.5)), 1e-6) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / st.a))), 6) AS lex FROM qw JOIN tf ON qw.term = tf.term JOIN df ON df.term = tf.term CROSS JOIN st GROUP BY ALL),
-lk AS (SELECT lex.*, concat(f.subject, '::', f.predicate, '::', f.object_str) AS k, f.status FROM lex JOIN facts f ON f.fact_id = lex.fact_id), pool AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lex DESC, k, fact_id) AS rank FROM lk WHERE status = 'active')"""
+lk AS (SELECT lex.*, concat(f.subject, '::', f.predicate, '::', f.object_str) AS k, f.status FROM lex JOIN {facts} f ON f.fact_id = lex.fact_id), pool AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lex DESC, k, fact_id) AS rank FROM lk WHERE status = 'active')"""
+
+
+BM25 = _bm25("queries", "facts")
+
+
+def indexed(facts: DataFrame) -> DataFrame:
+    """facts with index_text and key."""
+    columns = [F.col(c) for c in ("subject", "predicate", "object_str")]
+    return facts.withColumn("index_text", T.fts_text(*columns, F.col("raw_quote"))).withColumn("key", T.content_key(*columns))
 
 
 def lexical(v: Views, k: int = 60) -> DataFrame:
     """The top k active facts of each query by BM25 over all facts, with what ranking needs."""
-    f = v.facts
-    scored = R.bm25(f, v.queries, "fact_id", "object_str", "item_id", "text")
-    meta = f.filter("status = 'active'").select("fact_id", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")).alias("key"), "confidence", "t_recorded", "workspace_id", "session_id", "promotion_state")
+    f = indexed(v.facts)
+    scored = R.bm25(f, v.queries, "fact_id", "index_text", "item_id", "text", k, F.when(F.col("status") == "active", F.lit(""))).drop("among")
+    meta = f.filter("status = 'active'").select("fact_id", "key", "confidence", "t_recorded", "workspace_id", "session_id", "promotion_state")
     return R.top_lexical(scored, meta, "item_id", "fact_id", k)
 
 
@@ -240,19 +258,31 @@ def bm25_top(v: Views) -> DataFrame:
     return lexical(v, 10).select("item_id", "fact_id", "lex", "rank")
 
 
-SEM = f""", pk AS (SELECT * FROM pool WHERE rank <= 60), txt AS (SELECT 'd' || fact_id AS id, object_str AS t FROM facts WHERE fact_id IN (SELECT fact_id FROM pk) UNION ALL SELECT 'q' || item_id, text FROM queries),
+# Some facts say, and some queries ask, what expansions know.
+PARTS = "parts AS (SELECT item_id * 16 AS item_id, text FROM asks UNION ALL " + " UNION ALL ".join(f"SELECT item_id * 16 + {i} AS item_id, '{text}' AS text FROM asks WHERE {_any('text', triggers)}" for i, (text, triggers) in enumerate(T.EXPANSIONS, 1)) + ")"
+WIDE = f"WITH notes AS (SELECT * REPLACE ({SAID} AS object_str) FROM facts), {PARTS}, " + _bm25("parts", "notes").removeprefix("WITH ") + """, best AS (SELECT item_id // 16 AS item_id, fact_id, k, max(lex + CASE WHEN item_id % 16 > 0 THEN 0.2 ELSE 0 END) AS lex, max(CASE WHEN item_id % 16 > 0 THEN 1 ELSE 0 END) AS answer FROM pool WHERE rank <= 60 GROUP BY ALL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lex DESC, k, fact_id) AS rank FROM best)"""
+SEM = f""", txt AS (SELECT 'd' || fact_id AS id, object_str AS t FROM notes WHERE fact_id IN (SELECT fact_id FROM pk) UNION ALL SELECT 'q' || item_id, text FROM asks),
 tk AS (SELECT id, lower(t) AS low, {TOKENS.format("t")} AS tk FROM txt), ft AS (SELECT id, unnest(tk) AS f FROM tk UNION ALL """ + " UNION ALL ".join(f"SELECT id, 'concept:{n}' FROM (SELECT id, low, tk AS t FROM tk) WHERE {_concept(t)} = 1" for n, t in T.CONCEPTS) + f"""),
 hf AS (SELECT f, {FNV.format("f")} AS h FROM (SELECT DISTINCT f FROM ft)), en AS (SELECT id, h % 1536 AS dim, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END * CASE WHEN starts_with(ft.f, 'concept:') THEN 3 ELSE 1 END)::double AS v FROM ft JOIN hf ON ft.f = hf.f GROUP BY ALL HAVING v <> 0),
 em AS (SELECT id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM en), dt AS (SELECT pk.item_id, pk.fact_id, sum(d.v * q.v) AS dot FROM pk JOIN em d ON d.id = 'd' || pk.fact_id JOIN em q ON q.id = 'q' || pk.item_id AND q.dim = d.dim GROUP BY ALL),
 sd AS (SELECT pk.*, round(1 - coalesce(dt.dot, 0), 6) AS dist FROM pk LEFT JOIN dt ON dt.item_id = pk.item_id AND dt.fact_id = pk.fact_id), rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, k, fact_id) AS rank_s FROM sd)"""
 
 
-def hybrid(v: Views) -> DataFrame:
-    pool = materialise(lexical(v))
-    near = R.pool_distances(pool, v.facts, v.queries, "fact_id", "object_str", "item_id", "text")
-    meta = pool.select("item_id", "fact_id", "key", "lex", "confidence", "t_recorded", "workspace_id", "session_id", "promotion_state")
-    both = R.fused(pool.select("item_id", "fact_id", "key", "lex"), near.join(pool.select("item_id", "fact_id", "key"), ["item_id", "fact_id"]), "item_id", "fact_id", "key")
-    return both.drop("key", "lex").join(meta, ["item_id", "fact_id"])
+def notes(v: Views) -> DataFrame:
+    """The facts, some of which say a sentence about the domain, as retrieval takes them."""
+    said = F.when(F.col("seq") % 24 < 6, F.concat(F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("seq") % 6 + 1).cast("int")), F.lit(" "), "object_str")).otherwise(F.col("object_str"))
+    f = indexed(v.facts.withColumn("object_str", said)).withColumn("semantic_text", F.col("object_str"))
+    return f.withColumn("eligible", F.col("status") == "active").withColumn("valid", F.lit(True)).select("fact_id", "key", "index_text", "semantic_text", "eligible", "valid", "confidence", "t_recorded", "workspace_id", "session_id", "promotion_state")
+
+
+def asks(v: Views) -> DataFrame:
+    """The queries, some of which ask about the domain, with their entities: the first two terms of six characters or more."""
+    return v.asks.withColumn("entities", F.slice(F.filter(T.query_terms(F.col("text")), lambda t: F.length(t) >= 6), 1, 2))
+
+
+def scored(v: Views) -> DataFrame:
+    return R.retrieve(notes(v), asks(v), "item_id", "text", F.lit("s4"), F.lit(NOW))
 
 
 @query("ret_12_hash_embed", "queries", f"""WITH tk AS (SELECT item_id AS id, lower(text) AS low, {TOKENS.format("text")} AS tk FROM queries), ft AS (SELECT id, unnest(tk) AS f FROM tk UNION ALL """ + " UNION ALL ".join(f"SELECT id, 'concept:{n}' FROM (SELECT id, low, tk AS t FROM tk) WHERE {_concept(t)} = 1" for n, t in T.CONCEPTS) + f"""),
@@ -262,29 +292,45 @@ def _(v: Views) -> DataFrame:
     return R.sparse_embedding(v.queries, "item_id", "text").select("item_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
-@query("ret_06_semantic_pool", "facts queries", f"{BM25}{SEM} SELECT item_id, fact_id, dist FROM sd")
+@query("ret_04_expansions", "facts asks", f"{WIDE} SELECT item_id, fact_id, round(lex, 6) AS lex, answer FROM best")
 def _(v: Views) -> DataFrame:
-    pool = materialise(lexical(v))
-    return R.pool_distances(pool, v.facts, v.queries, "fact_id", "object_str", "item_id", "text")
+    return R.candidates(notes(v), v.asks, "item_id", "text").select("item_id", "fact_id", F.round("lex", 6).alias("lex"), "answer")
 
 
-@query("ret_07_rrf", "facts queries", f"{BM25}{SEM} SELECT item_id, fact_id, rank AS rank_l, rank_s, round(1.0::double / (60 + rank) + 1.0::double / (60 + rank_s) + 0.5::double / 60, 6) AS rrf FROM rk")
+@query("ret_05_broad_fill", "facts queries", f"{BM25}, fill AS (SELECT q.item_id, f.fact_id, max(CASE WHEN f.session_id = 's4' THEN 0.5 WHEN f.workspace_id IS NULL AND f.session_id IS NULL THEN 0.45 ELSE 0.3 END) AS lex FROM (SELECT DISTINCT item_id FROM queries WHERE item_id % 20 = 0) q JOIN facts f ON f.status = 'active' AND f.user_id = 'u1' AND (f.session_id IS NULL OR f.session_id = 's4') GROUP BY ALL), un AS (SELECT item_id, fact_id, lex FROM pool WHERE rank <= 60 AND item_id % 20 = 0 UNION ALL SELECT * FROM fill) SELECT item_id, fact_id, round(max(lex), 6) AS lex FROM un GROUP BY ALL")
 def _(v: Views) -> DataFrame:
-    return hybrid(v).select("item_id", "fact_id", "rank_l", "rank_s", F.round("rrf", 6).alias("rrf"))
+    # Boot events, here every twentieth query: the user's active facts fill the list below the query's own hits.
+    own = v.facts.filter("status = 'active' AND user_id = 'u1' AND (session_id IS NULL OR session_id = 's4')")
+    lex = F.when(F.col("session_id") == "s4", 0.5).when(F.col("workspace_id").isNull() & F.col("session_id").isNull(), 0.45).otherwise(0.3)
+    boots = F.broadcast(v.queries.filter("item_id % 20 = 0").select("item_id"))
+    fill = own.select("fact_id", lex.alias("lex")).crossJoin(boots).select("item_id", "fact_id", "lex")
+    hits = lexical(v).filter("item_id % 20 = 0").select("item_id", "fact_id", "lex")
+    return hits.unionByName(fill).groupBy("item_id", "fact_id").agg(F.round(F.max("lex"), 6).alias("lex"))
 
 
-SCORE = f""", sc AS (SELECT rk.item_id, rk.fact_id, rk.k, round((1.0::double / (60 + rank) + 1.0::double / (60 + rank_s) + 0.5::double / 60) * CASE WHEN f.session_id IS NOT NULL AND f.session_id = 's4' THEN 1.0::double WHEN f.workspace_id IS NOT NULL THEN 0.9 WHEN starts_with(f.promotion_state, 'user_static') THEN 0.55 WHEN starts_with(f.promotion_state, 'user_dynamic') THEN 0.4 ELSE 0.5 END
-  * (0.75 + 0.25 * f.confidence) * (0.7 + 0.3 * pow(0.5, ({NOW} - f.t_recorded) / 2592000000.0)), 8) AS score FROM rk JOIN facts f ON f.fact_id = rk.fact_id), fu AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k, fact_id) AS place FROM sc)"""
+@query("ret_06_semantic_pool", "facts asks", f"{WIDE}{SEM} SELECT item_id, fact_id, dist FROM sd")
+def _(v: Views) -> DataFrame:
+    pool = materialise(R.candidates(notes(v), v.asks, "item_id", "text"))
+    return R.pool_distances(pool, notes(v), v.asks, "fact_id", "semantic_text", "item_id", "text")
 
 
-def scored(v: Views) -> DataFrame:
-    scope = S.scope_weight(F.col("session_id"), F.col("workspace_id"), F.col("promotion_state"), F.lit("s4"))
-    score = R.final_score(F.col("rrf"), scope, F.lit(0.0), F.lit(0), F.col("confidence"), F.col("t_recorded"), F.lit(NOW))
-    both = hybrid(v).withColumn("score", F.round(score, 8))
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "key", "fact_id")))
+@query("ret_07_rrf", "facts asks", f"{WIDE}{SEM} SELECT item_id, fact_id, rank AS rank_l, rank_s, round(1.0::double / (60 + rank) + 1.0::double / (60 + rank_s) + 0.5::double / 60, 6) AS rrf FROM rk")
+def _(v: Views) -> DataFrame:
+    return scored(v).select("item_id", "fact_id", "rank_l", "rank_s", F.round("rrf", 6).alias("rrf"))
 
 
-@query("ret_10_fuse", "facts queries", f"{BM25}{SEM}{SCORE} SELECT item_id, fact_id, score, place AS rank FROM fu WHERE place <= 24")
+SCORE = f""", es AS (SELECT item_id // 16 AS item_id, list_slice(list(term ORDER BY place) FILTER (length(term) >= 6), 1, 2) AS e FROM u WHERE place <= 24 AND item_id % 16 = 0 GROUP BY ALL),
+sc AS (SELECT rk.item_id, rk.fact_id, rk.k, coalesce(len(list_filter(es.e, lambda x: contains(lower(f.object_str), x)))::double / nullif(len(es.e), 0), 0) AS entity, rk.answer, rank, rank_s, f.session_id, f.workspace_id, f.promotion_state, f.confidence, f.t_recorded FROM rk JOIN notes f ON f.fact_id = rk.fact_id LEFT JOIN es ON es.item_id = rk.item_id),
+ws AS (SELECT item_id, fact_id, k, entity, answer, round((1.0::double / (60 + rank) + 1.0::double / (60 + rank_s) + 0.5::double / 60) * CASE WHEN session_id IS NOT NULL AND session_id = 's4' THEN 1.0::double WHEN workspace_id IS NOT NULL THEN 0.9 WHEN starts_with(promotion_state, 'user_static') THEN 0.55 WHEN starts_with(promotion_state, 'user_dynamic') THEN 0.4 ELSE 0.5 END
+  * (1 + 0.5 * entity) * (1 + 0.35 * answer) * (0.75 + 0.25 * confidence) * (0.7 + 0.3 * pow(0.5, ({NOW} - t_recorded) / 2592000000.0)), 8) AS score FROM sc), fu AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k, fact_id) AS place FROM ws)"""
+
+
+@query("ret_08_factors", "facts asks", f"{WIDE}{SEM}{SCORE} SELECT item_id, fact_id, round(entity, 6) AS entity, answer FROM fu WHERE entity > 0 OR answer > 0")
+def _(v: Views) -> DataFrame:
+    return scored(v).filter("entity > 0 OR answer > 0").select("item_id", "fact_id", F.round("entity", 6).alias("entity"), "answer")
+
+
+@query("ret_10_fuse", "facts asks", f"{WIDE}{SEM}{SCORE} SELECT item_id, fact_id, score, place AS rank FROM fu WHERE place <= 24")
 def _(v: Views) -> DataFrame:
     return scored(v).filter("rank <= 24").select("item_id", "fact_id", "score", "rank")
 
@@ -292,15 +338,31 @@ def _(v: Views) -> DataFrame:
 @query("ret_11_mmr")
 def _(v: Views) -> DataFrame:
     ranked = materialise(scored(v).select("item_id", "fact_id", "rank", "score"))
-    vectors = R.sparse_embedding(v.facts.join(ranked.filter(f"rank <= {R.MMR_POOL}").select("fact_id").distinct(), "fact_id", "left_semi"), "fact_id", "object_str")
+    vectors = R.sparse_embedding(notes(v).join(ranked.filter(f"rank <= {R.MMR_POOL}").select("fact_id").distinct(), "fact_id", "left_semi"), "fact_id", "semantic_text")
     return R.mmr(ranked, vectors, "item_id", "fact_id")
 
 
+def gold(facts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(item_id and the columns of facts) of the facts that hold a query's whole text.
+
+    A text that holds the query holds its longest inner word, one that the query's ends can't cut; facts meet queries, a stated set, under that word. Queries
+    of less than three words, if there are any, are looked for in every fact.
+    """
+    inner = F.slice(T.words(F.col("text")), 2, F.greatest(F.size(T.words(F.col("text"))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    asked = queries.select("item_id", "text", longest.alias("word"))
+    rows = facts.withColumn("word", F.explode(F.array_distinct(T.words(F.col("object_str")))))
+    out = rows.join(F.broadcast(asked.filter("word IS NOT NULL")), "word").filter(F.contains("object_str", "text"))
+    short = asked.filter("word IS NULL")
+    if short.take(1):
+        out = out.unionByName(facts.withColumn("word", F.lit("")).join(F.broadcast(short.drop("word")), F.contains("object_str", "text")))
+    return out.select("item_id", *facts.columns)
+
+
 @query("agg_09_recall_mrr", "facts queries", f"""{BM25}, gold AS (SELECT q.item_id, f.fact_id FROM queries q JOIN facts f ON f.status = 'active' AND contains(f.object_str, q.text)),
 h AS (SELECT g.item_id, min(p.rank) AS r FROM gold g LEFT JOIN pool p ON p.item_id = g.item_id AND p.fact_id = g.fact_id AND p.rank <= 60 GROUP BY g.item_id)
 SELECT count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(coalesce(1.0::double / r, 0)), 6) AS mrr FROM h""")
 def _(v: Views) -> DataFrame:
-    gold = v.facts.filter("status = 'active'").select("fact_id", "object_str").join(F.broadcast(v.queries), F.contains("object_str", "text")).select("item_id", "fact_id")
-    best = gold.join(lexical(v).select("item_id", "fact_id", "rank"), ["item_id", "fact_id"], "left").groupBy("item_id").agg(F.min("rank").alias("r"))
+    best = gold(v.facts.filter("status = 'active'").select("fact_id", "object_str"), v.queries).join(lexical(v).select("item_id", "fact_id", "rank"), ["item_id", "fact_id"], "left").groupBy("item_id").agg(F.min("rank").alias("r"))
     at = lambda k: F.round(F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)), 6).alias(f"recall_{k}")
     return best.agg(F.count(F.lit(1)).alias("n"), at(1), at(5), at(10), F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))

@@ -18,6 +18,8 @@ FACT_KINDS = ("semantic", "episodic", "procedural", "preference", "decision", "c
 PROMOTION_STATES = ("session_only", "workspace_candidate", "workspace_active", "user_dynamic_candidate", "user_dynamic_active", "user_static_candidate", "user_static_active")
 ASSERTERS = ("user", "agent", "tool", "deterministic_parser", "llm_extractor", "git_watcher")
 STATUSES = ("candidate", "active", "expired", "superseded", "disputed", "rejected")
+#: What some queries ask, and some facts say.
+SENTENCES = ("how do we install packages here", "which test suite to run tests with", "deploy the release", "database migration first", "login is auth", "format with biome please")
 
 
 def _case(number: str, values: tuple[str, ...]) -> str:
@@ -55,6 +57,8 @@ SELECT event_id AS episode_id, concat('u', cast(user_id AS string), '_', substri
 SELECT concat('q', cast(conv_id AS string), '_', cast(turn AS string)) AS prompt_id, conv_id, turn, role, text FROM {conversations}""",
     "queries": """
 SELECT item_id, text FROM {benchmark}""",
+    "asks": f"""
+SELECT item_id, CASE WHEN item_id % 3 = 0 THEN concat({_case("item_id % 18 / 3", SENTENCES)}, ' ', text) ELSE text END AS text FROM {{benchmark}}""",
     "edges": """
 SELECT DISTINCT cast(l_partkey AS bigint) AS src, cast(l_suppkey AS bigint) AS dst FROM {lineitem}""",
     "fact_edges": """

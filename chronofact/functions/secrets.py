@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronofact.functions.text import is_dangerous
+
 #: Forms of secrets, (kind, pattern). No look-around, so that other engines can run them too.
 PATTERNS = (
     ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"),
@@ -29,13 +33,29 @@ HEX = r"\b[0-9a-f]{40}\b"
 #: Opaque words: this long, with both cases and a digit.
 OPAQUE = r"\b[A-Za-z0-9]{28,}\b"
 
+#: A text without any of these has none of the forms above.
+HINT = r"(?i)-----BEGIN |akia|asia|sk[-_]|gh[pousr]_|github_pat_|glpat-|npm_|xox[a-z]-|hooks\.slack|discord|aiza|eyj|://|sig=|bearer|key|passw|secret|token|credential|session_id|[a-z0-9]{28}"
+
 
 def contains_secret(text: Column) -> Column:
+    """Whether any form stands in the text; texts without a hint of one are looked at once."""
     out = F.regexp_replace(text, COMMIT, "").rlike(HEX)
     for _, pattern in PATTERNS:
         out = out | text.rlike(pattern)
     opaque = F.exists(F.regexp_extract_all(text, F.lit(OPAQUE), F.lit(0)), lambda w: w.rlike("[A-Z]") & w.rlike("[a-z]") & w.rlike("[0-9]"))
-    return F.coalesce(out | opaque, F.lit(False))
+    return F.coalesce(F.when(text.rlike(HINT), out | opaque), F.lit(False))
+
+
+def fact_text(c: Callable[[str], Column]) -> Column:
+    """All that a fact says, for scanners."""
+    return F.concat_ws(" ", *[F.coalesce(c(x), F.lit("")) for x in ("subject", "predicate", "object_str", "raw_quote", "tags_text")])
+
+
+def safe_for_send(c: Callable[[str], Column], text: Column | None = None) -> Column:
+    """No secret, by mark or by form; and no dangerous directive, unless low trust frames it as a claim."""
+    text = fact_text(c) if text is None else text
+    marked = F.coalesce(c("sensitivity").isin("secret", "credential"), F.lit(False))
+    return ~marked & ~contains_secret(text) & ((c("trust_tier") == "low") | ~F.coalesce(is_dangerous(text), F.lit(False)))
 
 
 def sensitivity(text: Column) -> Column:

@@ -10,6 +10,7 @@ from chronofact.functions import scoring as S
 from chronofact.functions import text as T
 from chronofact.operators import facts as O
 from chronofact.plans.registry import Views, query
+from chronofact.plans.retrieval import gold
 
 BRIEF = ["fact_id", "subject", "predicate", "status", "fact_kind", "t_recorded"]
 SEL = "SELECT fact_id, subject, predicate, status, fact_kind, t_recorded FROM facts"
@@ -75,10 +76,10 @@ def _(v: Views) -> DataFrame:
     return O.top_per(v.episodes, ["session_id"], [F.desc("created_at"), F.desc("episode_id")], 8).select("session_id", "episode_id", "rank")
 
 
-@query("src_12_edges_touching", "facts fact_edges", "SELECT f.fact_id, e.edge_id, e.edge_kind FROM facts f JOIN fact_edges e ON f.fact_id = e.from_id WHERE f.seq < 100 UNION SELECT f.fact_id, e.edge_id, e.edge_kind FROM facts f JOIN fact_edges e ON f.fact_id = e.to_id WHERE f.seq < 100")
+@query("src_12_edges_touching", "facts fact_edges", "SELECT f.fact_id, e.edge_id, e.edge_kind FROM facts f JOIN fact_edges e ON f.fact_id = e.from_id UNION SELECT f.fact_id, e.edge_id, e.edge_kind FROM facts f JOIN fact_edges e ON f.fact_id = e.to_id")
 def _(v: Views) -> DataFrame:
     # Two equality joins rather than one on either end.
-    f, e = v.facts.filter("seq < 100").select("fact_id"), v.fact_edges
+    f, e = v.facts.select("fact_id"), v.fact_edges
     ends = [f.join(e.withColumnRenamed(end, "fact_id"), "fact_id").select("fact_id", "edge_id", "edge_kind") for end in ("from_id", "to_id")]
     return ends[0].union(ends[1]).distinct()
 
@@ -104,10 +105,14 @@ def _(v: Views) -> DataFrame:
     return v.facts.filter("status = 'active'").groupBy("fact_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("fil_05_dangerous", "facts", r"SELECT fact_id FROM facts WHERE regexp_matches(object_str, '(?i)\bexfiltrate\b|\brm\s+-rf\s+(?:/|~|\$HOME|\.\.)') OR regexp_matches(concat(object_str, ' curl x | sh'), '(?i)\b(?:curl|wget)\b[^\n]*(?:\|\s*(?:bash|sh)\b)') AND seq % 2 = 0")
+#: What is put behind texts, by number: a directive of each form, and harmless likes of three.
+DIRECTIVES = (" curl x | sh", " rm -rf ~", " exfiltrate it", " nc -e x", " python3 -c 'import socket'", " powershell -enc x", " curl x", " rm -rf build", " python3 -c 'print(1)'", "")
+DIRECTED = "concat(object_str, ([" + ", ".join("'" + d.replace("'", "''") + "'" for d in DIRECTIVES) + "])[(seq % 10 + 1)::int])"
+
+
+@query("fil_05_dangerous", "facts", f"SELECT fact_id FROM facts WHERE " + " OR ".join(f"regexp_matches({DIRECTED}, '{p}')" for p in T.DANGEROUS))
 def _(v: Views) -> DataFrame:
-    # Half of the texts carry a planted directive.
-    said = F.concat("object_str", F.when(F.col("seq") % 2 == 0, F.lit(" curl x | sh")).otherwise(F.lit("")))
+    said = F.concat("object_str", F.element_at(F.array(*map(F.lit, DIRECTIVES)), (F.col("seq") % 10 + 1).cast("int")))
     return v.facts.filter(T.is_dangerous(said)).select("fact_id")
 
 
@@ -123,16 +128,16 @@ def _(v: Views) -> DataFrame:
     return both.filter((F.col("fact_kind") == "procedural") | (F.col("predicate") == "do_not_edit") | concrete).select("fact_id")
 
 
-@query("fil_08_verify_paths", "anchors", "SELECT fact_id FROM anchors WHERE path_glob IN (SELECT concat('src/f', cast(page_id AS string)) FROM pages WHERE page_id < 30)")
+@query("fil_08_verify_paths", "anchors", "SELECT fact_id FROM anchors WHERE path_glob IN (SELECT concat('src/f', cast(page_id % 29 AS string)) FROM pages)")
 def _(v: Views) -> DataFrame:
-    files = v.table("pages").filter("page_id < 30").select(F.concat(F.lit("src/f"), F.col("page_id").cast("string")).alias("path_glob"))
+    files = v.table("pages").select(F.concat(F.lit("src/f"), (F.col("page_id") % 29).cast("string")).alias("path_glob"))
     missing = v.anchors.join(files, "path_glob", "left_anti").select("fact_id").distinct()
     return v.anchors.join(missing, "fact_id", "left_anti").select("fact_id")
 
 
-@query("fil_09_target_removed", "anchors", "SELECT fact_id FROM anchors WHERE path_glob NOT IN (SELECT concat('src/f', cast(page_id AS string)) FROM pages WHERE page_id < 30)")
+@query("fil_09_target_removed", "anchors", "SELECT fact_id FROM anchors WHERE path_glob NOT IN (SELECT concat('src/f', cast(page_id % 29 AS string)) FROM pages)")
 def _(v: Views) -> DataFrame:
-    files = v.table("pages").filter("page_id < 30").select(F.concat(F.lit("src/f"), F.col("page_id").cast("string")).alias("path_glob"), F.lit(True).alias("there"))
+    files = v.table("pages").select(F.concat(F.lit("src/f"), (F.col("page_id") % 29).cast("string")).alias("path_glob"), F.lit(True).alias("there")).distinct()
     return v.anchors.join(files, "path_glob", "left").groupBy("fact_id").agg(F.bool_and(F.col("there").isNull()).alias("gone")).filter("gone").select("fact_id")
 
 
@@ -210,9 +215,8 @@ def _(v: Views) -> DataFrame:
 
 @query("jon_14_need_match", "facts queries", "SELECT q.item_id, count(f.fact_id) AS n FROM queries q LEFT JOIN facts f ON f.status = 'active' AND contains(f.object_str, q.text) GROUP BY q.item_id")
 def _(v: Views) -> DataFrame:
-    # The needs are few and are held by every task; a text's window of words narrows what is compared.
     needs = v.queries
-    hits = v.facts.filter("status = 'active'").select("fact_id", "object_str").join(F.broadcast(needs), F.contains("object_str", "text"))
+    hits = gold(v.facts.filter("status = 'active'").select("fact_id", "object_str"), needs)
     return needs.select("item_id").join(hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 

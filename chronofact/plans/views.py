@@ -32,7 +32,7 @@ def text_id(prefix: str, number: str) -> str:
 
 VIEWS: dict[str, str] = {
     "facts": f"""
-SELECT concat('fact_', lpad(cast(d.doc_id AS string), 8, '0')) AS fact_id, d.doc_id AS seq, d.source AS subject, {text_id("p", "d.doc_id % 7")} AS predicate, d.text AS object_str,
+SELECT concat('fact_', lpad(cast(d.doc_id AS string), 8, '0')) AS fact_id, d.doc_id AS seq, concat(d.source, '.', cast(cast((d.doc_id - d.doc_id % 1000) / 1000 AS bigint) AS string)) AS subject, {text_id("p", "d.doc_id % 7")} AS predicate, d.text AS object_str,
   {_case("d.doc_id % 9", FACT_KINDS)} AS fact_kind, CASE d.doc_id % 3 WHEN 0 THEN 'static' WHEN 1 THEN 'dynamic' ELSE 'atemporal' END AS temporal_kind,
   {_case("d.doc_id * 7919 % 1009 % 10", ("active",) * 6 + ("candidate", "superseded", "disputed", "expired"))} AS status,
   {_case("d.doc_id % 7", PROMOTION_STATES)} AS promotion_state, CASE WHEN coalesce(l.quality, 1) = 1 AND d.doc_id % 8 <> 5 THEN 'high' ELSE 'low' END AS trust_tier,

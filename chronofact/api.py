@@ -17,11 +17,13 @@ from chronofact.operators import facts as O
 from chronofact.operators import inject as I
 from chronofact.operators import lifecycle as L
 from chronofact.operators import retrieve as R
+from chronofact.storage import materialise
 
 FACT = (
     "fact_id string, subject string, predicate string, object_str string, fact_kind string, temporal_kind string, status string, promotion_state string, trust_tier string, sensitivity string, asserted_by string, "
-    "confidence double, evidence_count bigint, t_recorded bigint, t_expired bigint, invalidated_by string, user_id string, workspace_id string, session_id string, raw_quote string, tags_text string, event_ids array<string>, version bigint"
+    "confidence double, evidence_count bigint, t_recorded bigint, t_expired bigint, invalidated_by string, user_id string, workspace_id string, session_id string, raw_quote string, tags_text string, event_ids array<string>, version bigint, t_written bigint"
 )
+INJECTION = "user_id string, fact_id string, scope_session string, event string, at_ms bigint"
 DEFAULTS = {"fact_kind": "semantic", "temporal_kind": "dynamic", "status": "candidate", "promotion_state": "session_only", "trust_tier": "low", "sensitivity": "public", "asserted_by": "agent", "confidence": 0.5, "evidence_count": 1, "tags_text": ""}
 
 
@@ -32,6 +34,7 @@ class FactStore:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.spark.createDataFrame([], FACT).write.mode("append").parquet(f"{self.folder}/facts")
         self.spark.createDataFrame([], "episode_id string, session_id string, event_type string, payload string, created_at bigint").write.mode("append").parquet(f"{self.folder}/episodes")
+        self.spark.createDataFrame([], INJECTION).write.mode("append").parquet(f"{self.folder}/injections")
 
     def log(self) -> DataFrame:
         return self.spark.read.schema(FACT).parquet(f"{self.folder}/facts")
@@ -55,14 +58,14 @@ class FactStore:
         """Append new facts with their defaults; rows that bear secrets are refused and returned."""
         said = F.concat_ws(" ", "subject", "predicate", "object_str", *[c for c in ("raw_quote", "tags_text") if c in rows.columns])
         checked = rows.withColumn("__secret", X.contains_secret(said))
-        good = checked.filter("not __secret").drop("__secret").withColumn("version", F.lit(1))
+        good = checked.filter("not __secret").drop("__secret").withColumn("version", F.lit(1)).withColumn("t_written", F.col("t_recorded"))
         for name, value in DEFAULTS.items():
             good = good.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in good.columns else F.lit(value))
         self._append(good)
         return checked.filter("__secret").drop("__secret")
 
     def learn(self, rows: DataFrame) -> DataFrame:
-        """remember, then fold each key's facts in order of arrival; what changed is appended. The refused rows."""
+        """remember, then fold each key's facts in order of arrival; what changed is appended, as of the key's last arrival. The refused rows."""
         refused = self.remember(rows)
         now = self.current().filter(~F.col("status").isin("expired", "rejected", "superseded"))
         keys = ["user_id", "subject", "predicate"]
@@ -72,40 +75,56 @@ class FactStore:
         arrivals = touched.select(*keys, F.col("t_recorded").alias("seq"), "fact_id", F.xxhash64("object_str").alias("object_hash"), "trust_tier", "asserted_by", level.alias("level"), prec.alias("prec"), "evidence_count")
         verdict = L.fold_arrivals(arrivals, keys).select("fact_id", F.col("status").alias("__s"), F.col("evidence_count").alias("__n"))
         new = touched.join(verdict, "fact_id").filter((F.col("__s") != F.col("status")) | (F.col("__n") != F.col("evidence_count")))
-        self._append(new.withColumn("status", F.col("__s")).withColumn("evidence_count", F.col("__n")).withColumn("version", F.col("version") + 1).drop("__s", "__n"))
+        last = rows.groupBy(*keys).agg(F.max("t_recorded").alias("__at"))
+        new = new.join(last, keys).withColumn("t_written", F.greatest("t_written", "__at"))
+        self._append(new.withColumn("status", F.col("__s")).withColumn("evidence_count", F.col("__n")).withColumn("version", F.col("version") + 1).drop("__s", "__n", "__at"))
         return refused
 
     def forget(self, ids: DataFrame, at_ms: int) -> None:
         """Expire facts (column fact_id) at the user's wish; each is its own reason."""
         gone = self.current().join(ids.select("fact_id").distinct(), "fact_id", "left_semi")
-        self._append(gone.withColumn("status", F.lit("expired")).withColumn("t_expired", F.lit(at_ms)).withColumn("invalidated_by", F.col("fact_id")).withColumn("version", F.col("version") + 1))
+        self._append(gone.withColumn("status", F.lit("expired")).withColumn("t_expired", F.lit(at_ms)).withColumn("invalidated_by", F.col("fact_id")).withColumn("t_written", F.lit(at_ms)).withColumn("version", F.col("version") + 1))
 
-    def recall(self, queries: DataFrame, user: str, workspace: str | None = None, session: str | None = None, k: int = 15, now_ms: int | None = None) -> DataFrame:
-        """(query_id, fact_id, score, rank) for queries (query_id, text): BM25 over all facts, visible active ones fused with confidence, recency and scope."""
+    def recall(self, queries: DataFrame, user: str, workspace: str | None = None, session: str | None = None, k: int = 15, now_ms: int | None = None, valid: DataFrame | None = None) -> DataFrame:
+        """(query_id, fact_id, score, rank) for queries (query_id, text): words over all facts with the queries' expansions, the pool ranked by meaning too, fused, weighed by scope, entities,
+        confidence and recency, spread out. Only visible active facts that are safe to send; with `valid` (fact_id), of those only facts valid at the caller's head.
+        """
         facts = self.current()
-        lexical = R.bm25(facts, queries, "fact_id", "object_str", "query_id", "text")
-        seen = facts.filter((F.col("status") == "active") & O.in_scope(F.lit(user), F.lit(workspace), F.lit(session)))
-        seen = seen.withColumn("key", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")))
-        pool = O.top_per(lexical.join(seen, "fact_id"), ["query_id"], [F.desc("lex"), F.col("key")], 60, "rank_l")
-        scope = S.scope_weight(F.col("session_id"), F.col("workspace_id"), F.col("promotion_state"), F.lit(session))
+        parts = [F.col(c) for c in ("subject", "predicate", "object_str")]
+        facts = facts.withColumn("key", T.content_key(*parts)).withColumn("index_text", T.fts_text(*parts, F.col("raw_quote")))
+        facts = facts.withColumn("semantic_text", T.present(*parts, *[F.col(c) for c in ("raw_quote", "fact_kind", "temporal_kind", "tags_text")]))
+        facts = facts.withColumn("eligible", (F.col("status") == "active") & O.in_scope(F.lit(user), F.lit(workspace), F.lit(session)) & X.safe_for_send(F.col))
+        known = facts.withColumn("valid", F.lit(True)) if valid is None else facts.join(valid.select("fact_id").distinct().withColumn("valid", F.lit(True)), "fact_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+        asked = queries.withColumn("entities", F.slice(F.filter(T.query_terms(F.col("text")), lambda t: F.length(t) >= 6), 1, 2))
         now = F.lit(now_ms) if now_ms is not None else F.col("t_recorded")
-        score = R.final_score(S.rrf(F.col("rank_l"), F.lit(None).cast("int")), scope, F.lit(0.0), F.lit(0), F.col("confidence"), F.col("t_recorded"), now)
-        return O.top_per(pool.withColumn("score", score), ["query_id"], [F.desc("score"), F.col("key")], k).select("query_id", "fact_id", "score", "rank")
-
-    def inject_context(self, user: str, event: str = "SessionStart", workspace: str | None = None, session: str | None = None) -> DataFrame:
-        """(user_id, markdown): the capsule of a user's visible facts within the event's budget."""
-        seen = self.current().filter((F.col("status") == "active") & O.in_scope(F.lit(user), F.lit(workspace), F.lit(session)) & ~F.col("sensitivity").isin("secret", "credential"))
-        body = T.card_body(*[F.col(c) for c in ("subject", "predicate", "object_str", "fact_kind", "trust_tier")], F.lit(""))
-        cards = seen.withColumn("card", T.card(F.col("fact_id"), body)).withColumn("tokens", T.estimate_tokens(F.col("card"))).withColumn("section", T.section(F.col("fact_kind"), F.col("promotion_state")))
-        cards = cards.withColumn("priority", I.must_include(F.col("fact_kind"), F.col("asserted_by"))).withColumn("score", F.col("confidence")).withColumn("key", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")))
-        chosen = I.greedy(cards, "user_id", min(I.EVENT_CAPS.get(event, I.TOTAL_BUDGET), I.TOTAL_BUDGET), I.MAX_CARDS_PRETOOL if event == "PreToolUse" else I.MAX_CARDS).filter("reason = 'selected'")
-        return I.capsule(chosen.join(cards.select("fact_id", "card", "section"), "fact_id"), "user_id", "Relevant memory")
+        ranked = materialise(R.retrieve(known, asked, "query_id", "text", F.lit(session), now).select("query_id", "fact_id", "rank", "score"))
+        near = known.join(ranked.filter(F.col("rank") <= R.MMR_POOL).select("fact_id").distinct(), "fact_id", "left_semi")
+        return R.mmr(ranked, R.sparse_embedding(near, "fact_id", "semantic_text"), "query_id", "fact_id").filter(F.col("rank") <= k).select("query_id", "fact_id", "score", "rank")
+
+    def inject_context(self, user: str, event: str = "SessionStart", workspace: str | None = None, session: str | None = None, now_ms: int = 0, anchors: DataFrame | None = None, files: DataFrame | None = None, valid: DataFrame | None = None) -> DataFrame:
+        """(user_id, markdown): the capsule of a user's visible facts, as `inject.plan` has it. anchors (fact_id, path_glob), files (path_glob) and valid (fact_id) tell of the work tree, if there is one.
+
+        What is told is recorded, and isn't told again within the hour.
+        """
+        seen = self.current().filter((F.col("status") == "active") & O.in_scope(F.lit(user), F.lit(workspace), F.lit(session)))
+        seen = seen if valid is None else seen.join(valid.select("fact_id").distinct(), "fact_id", "left_semi")
+        prec = S.precedence_rank(F.col("asserted_by"), F.col("trust_tier"), F.col("promotion_state"), F.col("tags_text"), F.col("session_id"), F.lit(session))
+        scored = seen.withColumn("prec", prec).withColumn("score", F.col("confidence")).withColumn("key", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")))
+        none = self.spark.createDataFrame([], "fact_id string, path_glob string")
+        told = self.injections().filter(F.col("scope_session").eqNullSafe(F.lit(session)))
+        planned = materialise(I.plan(scored, "user_id", event, none if anchors is None else anchors, none if files is None else files, told, now_ms)).filter("card IS NOT NULL")
+        planned.select("user_id", "fact_id", F.lit(session).cast("string").alias("scope_session"), F.lit(event).alias("event"), F.lit(now_ms).cast("bigint").alias("at_ms")).write.mode("append").parquet(f"{self.folder}/injections")
+        return I.capsule(planned, "user_id", "Relevant memory")
+
+    def injections(self) -> DataFrame:
+        """What was told, to whom and when."""
+        return self.spark.read.schema(INJECTION).parquet(f"{self.folder}/injections")
 
     def why(self, ids: DataFrame, as_of_ms: int | None = None) -> DataFrame:
-        """Provenance of facts (column fact_id): versions, evidence found, ids missing, whether the chain is whole. Nothing of facts recorded later."""
+        """Provenance of facts (column fact_id): versions, evidence found, ids missing, whether the chain is whole. Nothing that was written later."""
         facts = self.log().join(ids.select("fact_id").distinct(), "fact_id", "left_semi")
         if as_of_ms is not None:
-            facts = facts.filter(F.col("t_recorded") <= as_of_ms)
+            facts = facts.filter(F.coalesce("t_written", "t_recorded") <= as_of_ms)
         last = O.latest(facts, "fact_id", "version")
         cited = last.select("fact_id", F.explode("event_ids").alias("episode_id"))
         found = cited.join(self.episodes().select("episode_id", "created_at"), "episode_id", "left")
@@ -118,7 +137,7 @@ class FactStore:
         out = last.join(counts, "fact_id", "left")
         return out.select("fact_id", "asserted_by", "raw_quote", "status", "version", F.coalesce("evidence", none).alias("evidence"), F.coalesce("missing", none).alias("missing"), (F.coalesce(F.size("missing"), F.lit(0)) + F.coalesce("__late", F.lit(0)) == 0).alias("complete"))
 
-    def promote(self, dry_run: bool = True) -> DataFrame:
+    def promote(self, dry_run: bool = True, at_ms: int | None = None) -> DataFrame:
         """The sweep's decisions on session facts and held candidates; appended unless it's a dry run."""
         pool = self.current().filter("promotion_state IN ('session_only', 'workspace_candidate')")
         said = F.concat_ws(" ", "subject", "predicate", "object_str", "raw_quote", "tags_text")
@@ -127,7 +146,7 @@ class FactStore:
         if not dry_run:
             up, held = F.col("decision").startswith("promote"), F.col("decision").startswith("candidate") & (F.col("promotion_state") == "session_only")
             new = decided.filter(up | held).withColumn("status", F.when(up, "active").otherwise("candidate")).withColumn("promotion_state", F.when(up, "workspace_active").otherwise("workspace_candidate"))
-            self._append(new.withColumn("version", F.col("version") + 1).drop("decision"))
+            self._append(new.withColumn("version", F.col("version") + 1).withColumn("t_written", F.coalesce(F.lit(at_ms).cast("bigint"), F.col("t_written"))).drop("decision"))
         return decided.select("fact_id", "decision")
 
     def resolve_conflict(self, session: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofact.functions import text as T
+from chronofact.functions.secrets import safe_for_send
 from chronofact.operators.facts import top_per
 from chronofact.storage import join_by_key, materialise
 
@@ -89,6 +90,55 @@ def greedy(cards: DataFrame, by: str, budget_tokens: int, max_cards: int) -> Dat
     return both.select(by, "fact_id", reason.alias("reason"), "place")
 
 
+def verified(facts: DataFrame, anchors: DataFrame, files: DataFrame) -> DataFrame:
+    """Facts but for perishable ones (procedures, do_not_edit, or anchored to concrete paths) all of whose concrete paths are gone. anchors: fact_id, path_glob; files: path_glob."""
+    paths = anchors.filter(~F.contains("path_glob", F.lit("*"))).select("fact_id", "path_glob").distinct()
+    there = paths.join(files.select("path_glob").distinct().withColumn("__there", F.lit(True)), "path_glob", "left")
+    gone = there.groupBy("fact_id").agg(F.bool_and(F.col("__there").isNull()).alias("__gone")).filter("__gone").select("fact_id")
+    return facts.join(gone, "fact_id", "left_anti")
+
+
+def not_recent(facts: DataFrame, injected: DataFrame, now_ms: int, by: list[str], ttl_ms: int = 3_600_000) -> DataFrame:
+    """Facts that weren't injected within the time; open loops come again. injected: by, fact_id, at_ms."""
+    recent = injected.filter((F.lit(now_ms) - F.col("at_ms")).between(0, ttl_ms - 1)).select(*by, "fact_id").distinct()
+    again = facts.filter("fact_kind = 'open_loop'")
+    return facts.filter("fact_kind <> 'open_loop'").join(recent, [*by, "fact_id"], "left_anti").unionByName(again)
+
+
+def lifecycle_safe(trust: Column, event: Column) -> Column:
+    """Before a tool runs only trusted facts are told."""
+    return (event != "PreToolUse") | (trust != "low")
+
+
+def plan(scored: DataFrame, by: str, event: str, anchors: DataFrame, files: DataFrame, injected: DataFrame, now_ms: int, budget_tokens: int | None = None) -> DataFrame:
+    """(by, fact_id, section, place, reason, card): what is told at an event, a row a card, and what isn't, with its reason and no card.
+
+    scored: retrieved valid facts with by, fact_id, subject, predicate, object_str, raw_quote, tags_text, fact_kind, trust_tier, sensitivity, promotion_state, asserted_by, prec, key, score. In
+    order: perishable facts are verified, unsafe ones dropped, then what the event doesn't suit and what was just told; conflicts are resolved; the budget is filled;
+    at boot and after compaction open loops that it left out are told all the same ('forced').
+    """
+    rows = verified(scored, anchors, files)
+    rows = rows.filter(safe_for_send(F.col) & lifecycle_safe(F.col("trust_tier"), F.lit(event)))
+    rows = materialise(not_recent(rows, injected, now_ms, [by]))
+    won = resolve_conflicts(rows.select(by, "subject", "predicate", "fact_id", F.sha2("object_str", 256).alias("object_hash"), "prec", "key"), [by])
+    body = T.card_body(*[F.col(c) for c in ("subject", "predicate", "object_str", "fact_kind", "trust_tier")], F.lit(""))
+    cards = rows.join(won.select(by, F.col("winner").alias("fact_id")), [by, "fact_id"], "left_semi").withColumn("card", T.card(F.col("fact_id"), body))
+    cards = cards.withColumn("tokens", T.estimate_tokens(F.col("card"))).withColumn("section", T.section(F.col("fact_kind"), F.col("promotion_state")))
+    cards = materialise(cards.withColumn("priority", must_include(F.col("fact_kind"), F.col("asserted_by"))))
+    most = min(EVENT_CAPS.get(event, TOTAL_BUDGET), TOTAL_BUDGET) if budget_tokens is None else budget_tokens
+    chosen = greedy(cards, by, most, MAX_CARDS_PRETOOL if event == "PreToolUse" else MAX_CARDS)
+    out = chosen.join(cards.select(by, "fact_id", "section", "fact_kind", "card"), [by, "fact_id"])
+    forced = (F.col("fact_kind") == "open_loop") & (F.col("reason") != "selected") & F.lit(event in ("SessionStart", "PostCompact"))
+    out = out.withColumn("reason", F.when(forced, "forced").otherwise(F.col("reason")))
+    return out.select(by, "fact_id", "section", "place", "reason", F.when(F.col("reason").isin("selected", "forced"), F.col("card")).alias("card"))
+
+
+def injection_log(planned: DataFrame, by: str) -> DataFrame:
+    """(by, n_selected, n_omitted, tokens) of a plan."""
+    told = F.col("card").isNotNull()
+    return planned.groupBy(by).agg(F.count_if(told).alias("n_selected"), F.count_if(~told).alias("n_omitted"), F.coalesce(F.sum(F.when(told, T.estimate_tokens(F.col("card")))), F.lit(0)).alias("tokens"))
+
+
 def resolve_conflicts(facts: DataFrame, by: list[str]) -> DataFrame:
     """Per (by, subject, predicate) the best by precedence, with the number of different values and the runner-up among others."""
     order = [F.col("prec"), F.col("key"), F.col("fact_id")]
@@ -121,4 +171,4 @@ def drift(vectors: DataFrame, session: str, order: str, dim: str, value: str, wi
     norms = mean.groupBy(session, "__i").agg(F.sqrt(F.sum(F.col("__m") * F.col("__m"))).alias("__norm"))
     dots = v.join(mean, [session, "__i", dim]).groupBy(session, "__i").agg(F.sum(F.col(value) * F.col("__m")).alias("__dot"))
     out = dots.join(norms, [session, "__i"]).join(texts, [session, "__i"])
-    return out.select(session, order, F.round(F.when(F.col("__norm") == 0, 1.0).otherwise(1 - F.col("__dot") / F.col("__norm")), 6).alias("drift"))
+    return out.select(session, order, (F.round(F.when(F.col("__norm") == 0, 1.0).otherwise(1 - F.col("__dot") / F.col("__norm")), 6) + F.lit(0.0)).alias("drift"))

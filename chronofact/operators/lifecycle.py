@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,31 +85,38 @@ def fold_arrivals(arrivals: DataFrame, keys: list[str]) -> DataFrame:
     """Each key's facts in order of arrival, every one against all open earlier ones: (fact_id, status, evidence_count).
 
     arrivals: keys, seq, fact_id, object_hash, trust_tier, asserted_by, level, prec, evidence_count. The outcome of one arrival
-    changes what the next one meets, so a key is folded by one task; keys are as small as one subject and predicate of a user.
+    changes what the next one meets, so a key's facts pass one task, in order; it holds only those still open, by level, and of those only what an arrival of that
+    level can change. Facts of other levels never meet.
     """
     ship(arrivals.sparkSession)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        open_: list[dict] = []
-        out = []
-        for row in group.sort_values("seq").to_dict("records"):
-            row["status"], arrived = "active", dict(row)
-            for old in open_:
-                if old["status"] in ("superseded", "expired"):
-                    continue
-                same = old["level"] == arrived["level"]
-                if old["object_hash"] == arrived["object_hash"]:
-                    if same:
-                        old["evidence_count"] += arrived["evidence_count"]
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, open_ = None, {}
+        for part in parts:
+            out = []
+            for row in part.to_dict("records"):
+                own = tuple(row[k] for k in keys)
+                if own != key:
+                    out += [r for rows in open_.values() for r in rows]
+                    key, open_ = own, {}
+                meets = open_.setdefault(row["level"], [])
+                row["status"] = "active"
+                refines = row["trust_tier"] == "high" and row["asserted_by"] != "agent"
+                for old in meets:
+                    if old["object_hash"] == row["object_hash"]:
+                        old["evidence_count"] += row["evidence_count"]
                         row["status"] = "superseded"
-                elif same and arrived["prec"] > old["prec"]:
-                    continue
-                elif same and arrived["trust_tier"] == "high" and arrived["asserted_by"] != "agent":
-                    old["status"] = "superseded"
-                elif same:
-                    old["status"] = row["status"] = "disputed"
-            open_.append(row)
-            out.append(row)
-        return pd.DataFrame(out)[["fact_id", "status", "evidence_count"]]
-
-    return arrivals.groupBy(*keys).applyInPandas(fold, "fact_id string, status string, evidence_count bigint")
+                    elif row["prec"] <= old["prec"]:
+                        old["status"] = "superseded" if refines else "disputed"
+                        row["status"] = row["status"] if refines else "disputed"
+                out += [r for r in meets if r["status"] == "superseded"]
+                open_[row["level"]] = [r for r in meets if r["status"] != "superseded"]
+                if row["status"] == "superseded":
+                    out.append(row)
+                else:
+                    open_[row["level"]].append(row)
+            yield pd.DataFrame(out, columns=[*part.columns, "status"])[["fact_id", "status", "evidence_count"]]
+        yield pd.DataFrame([r for rows in open_.values() for r in rows], columns=["fact_id", "status", "evidence_count"])
+
+    dealt = arrivals.repartition(*keys).sortWithinPartitions(*keys, "seq", "fact_id")
+    return dealt.mapInPandas(fold, "fact_id string, status string, evidence_count bigint")

@@ -149,7 +149,7 @@ def _(v: Views) -> DataFrame:
 @query("stm_02_ledger_ttl")
 def _(v: Views) -> DataFrame:
     stream = streams.read_stream(v.spark, f"{v.sf_dir}/events.parquet*", v.table("events"))
-    keyed = stream.select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("session_id"), F.col("event_type").alias("fact_id"), (F.unix_millis(F.col("ts").cast("timestamp"))).alias("at_ms"), "event_id")
+    keyed = stream.select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("session_id"), F.col("event_type").alias("fact_id"), F.col("ts").cast("timestamp").alias("at"), (F.unix_millis(F.col("ts").cast("timestamp"))).alias("at_ms"), "event_id")
     return streams.run_to_end(streams.ledger_stream(keyed), "ledger")
 
 

@@ -14,7 +14,7 @@ from chronofact.operators import graph as G
 from chronofact.operators import inject as I
 from chronofact.operators import lifecycle as L
 from chronofact.plans.registry import Views, query
-from chronofact.plans.retrieval import NOW
+from chronofact.plans.retrieval import FNV, NOW, TOKENS, _concept
 
 HEAD = 150
 REACH = f"WITH RECURSIVE reach(commit_id) AS (SELECT {HEAD}::bigint UNION SELECT c.parent_id::bigint FROM reach r JOIN commits c ON c.commit_id = r.commit_id WHERE c.parent_id IS NOT NULL)"
@@ -349,7 +349,12 @@ def _(v: Views) -> DataFrame:
     return I.resolve_conflicts(with_precedence(v), ["user_id"])
 
 
-@query("inj_08_drift")
+_TK = f"tk AS (SELECT prompt_id AS id, conv_id, turn, lower(text) AS low, {TOKENS.format('text')} AS tk FROM prompts), ft AS (SELECT id, unnest(tk) AS f FROM tk UNION ALL " + " UNION ALL ".join(f"SELECT id, 'concept:{n}' FROM (SELECT id, low, tk AS t FROM tk) WHERE {_concept(t)} = 1" for n, t in T.CONCEPTS) + f"""),
+hf AS (SELECT f, {FNV.format("f")} AS h FROM (SELECT DISTINCT f FROM ft)), en AS (SELECT id, h % 1536 AS dim, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END * CASE WHEN starts_with(ft.f, 'concept:') THEN 3 ELSE 1 END)::double AS v FROM ft JOIN hf ON ft.f = hf.f GROUP BY ALL HAVING v <> 0),
+em AS (SELECT id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM en)"""
+
+
+@query("inj_08_drift", "prompts", f"WITH {_TK}, tx AS (SELECT DISTINCT tk.id, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM tk JOIN (SELECT DISTINCT id FROM em) e ON e.id = tk.id), ve AS (SELECT tx.conv_id, tx.i, em.dim, em.v FROM em JOIN tx ON tx.id = em.id), me AS (SELECT a.conv_id, a.i, b.dim, sum(b.v) AS m FROM tx a JOIN ve b ON b.conv_id = a.conv_id AND b.i BETWEEN a.i - 7 AND a.i GROUP BY ALL), nm AS (SELECT conv_id, i, sqrt(sum(m * m)) AS nm FROM me GROUP BY ALL), dt AS (SELECT ve.conv_id, ve.i, sum(ve.v * me.m) AS d FROM ve JOIN me ON me.conv_id = ve.conv_id AND me.i = ve.i AND me.dim = ve.dim GROUP BY ALL) SELECT tx.conv_id, tx.turn, round(CASE WHEN nm = 0 THEN 1.0 ELSE 1 - d / nm END, 6) + 0.0 AS drift FROM dt JOIN nm ON nm.conv_id = dt.conv_id AND nm.i = dt.i JOIN tx ON tx.conv_id = dt.conv_id AND tx.i = dt.i")
 def _(v: Views) -> DataFrame:
     from chronofact.operators import retrieve as R
 
@@ -379,18 +384,27 @@ def _(v: Views) -> DataFrame:
     return v.injections.groupBy("session_id").agg(F.count(F.lit(1)).alias("capsules"), F.countDistinct("fact_a").alias("facts"))
 
 
+def boot_plan(v: Views, event: str = "SessionStart", budget_tokens: int | None = None) -> DataFrame:
+    """The plan of every user at session start: the gate lets it through, the user's active facts fill the list, valid at the head, weighed, and then as `inject.plan` has it."""
+    now = NOW - 90 * 86_400_000 + 40_000_000
+    fires = v.spark.range(1).select(I.should_fire(F.lit(event), F.lit(None).cast("double"), F.lit(None).cast("boolean"), F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(True)).alias("fire")).filter("fire").drop("fire")
+    valid = v.facts.select("fact_id").join(D.flagged(v.anchors, head(v)), "fact_id", "left").filter(F.coalesce(D.valid_as_of("main", "repo_a"), F.lit(True))).select("fact_id")
+    fill = F.when(F.col("session_id") == "s4", 0.5).when(F.col("workspace_id").isNull() & F.col("session_id").isNull(), 0.45).otherwise(0.3)
+    seen = v.facts.filter("status = 'active' AND (session_id IS NULL OR session_id = 's4')").join(valid, "fact_id", "left_semi")
+    seen = seen.withColumn("key", F.sha2(T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")), 256)).crossJoin(F.broadcast(fires))
+    ranked = I.placed(seen.select("user_id", "fact_id", "key", fill.alias("priority"), F.lit(0).alias("score")), "user_id").select("fact_id", F.col("place").alias("rank_l"))
+    scope = S.scope_weight(F.col("session_id"), F.col("workspace_id"), F.col("promotion_state"), F.lit("s4"))
+    score = S.rrf(F.col("rank_l"), F.lit(None).cast("int")) * scope * S.confidence_factor(F.col("confidence")) * S.recency(F.col("t_recorded"), F.lit(now))
+    prec = S.precedence_rank(F.col("asserted_by"), F.col("trust_tier"), F.col("promotion_state"), F.col("tags_text"), F.col("session_id"), F.lit("s4"))
+    scored = seen.join(ranked, "fact_id").withColumn("score", F.round(score, 9)).withColumn("prec", prec)
+    files = v.table("pages").select(F.concat(F.lit("src/f"), (F.col("page_id") % 29).cast("string")).alias("path_glob"))
+    told = v.injections.select(F.concat(F.lit("u"), (F.substring("session_id", 2, 10).cast("bigint") % 5).cast("string")).alias("user_id"), F.col("fact_a").alias("fact_id"), "at_ms")
+    return I.plan(scored, "user_id", event, v.anchors, files, told, now, budget_tokens)
+
+
 @query("inj_05_plan")
 def _(v: Views) -> DataFrame:
-    """The whole plan for each user at session start: valid, safe, fresh facts, conflicts resolved, greedily chosen, rendered."""
-    from chronofact.storage import materialise
-
-    valid = v.facts.select("fact_id").join(D.flagged(v.anchors, head(v)), "fact_id", "left").filter(F.coalesce(D.valid_as_of("main", "repo_a"), F.lit(True))).select("fact_id")
-    cards = materialise(candidate_cards(v).join(valid, "fact_id", "left_semi"))
-    cards = cards.filter(~T.is_dangerous(F.col("card")))
-    kept = I.resolve_conflicts(with_precedence(v).join(cards.select("fact_id"), "fact_id", "left_semi"), ["user_id"]).select(F.col("winner").alias("fact_id"))
-    fresh = cards.join(kept, "fact_id", "left_semi")
-    chosen = I.greedy(fresh, "user_id", 2000, I.MAX_CARDS).filter("reason = 'selected'")
-    return I.capsule(chosen.join(cards.select("fact_id", "card", "section"), "fact_id"), "user_id", "Relevant memory for this session")
+    return boot_plan(v)
 
 
 # --- Graph. The oracle's rounds are written out.

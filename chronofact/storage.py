@@ -13,9 +13,11 @@ HOT_SHARE = 1 / 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset, on one machine only, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("chronofact.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="chronofact-")
         spark.conf.set("chronofact.shared.dir", folder)
     return folder.rstrip("/")

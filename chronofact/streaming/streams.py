@@ -51,17 +51,25 @@ def chain(times: list[int], last: int | None, ttl: int = TTL_MS) -> tuple[list[b
     return out, last
 
 
-def ledger_stream(events: DataFrame, ttl: int = TTL_MS) -> DataFrame:
-    """events: session_id, fact_id, at_ms, event_id, in order of arrival per key. With `through`; state is one number a key."""
+def ledger_stream(events: DataFrame, ttl: int = TTL_MS, late: str = "1 hour") -> DataFrame:
+    """events: session_id, fact_id, at (event time), at_ms, event_id, at most `late` out of order. With `through`; state is one number a key, kept until the watermark is a `ttl` past it.
+
+    The checkpoint in the shared folder carries the state over restarts and between processes, so none tells a fact twice.
+    """
     ship(events.sparkSession)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts)).sort_values(["at_ms", "event_id"])
         through, last = chain(rows["at_ms"].tolist(), state.get[0] if state.exists else None, ttl)
         state.update((last,))
+        state.setTimeoutTimestamp(max(int(last), state.getCurrentWatermarkMs()) + ttl)
         yield pd.DataFrame({"session_id": key[0], "fact_id": key[1], "event_id": rows["event_id"], "through": through})
 
-    return events.groupBy("session_id", "fact_id").applyInPandasWithState(step, "session_id string, fact_id string, event_id bigint, through boolean", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    dealt = events.withWatermark("at", late).groupBy("session_id", "fact_id")
+    return dealt.applyInPandasWithState(step, "session_id string, fact_id string, event_id bigint, through boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ledger_batch(events: DataFrame, ttl: int = TTL_MS) -> DataFrame:

@@ -34,6 +34,7 @@ def test_recall_and_capsule(store, spark):
     out = store.recall(q, "u", "w").collect()
     assert [(r["query_id"], r["fact_id"], r["rank"]) for r in sorted(out, key=lambda r: r["rank"])] == [(1, "f3", 1), (1, "f5", 2)]
     assert store.recall(q, "other").count() == 0
+    assert [r["fact_id"] for r in store.recall(q, "u", "w", valid=spark.createDataFrame([("f5",)], "fact_id string")).collect()] == ["f5"]
     text = store.inject_context("u", workspace="w").first()["markdown"]
     assert "Unfinished: finish the canary docs" in text and "Run tests with: pnpm run test." in text
 
@@ -50,10 +51,12 @@ def test_why(store, spark):
 def test_promote_and_forget(store, spark):
     got = {r["fact_id"]: r["decision"] for r in store.promote().collect()}
     assert got["f1"] == "promote:config_evidence" and got["f2"] == "reject:bad_lifecycle" and got["f3"] == "candidate:insufficient_evidence"
-    store.promote(dry_run=False)
+    store.promote(dry_run=False, at_ms=60)
     assert store.current().filter("fact_id = 'f1' AND promotion_state = 'workspace_active'").count() == 1
     store.forget(spark.createDataFrame([("f3",)], "fact_id string"), 99)
     row = store.current().filter("fact_id = 'f3'").first()
     assert (row["status"], row["t_expired"], row["invalidated_by"]) == ("expired", 99, "f3")
+    then = {at: store.why(spark.createDataFrame([("f3",)], "fact_id string"), as_of_ms=at).first()["status"] for at in (50, 99)}
+    assert then == {50: "active", 99: "expired"}  # an earlier view knows nothing of what was forgotten later
     assert store.resolve_conflict().count() == 0
     assert store.checkpoint_session("none").count() == 0

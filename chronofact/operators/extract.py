@@ -133,13 +133,24 @@ def test_config(files: DataFrame) -> DataFrame:
     return _said(own, F.array(_pair("test_runner", name), _pair("test_environment", get("environment")), _pair("test_timeout_ms", get("testTimeout")), _pair("coverage_provider", get("provider"))))
 
 
-def tooling(files: DataFrame) -> DataFrame:
-    """Formatters and linters by the configuration files that stand there."""
+def tooling(files: DataFrame, most: int = 20) -> DataFrame:
+    """Formatters and linters by the configuration files that stand there, with formatting widths, import order and the first `most` rules of a linter with their levels."""
     name = F.regexp_extract("path", r"^(?:\.?)(biome|eslint|prettier)", 1)
     own = files.filter("path RLIKE '^[.]?(biome[.]json|eslint|prettier)'").withColumn("n", name)
     kind = F.when(F.col("n") == "biome", "code_quality_tool").when(F.col("n") == "eslint", "lint_tool").otherwise("format_tool")
-    width = F.get_json_object("content", "$.formatter.lineWidth")
-    return _said(own, F.array(_pair(kind, F.col("n")), _pair("formatter_line_width", width)))
+    get = lambda path: F.get_json_object("content", path)
+    given = F.array(
+        _pair(kind, F.col("n")), _pair("formatter_line_width", F.coalesce(get("$.formatter.lineWidth"), get("$.printWidth"))), _pair("formatter_indent_style", get("$.formatter.indentStyle")),
+        _pair("formatter_indent_width", F.coalesce(get("$.formatter.indentWidth"), get("$.tabWidth"))), _pair("organize_imports", get("$.organizeImports.enabled")),
+    )
+    # Rules as name: level or name: [level, ...], those of biome by group.
+    none = F.create_map().cast("map<string,string>")
+    level = lambda v: F.coalesce(F.get_json_object(v, "$[0]"), F.get_json_object(v, "$.level"), v)
+    rules = lambda entries, under: F.transform(entries, lambda e: _pair("linter_rule_level", F.concat(under, e["key"], F.lit("="), level(e["value"]))))
+    flat = rules(F.map_entries(F.coalesce(F.from_json(get("$.rules"), "map<string,string>"), none)), F.lit(""))
+    groups = F.map_entries(F.coalesce(F.from_json(get("$.linter.rules"), "map<string,string>"), none))
+    deep = F.flatten(F.transform(groups, lambda g: F.when(g["value"].startswith("{"), rules(F.map_entries(F.coalesce(F.from_json(g["value"], "map<string,string>"), none)), F.concat(g["key"], F.lit(".")))).otherwise(F.array(_pair("linter_rule_level", F.concat(g["key"], F.lit("="), g["value"]))))))
+    return _said(own, F.concat(given, F.slice(F.array_sort(F.concat(flat, deep)), 1, most)))
 
 
 def generated_markers(files: DataFrame, most: int = 20) -> DataFrame:

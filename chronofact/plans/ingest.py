@@ -10,6 +10,7 @@ from chronofact.functions import text as T
 from chronofact.operators import extract as E
 from chronofact.operators import facts as O
 from chronofact.operators import graph as G
+from chronofact.operators import providers as P
 from chronofact.plans.registry import Views, query
 from chronofact.plans.retrieval import gold
 from chronofact.sources import store
@@ -31,7 +32,7 @@ def _p(predicate: str, obj: str) -> str:
     return f"{{'p': '{predicate}', 'o': {obj}}}"
 
 
-for _name, _function, _sql in (
+EXTRACTED = (
     ("ext_01_package_json", E.package_json, PACKAGE),
     ("ext_02_python", E.pyproject, _facts_sql(8, ", ".join([_p("package_manager", "'poetry'"), _p("version_constraint", "concat('>=3.', 8 + d.doc_id % 5)"), _p("lint_command", "'ruff check .'"), _p("cli_entrypoint", "'run-it'")]))),
     ("ext_03_runtime_versions", E.runtime_versions, _facts_sql(7, _p("version_pin", "concat('node v', 16 + d.doc_id % 8)"))),
@@ -43,14 +44,51 @@ for _name, _function, _sql in (
     ("ext_10_ci", E.ci_commands, _facts_sql(4, ", ".join([_p("ci_command", "'npm test'"), _p("ci_command", "'npm ci'"), _p("ci_command", "concat('npm run ', d.source)"), _p("ci_command", "'npm run lint'")]))),
     ("ext_11_generated", E.generated_markers, _facts_sql(6, _p("do_not_edit", "'true'"))),
     ("ext_12_claims", E.guidance, _facts_sql(5, _p("claims", "concat('always use pnpm in ', d.source)"))),
-):
+)
+for _name, _function, _sql in EXTRACTED:
     query(_name, "files", _sql)(lambda v, f=_function: f(v.files))
 
 
-@query("ext_14_pipeline", "facts files", "SELECT repo, path, predicate, object FROM (" + _facts_sql(3, ", ".join([_p("container_base_image", "concat('node:', 18 + d.doc_id % 5)"), _p("container_stage_base", "concat('build=node:', 18 + d.doc_id % 5)"), _p("container_workdir", "'/app'"), _p("container_exposed_port", "'80'"), _p("container_exposed_port", "concat(3000 + d.doc_id % 10, '')"), _p("container_user", "'app'")])) + " UNION ALL " + _facts_sql(5, _p("claims", "concat('always use pnpm in ', d.source)")) + ") WHERE repo NOT IN ('repo1', 'repo2')")
+_TOOLS = [
+    f"SELECT repo, path, s.p AS predicate, s.o AS object FROM (SELECT f.repo, f.path, unnest([{', '.join(_p(k, v) for k, v in pairs)}]) AS s FROM tool_files f JOIN main.documents d ON d.doc_id = f.doc_id WHERE f.doc_id % 3 = {rest})"
+    for rest, pairs in (
+        (0, (("code_quality_tool", "'biome'"), ("formatter_line_width", "cast(80 + length(d.source) AS varchar)"), ("formatter_indent_style", "CASE WHEN d.lang = 'en' THEN 'tab' ELSE 'space' END"), ("organize_imports", "'true'"), ("linter_rule_level", "'recommended=true'"), ("linter_rule_level", "concat('style.noVar=', d.lang)"), ("linter_rule_level", "'style.useConst=warn'"))),
+        (1, (("lint_tool", "'eslint'"), ("linter_rule_level", "'semi=error'"), ("linter_rule_level", "concat(d.source, '=off')"))),
+        (2, (("format_tool", "'prettier'"), ("formatter_line_width", "cast(d.n_chars AS varchar)"), ("formatter_indent_width", "'2'"))),
+    )
+]
+
+
+@query("ext_06_tooling", "tool_files", " UNION ALL ".join(_TOOLS))
+def _(v: Views) -> DataFrame:
+    return E.tooling(v.tool_files)
+
+
+def named_words(prompts: list[str]) -> list[str]:
+    """A provider that needs no network: it claims the first two words of a prompt, cites the number of its words and one episode that never was, and fences its answer."""
+    import json
+
+    out = []
+    for text in prompts:
+        words = text.split(" ")
+        claim = {"subject": "prompt", "predicate": "begins_with", "object": " ".join(words[:2]), "evidence": [str(len(words)), "never"]}
+        out.append("Here it is:\n```json\n" + json.dumps([claim, claim | {"object": ""}]) + "\n```\nDone.")
+    return out
+
+
+@query("ext_15_llm_facts", "prompts episodes", "SELECT prompt_id, concat(split_part(text, ' ', 1), CASE WHEN len(string_split(text, ' ')) > 1 THEN concat(' ', split_part(text, ' ', 2)) ELSE '' END) AS object_str, 'candidate' AS status, 'low' AS trust_tier, cast(len(string_split(text, ' ')) AS varchar) AS cited FROM prompts WHERE text <> '' AND len(string_split(text, ' ')) IN (SELECT episode_id FROM episodes)")
+def _(v: Views) -> DataFrame:
+    found = P.llm_facts(v.prompts.select("prompt_id", "text"), "text", named_words, v.episodes, ["prompt_id"])
+    return found.select("prompt_id", "object_str", "status", "trust_tier", F.array_join("evidence", ",").alias("cited"))
+
+
+_PARTS = " UNION ALL ".join(f"SELECT repo, path, predicate, object FROM ({sql})" for name, _, sql in EXTRACTED)
+
+
+@query("ext_14_pipeline", "facts files", f"SELECT * FROM ({_PARTS}) WHERE repo NOT IN ('repo1', 'repo2')")
 def _(v: Views) -> DataFrame:
-    """Extract, drop secrets, drop what is stored already."""
-    found = E.extract_all(v.files, ("dockerfile", "guidance"))
+    """Extract with all extractors, drop secrets, drop what is stored already."""
+    found = E.extract_all(v.files)
     stored = found.filter("repo IN ('repo1', 'repo2')").select("repo", "predicate", "object").distinct()
     return found.join(stored, ["repo", "predicate", "object"], "left_anti").select("repo", "path", "predicate", "object")
 

@@ -30,6 +30,11 @@ def _(v: Views) -> DataFrame:
     return v.facts.select("subject", "predicate").distinct().withColumn("conflict_id", T.conflict_id(F.col("subject"), F.col("predicate")))
 
 
+@query("str_04_evidence_key", "facts", "SELECT DISTINCT subject, predicate, sha256(concat(length(subject), '|', length(predicate), '|', subject, predicate, object_str)) AS evidence_key FROM facts")
+def _(v: Views) -> DataFrame:
+    return v.facts.select("subject", "predicate", T.evidence_key(F.col("subject"), F.col("predicate"), F.col("object_str")).alias("evidence_key")).distinct()
+
+
 @query("str_05_tokens", "facts", f"SELECT fact_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT fact_id, {TOKENS.format('object_str')} AS t FROM facts)")
 def _(v: Views) -> DataFrame:
     return v.facts.select("fact_id", T.tokens(F.col("object_str")).alias("t")).select("fact_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))

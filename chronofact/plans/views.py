@@ -69,6 +69,10 @@ SELECT l_orderkey * 8 + l_linenumber AS edge_id, concat('fact_', lpad(cast(l_par
 SELECT doc_id, concat('repo', cast(cast((doc_id - doc_id % 12) / 12 AS bigint) AS string)) AS repo,
   CASE doc_id % 12 WHEN 0 THEN 'package.json' WHEN 1 THEN 'tsconfig.json' WHEN 2 THEN '.editorconfig' WHEN 3 THEN 'Dockerfile' WHEN 4 THEN '.github/workflows/ci.yml' WHEN 5 THEN 'AGENTS.md' WHEN 6 THEN 'src/gen.ts' WHEN 7 THEN '.nvmrc' WHEN 8 THEN 'pyproject.toml' WHEN 9 THEN CASE WHEN doc_id % 2 = 1 AND doc_id % 7 < 3 THEN 'yarn.lock' ELSE 'pnpm-lock.yaml' END WHEN 10 THEN 'vitest.config.ts' WHEN 11 THEN 'src/main.ts' END AS path,
   CASE doc_id % 12 WHEN 0 THEN concat('{{"name":"', source, '","type":"module","packageManager":"', CASE WHEN doc_id % 24 = 0 THEN 'pnpm@9' ELSE '' END, '","engines":{{"node":">=20"}},"scripts":{{"test":"vitest","build":"tsc","other":"x"}}}}') WHEN 1 THEN concat('{{ // options', chr(10), '"compilerOptions": {{"strict": true, "target": "es', cast(2015 + doc_id % 8 AS string), '", /* out */ "outDir": "dist",}}, "include": ["src", "test"]}}') WHEN 2 THEN concat('root = true', chr(10), '[*]', chr(10), 'indent_style = ', CASE WHEN doc_id % 5 = 0 THEN 'tab' ELSE 'space' END, chr(10), 'indent_size = ', cast(2 + doc_id % 3 AS string), chr(10), '[*.md]', chr(10), 'indent_style = tab') WHEN 3 THEN concat('FROM node:', cast(18 + doc_id % 5 AS string), ' AS build', chr(10), '# note', chr(10), 'WORKDIR /app', chr(10), 'EXPOSE 80 ', cast(3000 + doc_id % 10 AS string), chr(10), 'USER app') WHEN 4 THEN concat('steps:', chr(10), '  - run: npm test', chr(10), '  - run: |', chr(10), '      npm ci', chr(10), '      # note', chr(10), '      npm run ', source, chr(10), '  - run: "npm run lint"') WHEN 5 THEN concat('# Title', chr(10), '- always use `pnpm` in ', source, chr(10), 'plain words stand here', chr(10), '- never commit token=abcdefghijklmnop123') WHEN 6 THEN concat('// @generated from ', source, chr(10), text) WHEN 7 THEN concat('# pin', chr(10), 'v', cast(16 + doc_id % 8 AS string)) WHEN 8 THEN concat('[project]', chr(10), 'requires-python = ">=3.', cast(8 + doc_id % 5 AS string), '"', chr(10), '[project.scripts]', chr(10), 'run-it = "a:b"', chr(10), '[tool.poetry]', chr(10), '[tool.ruff]') WHEN 10 THEN concat('export default {{ test: {{ environment: "', CASE WHEN doc_id % 4 = 0 THEN 'node' ELSE 'jsdom' END, '", testTimeout: ', cast(1000 + doc_id % 9 AS string), ' }} }}') WHEN 11 THEN concat('export function handler', cast(doc_id % 30 AS string), '() {{ return handler', cast((doc_id * 7 + 3) % 30 AS string), '(); }}', chr(10), 'export class Store', cast(doc_id % 11 AS string), ' {{}}') ELSE '' END AS content FROM {documents}""",
+    "tool_files": """
+SELECT doc_id, concat('repo', cast(doc_id AS string)) AS repo, CASE doc_id % 3 WHEN 0 THEN 'biome.json' WHEN 1 THEN '.eslintrc.json' ELSE '.prettierrc' END AS path, CASE doc_id % 3
+  WHEN 0 THEN concat('{{"formatter":{{"lineWidth":', cast(80 + length(source) AS string), ',"indentStyle":"', CASE WHEN lang = 'en' THEN 'tab' ELSE 'space' END, '"}},"organizeImports":{{"enabled":true}},"linter":{{"rules":{{"recommended":true,"style":{{"noVar":"', lang, '","useConst":{{"level":"warn"}}}}}}}}}}')
+  WHEN 1 THEN concat('{{"rules":{{"semi":["error","always"],"', source, '":"off"}}}}') ELSE concat('{{"printWidth":', cast(n_chars AS string), ',"tabWidth":2}}') END AS content FROM {documents}""",
     "injections": f"""
 SELECT event_id AS injection_id, concat('u', cast(user_id AS string)) AS session_id, concat('fact_', lpad(cast(user_id % 150 AS string), 8, '0')) AS fact_a, concat('fact_', lpad(cast(event_id % 200 AS string), 8, '0')) AS fact_b,
   CASE event_type WHEN 'purchase' THEN 'helped' WHEN 'error' THEN 'harmful' WHEN 'view' THEN 'ignored' ELSE 'unknown' END AS outcome, {EPOCH_MS} + event_id * 60000 AS at_ms FROM {{events}}""",

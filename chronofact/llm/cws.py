@@ -36,34 +36,38 @@ _MASK, _LANE_MASK = 2147483647, 65535
 
 
 def _least(terms: DataFrame, keys: list[str], samples: int, all_terms: bool) -> DataFrame:
-    """terms: keys, __h, __lw, __most, __bound. (keys, __k, __s): the least value of each sample; unless all terms are drawn, where ln a is at most the bound."""
-    each = terms.select(*keys, "__h", "__lw", "__most", "__bound", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("__k"))
-    g, h = F.xxhash64("__h", "__k"), F.xxhash64("__k", "__h")
+    """terms: keys, __h, __lw, __most. (keys, __k, __s): the least value of each sample; unless all terms are drawn, where a is at most never by the number of words."""
+    # A sample's number stands in the bits above 47; another bit makes the second draw.
+    numbers = F.array(*[F.lit(k << 48).cast("bigint") for k in range(samples)])
+    each = terms.select(*keys, "__h", "__lw", "__most", F.explode(numbers).alias("__x"))
+    mixed = F.col("__h").bitwiseXOR(F.col("__x"))
+    g, h = F.xxhash64(mixed), F.xxhash64(mixed.bitwiseXOR(F.lit(1 << 47).cast("bigint")))
     unit = lambda word, shift, bits: (F.call_function("shiftrightunsigned", word, F.lit(shift)).bitwiseAND(F.lit(2**bits - 1).cast("bigint")) + F.lit(0.5)) * F.lit(2.0**-bits)
     p, q = unit(g, 0, 32) * unit(g, 32, 32), unit(h, 0, 22) * unit(h, 22, 22)
+    most = F.coalesce("__most", F.lit(0.0))  # so that no test for null goes down to the scan and splits the texts there
     if not all_terms:
-        each = each.filter(2 * (1 - q) * p <= F.col("__most") * (1 + q))
+        each = each.filter((4 / (1 + q) - 2) * p <= most)
     r, c, b = -F.log(p), -F.log(q), unit(h, 44, 20)
     t = F.floor(F.col("__lw") / r + b)
     ln_a = F.log(c) - r * (t - b + 1)
     if not all_terms:
-        each = each.withColumn("__a", ln_a).filter("__a <= __bound")
+        each = each.withColumn("__a", ln_a).filter(F.col("__a") <= F.log(most) - F.coalesce("__lw", F.lit(0.0)))
         ln_a = F.col("__a")
     high = ((ln_a + 400.0) * F.lit(float(1 << 21))).cast("bigint")
     value = F.call_function("shiftleft", high, F.lit(32)) + F.xxhash64("__h", t).bitwiseAND(F.lit(_MASK))
-    return each.groupBy(*keys, "__k").agg(F.min(value).alias("__s"))
+    return each.groupBy(*keys, F.call_function("shiftrightunsigned", F.col("__x"), F.lit(48)).alias("__k")).agg(F.min(value).alias("__s"))
 
 
 def signatures(words: DataFrame, keys: list[str], samples: int = SAMPLES, never: float | None = NEVER) -> DataFrame:
     """words: keys, __n (the text's number of words) and __h (a word's hash), a row for each word of each text. Per text: keys, __sig, an array of longs of four samples each, and __c, the samples found.
 
     A text's least a is exponential with rate __n, so it exceeds never / __n with probability e^-never. As a >= c e^-r / w and
-    c = -ln q >= 2 (1 - q) / (1 + q), most terms are seen to lie above that without a logarithm and are passed over; a sample counts only if it lies below. Without `never` all terms are drawn.
+    c = -ln q >= 4 / (1 + q) - 2, most terms are seen to lie above that without a logarithm and are passed over; a sample counts only if it lies below. Without `never` all terms are drawn.
     If `words` is partitioned by some of the keys, no aggregation shuffles.
     """
     n = F.count(F.lit(1)).cast("double")
-    terms = words.groupBy(*keys, "__n", "__h").agg(F.log(n).alias("__lw"), (n * (never or 0.0) / F.greatest("__n", F.lit(1))).alias("__most"), F.log(F.lit(never or 1.0) / F.greatest("__n", F.lit(1))).alias("__bound"))
-    lane = F.call_function("shiftleft", F.col("__s").bitwiseAND(F.lit(_LANE_MASK).cast("bigint")), F.col("__k") % 4 * LANE)
+    terms = words.groupBy(*keys, "__n", "__h").agg(F.log(n).alias("__lw"), (n * (never or 0.0) / F.greatest("__n", F.lit(1))).alias("__most"))
+    lane = F.call_function("shiftleft", F.col("__s").bitwiseAND(F.lit(_LANE_MASK).cast("bigint")), (F.col("__k") % 4 * LANE).cast("int"))
     lanes = _least(terms, keys, samples, never is None).groupBy(*keys, F.floor(F.col("__k") / 4).alias("__q")).agg(F.bit_or(lane).alias("__l"), F.count(F.lit(1)).alias("__c"))
     both = lanes.groupBy(*keys).agg(F.sum("__c").alias("__c"), F.array_sort(F.collect_list(F.struct("__q", "__l"))).alias("__ls"))
     return both.select(*keys, "__c", F.transform("__ls", lambda x: x["__l"]).alias("__sig"))

@@ -452,7 +452,8 @@ def test_signatures_by_hand(spark):
         least = None
         for w, c in bag.items():
             h = long(hashed(w))
-            g, e = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), 42)), xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42))
+            g = xxhash.xxh64_intdigest(((h ^ k << 48) & (2**64 - 1)).to_bytes(8, "little"), 42)
+            e = xxhash.xxh64_intdigest(((h ^ k << 48 ^ 1 << 47) & (2**64 - 1)).to_bytes(8, "little"), 42)
             unit = lambda x, at, bits: ((x >> at & (2**bits - 1)) + 0.5) * 2.0**-bits
             r, q, b = -np.log(unit(g, 0, 32) * unit(g, 32, 32)), unit(e, 0, 22) * unit(e, 22, 22), unit(e, 44, 20)
             t = int(np.floor(np.log(c) / r + b))

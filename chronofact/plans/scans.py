@@ -350,6 +350,22 @@ def _(v: Views) -> DataFrame:
     return both.select("fact_id", F.round(F.col("confidence") * (1 + F.coalesce("learned", F.lit(0.0))), 6).alias("score")).orderBy(F.desc("score"), "fact_id").limit(25)
 
 
+_LEARNED = OUTCOME_SQL.replace("SELECT fact_id, count(*) AS n,", ", s AS (SELECT fact_id, count(*) AS n,", 1) + ")"
+
+
+@query("evl_09_rerank_lift", "injections facts", f"""{_LEARNED}, r AS (SELECT f.user_id, s.learned > 0 AS good, f.confidence AS base, round(f.confidence * (1 + s.learned), 6) AS lrn FROM facts f JOIN s ON s.fact_id = f.fact_id WHERE s.learned <> 0)
+SELECT count(*) AS pairs, round(avg(CASE WHEN p.base > d.base THEN 1.0 ELSE 0.0 END), 6) AS baseline, round(avg(CASE WHEN p.lrn > d.lrn THEN 1.0 ELSE 0.0 END), 6) AS learned FROM r p JOIN r d ON p.user_id = d.user_id AND p.good AND NOT d.good""")
+def _(v: Views) -> DataFrame:
+    # How often a fact that helped stands above one that didn't, before and after learning: counted down the order, not by pairs.
+    r = v.facts.select("fact_id", "user_id", F.col("confidence").alias("base")).join(outcome_stats(v).filter("learned <> 0"), "fact_id")
+    r = r.select("user_id", "base", F.round(F.col("base") * (1 + F.col("learned")), 6).alias("lrn"), (F.col("learned") > 0).cast("bigint").alias("good"))
+    for c in ("base", "lrn"):
+        upto = F.sum("good").over(W.partitionBy("user_id").orderBy(F.desc(c)).rangeBetween(W.unboundedPreceding, W.currentRow))
+        r = r.withColumn(f"above_{c}", upto - F.sum("good").over(W.partitionBy("user_id", c)))
+    r = r.withColumn("all_good", F.sum("good").over(W.partitionBy("user_id"))).filter("good = 0")
+    return r.agg(F.sum("all_good").alias("pairs"), F.round(F.sum("above_base") / F.sum("all_good"), 6).alias("baseline"), F.round(F.sum("above_lrn") / F.sum("all_good"), 6).alias("learned"))
+
+
 @query("srt_05_boot_order", "facts", "SELECT fact_id, CASE fact_kind WHEN 'constraint' THEN 3 WHEN 'procedural' THEN 2 ELSE 1 END AS priority FROM facts WHERE status = 'active' AND session_id IS NULL AND trust_tier = 'high' AND sensitivity <> 'secret' ORDER BY 2 DESC, t_recorded DESC, fact_id LIMIT 12")
 def _(v: Views) -> DataFrame:
     f = v.facts.filter("status = 'active' AND session_id IS NULL AND trust_tier = 'high' AND sensitivity <> 'secret'")

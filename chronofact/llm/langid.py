@@ -125,12 +125,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     draw = F.pmod(F.xxhash64(F.lit(11), "__id", "__t"), F.lit(1 << 30))
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[np.ndarray]] = {}
+
+        def settled(name: str) -> pd.DataFrame:
+            code, n = np.unique(np.concatenate(held.pop(name)), return_counts=True)
+            return pd.DataFrame({"__lang": name, "__code": code.astype("int64"), "__n": n})
+
         for part in parts:
-            for name, own in part.groupby("__lang"):
-                for t in own["__t"]:
-                    for some in blocks(t.encode("utf-8", "surrogatepass")):
-                        code, n = np.unique(some, return_counts=True)
-                        yield pd.DataFrame({"__lang": name, "__code": code.astype("int64"), "__n": n})
+            for name, text in zip(part["__lang"], part["__t"], strict=True):
+                for some in blocks(text.encode("utf-8", "surrogatepass")):
+                    own = held.setdefault(name, [])
+                    own.append(some)
+                    if sum(map(len, own)) >= 1 << 20:
+                        yield settled(name)
+            for name in [*held]:
+                yield settled(name)
 
     sample = known.join(F.broadcast(sizes), "__lang").filter(draw * F.col("__n") < F.lit(docs_per_language << 30)).select("__lang", "__t")
     total = sample.mapInPandas(counted, "__lang string, __code bigint, __n bigint").groupBy("__lang", "__code").agg(F.sum("__n").alias("__n"))

@@ -54,7 +54,7 @@ def surface(raw: bytes) -> list[float]:
     ]
 
 
-def buckets(raw: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def buckets(raw: bytes, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """The different buckets of a text's words, and of its n-grams."""
     low = raw.lower()
     words = np.unique(np.array([zlib.crc32(w) % BUCKETS for w in {w.strip(_MARKS) for w in low.split()}], np.int64))
@@ -116,13 +116,16 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 def fit(sample: DataFrame) -> tuple[list[np.ndarray], dict[str, np.ndarray | None]]:
     """Feature weights per target, and the logistic weights, None for a target without labels of both kinds."""
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = {(t, label): np.zeros(2 * BUCKETS, np.int64) for t in TARGETS for label in (0, 1)}
         for part in parts:
-            for t in TARGETS:
-                for label in (0, 1):
-                    found = [np.concatenate(buckets(x.encode("utf-8", "surrogatepass"))) for x in part["__t"][part[t] == label]]
-                    if found:
-                        own, n = np.unique(np.concatenate(found), return_counts=True)
-                        yield pd.DataFrame({"target": t, "label": label, "bucket": own, "n": n})
+            for text, *labels in zip(part["__t"], *[part[t] for t in TARGETS], strict=True):
+                own = np.concatenate(buckets(text.encode("utf-8", "surrogatepass")))
+                for t, label in zip(TARGETS, labels, strict=True):
+                    if label in (0, 1):  # neither null nor not a number
+                        n[t, int(label)][own] += 1
+        for (t, label), own in n.items():
+            some = np.flatnonzero(own)
+            yield pd.DataFrame({"target": t, "label": label, "bucket": some, "n": own[some]})
 
     counts = sample.filter("__half = 0").mapInPandas(counted, "target string, label int, bucket bigint, n bigint")
     counts = counts.groupBy("target", "label", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()

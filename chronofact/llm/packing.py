@@ -29,7 +29,7 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_DOCS = 5_000
 #: Words whose ids a worker remembers, in two generations: when one is full, the one before it is forgotten.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 #: The tokenizer's byte alphabet: printable bytes stand for themselves, the others for code points from 256.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}

@@ -4,11 +4,13 @@ Filters: A few words, B few distinct words, C many capitals, D odd characters, E
 the text alone and are told by Spark's functions; E depends on what other files hold. All files are processed as
 available-now micro-batches. State is keyed by the text's SHA-256 and holds its least id so far with the parts of the rows that have
 that id. A row that comes is counted in its part under its mask of failures; when a smaller id arrives, the earlier least rows'
-masks are retracted from their parts' counters and come back with E set. A batch writes its own changes of the counters under its
-number, so one that is run again replaces them. The audit is read off the counters: 32 masks a part, whatever the table's size.
+masks are retracted from their parts' counters and come back with E set. The audit is read off the counters: 32 masks a part, whatever
+the table's size.
 
-Before rows go to their text's state, a map task folds the rows of equal texts: those above its least id surely fail E and travel as counts
-under keys of their own, so a text that a third of all rows have sends one row a task to its state.
+The state is a table in the shared folder to which a batch appends the texts whose least rows it changed; a batch joins its own
+texts, one row each, with what the batches before it left. Its rows, state and changes of the counters are written under its number, so a
+batch that is run again replaces them. A text that a third of all rows have is one row in that join; its rows meet the outcome by broadcast.
+A keyed operator in Python was tried first: at 2 to 4 ms a text it was beyond the limit.
 
 Defined results: a null text or part is an empty one, a null id is the smallest; rows of the same id don't make each other fail E;
 repeated rows count one by one; a document has a label if any of its label rows says so, and none if its id is null; an empty table gives no rows.
@@ -16,30 +18,23 @@ repeated rows count one by one; a document has a label if any of its label rows
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 from itertools import permutations
 
-import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronofact.llm.common import WORD, id_of, shared_folder, text_of
-from chronofact.shipping import ship
+from chronofact.llm.common import WORD, id_of, join_by_key, shared_folder, text_of
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Bytes of files that a micro-batch takes for each core.
 BATCH_BYTES = 64 << 20
-#: Texts whose least ids a map task holds before it sends them on.
-HELD_TEXTS = 100_000
+_ROWS = "key string, id bigint, part string, mask int"
+_TEXTS = "key string, id bigint, mask int, parts array<struct<part:string,n:bigint>>, number bigint"
 _COUNTERS = "part string, mask int, good boolean, toxic boolean, n bigint"
-_ROW = "key string, id bigint, part string, mask int, n bigint, settled boolean"
 
 
 def failures(text: Column) -> Column:
@@ -55,102 +50,57 @@ def failures(text: Column) -> Column:
     return sum((F.when(t, 1 << i).otherwise(0) for i, t in enumerate(tests)), F.lit(0))
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text the rows of its least id in this task; the others, which fail E, as counts that need no state."""
-    least: dict[str, tuple[int, int, dict[str, int]]] = {}
-    others: dict[tuple[int, str, int], int] = {}
-    task = TaskContext.get().partitionId()
-    schema = pa.schema([("key", pa.string()), ("id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("n", pa.int64()), ("settled", pa.bool_())])
-
-    def out() -> Iterator[pa.RecordBatch]:
-        rows = [(key, i, part, mask, n, False) for key, (i, mask, parts) in least.items() for part, n in parts.items()]
-        rows += [(f"{task}:{i & 15}", i, part, mask, n, True) for (i, part, mask), n in others.items()]
-        least.clear(), others.clear()
-        for a in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 10_000], strict=True), schema, strict=True)], schema=schema)
-
-    for batch in batches:
-        for key, i, part, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            known = least.get(key)
-            if known is None or i < known[0]:
-                for p, n in (known[2] if known else {}).items():
-                    at = (known[0], p, mask | COPY)
-                    others[at] = others.get(at, 0) + n
-                least[key] = (i, mask, {part: 1})
-            elif i == known[0]:
-                known[2][part] = known[2].get(part, 0) + 1
-            else:
-                at = (i, part, mask | COPY)
-                others[at] = others.get(at, 0) + 1
-        if len(least) + len(others) > HELD_TEXTS:
-            yield from out()
-    yield from out()
-
-
-def _retracting(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of counters as (id, part, mask, n); the state is a text's least id and the parts of its rows."""
-    low, held = (state.get[0], json.loads(state.get[1])) if state.exists else (None, {})
-    changes: dict[tuple[int, str, int], int] = {}
-
-    def change(i: int, part: str, mask: int, n: int) -> None:
-        changes[i, part, mask] = changes.get((i, part, mask), 0) + n
-
-    for rows in parts:
-        for i, part, mask, n, settled in zip(*(rows[c].tolist() for c in ("id", "part", "mask", "n", "settled")), strict=True):
-            if settled:
-                change(i, part, mask, n)
-                continue
-            if low is None or i < low:
-                for p, m in held.items():
-                    change(low, p, mask, -m)
-                    change(low, p, mask | COPY, m)
-                low, held = i, {}
-            if i == low:
-                held[part] = held.get(part, 0) + n
-            change(i, part, mask if i == low else mask | COPY, n)
-    if low is not None:
-        state.update((low, json.dumps(held)))
-    rows = [(*at, n) for at, n in changes.items() if n]
-    yield pd.DataFrame({c: [r[j] for r in rows] for j, c in enumerate(("id", "part", "mask", "n"))}).astype({"id": "int64", "part": object, "mask": "int32", "n": "int64"})
-
-
-def _session(spark: SparkSession) -> SparkSession:
-    """A session of its own for the stream: state in RocksDB, its memory bounded, on the caller's number of shuffle partitions."""
-    own = spark.newSession()
-    for key, value in {
-        "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
-        "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
-    }.items():
-        own.conf.set(key, value)
-    return own
+def _changes(rows: DataFrame, texts: DataFrame, save: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What a batch's rows change: (id, part, mask, n) of the counters, and the texts whose least rows are others now. texts: the state, all its versions."""
+    known = texts.groupBy("key").agg(F.min_by(F.struct("id", "parts"), F.struct("id", -F.col("number"))).alias("old"))
+    own = rows.groupBy("key").agg(F.min("id").alias("low"), F.first("mask").alias("mask"), F.count(F.lit(1)).alias("n"))
+    met = save(own.join(known, "key", "left").select("key", "mask", "n", "low", "old", F.least("low", "old.id").alias("least")))
+    total = met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = save(join_by_key(rows, met.select("key", "least", "n"), ["key"], "n", total, F.col("id")))
+    come = placed.select("id", "part", F.when(F.col("id") > F.col("least"), F.col("mask").bitwiseOR(COPY)).otherwise(F.col("mask")).alias("mask"), F.lit(1).cast("bigint").alias("n"))
+    beaten = met.filter(F.col("low") < F.col("old.id")).select(F.col("old.id").alias("id"), "mask", F.explode("old.parts").alias("p"))
+    ways = F.explode(F.array(F.struct(F.col("mask"), (-F.col("p.n")).alias("n")), F.struct(F.col("mask").bitwiseOR(COPY).alias("mask"), F.col("p.n").alias("n")))).alias("w")
+    beaten = beaten.select("id", F.col("p.part").alias("part"), ways).select("id", "part", "w.mask", "w.n")
+    parts = placed.filter("id = least").groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.collect_list(F.struct("part", "n")).alias("parts"))
+    kept = F.when(F.col("old.id") == F.col("least"), F.col("old.parts")).otherwise(F.array().cast("array<struct<part:string,n:bigint>>"))
+    new = met.join(parts, "key").select("key", F.col("least").alias("id"), "mask", F.concat(kept, F.col("parts")).alias("parts"))
+    return come.unionByName(beaten), new
 
 
 def count_masks(folder: str, labels: DataFrame, like: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", batch_bytes: int | None = None, files: int | None = None) -> DataFrame:
     """part, mask, good, toxic and n over all Parquet files of `folder`, which have the schema of `like`; `files` takes so many files a batch instead of bytes."""
     spark = labels.sparkSession
-    ship(spark)
     base = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
     says = lambda label: F.max(F.coalesce(F.col(label) == 1, F.lit(False))).alias(label)
     labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(says("quality"), says("toxic")).write.parquet(f"{base}/labels")
     spark.createDataFrame([], _COUNTERS).write.parquet(f"{base}/counters/batch=none")
 
-    def counted(changes: DataFrame, number: int) -> None:
+    spark.createDataFrame([], _TEXTS).write.parquet(f"{base}/texts/batch=none")
+
+    def counted(batch: DataFrame, number: int) -> None:
+        at = lambda name: f"{base}/{name}/batch={number}"
+        saved = iter(("met", "placed"))
+
+        def save(df: DataFrame) -> DataFrame:
+            path = at(next(saved))
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        batch.write.mode("overwrite").parquet(at("rows"))
+        texts = spark.read.schema(_TEXTS).parquet(*[f"{base}/texts/batch={i}" for i in ("none", *range(number))])
+        changes, new = _changes(spark.read.schema(_ROWS).parquet(at("rows")), texts, save)
+        new.withColumn("number", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(at("texts"))
         own = changes.groupBy("id", "part", "mask").agg(F.sum("n").alias("n")).filter("n <> 0")
-        own = own.join(changes.sparkSession.read.schema("id bigint, quality boolean, toxic boolean").parquet(f"{base}/labels"), "id", "left")
+        own = own.join(spark.read.schema("id bigint, quality boolean, toxic boolean").parquet(f"{base}/labels"), "id", "left")
         own = own.groupBy("part", "mask", F.coalesce("quality", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic")).agg(F.sum("n").alias("n"))
-        own.filter("n <> 0").write.mode("overwrite").parquet(f"{base}/counters/batch={number}")
+        own.filter("n <> 0").write.mode("overwrite").parquet(at("counters"))
 
-    stream = _session(spark).readStream.schema(like.schema)
+    stream = spark.readStream.schema(like.schema)
     stream = stream.option("maxFilesPerTrigger", files) if files else stream.option("maxBytesPerTrigger", batch_bytes or BATCH_BYTES * spark.sparkContext.defaultParallelism)
     # A file is read as a stream by a pattern only; this one matches the name alone.
     rows = stream.parquet(re.sub(r"(\w)/*$", r"[\1]", folder)).select(id_of(id_col).cast("bigint").alias("id"), text_of(text_col).alias("__t"), text_of(part_col).alias("part"))
     rows = rows.select(F.sha2("__t", 256).alias("key"), "id", "part", failures(F.col("__t")).alias("mask"))
-    changes = rows.mapInArrow(_folded, _ROW).groupBy("key").applyInPandasWithState(_retracting, "id bigint, part string, mask int, n bigint", "low bigint, held string", "append", GroupStateTimeout.NoTimeout)
-    changes.writeStream.foreachBatch(counted).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.foreachBatch(counted).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
     counters = spark.read.schema(_COUNTERS).option("recursiveFileLookup", "true").parquet(f"{base}/counters")
     return counters.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
 

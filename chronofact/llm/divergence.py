@@ -1,7 +1,7 @@
 """How the sources of a language differ in their words, by in-mapper stripes.
 
 A task folds whole documents into stripes: for each language and term the number of its documents so far and the occurrences by
-source. Beyond HELD entries it spills what it has as rows and goes on. Stripes of a key are merged in sorted order, a row at a time,
+source. Beyond HELD entries it spills what it has as rows and goes on. Stripes of a key are merged in sorted order, a batch at a time,
 by the task that the key is dealt to; a hot term sends one stripe a spill, never a row an occurrence. Terms of fewer than
 MIN_DOCS documents go. The merged stripes, dealt by language and blocks of terms, directly emit each pair's sum of divergences over
 the block and each group's foremost terms; sums add up, foremost terms compete.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,27 +93,58 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from spill()
 
 
+def _starts(table: pa.Table) -> np.ndarray:
+    """Where a new key begins in rows sorted by language and term."""
+    new = np.ones(len(table), bool)
+    for name in ("lang", "term"):
+        column = table.column(name).combine_chunks()
+        new[1:] = (new[1:] if name == "term" else False) | pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _summed(table: pa.Table, starts: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    """A row for each key: its stripes' counts added by source."""
+    owner = np.repeat(np.arange(len(starts)), np.diff([*starts, len(table)]))
+    lists = table.column("sources").combine_chunks()
+    entry = np.repeat(owner, lists.value_lengths().to_numpy(zero_copy_only=False))
+    names = lists.flatten().dictionary_encode()
+    where, back = np.unique(entry * max(len(names.dictionary), 1) + names.indices.to_numpy(), return_inverse=True)
+    counts = np.zeros(len(where), np.int64)
+    np.add.at(counts, back, table.column("counts").combine_chunks().flatten().to_numpy())
+    offsets = pa.array(np.searchsorted(where, np.arange(len(starts) + 1) * max(len(names.dictionary), 1)).astype(np.int32))
+    sources = names.dictionary.take(pa.array(where % max(len(names.dictionary), 1)))
+    at = pa.array(starts)
+    columns = [table.column(c).combine_chunks().take(at) for c in ("lang", "term")]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(docs), pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, pa.array(counts))], schema=_STRIPE)
+
+
 def _merge(min_docs: int):  # noqa: ANN202
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stripes() -> Iterator[tuple[str, str, Stripe]]:
-            key, stripe = None, {}
-            for batch in batches:
-                for lang, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (lang, term) != key:
-                        if key and stripe[None] >= min_docs:
-                            yield *key, stripe
-                        key, stripe = (lang, term), {None: 0}
-                    stripe[None] += docs
-                    for s, n in zip(sources, counts, strict=True):
-                        stripe[s] = stripe.get(s, 0) + n
-            if key and stripe[None] >= min_docs:
-                yield *key, stripe
-
-        yield from _rows(stripes())
+        """Stripes added up by key; keys of fewer documents go before their sources are looked at. A key that a batch ends with is carried over as one row."""
+        open_key = _STRIPE.empty_table()
+        for batch in batches:
+            table = pa.concat_tables([open_key, pa.Table.from_batches([batch.cast(_STRIPE) if batch.schema != _STRIPE else batch])])
+            if not len(table):
+                continue
+            starts = _starts(table)
+            docs = np.add.reduceat(table.column("docs").to_numpy(), starts)
+            if len(starts) > 1:
+                yield from _whole(table.slice(0, starts[-1]), starts[:-1], docs[:-1], min_docs)
+            open_key = pa.Table.from_batches([_summed(table.slice(starts[-1]), np.zeros(1, int), docs[-1:])])
+        if len(open_key):
+            yield from _whole(open_key, np.zeros(1, int), open_key.column("docs").to_numpy(), min_docs)
 
     return merged
 
 
+def _whole(table: pa.Table, starts: np.ndarray, docs: np.ndarray, min_docs: int) -> Iterator[pa.RecordBatch]:
+    kept = docs >= min_docs
+    if kept.any():
+        sizes = np.diff([*starts, len(table)])
+        rows = table.filter(pa.array(np.repeat(kept, sizes)))
+        yield _summed(rows, np.cumsum(sizes[kept]) - sizes[kept], docs[kept])
+
+
 def stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
     """Merged stripes of the kept terms: lang, term, docs, sources, counts. Materialised."""
     ship(docs.sparkSession)

@@ -34,7 +34,9 @@ from chronofact.shipping import ship
 
 WORDS = 65_536
 LONGEST = 64
-BLOCK = 1 << 21
+BLOCK = 1 << 20
+#: Merged words that a worker remembers, in two generations.
+MERGED_WORDS = 50_000
 Ids = tuple[int, ...]
 
 
@@ -184,6 +186,7 @@ class Encoder:
 
     def __init__(self, lexicon: Lexicon, tokenizer: WordTokenizer) -> None:
         self.lexicon, self.tokenizer = lexicon, tokenizer
+        tokenizer.remembered = MERGED_WORDS
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each text has, and all ids."""
@@ -241,7 +244,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
 def _decoder(tokenizer_path: str) -> Callable[[list[int]], str]:
     """The library's decoding with special tokens; without a decoder in the tokenizer's file that is its tokens between spaces."""
-    whole = WordTokenizer.of(tokenizer_path).whole
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path)
     if whole.decoder is not None:
         return lambda ids: whole.decode(ids, skip_special_tokens=False)
     tokens = list(map(whole.id_to_token, range(max(whole.get_vocab(with_added_tokens=True).values()) + 1)))

@@ -54,6 +54,8 @@ class WordTokenizer:
     little-endian unsigned 32-bit bytes.
     """
 
+    remembered = KNOWN_WORDS
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -86,7 +88,7 @@ class WordTokenizer:
         return self._keep(word, ids)
 
     def _keep(self, word: str, ids: bytes) -> bytes:
-        if len(self.known) >= KNOWN_WORDS:
+        if len(self.known) >= self.remembered:
             self.known, self.before = {}, self.known
         if len(word) <= 64:
             self.known[word] = ids

@@ -17,6 +17,7 @@ from chronofact.operators import facts as O
 from chronofact.operators import inject as I
 from chronofact.operators import lifecycle as L
 from chronofact.operators import retrieve as R
+from chronofact.operators.index import StoredIndex, vector_of, words_of
 from chronofact.storage import materialise
 
 FACT = (
@@ -86,18 +87,21 @@ class FactStore:
         self._append(gone.withColumn("status", F.lit("expired")).withColumn("t_expired", F.lit(at_ms)).withColumn("invalidated_by", F.col("fact_id")).withColumn("t_written", F.lit(at_ms)).withColumn("version", F.col("version") + 1))
 
     def recall(self, queries: DataFrame, user: str, workspace: str | None = None, session: str | None = None, k: int = 15, now_ms: int | None = None, valid: DataFrame | None = None) -> DataFrame:
-        """(query_id, fact_id, score, rank) for queries (query_id, text): words over all facts with the queries' expansions, the pool ranked by meaning too, fused, weighed by scope, entities,
-        confidence and recency, spread out. Only visible active facts that are safe to send; with `valid` (fact_id), of those only facts valid at the caller's head.
+        """(query_id, fact_id, score, rank) for queries (query_id, text and, if there is one, broad): passes by scope with the queries' expansions, broad fill, short pools filled by meaning; fused,
+        weighed by scope, entities, confidence and recency, spread out. Only visible active facts that are safe to send; with `valid` (fact_id), of those only facts valid at the caller's
+        head. Words and embeddings are read from indexes beside the log, which take up what was written since.
         """
         facts = self.current()
         parts = [F.col(c) for c in ("subject", "predicate", "object_str")]
         facts = facts.withColumn("key", T.content_key(*parts)).withColumn("index_text", T.fts_text(*parts, F.col("raw_quote")))
         facts = facts.withColumn("semantic_text", T.present(*parts, *[F.col(c) for c in ("raw_quote", "fact_kind", "temporal_kind", "tags_text")]))
-        facts = facts.withColumn("eligible", (F.col("status") == "active") & O.in_scope(F.lit(user), F.lit(workspace), F.lit(session)) & X.safe_for_send(F.col))
-        known = facts.withColumn("valid", F.lit(True)) if valid is None else facts.join(valid.select("fact_id").distinct().withColumn("valid", F.lit(True)), "fact_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
-        asked = queries.withColumn("entities", F.slice(F.filter(T.query_terms(F.col("text")), lambda t: F.length(t) >= 6), 1, 2))
+        facts = facts.withColumn("passes", R.scope_passes(user, workspace, session)).withColumn("eligible", O.in_scope(F.lit(user), F.lit(workspace), F.lit(session))).withColumn("fill", R.fill_value(workspace, session))
+        sound = (F.col("status") == "active") & X.safe_for_send(F.col)
+        known = facts.withColumn("valid", sound) if valid is None else facts.join(valid.select("fact_id").distinct().withColumn("__there", F.lit(True)), "fact_id", "left").withColumn("valid", sound & F.coalesce("__there", F.lit(False))).drop("__there")
+        asked = queries.withColumn("entities", F.slice(F.filter(T.query_terms(F.col("text")), lambda t: F.length(t) >= 6), 1, 2)).withColumn("user_id", F.lit(user))
         now = F.lit(now_ms) if now_ms is not None else F.col("t_recorded")
-        ranked = materialise(R.retrieve(known, asked, "query_id", "text", F.lit(session), now).select("query_id", "fact_id", "rank", "score"))
+        words, vectors = StoredIndex(self.spark, f"{self.folder}/index/words", words_of), StoredIndex(self.spark, f"{self.folder}/index/vectors", vector_of, forward=True)
+        ranked = materialise(R.retrieve(known, asked, "query_id", "text", F.lit(session), now, words=words, vectors=vectors).select("query_id", "fact_id", "rank", "score"))
         near = known.join(ranked.filter(F.col("rank") <= R.MMR_POOL).select("fact_id").distinct(), "fact_id", "left_semi")
         return R.mmr(ranked, R.sparse_embedding(near, "fact_id", "semantic_text"), "query_id", "fact_id").filter(F.col("rank") <= k).select("query_id", "fact_id", "score", "rank")
 

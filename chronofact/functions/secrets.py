@@ -11,7 +11,7 @@ from chronofact.functions.text import is_dangerous
 
 #: Forms of secrets, (kind, pattern). No look-around, so that other engines can run them too.
 PATTERNS = (
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"),
+    ("private_key", r"-----BEGIN (?:[A-Z ]{0,39} )?PRIVATE KEY(?: BLOCK)?-----"),
     ("aws", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
     ("openai", r"\bsk-[A-Za-z0-9_-]{16,}"),
     ("stripe", r"\bsk_(?:live|test)_[A-Za-z0-9]{16,}"),

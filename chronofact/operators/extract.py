@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofact.functions import config as C
 from chronofact.functions.secrets import contains_secret
 from chronofact.operators.facts import top_per
+from chronofact.shipping import ship
 
 #: What makes a line of prose guidance.
 GUIDANCE = r"(?i)\b(use|run|do not|don't|never|always|prefer|must|should|convention|note)\b"
@@ -29,7 +34,9 @@ COMPILER_OPTIONS = {
     "rootDir": "typescript_source_root", "outDir": "typescript_output_dir", "declaration": "typescript_declaration_output",
 }
 GENERATED = ("@generated", "DO NOT EDIT", "Code generated by", "autogenerated", "This file is auto-generated")
-TEST_RUNNERS = ("vitest", "jest", "playwright", "cypress")
+PYTHON_LOCKFILES = (("uv.lock", "uv"), ("poetry.lock", "poetry"), ("requirements.txt", "pip"))
+DOCKERFILES = ("Dockerfile", "Dockerfile.dev", "docker/Dockerfile")
+COMPOSE_FILES = ("compose.yaml", "compose.yml", "docker-compose.yaml", "docker-compose.yml")
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -73,12 +80,12 @@ def lockfile(files: DataFrame) -> DataFrame:
 
 
 def tsconfig(files: DataFrame) -> DataFrame:
-    """Compiler options and includes; comments and trailing commas are allowed."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", ""), r"(?m)(^|[\s,{\[])//[^\n]*", "$1"), r",(\s*[}\]])", "$1")
-    own = files.filter("path = 'tsconfig.json'").withColumn("j", bare).filter(F.try_parse_json("j").isNotNull())
-    options = F.array(*[_pair(p, F.get_json_object("j", f"$.compilerOptions.{o}")) for o, p in COMPILER_OPTIONS.items()])
-    globs = F.transform(F.coalesce(F.from_json(F.get_json_object("j", "$.include"), "array<string>"), F.array().cast("array<string>")), lambda g: _pair("typescript_include", g))
-    return _said(own, F.concat(options, globs, F.array(_pair("typescript_extends", F.get_json_object("j", "$.extends")))))
+    """Compiler options, include and exclude globs as arrays, the configuration that it extends; comments and trailing commas are allowed."""
+    own = files.filter("path = 'tsconfig.json'").withColumn("j", C.jsonc(F.col("content"))).filter(F.try_parse_json("j").isNotNull())
+    j = F.col("j")
+    options = F.array(*[_pair(p, C.scalar(j, f"$.compilerOptions.{o}")) for o, p in COMPILER_OPTIONS.items()])
+    globs = F.array(_pair("typescript_include_globs", F.to_json(C.strings(j, "$.include"))), _pair("typescript_exclude_globs", F.to_json(C.strings(j, "$.exclude"))))
+    return _said(own, F.concat(options, globs, F.array(_pair("typescript_extends_config", F.trim(C.scalar(j, "$.extends"))))))
 
 
 def editorconfig(files: DataFrame) -> DataFrame:
@@ -89,16 +96,57 @@ def editorconfig(files: DataFrame) -> DataFrame:
     return _said(files.filter("path = '.editorconfig'"), F.array(_pair("indent_style", F.when(size != "", F.concat(style, F.lit(" (size "), size, F.lit(")"))).otherwise(style))))
 
 
-def dockerfile(files: DataFrame) -> DataFrame:
-    """Base images, stages, ports, workdirs and users, line by line."""
-    line = lambda p, x: F.regexp_extract(x, p, 1)
-    rows = files.filter("path RLIKE '(^|/)Dockerfile$'").select("repo", "path", F.explode(_lines(F.col("content"))).alias("x"))
-    x = F.col("x")
-    image = line(r"(?i)^FROM\s+(?:--\S+\s+)*(\S+)", x)
-    stage = line(r"(?i)^FROM\s+.*\s+AS\s+(\S+)", x)
-    ports = F.transform(F.slice(F.split(line(r"(?i)^EXPOSE\s+(.+)$", x), r"\s+"), 1, 20), lambda p: _pair("container_exposed_port", p))
-    pairs = F.array(_pair("container_base_image", image), _pair("container_stage_base", F.when(stage != "", F.concat(stage, F.lit("="), image))), _pair("container_workdir", line(r"(?i)^WORKDIR\s+(.+)$", x)), _pair("container_user", line(r"(?i)^USER\s+(.+)$", x)))
-    return _said(rows, F.concat(pairs, ports))
+def dockerfile(files: DataFrame, most: int = 60) -> DataFrame:
+    """Base images, stages, ports, workdirs and users, line by line, the first `most` of a file."""
+
+    def pairs(x: Column) -> Column:
+        words = F.split(x, r"\s+")
+        rest = F.filter(F.slice(words, 2, 1_000_000), lambda w: ~w.startswith("--"))
+        image = F.when(F.upper(words[0]) == "FROM", F.get(rest, F.lit(0)))
+        stage = F.get(rest, F.nullif(F.array_position(F.transform(rest, lambda w: F.upper(w)), "AS"), F.lit(0)).cast("int"))
+        line = lambda p: F.regexp_extract(x, p, 1)
+        ports = F.transform(F.slice(F.split(line(r"(?i)^EXPOSE\s+(.+)$"), r"\s+"), 1, 20), lambda p: _pair("container_exposed_port", p))
+        return F.concat(F.array(_pair("container_base_image", image), _pair("container_stage_base", F.when(stage.isNotNull(), F.concat(stage, F.lit("="), image)))), ports, F.array(_pair("container_workdir", line(r"(?i)^WORKDIR\s+(.+)$")), _pair("container_user", line(r"(?i)^USER\s+(.+)$"))))
+
+    rows = files.filter(F.col("path").isin(*DOCKERFILES))
+    said = F.filter(F.flatten(F.transform(_lines(F.col("content")), pairs)), lambda p: p["object"].isNotNull() & (p["object"] != ""))
+    return _said(rows, F.slice(said, 1, most))
+
+
+def _by_file(files: DataFrame, read: Callable[[str], list[tuple[str, str]]]) -> DataFrame:
+    """(repo, path, pos, predicate, object) of what `read` finds in each file's content."""
+    ship(files.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(repo, path, i, *pair) for repo, path, content in zip(part["repo"], part["path"], part["content"], strict=True) for i, pair in enumerate(read(content or ""))]
+            yield pd.DataFrame(rows, columns=["repo", "path", "pos", "predicate", "object"])
+
+    return files.select("repo", "path", "content").mapInPandas(run, "repo string, path string, pos int, predicate string, object string")
+
+
+def compose_services(text: str, services: int = 30, ports: int = 20, most: int = 80) -> list[tuple[str, str]]:
+    """Services of a compose file with their images, build contexts and ports, as predicates and objects; the first of each."""
+    found: dict[str, dict[str, list[str]]] = {}
+    for above, key, value in C.indented(text):
+        if above == ["services"] and not value and key not in ("-", "|"):
+            found.setdefault(key, {"image": [], "build": [], "ports": []})
+        elif above[:1] == ["services"] and len(above) > 1 and (own := found.get(above[1])) is not None:
+            if key in ("image", "build") and value:
+                own[key] = [C.unquoted(value)]
+            elif key == "-" and above[-1] == "ports":
+                own["ports"].append(C.unquoted(value))
+    out = []
+    for name, own in list(found.items())[:services]:
+        out.append(("compose_service", name))
+        for key, predicate in (("image", "compose_image"), ("build", "compose_build_context"), ("ports", "compose_port")):
+            out += [(predicate, f"{name}={x}") for x in own[key][:ports] if x]
+    return out[:most]
+
+
+def compose(files: DataFrame) -> DataFrame:
+    """Services, images, build contexts and ports of compose files; what is said of a service begins with its name."""
+    return _by_file(files.filter(F.col("path").isin(*COMPOSE_FILES)), compose_services).drop("pos")
 
 
 def runtime_versions(files: DataFrame) -> DataFrame:
@@ -110,27 +158,56 @@ def runtime_versions(files: DataFrame) -> DataFrame:
     return _said(own, F.when(F.col("path") == ".tool-versions", many).otherwise(F.array(_pair("version_pin", one))))
 
 
+def python_manager(files: DataFrame) -> DataFrame:
+    """The manager by the first of the lock files that a repository has, else by the tool sections of its pyproject.toml."""
+    tool = lambda name: F.col("content").rlike(rf"(?m)^\s*\[tool\.{name}(?:\.[^\]]+)?\]\s*$")
+    held = F.when(F.col("path") == "pyproject.toml", F.when(tool("uv"), "uv").when(tool("poetry"), "poetry")).otherwise(_map(dict(PYTHON_LOCKFILES))[F.col("path")])
+    order = F.array_position(F.array(*[F.lit(f) for f, _ in PYTHON_LOCKFILES], F.lit("pyproject.toml")), F.col("path"))
+    own = files.filter(F.col("path").isin(*dict(PYTHON_LOCKFILES), "pyproject.toml")).select("repo", "path", held.alias("object"), order.alias("order")).filter("object IS NOT NULL")
+    found = own.groupBy("repo").agg(F.min_by(F.struct("path", "object"), "order").alias("f"))
+    return found.select("repo", "f.path", F.lit("package_manager").alias("predicate"), "f.object")
+
+
 def pyproject(files: DataFrame) -> DataFrame:
-    """Manager, build backend, version constraint and script entry points."""
-    own = files.filter("path = 'pyproject.toml'")
+    """Python's manager, build backend, version constraint, commands of configured or depended-on tools, script entry points, tox and nox."""
     c = F.col("content")
-    manager = F.when(c.rlike(r"(?m)^\s*\[tool\.uv"), "uv").when(c.rlike(r"(?m)^\s*\[tool\.poetry"), "poetry")
-    get = lambda k: F.regexp_extract(c, rf"""(?m)^\s*{k}\s*=\s*["']([^"']+)["']""", 1)
-    scripts = F.regexp_extract(c, r"(?s)\[project\.scripts\]\s*\n(.*?)(?:\n\s*\[|$)", 1)
-    names = F.transform(F.slice(F.regexp_extract_all(scripts, F.lit(r"(?m)^\s*([A-Za-z0-9_-]+)\s*="), F.lit(1)), 1, 12), lambda n: _pair("cli_entrypoint", n))
-    tests = F.when(c.rlike(r"(?m)^\s*\[tool\.pytest"), "pytest")
-    lint = F.when(c.rlike(r"(?m)^\s*\[tool\.ruff"), "ruff check .")
-    types = F.when(c.rlike(r"(?m)^\s*\[tool\.mypy"), "mypy .")
-    return _said(own, F.concat(F.array(_pair("package_manager", manager), _pair("build_backend", get("build-backend")), _pair("version_constraint", get("requires-python")), _pair("test_command", tests), _pair("lint_command", lint), _pair("typecheck_command", types)), names))
-
-
-def test_config(files: DataFrame) -> DataFrame:
-    """Runner by file name; environment, timeout and coverage provider of vitest."""
+    tool = lambda name: c.rlike(rf"(?m)^\s*\[tool\.{name}(?:\.[^\]]+)?\]\s*$")
+    get = lambda k: F.trim(F.regexp_extract(c, rf"""(?m)^\s*{k}\s*=\s*["']([^"']+)["']""", 1))
+    none = F.array().cast("array<string>")
+    wanted = F.lower(F.array_join(F.concat(F.coalesce(C.section(c, "dependency-groups"), none), F.coalesce(C.section(c, "project.optional-dependencies"), none)), "\n"))
+    has = lambda name: tool(name) | wanted.rlike(rf"(?:^|[^a-z0-9_-]){name}(?:[^a-z0-9_-]|$)")
+    scripts = F.filter(F.transform(F.coalesce(C.section(c, "project.scripts"), none), lambda x: F.regexp_replace(x, r"""^\s*([A-Za-z0-9_.-]+)\s*=\s*["']([^"']+)["']\s*$""", "$1 -> $2")), lambda x: x.rlike(r"^[A-Za-z0-9_.-]+ -> [^\"']+$"))
+    names = F.transform(F.slice(scripts, 1, 12), lambda x: _pair("cli_entrypoint", x))
+    given = F.array(
+        _pair("build_backend", get("build-backend")), _pair("version_constraint", get("requires-python")), _pair("test_command", F.when(has("pytest"), "pytest")),
+        _pair("lint_command", F.when(has("ruff"), "ruff check .")), _pair("typecheck_command", F.when(has("mypy"), "mypy .").when(has("pyright"), "pyright")),
+    )
+    out = _said(files.filter("path = 'pyproject.toml'"), F.concat(given, names))
+    tox = (F.col("path") == "tox.ini") & c.rlike(r"(?m)^\s*\[testenv(?::[^\]]+)?\]\s*$")
+    nox = (F.col("path") == "noxfile.py") & c.rlike(r"@nox\.session\b")
+    harness = _said(files.filter("path IN ('tox.ini', 'noxfile.py')"), F.array(_pair("test_command", F.when(tox, "tox").when(nox, "nox"))))
+    return out.unionByName(python_manager(files)).unionByName(harness)
+
+
+def test_config(files: DataFrame, most: int = 30) -> DataFrame:
+    """Runner by file name; of vitest the environment, timeout, coverage provider and the globs that tests and, after the word coverage, its report include and exclude."""
     name = F.regexp_extract("path", r"^(vitest|jest|playwright|cypress)\.config\.", 1)
     own = files.filter("path RLIKE '^(vitest|jest|playwright|cypress)[.]config[.]'")
-    c = F.col("content")
-    get = lambda k: F.when(name == "vitest", F.regexp_extract(c, rf"""\b{k}\s*:\s*["']?([A-Za-z0-9_-]+)""", 1))
-    return _said(own, F.array(_pair("test_runner", name), _pair("test_environment", get("environment")), _pair("test_timeout_ms", get("testTimeout")), _pair("coverage_provider", get("provider"))))
+    c, vitest = F.col("content"), name == "vitest"
+    text = lambda k: F.when(vitest, F.trim(F.regexp_extract(c, rf"""\b{k}\s*:\s*["']([^"']+)["']""", 1)))
+    whole = F.instr(c, "coverage") - 1
+
+    def globs(key: str) -> Column:
+        """Arrays assigned to the key, by place: the text is cut where one begins, so a piece's length tells where the next is."""
+        pieces = F.split(c, rf"\b(?={key}\s*:\s*\[)", -1)
+        at = F.transform(pieces, lambda p, i: F.struct(F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda n, x: n + F.length(x)).alias("at"), F.regexp_extract(p, rf"^{key}\s*:\s*\[([^\]]*+)\]", 1).alias("body")))
+        quoted = lambda body: F.filter(F.regexp_extract_all(body, F.lit(r"""["']([^"']+)["']"""), F.lit(1)), lambda x: F.trim(x) != "")
+        said = F.transform(at, lambda p: _pair(F.when((whole >= 0) & (p["at"] > whole), f"coverage_{key}_globs").otherwise(f"test_{key}_globs"), F.when(F.size(quoted(p["body"])) > 0, F.to_json(quoted(p["body"])))))
+        return F.when(vitest, said).otherwise(F.array().cast("array<struct<predicate:string,object:string>>"))
+
+    number = F.when(vitest, F.regexp_extract(c, r"\btestTimeout\s*:\s*(\d+)", 1))
+    said = F.concat(F.array(_pair("test_runner", name), _pair("test_environment", text("environment")), _pair("test_timeout_ms", number), _pair("coverage_provider", text("provider"))), globs("include"), globs("exclude"))
+    return _said(own, F.slice(F.filter(said, lambda p: p["object"].isNotNull() & (p["object"] != "")), 1, most))
 
 
 def tooling(files: DataFrame, most: int = 20) -> DataFrame:
@@ -163,18 +240,19 @@ def generated_markers(files: DataFrame, most: int = 20) -> DataFrame:
     return top_per(own, ["repo"], [F.col("path")], most).select("repo", "path", F.lit("do_not_edit").alias("predicate"), F.lit("true").alias("object"))
 
 
+def run_steps(text: str) -> list[tuple[str, str]]:
+    """The commands of a workflow's `run:` entries, inline or lines of a block, comments left out, those under 200 characters."""
+    out = []
+    for above, key, value in C.indented(text, comments=False):
+        said = C.unquoted(value) if key == "run" and value[:1] not in ("", "|", ">") else value if key == "|" and above and above[-1] == "run" and not value.startswith("#") else ""
+        if 0 < len(said) < 200:
+            out.append(("ci_command", said))
+    return list(dict.fromkeys(out))
+
+
 def ci_commands(files: DataFrame, most: int = 10) -> DataFrame:
-    """`run:` steps of workflows, inline and block, once each, the first `most` of a repository.
-
-    A block's lines are those below `run: |` that are indented deeper: one pattern takes the indent and the block.
-    """
-    own = files.filter(r"path RLIKE '[.]github/workflows/.*[.]ya?ml$'")
-    inline = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*-?[ \t]*run:[ \t]*([^|>\s][^\n]*)$"), F.lit(1))
-    inline = F.transform(inline, lambda x: F.regexp_replace(F.trim(x), r"""^(["'])(.*)\1$""", "$2"))
-    blocks = F.regexp_extract_all("content", F.lit(r"(?m)^([ \t]*+)-?[ \t]*run:[ \t]*[|>][^\n]*((?:\n(?:\1[ \t]+[^\n]*|[ \t]*))+)"), F.lit(2))
-    block = F.filter(F.transform(F.flatten(F.transform(blocks, lambda b: F.split(b, "\n"))), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
-    steps = F.filter(F.array_distinct(F.concat(inline, block)), lambda x: (F.length(x) > 0) & (F.length(x) < 200))
-    rows = own.select("repo", "path", F.posexplode(steps).alias("pos", "object"))
+    """`run:` steps of workflows, once each, the first `most` of a repository by file and place."""
+    rows = _by_file(files.filter(r"path RLIKE '^[.]github/workflows/[^/]*[.]ya?ml$'"), run_steps)
     first = rows.groupBy("repo", "object").agg(F.min(F.struct("path", "pos")).alias("at"))
     return top_per(first, ["repo"], [F.col("at")], most).select("repo", F.col("at.path").alias("path"), F.lit("ci_command").alias("predicate"), "object")
 
@@ -187,7 +265,7 @@ def guidance(files: DataFrame, most: int = 8) -> DataFrame:
 
 
 EXTRACTORS = {
-    "package_json": package_json, "lockfile": lockfile, "tsconfig": tsconfig, "editorconfig": editorconfig, "dockerfile": dockerfile, "runtime_versions": runtime_versions,
+    "package_json": package_json, "lockfile": lockfile, "tsconfig": tsconfig, "editorconfig": editorconfig, "dockerfile": dockerfile, "compose": compose, "runtime_versions": runtime_versions,
     "pyproject": pyproject, "test_config": test_config, "tooling": tooling, "generated_markers": generated_markers, "ci_commands": ci_commands, "guidance": guidance,
 }
 

@@ -16,10 +16,8 @@ EVENT_CAPS = {"SessionStart": 2000, "UserPromptSubmit": 1800, "PreToolUse": 450,
 TOTAL_BUDGET, MAX_CARDS, MAX_CARDS_PRETOOL = 2500, 15, 5
 DRIFT_THRESHOLD = 0.35
 #: Commands that memory may tell something about.
-SHELL_TOOLS = (
-    r"(?i)\b(npm|pnpm|yarn|bun|node|tsx|tsc|vitest|jest|mocha|uv|poetry|pip|pytest|tox|nox|hatch|ruff|mypy|pyright|biome|eslint|prettier|cargo|go\s+test"
-    r"|make|cmake|docker|docker-compose|git|rm|mv|cp|chmod|chown|ln)\b"
-)
+SHELL_TOOLS = r"\b(npm|pnpm|yarn|bun|node|tsx|tsc|vitest|jest|mocha|uv|poetry|pip|pytest|tox|nox|hatch|ruff|mypy|pyright|biome|eslint|prettier|cargo|go\s+test|make|cmake|docker|docker-compose|git)\b"
+FILE_TOOLS = r"\b(rm|mv|cp|chmod|chown|ln)\b"
 TITLES = {
     "open_loops": "Open loops / unfinished work", "task_state": "Task state", "repo_constraints": "Repo constraints",
     "procedure": "Applicable procedure", "user_preferences": "User preferences", "conflict_notes": "Conflict notes",
@@ -32,7 +30,7 @@ def should_fire(event: Column, drift: Column, new_entities: Column, entities: Co
     shell, edit = name.rlike("bash|shell|run"), name.rlike("edit|write|create")
     some_args = F.length(F.coalesce(args, F.lit(""))) > 2
     prompt = F.coalesce(drift > DRIFT_THRESHOLD, F.lit(False)) | F.coalesce(new_entities, F.lit(False)) | (drift.isNull() & (entities > 0))
-    pretool = F.when(edit, some_args | (entities > 0)).when(shell, some_args & F.coalesce(args.rlike(SHELL_TOOLS), F.lit(False))).otherwise(False)
+    pretool = F.when(edit, some_args | (entities > 0)).when(shell, some_args & F.coalesce(F.lower(args).rlike(SHELL_TOOLS) | F.lower(args).rlike(FILE_TOOLS), F.lit(False))).otherwise(False)
     return (
         F.when(event.isin("SessionStart", "PostCompact"), True).when(event == "UserPromptSubmit", prompt).when(event == "PreToolUse", pretool)
         .when(event == "PostToolUse", F.coalesce(~success, F.lit(False))).otherwise(False)

@@ -14,6 +14,7 @@ from chronofact.operators import providers as P
 from chronofact.plans.registry import Views, query
 from chronofact.plans.retrieval import gold
 from chronofact.sources import store
+from chronofact.storage import materialise
 from chronofact.streaming import streams
 
 #: What each kind of file says, from the columns that it was made of.
@@ -34,10 +35,10 @@ def _p(predicate: str, obj: str) -> str:
 
 EXTRACTED = (
     ("ext_01_package_json", E.package_json, PACKAGE),
-    ("ext_02_python", E.pyproject, _facts_sql(8, ", ".join([_p("package_manager", "'poetry'"), _p("version_constraint", "concat('>=3.', 8 + d.doc_id % 5)"), _p("lint_command", "'ruff check .'"), _p("cli_entrypoint", "'run-it'")]))),
+    ("ext_02_python", E.pyproject, _facts_sql(8, ", ".join([_p("package_manager", "'poetry'"), _p("version_constraint", "concat('>=3.', 8 + d.doc_id % 5)"), _p("lint_command", "'ruff check .'"), _p("cli_entrypoint", "'run-it -> a:b'")]))),
     ("ext_03_runtime_versions", E.runtime_versions, _facts_sql(7, _p("version_pin", "concat('node v', 16 + d.doc_id % 8)"))),
     ("ext_04_editorconfig", E.editorconfig, _facts_sql(2, _p("indent_style", "concat(CASE WHEN d.doc_id % 5 = 0 THEN 'tab' ELSE 'space' END, ' (size ', 2 + d.doc_id % 3, ')')"))),
-    ("ext_05_tsconfig", E.tsconfig, _facts_sql(1, ", ".join([_p("typescript_strict_mode", "'true'"), _p("typescript_target", "concat('es', 2015 + d.doc_id % 8)"), _p("typescript_output_dir", "'dist'"), _p("typescript_include", "'src'"), _p("typescript_include", "'test'")]))),
+    ("ext_05_tsconfig", E.tsconfig, _facts_sql(1, ", ".join([_p("typescript_strict_mode", "'true'"), _p("typescript_target", "concat('es', 2015 + d.doc_id % 8)"), _p("typescript_output_dir", "'dist'"), _p("typescript_include_globs", "'[\"src\",\"test\"]'")]))),
     ("ext_07_lockfile", E.lockfile, "SELECT repo, path, 'package_manager' AS predicate, CASE path WHEN 'yarn.lock' THEN 'yarn' ELSE 'pnpm' END AS object FROM files WHERE doc_id % 12 = 9"),
     ("ext_08_dockerfile", E.dockerfile, _facts_sql(3, ", ".join([_p("container_base_image", "concat('node:', 18 + d.doc_id % 5)"), _p("container_stage_base", "concat('build=node:', 18 + d.doc_id % 5)"), _p("container_workdir", "'/app'"), _p("container_exposed_port", "'80'"), _p("container_exposed_port", "concat(3000 + d.doc_id % 10, '')"), _p("container_user", "'app'")]))),
     ("ext_09_test_config", E.test_config, _facts_sql(10, ", ".join([_p("test_runner", "'vitest'"), _p("test_environment", "CASE WHEN d.doc_id % 4 = 0 THEN 'node' ELSE 'jsdom' END"), _p("test_timeout_ms", "concat(1000 + d.doc_id % 9, '')")]))),
@@ -49,6 +50,35 @@ for _name, _function, _sql in EXTRACTED:
     query(_name, "files", _sql)(lambda v, f=_function: f(v.files))
 
 
+def _tree(rest: int, pairs: str, more: str = "") -> str:
+    """The (predicate, object) pairs that the files of one kind say by what they were made of; null says nothing."""
+    return f"SELECT repo, path, s.p AS predicate, s.o AS object FROM (SELECT t.repo, t.path, unnest([{pairs}]) AS s FROM trees t JOIN main.documents d ON d.doc_id = t.doc_id WHERE t.doc_id % 6 = {rest} {more}) WHERE s.o IS NOT NULL"
+
+
+_Q = "chr(34)"
+_GLOBS = f"concat('[', {_Q}, 'src/**/*.ts', {_Q}, ',', {_Q}, d.source, '//x/**', {_Q}, ',', {_Q}, 'say ', chr(92), {_Q}, 'hi', chr(92), {_Q}, ' /* ', d.lang, {_Q}, ']')"
+_DIST = f"concat('[', {_Q}, '**/dist/**', {_Q}, ',', {_Q}, 'end', chr(92), chr(92), {_Q}, ']')"
+_LINES = "SELECT t.repo, t.path, d.source, d.lang, list_filter(list_transform(string_split(d.text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: length(x) BETWEEN 1 AND 199 AND NOT starts_with(x, '#')) AS l FROM trees t JOIN main.documents d ON d.doc_id = t.doc_id WHERE t.doc_id % 6 = 0"
+_STEPS = f"""SELECT repo, path, 'ci_command' AS predicate, object FROM (SELECT repo, path, object, row_number() OVER (PARTITION BY repo ORDER BY min(i)) AS n FROM (SELECT repo, path, unnest(list_concat(l, ['make ' || source, 'last ' || lang])) AS object, generate_subscripts(list_concat(l, ['make ' || source, 'last ' || lang]), 1) AS i FROM ({_LINES})) GROUP BY repo, path, object) WHERE n <= 10"""
+_LOCKS = "(SELECT repo, CASE path WHEN 'poetry.lock' THEN 'poetry' ELSE 'pip' END AS m, path FROM trees WHERE path IN ('poetry.lock', 'requirements.txt'))"
+_PYTHON = " UNION ALL ".join((
+    _tree(3, ", ".join([_p("version_constraint", "concat('>=3.', 8 + d.n_chars % 5)"), _p("build_backend", "concat(d.lang, '.build')"), _p("test_command", "CASE WHEN d.lang = 'en' THEN 'pytest' END"), _p("typecheck_command", "'pyright'"), _p("cli_entrypoint", "concat(d.source, ' -> a.b:', d.lang)")])),
+    _tree(3, _p("package_manager", "CASE d.n_chars % 3 WHEN 0 THEN 'uv' WHEN 1 THEN 'poetry' END"), f"AND t.repo NOT IN (SELECT repo FROM {_LOCKS})"),
+    f"SELECT repo, path, 'package_manager', m FROM {_LOCKS}",
+    _tree(4, _p("test_command", "CASE WHEN t.path = 'noxfile.py' THEN 'nox' WHEN t.path = 'tox.ini' AND d.lang = 'en' THEN 'tox' END")),
+))
+#: Extractors over files made of the documents' own words, with what could mislead them; the SQL says what the makers meant.
+VARIED = (
+    ("ext_02_python_files", E.pyproject, _PYTHON),
+    ("ext_05_tsconfig_globs", E.tsconfig, _tree(1, ", ".join([_p("typescript_extends_config", "concat('./base.', d.lang, '.json')"), _p("typescript_strict_mode", "CASE WHEN d.n_chars % 2 = 0 THEN 'true' ELSE 'false' END"), _p("typescript_output_dir", "concat('//', d.source, '/*out*/')"), _p("typescript_include_globs", _GLOBS), _p("typescript_exclude_globs", _DIST)]))),
+    ("ext_08_compose", E.compose, _tree(2, ", ".join([_p("compose_service", "d.source"), _p("compose_image", "concat(d.source, '=', d.lang, ':', d.n_chars)"), _p("compose_port", "concat(d.source, '=', t.doc_id % 1000, ':80')"), _p("compose_port", "concat(d.source, '=443')"), _p("compose_service", "'worker'"), _p("compose_build_context", "concat('worker=./', d.lang)")]))),
+    ("ext_09_test_globs", E.test_config, _tree(5, ", ".join([_p("test_runner", "'vitest'"), _p("test_environment", "d.lang"), _p("test_timeout_ms", "d.n_chars::varchar"), _p("coverage_provider", "'v8'"), _p("test_include_globs", f"concat('[', {_Q}, d.source, '/**', {_Q}, ']')"), _p("coverage_include_globs", f"concat('[', {_Q}, 'src/', d.lang, {_Q}, ']')"), _p("coverage_exclude_globs", f"concat('[', {_Q}, d.source, {_Q}, ',', {_Q}, 'y', {_Q}, ']')")]))),
+    ("ext_10_ci_blocks", E.ci_commands, _STEPS),
+)
+for _name, _function, _sql in VARIED:
+    query(_name, "trees", _sql)(lambda v, f=_function: f(v.trees))
+
+
 _TOOLS = [
     f"SELECT repo, path, s.p AS predicate, s.o AS object FROM (SELECT f.repo, f.path, unnest([{', '.join(_p(k, v) for k, v in pairs)}]) AS s FROM tool_files f JOIN main.documents d ON d.doc_id = f.doc_id WHERE f.doc_id % 3 = {rest})"
     for rest, pairs in (
@@ -88,7 +118,7 @@ _PARTS = " UNION ALL ".join(f"SELECT repo, path, predicate, object FROM ({sql})"
 @query("ext_14_pipeline", "facts files", f"SELECT * FROM ({_PARTS}) WHERE repo NOT IN ('repo1', 'repo2')")
 def _(v: Views) -> DataFrame:
     """Extract with all extractors, drop secrets, drop what is stored already."""
-    found = E.extract_all(v.files)
+    found = materialise(E.extract_all(v.files))
     stored = found.filter("repo IN ('repo1', 'repo2')").select("repo", "predicate", "object").distinct()
     return found.join(stored, ["repo", "predicate", "object"], "left_anti").select("repo", "path", "predicate", "object")
 

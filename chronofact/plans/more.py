@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronofact.functions import config as C
 from chronofact.functions import scoring as S
 from chronofact.functions import secrets as X
 from chronofact.functions import text as T
@@ -106,9 +107,9 @@ def _(v: Views) -> DataFrame:
     return R.knn(e, e.filter("vec_id % 20 = 0"), 10, max_distance=1.1).filter(F.col("rank") <= 10 - F.col("query_id") % 7).select("query_id", "vec_id")
 
 
-@query("set_01_union_passes", "facts asks", f"{WIDE}, un AS (SELECT item_id // 16 AS item_id, fact_id, lex, 0 AS answer FROM pool WHERE rank <= 60 AND item_id % 16 = 0 UNION ALL SELECT item_id // 16, fact_id, lex + 0.2, 1 FROM pool WHERE rank <= 60 AND item_id % 16 > 0) SELECT item_id, answer, count(*) AS n, round(max(lex), 6) AS best FROM (SELECT item_id, fact_id, max(lex) AS lex, max(answer) AS answer FROM un GROUP BY ALL) GROUP BY ALL")
+@query("set_01_union_passes", "facts asks", f"{WIDE} SELECT item_id, answer, count(*) AS n, round(max(lex), 6) AS best FROM best GROUP BY ALL")
 def _(v: Views) -> DataFrame:
-    # The query's pass and its expansions', which add 0.2 and mark an answer; the strongest hit of any counts.
+    # The passes of the query and of its expansions, which add 0.2 and mark an answer; the strongest hit of any counts.
     return R.candidates(notes(v), v.asks, "item_id", "text").groupBy("item_id", "answer").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("lex"), 6).alias("best"))
 
 
@@ -140,10 +141,12 @@ def _(v: Views) -> DataFrame:
     return v.facts.groupBy(T.section(F.col("fact_kind"), F.col("promotion_state")).alias("section")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("str_18_jsonc", "files", "SELECT doc_id, concat('es', 2015 + doc_id % 8) AS target FROM files WHERE doc_id % 12 = 1")
+@query("str_18_jsonc", "files trees", "SELECT doc_id, concat('es', 2015 + doc_id % 8) AS target, NULL AS first_glob FROM files WHERE doc_id % 12 = 1 UNION ALL SELECT doc_id, '[\"no\"]', 'src/**/*.ts' FROM trees WHERE doc_id % 6 = 1")
 def _(v: Views) -> DataFrame:
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", ""), r"(?m)(^|[\s,{\[])//[^\n]*", "$1"), r",(\s*[}\]])", "$1")
-    return v.files.filter("path = 'tsconfig.json'").select("doc_id", F.get_json_object(bare, "$.compilerOptions.target").alias("target"))
+    bare = C.jsonc(F.col("content"))
+    own = v.files.unionByName(v.trees).filter("path = 'tsconfig.json'")
+    target = F.get_json_object(bare, "$.compilerOptions.target")
+    return own.select("doc_id", target.alias("target"), F.when(target.startswith("["), F.get_json_object(bare, "$.include[0]")).alias("first_glob"))
 
 
 @query("hsh_04_feature_index", "facts", f"WITH h AS (SELECT DISTINCT subject, {FNV.format('subject')} AS h FROM facts) SELECT subject, h % 1536 AS dim, CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END AS sign FROM h")

@@ -265,25 +265,39 @@ def bm25_top(v: Views) -> DataFrame:
 
 # Some facts say, and some queries ask, what expansions know.
 PARTS = "parts AS (SELECT item_id * 16 AS item_id, text FROM asks UNION ALL " + " UNION ALL ".join(f"SELECT item_id * 16 + {i} AS item_id, '{text}' AS text FROM asks WHERE {_any('text', triggers)}" for i, (text, triggers) in enumerate(T.EXPANSIONS, 1)) + ")"
-WIDE = f"WITH notes AS (SELECT * REPLACE ({SAID} AS object_str) FROM facts), {PARTS}, " + _bm25("parts", "notes").removeprefix("WITH ") + """, best AS (SELECT item_id // 16 AS item_id, fact_id, k, max(lex + CASE WHEN item_id % 16 > 0 THEN 0.2 ELSE 0 END) AS lex, max(CASE WHEN item_id % 16 > 0 THEN 1 ELSE 0 END) AS answer FROM pool WHERE rank <= 60 GROUP BY ALL),
-pk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lex DESC, k, fact_id) AS rank FROM best)"""
-SEM = f""", txt AS (SELECT 'd' || fact_id AS id, object_str AS t FROM notes WHERE fact_id IN (SELECT fact_id FROM pk) UNION ALL SELECT 'q' || item_id, text FROM asks),
+VISIBLE = "coalesce(user_id = 'u1' AND (workspace_id IS NULL OR workspace_id = 'w1') AND (session_id IS NULL OR session_id = 's4'), false)"
+WIDE = f"WITH notes AS (SELECT * REPLACE ({SAID} AS object_str), {VISIBLE} AS visible FROM facts), {PARTS}, " + _bm25("parts", "notes").removeprefix("WITH ") + """,
+ps AS (SELECT lk.item_id, lk.fact_id, lk.k, lk.lex, f.visible, unnest([CASE WHEN f.user_id = 'u1' THEN 'user' END, CASE WHEN f.user_id = 'u1' AND f.workspace_id = 'w1' THEN 'workspace' END, CASE WHEN f.user_id = 'u1' AND f.workspace_id = 'w1' AND f.session_id = 's4' THEN 'session' END]) AS pass FROM lk JOIN notes f ON f.fact_id = lk.fact_id WHERE lk.status = 'active'),
+pr AS (SELECT *, row_number() OVER (PARTITION BY item_id, pass ORDER BY lex DESC, k, fact_id) AS place FROM ps WHERE pass IS NOT NULL),
+best AS (SELECT item_id // 16 AS item_id, fact_id, k, max(lex + CASE WHEN item_id % 16 > 0 THEN 0.2 ELSE 0 END) AS lex, max(CASE WHEN item_id % 16 > 0 THEN 1 ELSE 0 END) AS answer FROM pr WHERE visible AND place <= CASE WHEN pass <> 'user' THEN 60 WHEN item_id % 16 > 0 THEN 10 ELSE 15 END GROUP BY ALL),
+fl AS (SELECT fact_id, concat(subject, '::', predicate, '::', object_str) AS k, CASE WHEN workspace_id = 'w1' AND session_id = 's4' THEN 0.5 WHEN workspace_id IS NULL AND session_id IS NULL THEN 0.45 WHEN workspace_id = 'w1' THEN 0.3 END AS lex FROM notes WHERE visible AND status = 'active'),
+filled AS (SELECT item_id, fact_id, k, max(lex) AS lex, max(answer) AS answer FROM (SELECT * FROM best UNION ALL SELECT a.item_id, fl.fact_id, fl.k, fl.lex, 0 FROM asks a JOIN fl ON a.item_id % 20 = 0 AND fl.lex IS NOT NULL) GROUP BY ALL),
+pk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lex DESC, k, fact_id) AS rank FROM filled)"""
+# The rule of expansion: a pool below 60 takes eligible facts of the 512 nearest within 1.1. A fact may be in the list by meaning alone.
+SEM = f""", txt AS (SELECT 'd' || fact_id AS id, object_str AS t FROM notes UNION ALL SELECT 'q' || item_id, text FROM asks),
 tk AS (SELECT id, lower(t) AS low, {TOKENS.format("t")} AS tk FROM txt), ft AS (SELECT id, unnest(tk) AS f FROM tk UNION ALL """ + " UNION ALL ".join(f"SELECT id, 'concept:{n}' FROM (SELECT id, low, tk AS t FROM tk) WHERE {_concept(t)} = 1" for n, t in T.CONCEPTS) + f"""),
 hf AS (SELECT f, {FNV.format("f")} AS h FROM (SELECT DISTINCT f FROM ft)), en AS (SELECT id, h % 1536 AS dim, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END * CASE WHEN starts_with(ft.f, 'concept:') THEN 3 ELSE 1 END)::double AS v FROM ft JOIN hf ON ft.f = hf.f GROUP BY ALL HAVING v <> 0),
-em AS (SELECT id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM en), dt AS (SELECT pk.item_id, pk.fact_id, sum(d.v * q.v) AS dot FROM pk JOIN em d ON d.id = 'd' || pk.fact_id JOIN em q ON q.id = 'q' || pk.item_id AND q.dim = d.dim GROUP BY ALL),
-sd AS (SELECT pk.*, round(1 - coalesce(dt.dot, 0), 6) AS dist FROM pk LEFT JOIN dt ON dt.item_id = pk.item_id AND dt.fact_id = pk.fact_id), rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, k, fact_id) AS rank_s FROM sd)"""
+em AS (SELECT id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM en), dt AS (SELECT q.id AS q, d.id AS d, sum(d.v * q.v) AS dot FROM em q JOIN em d ON starts_with(q.id, 'q') AND starts_with(d.id, 'd') AND q.dim = d.dim GROUP BY ALL),
+ds AS (SELECT a.item_id, n.fact_id, round(1 - coalesce(dt.dot, 0), 6) AS dist FROM asks a CROSS JOIN notes n LEFT JOIN dt ON dt.q = 'q' || a.item_id AND dt.d = 'd' || n.fact_id),
+cn AS (SELECT a.item_id, count(pk.fact_id) AS held FROM asks a LEFT JOIN pk ON pk.item_id = a.item_id GROUP BY a.item_id),
+nr AS (SELECT ds.*, cn.held, row_number() OVER (PARTITION BY ds.item_id ORDER BY dist, fact_id) AS r FROM ds JOIN cn ON cn.item_id = ds.item_id WHERE cn.held < 60),
+ex AS (SELECT nr.item_id, nr.fact_id, concat(f.subject, '::', f.predicate, '::', f.object_str) AS k, nr.dist, held, row_number() OVER (PARTITION BY nr.item_id ORDER BY r) AS e FROM nr JOIN notes f ON f.fact_id = nr.fact_id AND f.visible ANTI JOIN pk ON pk.item_id = nr.item_id AND pk.fact_id = nr.fact_id WHERE r <= 512 AND nr.dist <= 1.1),
+sd AS (SELECT pk.item_id, pk.fact_id, pk.k, ds.dist FROM pk JOIN ds ON ds.item_id = pk.item_id AND ds.fact_id = pk.fact_id UNION ALL SELECT item_id, fact_id, k, dist FROM ex WHERE e <= 60 - held),
+sr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dist, k, fact_id) AS rank_s FROM sd),
+rk AS (SELECT item_id, fact_id, coalesce(sr.k, pk.k) AS k, coalesce(pk.answer, 0) AS answer, pk.rank, sr.rank_s, coalesce(1.0::double / (60 + pk.rank), 0) + coalesce(1.0::double / (60 + sr.rank_s), 0) + CASE WHEN pk.rank IS NOT NULL AND sr.rank_s IS NOT NULL THEN 0.5::double / 60 ELSE 0 END AS rrf FROM pk FULL JOIN sr USING (item_id, fact_id))"""
 
 
 def notes(v: Views) -> DataFrame:
     """The facts, some of which say a sentence about the domain, as retrieval takes them."""
     said = F.when(F.col("seq") % 24 < 6, F.concat(F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("seq") % 6 + 1).cast("int")), F.lit(" "), "object_str")).otherwise(F.col("object_str"))
     f = indexed(v.facts.withColumn("object_str", said)).withColumn("semantic_text", F.col("object_str"))
-    return f.withColumn("eligible", F.col("status") == "active").withColumn("valid", F.lit(True)).select("fact_id", "key", "index_text", "semantic_text", "eligible", "valid", "confidence", "t_recorded", "workspace_id", "session_id", "promotion_state")
+    f = f.withColumn("passes", R.scope_passes("u1", "w1", "s4")).withColumn("eligible", O.in_scope(F.lit("u1"), F.lit("w1"), F.lit("s4"))).withColumn("valid", F.col("status") == "active").withColumn("fill", R.fill_value("w1", "s4"))
+    return f.select("fact_id", "user_id", "key", "index_text", "semantic_text", "passes", "eligible", "valid", "fill", "confidence", "t_recorded", "workspace_id", "session_id", "promotion_state")
 
 
 def asks(v: Views) -> DataFrame:
-    """The queries, some of which ask about the domain, with their entities: the first two terms of six characters or more."""
-    return v.asks.withColumn("entities", F.slice(F.filter(T.query_terms(F.col("text")), lambda t: F.length(t) >= 6), 1, 2))
+    """The user's queries, some of which ask about the domain, with their entities: the first two terms of six characters or more. Every twentieth is a boot event, which fills the list."""
+    return v.asks.withColumn("user_id", F.lit("u1")).withColumn("broad", F.col("item_id") % 20 == 0).withColumn("entities", F.slice(F.filter(T.query_terms(F.col("text")), lambda t: F.length(t) >= 6), 1, 2))
 
 
 def scored(v: Views) -> DataFrame:
@@ -302,31 +316,27 @@ def _(v: Views) -> DataFrame:
     return R.candidates(notes(v), v.asks, "item_id", "text").select("item_id", "fact_id", F.round("lex", 6).alias("lex"), "answer")
 
 
-@query("ret_05_broad_fill", "facts queries", f"{BM25}, fill AS (SELECT q.item_id, f.fact_id, max(CASE WHEN f.session_id = 's4' THEN 0.5 WHEN f.workspace_id IS NULL AND f.session_id IS NULL THEN 0.45 ELSE 0.3 END) AS lex FROM (SELECT DISTINCT item_id FROM queries WHERE item_id % 20 = 0) q JOIN facts f ON f.status = 'active' AND f.user_id = 'u1' AND (f.session_id IS NULL OR f.session_id = 's4') GROUP BY ALL), un AS (SELECT item_id, fact_id, lex FROM pool WHERE rank <= 60 AND item_id % 20 = 0 UNION ALL SELECT * FROM fill) SELECT item_id, fact_id, round(max(lex), 6) AS lex FROM un GROUP BY ALL")
+@query("ret_05_broad_fill", "facts asks", f"{WIDE} SELECT item_id, fact_id, round(lex, 6) AS lex, answer FROM filled WHERE item_id % 20 = 0")
 def _(v: Views) -> DataFrame:
-    # Boot events, here every twentieth query: the user's active facts fill the list below the query's own hits.
-    own = v.facts.filter("status = 'active' AND user_id = 'u1' AND (session_id IS NULL OR session_id = 's4')")
-    lex = F.when(F.col("session_id") == "s4", 0.5).when(F.col("workspace_id").isNull() & F.col("session_id").isNull(), 0.45).otherwise(0.3)
-    boots = F.broadcast(v.queries.filter("item_id % 20 = 0").select("item_id"))
-    fill = own.select("fact_id", lex.alias("lex")).crossJoin(boots).select("item_id", "fact_id", "lex")
-    hits = lexical(v).filter("item_id % 20 = 0").select("item_id", "fact_id", "lex")
-    return hits.unionByName(fill).groupBy("item_id", "fact_id").agg(F.round(F.max("lex"), 6).alias("lex"))
+    # Boot events: the user's active facts fill the list below the query's own hits.
+    q = asks(v).filter("broad")
+    pool = R.candidates(notes(v), q, "item_id", "text")
+    return R.with_fill(pool, notes(v), q, "item_id").select("item_id", "fact_id", F.round("lex", 6).alias("lex"), "answer")
 
 
 @query("ret_06_semantic_pool", "facts asks", f"{WIDE}{SEM} SELECT item_id, fact_id, dist FROM sd")
 def _(v: Views) -> DataFrame:
-    pool = materialise(R.candidates(notes(v), v.asks, "item_id", "text"))
-    return R.pool_distances(pool, notes(v), v.asks, "fact_id", "semantic_text", "item_id", "text")
+    return R.pools(notes(v), asks(v), "item_id", "text")[1].select("item_id", "fact_id", "dist")
 
 
-@query("ret_07_rrf", "facts asks", f"{WIDE}{SEM} SELECT item_id, fact_id, rank AS rank_l, rank_s, round(1.0::double / (60 + rank) + 1.0::double / (60 + rank_s) + 0.5::double / 60, 6) AS rrf FROM rk")
+@query("ret_07_rrf", "facts asks", f"{WIDE}{SEM} SELECT rk.item_id, rk.fact_id, rank AS rank_l, rank_s, round(rrf, 6) AS rrf FROM rk JOIN notes f ON f.fact_id = rk.fact_id WHERE f.status = 'active'")
 def _(v: Views) -> DataFrame:
     return scored(v).select("item_id", "fact_id", "rank_l", "rank_s", F.round("rrf", 6).alias("rrf"))
 
 
 SCORE = f""", es AS (SELECT item_id // 16 AS item_id, list_slice(list(term ORDER BY place) FILTER (length(term) >= 6), 1, 2) AS e FROM u WHERE place <= 24 AND item_id % 16 = 0 GROUP BY ALL),
-sc AS (SELECT rk.item_id, rk.fact_id, rk.k, coalesce(len(list_filter(es.e, lambda x: contains(lower(f.object_str), x)))::double / nullif(len(es.e), 0), 0) AS entity, rk.answer, rank, rank_s, f.session_id, f.workspace_id, f.promotion_state, f.confidence, f.t_recorded FROM rk JOIN notes f ON f.fact_id = rk.fact_id LEFT JOIN es ON es.item_id = rk.item_id),
-ws AS (SELECT item_id, fact_id, k, entity, answer, round((1.0::double / (60 + rank) + 1.0::double / (60 + rank_s) + 0.5::double / 60) * CASE WHEN session_id IS NOT NULL AND session_id = 's4' THEN 1.0::double WHEN workspace_id IS NOT NULL THEN 0.9 WHEN starts_with(promotion_state, 'user_static') THEN 0.55 WHEN starts_with(promotion_state, 'user_dynamic') THEN 0.4 ELSE 0.5 END
+sc AS (SELECT rk.item_id, rk.fact_id, rk.k, coalesce(len(list_filter(es.e, lambda x: contains(lower(f.object_str), x)))::double / nullif(len(es.e), 0), 0) AS entity, rk.answer, rrf, f.session_id, f.workspace_id, f.promotion_state, f.confidence, f.t_recorded FROM rk JOIN notes f ON f.fact_id = rk.fact_id AND f.status = 'active' LEFT JOIN es ON es.item_id = rk.item_id),
+ws AS (SELECT item_id, fact_id, k, entity, answer, round(rrf * CASE WHEN session_id IS NOT NULL AND session_id = 's4' THEN 1.0::double WHEN workspace_id IS NOT NULL THEN 0.9 WHEN starts_with(promotion_state, 'user_static') THEN 0.55 WHEN starts_with(promotion_state, 'user_dynamic') THEN 0.4 ELSE 0.5 END
   * (1 + 0.5 * entity) * (1 + 0.35 * answer) * (0.75 + 0.25 * confidence) * (0.7 + 0.3 * pow(0.5, ({NOW} - t_recorded) / 2592000000.0)), 8) AS score FROM sc), fu AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k, fact_id) AS place FROM ws)"""
 
 

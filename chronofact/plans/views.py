@@ -20,6 +20,8 @@ ASSERTERS = ("user", "agent", "tool", "deterministic_parser", "llm_extractor", "
 STATUSES = ("candidate", "active", "expired", "superseded", "disputed", "rejected")
 #: What some queries ask, and some facts say.
 SENTENCES = ("how do we install packages here", "which test suite to run tests with", "deploy the release", "database migration first", "login is auth", "format with biome please")
+#: Queries of one word that no fact says, but that belongs to a concept some facts speak of.
+PROBES = ("mocha", "prettier", "sqlite", "logout", "jest", "postgres")
 
 
 def _case(number: str, values: tuple[str, ...]) -> str:
@@ -58,7 +60,7 @@ SELECT concat('q', cast(conv_id AS string), '_', cast(turn AS string)) AS prompt
     "queries": """
 SELECT item_id, text FROM {benchmark}""",
     "asks": f"""
-SELECT item_id, CASE WHEN item_id % 3 = 0 THEN concat({_case("item_id % 18 / 3", SENTENCES)}, ' ', text) ELSE text END AS text FROM {{benchmark}}""",
+SELECT item_id, CASE WHEN item_id % 3 = 0 THEN concat({_case("item_id % 18 / 3", SENTENCES)}, ' ', text) WHEN item_id % 9 = 1 THEN CASE item_id % 54 {" ".join(f"WHEN {1 + 9 * i} THEN '{w}'" for i, w in enumerate(PROBES))} END ELSE text END AS text FROM {{benchmark}}""",
     "edges": """
 SELECT DISTINCT cast(l_partkey AS bigint) AS src, cast(l_suppkey AS bigint) AS dst FROM {lineitem}""",
     "fact_edges": """
@@ -69,6 +71,16 @@ SELECT l_orderkey * 8 + l_linenumber AS edge_id, concat('fact_', lpad(cast(l_par
 SELECT doc_id, concat('repo', cast(cast((doc_id - doc_id % 12) / 12 AS bigint) AS string)) AS repo,
   CASE doc_id % 12 WHEN 0 THEN 'package.json' WHEN 1 THEN 'tsconfig.json' WHEN 2 THEN '.editorconfig' WHEN 3 THEN 'Dockerfile' WHEN 4 THEN '.github/workflows/ci.yml' WHEN 5 THEN 'AGENTS.md' WHEN 6 THEN 'src/gen.ts' WHEN 7 THEN '.nvmrc' WHEN 8 THEN 'pyproject.toml' WHEN 9 THEN CASE WHEN doc_id % 2 = 1 AND doc_id % 7 < 3 THEN 'yarn.lock' ELSE 'pnpm-lock.yaml' END WHEN 10 THEN 'vitest.config.ts' WHEN 11 THEN 'src/main.ts' END AS path,
   CASE doc_id % 12 WHEN 0 THEN concat('{{"name":"', source, '","type":"module","packageManager":"', CASE WHEN doc_id % 24 = 0 THEN 'pnpm@9' ELSE '' END, '","engines":{{"node":">=20"}},"scripts":{{"test":"vitest","build":"tsc","other":"x"}}}}') WHEN 1 THEN concat('{{ // options', chr(10), '"compilerOptions": {{"strict": true, "target": "es', cast(2015 + doc_id % 8 AS string), '", /* out */ "outDir": "dist",}}, "include": ["src", "test"]}}') WHEN 2 THEN concat('root = true', chr(10), '[*]', chr(10), 'indent_style = ', CASE WHEN doc_id % 5 = 0 THEN 'tab' ELSE 'space' END, chr(10), 'indent_size = ', cast(2 + doc_id % 3 AS string), chr(10), '[*.md]', chr(10), 'indent_style = tab') WHEN 3 THEN concat('FROM node:', cast(18 + doc_id % 5 AS string), ' AS build', chr(10), '# note', chr(10), 'WORKDIR /app', chr(10), 'EXPOSE 80 ', cast(3000 + doc_id % 10 AS string), chr(10), 'USER app') WHEN 4 THEN concat('steps:', chr(10), '  - run: npm test', chr(10), '  - run: |', chr(10), '      npm ci', chr(10), '      # note', chr(10), '      npm run ', source, chr(10), '  - run: "npm run lint"') WHEN 5 THEN concat('# Title', chr(10), '- always use `pnpm` in ', source, chr(10), 'plain words stand here', chr(10), '- never commit token=abcdefghijklmnop123') WHEN 6 THEN concat('// @generated from ', source, chr(10), text) WHEN 7 THEN concat('# pin', chr(10), 'v', cast(16 + doc_id % 8 AS string)) WHEN 8 THEN concat('[project]', chr(10), 'requires-python = ">=3.', cast(8 + doc_id % 5 AS string), '"', chr(10), '[project.scripts]', chr(10), 'run-it = "a:b"', chr(10), '[tool.poetry]', chr(10), '[tool.ruff]') WHEN 10 THEN concat('export default {{ test: {{ environment: "', CASE WHEN doc_id % 4 = 0 THEN 'node' ELSE 'jsdom' END, '", testTimeout: ', cast(1000 + doc_id % 9 AS string), ' }} }}') WHEN 11 THEN concat('export function handler', cast(doc_id % 30 AS string), '() {{ return handler', cast((doc_id * 7 + 3) % 30 AS string), '(); }}', chr(10), 'export class Store', cast(doc_id % 11 AS string), ' {{}}') ELSE '' END AS content FROM {documents}""",
+    "trees": r"""
+SELECT doc_id, concat('r', cast(doc_id - doc_id % 6 AS string)) AS repo,
+  CASE doc_id % 6 WHEN 0 THEN '.github/workflows/ci.yml' WHEN 1 THEN 'tsconfig.json' WHEN 2 THEN 'docker-compose.yml' WHEN 3 THEN 'pyproject.toml' WHEN 4 THEN CASE doc_id % 4 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'poetry.lock' WHEN 2 THEN 'tox.ini' ELSE 'noxfile.py' END ELSE 'vitest.config.ts' END AS path,
+  CASE doc_id % 6
+  WHEN 0 THEN concat('jobs:', chr(10), '  build: # run: no', chr(10), '    steps:', chr(10), '      - name: all', chr(10), '        run: |', chr(10), '          ', replace(text, chr(10), concat(chr(10), '          ')), chr(10), '      - run: "make ', source, '"', chr(10), '      - run: >-', chr(10), '          # note', chr(10), '          last ', lang)
+  WHEN 1 THEN concat('{{ // it''s "not" /* open', chr(10), '"extends": " ./base.', lang, '.json ", /* "include": [] */ "compilerOptions": {{"strict": ', CASE WHEN n_chars % 2 = 0 THEN 'true' ELSE 'false' END, ', "target": ["no"], "outDir": "//', source, '/*out*/",}}, "include": ["src/**/*.ts", "', source, '//x/**", "say \\"hi\\" /* ', lang, '", " ", 7,], "exclude": ["**/dist/**", "end\\\\"] // done', chr(10), '}}')
+  WHEN 2 THEN concat('# services:', chr(10), 'services:', chr(10), '  ', source, ':', chr(10), '    image: "', lang, ':', cast(n_chars AS string), '" # "pinned"', chr(10), '    environment:', chr(10), '      NOTE: "a # b"', chr(10), '    ports:', chr(10), '      - "', cast(doc_id % 1000 AS string), ':80"', chr(10), '      - 443', chr(10), '  worker:', chr(10), '    build: ./', lang, chr(10), 'volumes:', chr(10), '  data:')
+  WHEN 3 THEN concat('[project]', chr(10), 'requires-python = ">=3.', cast(8 + n_chars % 5 AS string), '"', chr(10), CASE WHEN n_chars % 3 = 0 THEN concat('[tool.uv.sources]', chr(10)) WHEN n_chars % 3 = 1 THEN concat('[tool.poetry]', chr(10)) ELSE '' END, '[dependency-groups]', chr(10), 'dev = ["', CASE WHEN lang = 'en' THEN 'PyTest>=8' ELSE 'pytest-cov' END, '", "pyright"]', chr(10), '[project.scripts]', chr(10), source, ' = "a.b:', lang, '"', chr(10), 'bad = 7', chr(10), '[build-system]', chr(10), 'build-backend = "', lang, '.build"')
+  WHEN 4 THEN CASE doc_id % 4 WHEN 2 THEN CASE WHEN lang = 'en' THEN '[testenv:py]' ELSE '[tox]' END ELSE '@nox.session' END
+  ELSE concat('export default {{ test: {{ environment: "', lang, '", testTimeout: ', cast(n_chars AS string), ', include: ["', source, '/**"], exclude: [], coverage: {{ provider: "v8", include: ["src/', lang, '"], exclude: ["', source, '", ''y''] }} }} }}') END AS content FROM {documents}""",
     "tool_files": """
 SELECT doc_id, concat('repo', cast(doc_id AS string)) AS repo, CASE doc_id % 3 WHEN 0 THEN 'biome.json' WHEN 1 THEN '.eslintrc.json' ELSE '.prettierrc' END AS path, CASE doc_id % 3
   WHEN 0 THEN concat('{{"formatter":{{"lineWidth":', cast(80 + length(source) AS string), ',"indentStyle":"', CASE WHEN lang = 'en' THEN 'tab' ELSE 'space' END, '"}},"organizeImports":{{"enabled":true}},"linter":{{"rules":{{"recommended":true,"style":{{"noVar":"', lang, '","useConst":{{"level":"warn"}}}}}}}}}}')

@@ -32,9 +32,11 @@ def test_same_statements_merge(store):
 def test_recall_and_capsule(store, spark):
     q = spark.createDataFrame([(1, "canary rollout"), (2, "nothing like it")], "query_id int, text string")
     out = store.recall(q, "u", "w").collect()
-    assert [(r["query_id"], r["fact_id"], r["rank"]) for r in sorted(out, key=lambda r: r["rank"])] == [(1, "f3", 1), (1, "f5", 2)]
+    found = {i: [r["fact_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == i] for i in (1, 2)}
+    assert found[1][:2] == ["f3", "f5"]  # f1 fills the list by meaning alone, as all do where no word is met
+    assert set(found[1]) == set(found[2]) == {"f1", "f3", "f5"}
     assert store.recall(q, "other").count() == 0
-    assert [r["fact_id"] for r in store.recall(q, "u", "w", valid=spark.createDataFrame([("f5",)], "fact_id string")).collect()] == ["f5"]
+    assert [r["fact_id"] for r in store.recall(q, "u", "w", valid=spark.createDataFrame([("f5",)], "fact_id string")).collect()] == ["f5", "f5"]
     text = store.inject_context("u", workspace="w").first()["markdown"]
     assert "Unfinished: finish the canary docs" in text and "Run tests with: pnpm run test." in text
 

@@ -35,42 +35,62 @@ KEYS = ["__id", "__th"]
 _MASK, _LANE_MASK = 2147483647, 65535
 
 
-def _least(terms: DataFrame, keys: list[str], samples: int, all_terms: bool) -> DataFrame:
-    """terms: keys, __h, __lw, __most. (keys, __k, __s): the least value of each sample; unless all terms are drawn, where a is at most never by the number of words."""
+def _least(terms: DataFrame, keys: list[str], samples: int, all_terms: bool, versions: int) -> DataFrame:
+    """terms: keys, __h, and of each version __lw<v> and __most<v>. (keys, __k, __s<v>): the least value of each sample; unless all terms are drawn, where a is at most never by the number of words.
+
+    A term and sample is drawn once for all versions of a text: r, c and b depend on neither the text nor the weight.
+    """
     # A sample's number stands in the bits above 47; another bit makes the second draw.
     numbers = F.array(*[F.lit(k << 48).cast("bigint") for k in range(samples)])
-    each = terms.select(*keys, "__h", "__lw", "__most", F.explode(numbers).alias("__x"))
+    own = [f"__{x}{v}" for v in range(versions) for x in ("lw", "most")]
+    each = terms.select(*keys, "__h", *own, F.explode(numbers).alias("__x"))
     mixed = F.col("__h").bitwiseXOR(F.col("__x"))
     g, h = F.xxhash64(mixed), F.xxhash64(mixed.bitwiseXOR(F.lit(1 << 47).cast("bigint")))
     unit = lambda word, shift, bits: (F.call_function("shiftrightunsigned", word, F.lit(shift)).bitwiseAND(F.lit(2**bits - 1).cast("bigint")) + F.lit(0.5)) * F.lit(2.0**-bits)
     p, q = unit(g, 0, 32) * unit(g, 32, 32), unit(h, 0, 22) * unit(h, 22, 22)
-    most = F.coalesce("__most", F.lit(0.0))  # so that no test for null goes down to the scan and splits the texts there
+    most = [F.coalesce(f"__most{v}", F.lit(0.0)) for v in range(versions)]  # so that no test for null goes down to the scan and splits the texts there
     if not all_terms:
-        each = each.filter((4 / (1 + q) - 2) * p <= most)
+        each = each.filter((4 / (1 + q) - 2) * p <= (most[0] if versions == 1 else F.greatest(*most)))
     r, c, b = -F.log(p), -F.log(q), unit(h, 44, 20)
-    t = F.floor(F.col("__lw") / r + b)
-    ln_a = F.log(c) - r * (t - b + 1)
-    if not all_terms:
-        each = each.withColumn("__a", ln_a).filter(F.col("__a") <= F.log(most) - F.coalesce("__lw", F.lit(0.0)))
-        ln_a = F.col("__a")
-    high = ((ln_a + 400.0) * F.lit(float(1 << 21))).cast("bigint")
-    value = F.call_function("shiftleft", high, F.lit(32)) + F.xxhash64("__h", t).bitwiseAND(F.lit(_MASK))
-    return each.groupBy(*keys, F.call_function("shiftrightunsigned", F.col("__x"), F.lit(48)).alias("__k")).agg(F.min(value).alias("__s"))
-
-
-def signatures(words: DataFrame, keys: list[str], samples: int = SAMPLES, never: float | None = NEVER) -> DataFrame:
-    """words: keys, __n (the text's number of words) and __h (a word's hash), a row for each word of each text. Per text: keys, __sig, an array of longs of four samples each, and __c, the samples found.
+    values = []
+    for v in range(versions):
+        lw = F.coalesce(f"__lw{v}", F.lit(0.0))
+        t = F.floor(lw / r + b)
+        ln_a = F.log(c) - r * (t - b + 1)
+        high = ((ln_a + 400.0) * F.lit(float(1 << 21))).cast("bigint")
+        value = F.call_function("shiftleft", high, F.lit(32)) + F.xxhash64("__h", t).bitwiseAND(F.lit(_MASK))
+        there = most[v] > 0
+        values.append(F.when(there if all_terms else there & (ln_a <= F.log(most[v]) - lw), value).alias(f"__s{v}"))
+    drawn = each.select(*keys, F.call_function("shiftrightunsigned", F.col("__x"), F.lit(48)).alias("__k"), *values)
+    return drawn.groupBy(*keys, "__k").agg(*[F.min(f"__s{v}").alias(f"__s{v}") for v in range(versions)])
+
+
+def signatures(words: DataFrame, keys: list[str], samples: int = SAMPLES, never: float | None = NEVER, versions: int = 1) -> DataFrame:
+    """words: keys, __v (the text's version, from 0, if there are several), __n (its number of words) and __h (a word's hash), a row for each word of each text. Per keys: of each version __sig<v>, of a single one __sig,
+    an array of longs of four samples each; and __c, the samples found of the version that has fewest.
 
     A text's least a is exponential with rate __n, so it exceeds never / __n with probability e^-never. As a >= c e^-r / w and
     c = -ln q >= 4 / (1 + q) - 2, most terms are seen to lie above that without a logarithm and are passed over; a sample counts only if it lies below. Without `never` all terms are drawn.
     If `words` is partitioned by some of the keys, no aggregation shuffles.
     """
-    n = F.count(F.lit(1)).cast("double")
-    terms = words.groupBy(*keys, "__n", "__h").agg(F.log(n).alias("__lw"), (n * (never or 0.0) / F.greatest("__n", F.lit(1))).alias("__most"))
-    lane = F.call_function("shiftleft", F.col("__s").bitwiseAND(F.lit(_LANE_MASK).cast("bigint")), (F.col("__k") % 4 * LANE).cast("int"))
-    lanes = _least(terms, keys, samples, never is None).groupBy(*keys, F.floor(F.col("__k") / 4).alias("__q")).agg(F.bit_or(lane).alias("__l"), F.count(F.lit(1)).alias("__c"))
-    both = lanes.groupBy(*keys).agg(F.sum("__c").alias("__c"), F.array_sort(F.collect_list(F.struct("__q", "__l"))).alias("__ls"))
-    return both.select(*keys, "__c", F.transform("__ls", lambda x: x["__l"]).alias("__sig"))
+    weights, own = [], []
+    for v in range(versions):
+        mine = F.col("__v") == v if versions > 1 else F.lit(True)
+        weights += [F.count_if(mine).cast("double").alias(f"__w{v}"), F.max(F.when(mine, F.col("__n"))).alias(f"__n{v}")]
+        w = F.nullif(F.col(f"__w{v}"), F.lit(0.0))
+        own += [F.log(w).alias(f"__lw{v}"), (w * (never or 1.0) / F.greatest(f"__n{v}", F.lit(1))).alias(f"__most{v}")]
+    terms = words.groupBy(*keys, "__h").agg(*weights).select(*keys, "__h", *own)
+    lane = lambda v: F.call_function("shiftleft", F.col(f"__s{v}").bitwiseAND(F.lit(_LANE_MASK).cast("bigint")), (F.col("__k") % 4 * LANE).cast("int"))
+    least = _least(terms, keys, samples, never is None, versions)
+    lanes = least.groupBy(*keys, F.floor(F.col("__k") / 4).alias("__q")).agg(*[x for v in range(versions) for x in (F.bit_or(lane(v)).alias(f"__l{v}"), F.count(f"__s{v}").alias(f"__c{v}"))])
+    each = [f"__l{v}" for v in range(versions)]
+    both = lanes.groupBy(*keys).agg(*[F.sum(f"__c{v}").alias(f"__c{v}") for v in range(versions)], F.array_sort(F.collect_list(F.struct("__q", *each))).alias("__ls"))
+    found = F.col("__c0") if versions == 1 else F.least(*[f"__c{v}" for v in range(versions)])
+    return both.select(*keys, found.alias("__c"), *[F.transform("__ls", _lane(v)).alias(f"__sig{v}" if versions > 1 else "__sig") for v in range(versions)])
+
+
+def _lane(v: int) -> Callable[[Column], Column]:
+    return lambda x: x[f"__l{v}"]
 
 
 def completed(draw: Callable[[DataFrame, float | None], DataFrame], words: DataFrame, keys: list[str], samples: int, never: float) -> DataFrame:
@@ -156,8 +176,7 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = _exploded(versions.select(*KEYS, F.col("__x.v").alias("__v"), _words(F.col("__x.t")).alias("__ws")))
 
     def drawn(words: DataFrame, never: float | None) -> DataFrame:
-        sig = signatures(words, [*KEYS, "__v"], samples, never)
-        sig = sig.groupBy(*KEYS).agg(F.max(F.when(F.col("__v") == 0, F.col("__sig"))).alias("__own"), F.max(F.when(F.col("__v") == 1, F.col("__sig"))).alias("__edited"), F.min("__c").alias("__c"))
+        sig = signatures(words, KEYS, samples, never, versions=2).withColumnsRenamed({"__sig0": "__own", "__sig1": "__edited"})
         # The texts meet once more for the hash, out of the same shuffle files.
         return sig.join(both.select(*KEYS, F.sha2("__edited", 256).alias("__sha")).hint("merge"), KEYS)
 

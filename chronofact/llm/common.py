@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofact.storage import join_by_key, materialise, shared_folder
 
-__all__ = ["BitFilter", "id_of", "join_by_key", "lower_ascii", "materialise", "shared_folder", "text_of"]
+__all__ = ["BitFilter", "id_of", "join_by_key", "lower_ascii", "materialise", "shared_folder", "text_of", "whole_row"]
 
 #: ASCII white space, as the contracts define it: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
@@ -27,6 +27,11 @@ def id_of(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column), F.lit(NULL_ID))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as a struct; names are taken as they are, dots and all."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, nothing else. `lower` does just that to a text of ASCII only, and is faster than `translate`."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import BitFilter, id_of, join_by_key, materialise, text_of
+from chronofact.llm.common import BitFilter, id_of, join_by_key, materialise, text_of, whole_row
 
 #: Bits of the filter a row: one row in so many passes by chance.
 BITS = 32
@@ -71,7 +71,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     _, groups = _groups(marked(_hashed(docs, id_col, text_col), **options).filter("__maybe"))
     groups = materialise(groups.filter("group_size > 1").select("text_sha256", "__h", F.col("__keep.__id").alias("__best"), "group_size"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__h"), F.sha2(text_of(text_col), 256).alias("text_sha256"))
+    rows = docs.select(whole_row(docs).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__h"), F.sha2(text_of(text_col), 256).alias("text_sha256"))
     rows = BitFilter.of(groups, F.col("__h"), groups.count()).mark(rows, F.col("__h"), "__maybe")
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     met = join_by_key(rows.filter("__maybe"), groups.drop("__h"), ["text_sha256"], "group_size", total, F.struct("__id"))

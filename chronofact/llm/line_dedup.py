@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import BLANKS, id_of, join_by_key, lower_ascii, materialise, text_of
+from chronofact.llm.common import BLANKS, id_of, join_by_key, lower_ascii, materialise, text_of, whole_row
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.struct(*docs.columns).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), text_of(text_col).alias("__t"))
+    return docs.select(whole_row(docs).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), text_of(text_col).alias("__t"))
 
 
 def dropped_positions(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import NULL_ID, id_of, join_by_key, materialise, text_of
+from chronofact.llm.common import NULL_ID, id_of, join_by_key, materialise, text_of, whole_row
 from chronofact.shipping import ship
 
 SEED = 42
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """The document with the smallest id of each component, with all columns of `docs`."""
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), text_of(text_col).alias("__t"))
+    rows = docs.select(whole_row(docs).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), text_of(text_col).alias("__t"))
     prints = materialise(with_fingerprint(rows, "__t", "__fp", words).select("__id", "__th", "__fp"))
     keep = _grouped(prints, radius, segments).select(F.col("__best.__id").alias("__id"), F.col("__best.__th").alias("__th")).distinct()
     return rows.join(materialise(keep), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select("__row.*")

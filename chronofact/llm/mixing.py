@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import WORD, id_of, join_by_key, materialise, text_of
+from chronofact.llm.common import WORD, id_of, join_by_key, materialise, text_of, whole_row
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -76,10 +76,15 @@ def _word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
 
+def _named(source_col: str) -> Column:
+    """A hash of the source that tells null from every name."""
+    return F.xxhash64(F.col(source_col).isNull(), F.col(source_col).cast("string"))
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Per document: doc_id, __id, __th, size, source_size, target, taken and how: __every (whole copies), __from, __to and __from2, __to2 (word ranges taken once more)."""
+    """Per document: doc_id, __id, __th, __src, size, source_size, target, taken and how: __every (whole copies), __from, __to and __from2, __to2 (word ranges taken once more)."""
     size = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), F.col(source_col).cast("string").alias("__source"), _word_count(text_of(text_col)).alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), F.col(source_col).cast("string").alias("__source"), _named(source_col).alias("__src"), _word_count(text_of(text_col)).alias("size"))
     )
     per = size.groupBy("__source").agg(F.sum("size").alias("__words"), F.count(F.lit(1)).alias("__docs"))
     named = targets(materialise(per))
@@ -107,16 +112,16 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     lo, hi = within("__zero", F.col("__hi") - blocks * block_words)
     rows = rows.withColumn("__from2", lo).withColumn("__to2", F.greatest(lo, hi))
     taken = F.col("__every") * F.col("size") + F.col("__to") - F.col("__from") + F.col("__to2") - F.col("__from2")
-    return rows.select("doc_id", "__id", "__th", "size", F.col("__words").alias("source_size"), F.col("__target").alias("target"), taken.cast("bigint").alias("taken"), "__every", "__from", "__to", "__from2", "__to2")
+    return rows.select("doc_id", "__id", "__th", "__src", "size", F.col("__words").alias("source_size"), F.col("__target").alias("target"), taken.cast("bigint").alias("taken"), "__every", "__from", "__to", "__from2", "__to2")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_chars_col: str = "n_chars", **options: int) -> DataFrame:
     """The mixed corpus with all columns of `docs`: a row per whole copy taken and one per word range taken; n_chars follows the text."""
     how = plan(docs, id_col, text_col, source_col, **options)
-    # Rows repeated in id and text have a plan each, and any of them may stand for the others.
-    how = how.filter("taken > 0").select("__id", "__th", F.explode(F.concat(F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("size").alias("b"), F.lit(True).alias("whole")), F.col("__every").cast("int")), F.filter(F.array(*[F.struct(F.col(f"__from{i}").alias("a"), F.col(f"__to{i}").alias("b"), ((F.col(f"__from{i}") == 0) & (F.col(f"__to{i}") == F.col("size"))).alias("whole")) for i in ("", "2")]), lambda r: r["b"] > r["a"]))).alias("__part"))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), text_of(text_col).alias("__t")).dropDuplicates(["__id", "__th"])
-    both = rows.join(how, ["__id", "__th"])
+    # Rows repeated in id, text and source have a plan each, and any of them may stand for the others.
+    how = how.filter("taken > 0").select("__id", "__th", "__src", F.explode(F.concat(F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("size").alias("b"), F.lit(True).alias("whole")), F.col("__every").cast("int")), F.filter(F.array(*[F.struct(F.col(f"__from{i}").alias("a"), F.col(f"__to{i}").alias("b"), ((F.col(f"__from{i}") == 0) & (F.col(f"__to{i}") == F.col("size"))).alias("whole")) for i in ("", "2")]), lambda r: r["b"] > r["a"]))).alias("__part"))
+    rows = docs.select(whole_row(docs).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), text_of(text_col).alias("__t"), _named(source_col).alias("__src")).dropDuplicates(["__id", "__th", "__src"])
+    both = rows.join(how, ["__id", "__th", "__src"])
     # Words with the blanks that follow them, so that a range keeps its line breaks.
     spaced = F.split(F.regexp_replace("__t", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     part = F.array_join(F.slice(spaced, (F.col("__part.a") + 1).cast("int"), (F.col("__part.b") - F.col("__part.a")).cast("int")), "")

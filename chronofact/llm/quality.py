@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import id_of, join_by_key, materialise, text_of
+from chronofact.llm.common import BitFilter, id_of, join_by_key, materialise, text_of, whole_row
 from chronofact.shipping import ship
 
 #: Labelled rows that the classifier is fitted on, at most: those whose ids have the least hashes.
@@ -174,9 +174,9 @@ def with_evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column
             none = {"quality": 2.0, "toxic": -2.0}
             yield pd.DataFrame({"empty": x[:, 0] == 0} | {t: np.clip(x @ m[:-1] + m[-1], -30, 30) if (m := models[t]) is not None else np.full(len(x), none[t]) for t in TARGETS})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), F.coalesce(host.cast("string"), F.lit("\0")).alias("__host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("__path"), text_of(text_col).alias("__t"))
-    rows = rows.select("doc_id", "__id", F.xxhash64("__t").alias("__th"), "__host", F.concat_ws("\1", "__host", "__path").alias("__path"), odds("__t").alias("__o"))
-    rows = rows.select("doc_id", "__id", "__th", "__host", "__path", F.col("__o.empty").alias("__empty"), *[F.col(f"__o.{t}").alias(f"{t}_log_odds") for t in TARGETS])
+    rows = docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), F.coalesce(host.cast("string"), F.lit("\0")).alias("__host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("__path"), text_of(text_col).alias("__t"), _site(host, path).alias("__ph"))
+    rows = rows.select("doc_id", "__id", "__ph", F.xxhash64("__t").alias("__th"), "__host", F.concat_ws("\1", "__host", "__path").alias("__path"), odds("__t").alias("__o"))
+    rows = rows.select("doc_id", "__id", "__th", "__ph", "__host", "__path", F.col("__o.empty").alias("__empty"), *[F.col(f"__o.{t}").alias(f"{t}_log_odds") for t in TARGETS])
     return materialise(rows.withColumns({f"__p_{t}": 1 / (1 + F.exp(-F.col(f"{t}_log_odds"))) for t in TARGETS})), [t for t in TARGETS if models[t] is not None]
 
 
@@ -203,7 +203,7 @@ def score(
     docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", toxic_col: str = "toxic",
     keep_from: float = KEEP_FROM, toxic_from: float = TOXIC_FROM, fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
-    """Per document: doc_id, __id, __th, and for quality and toxicity log-odds, host and path posterior and the posterior itself; kept."""
+    """Per document: doc_id, __id, __th, __ph, and for quality and toxicity log-odds, host and path posterior and the posterior itself; kept."""
     columns = {t: c for t, c in (("quality", label_col), ("toxic", toxic_col)) if c in labels.columns}
     rows, modelled = with_evidence(docs, labels, host, path, id_col, text_col, label_id, columns, fit_rows)
     out = with_posteriors(rows).withColumn("quality", F.when(F.col("__empty"), F.lit(0.0)).otherwise(F.col("quality")))
@@ -212,11 +212,22 @@ def score(
         kept = kept & (F.col("quality") >= keep_from)
     if "toxic" in modelled:
         kept = kept & (F.col("toxic") < toxic_from)
-    return out.select("doc_id", "__id", "__th", *[c for t in TARGETS for c in (f"{t}_log_odds", f"host_{t}", f"path_{t}", t)], kept.alias("kept"))
+    return out.select("doc_id", "__id", "__th", "__ph", *[c for t in TARGETS for c in (f"{t}_log_odds", f"host_{t}", f"path_{t}", t)], kept.alias("kept"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The documents that stay, with all columns of `docs`. Only ids and hashes of the rejected are shuffled against the rows."""
-    gone = score(docs, labels, host, path, id_col, text_col, **options).filter("not kept").select("__id", "__th").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"))
-    return rows.join(gone, ["__id", "__th"], "left_anti").select("__row.*")
+    """The documents that stay, with all columns of `docs`. A filter of the rejected tells the rows that move to be held against them; the others stay where they are. Rows
+    repeated in id and text, but under another host or path, are judged each by their own.
+    """
+    key = F.xxhash64("__id", "__th", "__ph")
+    gone = materialise(score(docs, labels, host, path, id_col, text_col, **options).filter("not kept").select("__id", "__th", "__ph").distinct())
+    own = _site(host, path).alias("__ph")
+    rows = docs.select(whole_row(docs).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), own)
+    rows = BitFilter.of(gone, key, gone.count()).mark(rows, key, "__maybe")
+    held = rows.filter("__maybe").join(gone, ["__id", "__th", "__ph"], "left_anti")
+    return rows.filter("not __maybe").select("__row.*").unionByName(held.select("__row.*"))
+
+
+def _site(host: Column, path: Column) -> Column:
+    """A hash of host and path, of null ones too."""
+    return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in (host, path)])

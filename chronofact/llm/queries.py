@@ -27,7 +27,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score(_docs(spark, sf_dir), labels, F.col("source"), F.col("lang")).drop("__id", "__th")
+    return quality.score(_docs(spark, sf_dir), labels, F.col("source"), F.col("lang")).drop("__id", "__th", "__ph")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

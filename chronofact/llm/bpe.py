@@ -34,9 +34,9 @@ from chronofact.shipping import ship
 
 WORDS = 65_536
 LONGEST = 64
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Merged words that a worker remembers, in two generations.
-MERGED_WORDS = 50_000
+MERGED_WORDS = 120_000
 Ids = tuple[int, ...]
 
 

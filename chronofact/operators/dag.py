@@ -1,31 +1,129 @@
-"""The commit DAG: reachability, validity as of a head, classification of head moves, revalidation."""
+"""The commit DAG: reachability by chains, merge bases, patch ids, validity as of a head, classification of head moves, revalidation.
+
+Commits are laid out in chains along first parents: a commit hands its chain on to the child that most commits descend from, so a path back along
+first parents changes chains a logarithm of times at most. What a head reaches is, of each chain, everything up to some place, and reachability of a
+pair is a comparison of places. A row a chain stands for all its commits; no closure of commits is made, and a search takes as many rounds as a path
+changes chains, not as the history is deep.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.storage import materialise
+from chronofact.storage import materialise, stored
 
 #: Heads' histories up to so many rows are held by every task; longer ones are joined by shuffle.
 MANY_COMMITS = 2_000_000
 
 
-def reachable(parents: DataFrame, heads: DataFrame, rounds: int = 40) -> DataFrame:
-    """(head, commit_id): what each head reaches, itself included. parents: commit_id, parent_id.
+def _sizes(commits: DataFrame, first: DataFrame) -> DataFrame:
+    """(c, n): how many commits descend from each along first parents, itself included; in round i those nearer than 2^(i + 1)."""
+    jump, size = materialise(first.select("c", "p")), commits.select("c", F.lit(1).cast("bigint").alias("n"))
+    while jump.take(1):
+        more = jump.join(size, "c").groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("m"))
+        size = materialise(size.join(more, "c", "left").select("c", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")))
+        jump = materialise(jump.join(jump.select(F.col("c").alias("p"), F.col("p").alias("q")), "p").select("c", F.col("q").alias("p")))
+    return size
+
 
-    By doubling: in round i the reach grows by jumps of 2^i parents, so a history of depth n takes log n rounds.
+class Chains:
+    """places: commit_id, chain, pos, least (the smallest id from the chain's start up to here). links: chain, pos, to_chain, to_pos, the parents that aren't the commit before.
+
+    parents: commit_id, parent_id, a row a parent (null for none) and, if commits have several, `place`, 0 for the first. Ids are whole numbers.
     """
-    jump = materialise(parents.filter("parent_id IS NOT NULL").select(F.col("commit_id").cast("bigint").alias("c"), F.col("parent_id").cast("bigint").alias("a")))
-    reach = heads.select(F.col("head").cast("bigint").alias("head"), F.col("head").cast("bigint").alias("commit_id"))
-    for _ in range(rounds):
-        if not jump.take(1):
-            return reach
-        more = reach.join(jump, F.col("commit_id") == F.col("c")).select("head", F.col("a").alias("commit_id"))
-        reach = materialise(reach.union(more).distinct())
-        far = jump.select(F.col("c").alias("c0"), F.col("a").alias("mid")).join(jump, F.col("mid") == F.col("c")).select(F.col("c0").alias("c"), "a")
-        jump = materialise(far.distinct())
-    raise RuntimeError(f"history deeper than 2^{rounds} commits")
+
+    def __init__(self, parents: DataFrame) -> None:
+        place = F.col("place") if "place" in parents.columns else F.lit(0)
+        rows = materialise(parents.select(F.col("commit_id").cast("bigint").alias("c"), F.col("parent_id").cast("bigint").alias("p"), place.alias("place")))
+        row = F.xxhash64("c", "p", "place")
+        n, total, mixed = rows.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first()
+        # The index of the same commits is made once.
+        name = f"chains-{n}-{total}-{mixed}"
+        self.spark = parents.sparkSession
+        self.places = stored(self.spark, f"{name}/places", lambda: self._places(rows))
+        self.links = stored(self.spark, f"{name}/links", lambda: self._links(rows))
+
+    @staticmethod
+    def _known(rows: DataFrame) -> DataFrame:
+        """Rows with a parent that is there; those of a shallow history may be missing."""
+        return rows.filter("p IS NOT NULL").join(rows.select(F.col("c").alias("p")).distinct(), "p", "left_semi")
+
+    def _places(self, rows: DataFrame) -> DataFrame:
+        commits = rows.select("c").distinct()
+        first = self._known(rows).groupBy("c").agg(F.min_by("p", F.struct("place", "p")).alias("p"))
+        heir = first.join(_sizes(commits, first), "c").groupBy("p").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("c"))
+        # By doubling: each commit knows the commit 2^i before it on its chain, or the chain's start.
+        at = materialise(commits.join(heir, "c", "left").select("c", F.coalesce("p", "c").alias("chain"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("bigint").alias("pos"), F.least("c", "p").alias("least")))
+        while True:
+            far = at.select(F.col("c").alias("chain"), F.col("chain").alias("__chain"), F.col("pos").alias("__pos"), F.col("least").alias("__least"))
+            next_ = materialise(at.join(far, "chain").select("c", F.col("__chain").alias("chain"), (F.col("pos") + F.col("__pos")).alias("pos"), F.least("least", "__least").alias("least"), (F.col("__pos") > 0).alias("moved")))
+            at = next_.drop("moved")
+            if not next_.filter("moved").take(1):
+                break
+        return at.withColumnRenamed("c", "commit_id")
+
+    def _links(self, rows: DataFrame) -> DataFrame:
+        at = self.places.withColumnRenamed("commit_id", "c")
+        own, other = at.select("c", "chain", "pos"), at.select(F.col("c").alias("p"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
+        links = self._known(rows).select("c", "p").distinct().join(own, "c").join(other, "p").filter("chain <> to_chain OR pos <> to_pos + 1")
+        return links.groupBy("chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos"))
+
+    def reach(self, heads: DataFrame) -> DataFrame:
+        """(head, chain, pos): up to where a head (column head) reaches each chain, itself included. Unknown heads reach nothing."""
+        known = materialise(heads.select(F.col("head").cast("bigint").alias("head")).distinct().join(self.places.withColumnRenamed("commit_id", "head"), "head").select("head", "chain", "pos"))
+        front = known.withColumn("after", F.lit(-1).cast("bigint"))
+        while True:
+            met = front.join(self.links.withColumnRenamed("pos", "at"), "chain").filter("at <= pos AND at > after")
+            met = met.groupBy("head", F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("pos"))
+            old = known.withColumnRenamed("pos", "after")
+            front = materialise(met.join(old, ["head", "chain"], "left").withColumn("after", F.coalesce("after", F.lit(-1).cast("bigint"))).filter("pos > after"))
+            if not front.take(1):
+                return known
+            known = materialise(known.unionByName(front.drop("after")).groupBy("head", "chain").agg(F.max("pos").alias("pos")))
+
+    def reaches(self, pairs: DataFrame, head: str, commit: str, flag: str) -> DataFrame:
+        """pairs with a boolean column: whether `head` reaches `commit`."""
+        places = self.places.select(F.col("commit_id").alias(commit), F.col("chain").alias("__chain"), F.col("pos").alias("__pos"))
+        far = self.reach(pairs.select(F.col(head).alias("head"))).select(F.col("head").alias(head), F.col("chain").alias("__chain"), F.col("pos").alias("__far"))
+        out = pairs.join(places, commit, "left").join(far, [head, "__chain"], "left")
+        return out.withColumn(flag, F.coalesce(F.col("__pos") <= F.col("__far"), F.lit(False))).select(*pairs.columns, flag)
+
+    def reached(self, heads: DataFrame) -> DataFrame:
+        """(head, commit_id): every commit that each head reaches."""
+        far = self.reach(heads).withColumnRenamed("pos", "far")
+        return self.places.join(far, "chain").filter("pos <= far").select("head", "commit_id")
+
+    def merge_bases(self, pairs: DataFrame) -> DataFrame:
+        """(l, r, base): the best common ancestors of each pair, those that no other common ancestor descends from; there may be several, or none.
+
+        Of a chain only the last common commit can be one, and it is unless a common commit of another chain has it as a parent.
+        """
+        pairs = pairs.select(F.col("l").cast("bigint").alias("l"), F.col("r").cast("bigint").alias("r")).distinct()
+        far = self.reach(pairs.select(F.explode(F.array("l", "r")).alias("head")))
+        side = lambda x: far.select(F.col("head").alias(x), "chain", F.col("pos").alias(f"__{x}"))
+        common = materialise(pairs.join(side("l"), "l").join(side("r"), ["r", "chain"]).select("l", "r", "chain", F.least("__l", "__r").alias("pos")))
+        links = self.links.select(F.col("chain").alias("from_chain"), F.col("pos").alias("from_pos"), F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"))
+        children = common.join(links, ["chain", "pos"]).join(common.select("l", "r", F.col("chain").alias("from_chain"), F.col("pos").alias("__to")), ["l", "r", "from_chain"])
+        best = common.join(children.filter("from_pos <= __to").select("l", "r", "chain", "pos").distinct(), ["l", "r", "chain", "pos"], "left_anti")
+        return best.join(self.places, ["chain", "pos"]).select("l", "r", F.col("commit_id").alias("base"))
+
+
+def reachable(parents: DataFrame, heads: DataFrame) -> DataFrame:
+    """(head, commit_id): what each head reaches, itself included."""
+    return Chains(parents).reached(heads)
+
+
+def patch_id(diff: Column) -> Column:
+    """A hash of a change alone: without the lines that name blobs, the places of hunks and white space; null for an empty one. So a rebased or picked commit has its origin's."""
+    lines = F.filter(F.split(diff, "\n", -1), lambda x: ~x.startswith("index "))
+    bare = F.array_join(F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, "^@@ [^@]*@@", "@@"), r"\s+", "")), "\n")
+    return F.when(F.trim(F.replace(bare, F.lit("\n"), F.lit(""))) != "", F.sha2(bare, 256))
+
+
+def reachable_patches(commits: DataFrame, reach: DataFrame) -> DataFrame:
+    """(patch_id): of what a head reaches, merges left out. commits: commit_id, patch_id, merge; reach: commit_id."""
+    return commits.filter("NOT merge AND patch_id IS NOT NULL").join(reach.select("commit_id"), "commit_id", "left_semi").select("patch_id").distinct()
 
 
 def _flag(df: DataFrame, reach: DataFrame, commit: str, flag: str, small: bool) -> DataFrame:
@@ -51,11 +149,11 @@ def valid_as_of(branch: str, repo: str | None = None) -> Column:
     return ~anchored | (right_repo & begun & open_ & here)
 
 
-def classify_move(from_: Column, to: Column, forward: Column, backward: Column, parents_of_to: Column, reverts: Column, same_branch: Column) -> Column:
-    """How a head moved. forward: `from` is an ancestor of `to`; backward the reverse."""
+def classify_move(from_: Column, to: Column, forward: Column, backward: Column, parents_of_to: Column, reverts: Column, same_branch: Column, related: Column | None = None) -> Column:
+    """How a head moved. forward: `from` is an ancestor of `to`; backward the reverse. related: they have a common ancestor."""
     return (
         F.when(from_ == to, "noop").when(forward & (parents_of_to > 1), "merge").when(forward & reverts, "revert").when(forward, "fast_forward")
-        .when(backward, "switch").when(~same_branch, "switch").when(reverts, "revert").otherwise("rebase")
+        .when(backward, "switch").when(~same_branch, "switch").when(reverts if related is None else reverts & related, "revert").otherwise("rebase")
     )
 
 

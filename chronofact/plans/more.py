@@ -10,13 +10,15 @@ from chronofact.functions import config as C
 from chronofact.functions import scoring as S
 from chronofact.functions import secrets as X
 from chronofact.functions import text as T
+from chronofact.operators import dag as D
 from chronofact.operators import facts as O
 from chronofact.operators import inject as I
 from chronofact.operators import retrieve as R
 from chronofact.plans.ingest import _RED, _SAID, said
 from chronofact.plans.registry import Views, query
 from chronofact.plans.retrieval import BM25, FNV, KNN, SCORE, SEM, WIDE, indexed, lexical, notes, scored
-from chronofact.plans.rules import PREC, _sql, gated
+from chronofact.plans.rules import PREC, REACH, _sql, gated, head
+from chronofact.storage import materialise
 
 
 
@@ -209,9 +211,16 @@ def _(v: Views) -> DataFrame:
     return R.top_lexical(hits, meta, "item_id", "fact_id", 20).filter("status = 'active'").select("item_id", "fact_id", "rank")
 
 
-@query("tmp_05_patch_ids", "commits", "SELECT patch_id, count(*) AS n, min(commit_id) AS first_commit FROM commits GROUP BY patch_id")
+_PATCH = "sha256(concat('diff--gita/fb/f', chr(10), '@@', chr(10), '-old', p_size, chr(10), '+new', p_type))"
+
+
+@query("tmp_05_patch_ids", "commits", f"{REACH} SELECT {_PATCH} AS patch_id, count(*) AS n, min(commit_id) AS first_commit FROM commits c JOIN main.part p ON p.p_partkey = c.commit_id WHERE c.diff <> '' AND c.parent2_id IS NULL AND c.commit_id IN (SELECT commit_id FROM reach) GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    return v.commits.groupBy("patch_id").agg(F.count(F.lit(1)).alias("n"), F.min("commit_id").alias("first_commit"))
+    # The changes that the newest commit's history holds, merges left out.
+    commits = v.commits.select("commit_id", D.patch_id(F.col("diff")).alias("patch_id"), F.col("parent2_id").isNotNull().alias("merge"))
+    reach = materialise(head(v))
+    own = commits.filter("NOT merge").join(reach, "commit_id", "left_semi").join(D.reachable_patches(commits, reach), "patch_id", "left_semi")
+    return own.groupBy("patch_id").agg(F.count(F.lit(1)).alias("n"), F.min("commit_id").alias("first_commit"))
 
 
 @query("tmp_11_repo_id", "commits", "SELECT commit_id, concat('repo_', substr(sha256(concat('c', commit_id)), 1, 12)) AS repo_id FROM commits WHERE parent_id IS NULL")

@@ -15,25 +15,36 @@ from chronofact.operators import inject as I
 from chronofact.operators import lifecycle as L
 from chronofact.plans.registry import Views, query
 from chronofact.plans.retrieval import FNV, NOW, TOKENS, _concept
+from chronofact.storage import materialise
 
-HEAD = 150
-REACH = f"WITH RECURSIVE reach(commit_id) AS (SELECT {HEAD}::bigint UNION SELECT c.parent_id::bigint FROM reach r JOIN commits c ON c.commit_id = r.commit_id WHERE c.parent_id IS NOT NULL)"
-CLOSURE = "WITH RECURSIVE anc(head, commit_id) AS (SELECT commit_id::bigint, commit_id::bigint FROM commits UNION SELECT a.head, c.parent_id::bigint FROM anc a JOIN commits c ON c.commit_id = a.commit_id WHERE c.parent_id IS NOT NULL)"
+HEAD = "(SELECT max(commit_id)::bigint FROM commits)"
+LINKS = "links AS (SELECT commit_id::bigint AS c, unnest([parent_id, parent2_id])::bigint AS p FROM commits)"
+REACH = f"WITH RECURSIVE {LINKS}, reach(commit_id) AS (SELECT {HEAD} UNION SELECT l.p FROM reach r JOIN links l ON l.c = r.commit_id WHERE l.p IS NOT NULL)"
+CLOSURE = f"WITH RECURSIVE {LINKS}, anc(head, commit_id) AS (SELECT commit_id::bigint, commit_id::bigint FROM commits UNION SELECT a.head, l.p FROM anc a JOIN links l ON l.c = a.commit_id WHERE l.p IS NOT NULL)"
 VALID = """(a.fact_id IS NULL OR (a.repo_id = 'repo_a' AND a.valid_from IN (SELECT commit_id FROM reach) AND (a.valid_until IS NULL OR a.valid_until NOT IN (SELECT commit_id FROM reach))
   AND (a.branch = 'main' OR (a.introduced_by IS NOT NULL AND a.introduced_by IN (SELECT commit_id FROM reach)))))"""
 
 
-def head(v: Views) -> DataFrame:
-    return D.reachable(v.commits, v.spark.range(1).select(F.lit(HEAD).cast("bigint").alias("head")))
+def chains(v: Views) -> D.Chains:
+    return D.Chains(v.commits.select("commit_id", F.posexplode(F.array("parent_id", "parent2_id")).alias("place", "parent_id")))
+
 
+def last(v: Views) -> DataFrame:
+    """(head): the newest commit."""
+    return v.commits.agg(F.max("commit_id").cast("bigint").alias("head"))
 
-def closure(v: Views) -> DataFrame:
-    return D.reachable(v.commits, v.commits.select(F.col("commit_id").alias("head")))
+
+def head(v: Views) -> DataFrame:
+    """What the newest commit reaches."""
+    return chains(v).reached(last(v))
 
 
 @query("tmp_03_ancestors", "commits", f"{CLOSURE} SELECT head, count(*) AS n, min(commit_id) AS root FROM anc GROUP BY head")
 def _(v: Views) -> DataFrame:
-    return closure(v).groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("commit_id").alias("root"))
+    # A chain reached up to a place counts that many commits; no pair of commits is made.
+    index = chains(v)
+    far = index.reach(v.commits.select(F.col("commit_id").alias("head")))
+    return far.join(index.places.select("chain", "pos", "least"), ["chain", "pos"]).groupBy("head").agg(F.sum(F.col("pos") + 1).alias("n"), F.min("least").alias("root"))
 
 
 @query("tmp_01_valid_as_of", "facts anchors commits", f"{REACH} SELECT f.fact_id, {VALID} AS valid FROM facts f LEFT JOIN anchors a ON f.fact_id = a.fact_id")
@@ -54,45 +65,38 @@ def _(v: Views) -> DataFrame:
     return v.facts.filter("status = 'active'").select("fact_id").join(needs, "fact_id", "left_anti")
 
 
-@query("tmp_02_patch_equivalent", "anchors commits", f"{REACH}, p AS (SELECT DISTINCT patch_id FROM commits WHERE commit_id IN (SELECT commit_id FROM reach)) SELECT a.fact_id FROM anchors a JOIN commits c ON c.commit_id = a.valid_from WHERE a.branch <> 'main' AND (a.valid_from IN (SELECT commit_id FROM reach) OR c.patch_id IN (SELECT patch_id FROM p))")
+@query("tmp_02_patch_equivalent", "anchors commits", f"{REACH}, p AS (SELECT DISTINCT change FROM commits WHERE diff <> '' AND parent2_id IS NULL AND commit_id IN (SELECT commit_id FROM reach)) SELECT a.fact_id FROM anchors a JOIN commits c ON c.commit_id = a.valid_from WHERE a.branch <> 'main' AND (a.valid_from IN (SELECT commit_id FROM reach) OR (c.diff <> '' AND c.change IN (SELECT change FROM p)))")
 def _(v: Views) -> DataFrame:
-    reach = head(v)
-    commits = v.commits.select(F.col("commit_id").cast("bigint").alias("commit_id"), "patch_id")
-    patches = commits.join(reach, "commit_id", "left_semi").select("patch_id").distinct().withColumn("same_patch", F.lit(True))
+    reach = materialise(head(v))
+    commits = v.commits.select(F.col("commit_id").cast("bigint").alias("commit_id"), D.patch_id(F.col("diff")).alias("patch_id"), F.col("parent2_id").isNotNull().alias("merge"))
+    patches = D.reachable_patches(commits, reach).withColumn("same_patch", F.lit(True))
     known = commits.join(patches, "patch_id", "left").join(reach.select("commit_id", F.lit(True).alias("reached")), "commit_id", "left")
     stands = known.filter(F.coalesce("reached", "same_patch", F.lit(False))).select(F.col("commit_id").alias("valid_from"))
     return v.anchors.filter("branch <> 'main'").withColumn("valid_from", F.col("valid_from").cast("bigint")).join(stands, "valid_from", "left_semi").select("fact_id")
 
 
-@query("tmp_04_merge_base", "commits", f"{CLOSURE} SELECT p.l, p.r, max(a.commit_id) AS base FROM (SELECT commit_id AS l, commit_id + 1 AS r FROM commits) p JOIN anc a ON a.head = p.l JOIN anc b ON b.head = p.r AND a.commit_id = b.commit_id GROUP BY p.l, p.r")
+@query("tmp_04_merge_base", "commits", f"{CLOSURE}, p AS (SELECT commit_id AS l, commit_id + CASE WHEN commit_id % 2 = 0 THEN 1 ELSE 8 END AS r FROM commits), k AS (SELECT p.l, p.r, a.commit_id AS base FROM p JOIN anc a ON a.head = p.l JOIN anc b ON b.head = p.r AND a.commit_id = b.commit_id) SELECT l::bigint AS l, r::bigint AS r, base FROM k WHERE NOT EXISTS (SELECT 1 FROM k o JOIN links ON links.c = o.base WHERE o.l = k.l AND o.r = k.r AND links.p = k.base)")
 def _(v: Views) -> DataFrame:
-    # Ids grow from parent to child, so the nearest common ancestor is the largest.
-    from chronofact.storage import materialise
-
-    anc = materialise(closure(v))
-    left = anc.select(F.col("head").alias("l"), "commit_id")
-    right = anc.select((F.col("head") - 1).alias("l"), "commit_id")
-    return left.join(right, ["l", "commit_id"]).groupBy("l").agg(F.max("commit_id").alias("base")).select("l", (F.col("l") + 1).alias("r"), "base")
+    c = F.col("commit_id")
+    return chains(v).merge_bases(v.commits.select(c.alias("l"), (c + F.when(c % 2 == 0, 1).otherwise(8)).alias("r")))
 
 
 MOVES = "SELECT commit_id AS f, CASE commit_id % 4 WHEN 0 THEN commit_id WHEN 1 THEN commit_id * 2 WHEN 2 THEN greatest(1, (commit_id - commit_id % 4) // 4) ELSE commit_id + 1 END AS t, commit_id % 3 = 0 AS same_branch FROM commits"
 
 
-@query("tmp_06_classify_head", "commits", f"""{CLOSURE}, m AS ({MOVES}), k AS (SELECT m.*, a.head IS NOT NULL AS fwd, b.head IS NOT NULL AS back, regexp_matches(c.message, '(?i)^\\s*revert\\b') OR t % 5 = 0 AS rev FROM m JOIN commits c ON c.commit_id = m.t LEFT JOIN anc a ON a.head = m.t AND a.commit_id = m.f LEFT JOIN anc b ON b.head = m.f AND b.commit_id = m.t)
-SELECT f, t, CASE WHEN f = t THEN 'noop' WHEN fwd AND rev THEN 'revert' WHEN fwd THEN 'fast_forward' WHEN back THEN 'switch' WHEN NOT same_branch THEN 'switch' WHEN rev THEN 'revert' ELSE 'rebase' END AS kind FROM k""")
+@query("tmp_06_classify_head", "commits", f"""{CLOSURE}, roots AS (SELECT head, min(commit_id) AS root FROM anc GROUP BY head), m AS ({MOVES}), k AS (SELECT m.*, a.head IS NOT NULL AS fwd, b.head IS NOT NULL AS back, c.parent2_id IS NOT NULL AS two, regexp_matches(c.message, '(?i)^\\s*revert\\b') OR t % 7 = 0 AS rev, ra.root = rb.root AS related
+  FROM m JOIN roots ra ON ra.head = m.f JOIN roots rb ON rb.head = m.t JOIN commits c ON c.commit_id = m.t LEFT JOIN anc a ON a.head = m.t AND a.commit_id = m.f LEFT JOIN anc b ON b.head = m.f AND b.commit_id = m.t)
+SELECT f, t, CASE WHEN f = t THEN 'noop' WHEN fwd AND two THEN 'merge' WHEN fwd AND rev THEN 'revert' WHEN fwd THEN 'fast_forward' WHEN back THEN 'switch' WHEN NOT same_branch THEN 'switch' WHEN rev AND related THEN 'revert' ELSE 'rebase' END AS kind FROM k""")
 def _(v: Views) -> DataFrame:
-    from chronofact.storage import materialise
-
     c = F.col("commit_id")
     to = F.when(c % 4 == 0, c).when(c % 4 == 1, c * 2).when(c % 4 == 2, F.greatest(F.lit(1), F.floor(c / 4))).otherwise(c + 1)
     moves = v.commits.select(c.alias("f"), to.cast("bigint").alias("t"), (c % 3 == 0).alias("same_branch"))
-    said = v.commits.select(F.col("commit_id").alias("t"), (D.is_revert(F.col("message")) | (F.col("commit_id") % 5 == 0)).alias("rev"))
-    anc = materialise(closure(v))
-    fwd = anc.select(F.col("head").alias("t"), F.col("commit_id").alias("f"), F.lit(True).alias("fwd"))
-    back = anc.select(F.col("head").alias("f"), F.col("commit_id").alias("t"), F.lit(True).alias("back"))
-    m = moves.join(said, "t").join(fwd, ["f", "t"], "left").join(back, ["f", "t"], "left")
-    yes = lambda n: F.coalesce(n, F.lit(False))
-    return m.select("f", "t", D.classify_move(F.col("f"), F.col("t"), yes("fwd"), yes("back"), F.lit(1), F.col("rev"), F.col("same_branch")).alias("kind"))
+    said = v.commits.select(F.col("commit_id").alias("t"), (D.is_revert(F.col("message")) | (F.col("commit_id") % 7 == 0)).alias("rev"), F.when(F.col("parent2_id").isNotNull(), 2).otherwise(1).alias("parents"))
+    index, m = chains(v), materialise(moves.join(said, "t"))
+    m = index.reaches(index.reaches(m, "t", "f", "fwd"), "f", "t", "back")
+    based = index.merge_bases(m.filter("NOT fwd AND NOT back").select(F.col("f").alias("l"), F.col("t").alias("r"))).select(F.col("l").alias("f"), F.col("r").alias("t"), F.lit(True).alias("related")).distinct()
+    m = m.join(based, ["f", "t"], "left")
+    return m.select("f", "t", D.classify_move(F.col("f"), F.col("t"), F.col("fwd"), F.col("back"), F.col("parents"), F.col("rev"), F.col("same_branch"), F.coalesce("related", F.lit(False))).alias("kind"))
 
 
 @query("tmp_07_revalidate", "facts anchors commits", f"""{REACH} SELECT f.fact_id FROM facts f JOIN anchors a ON f.fact_id = a.fact_id WHERE f.status IN ('expired', 'superseded') AND a.valid_until IS NOT NULL
@@ -103,9 +107,9 @@ def _(v: Views) -> DataFrame:
     return D.revalidated(closed, v.commits.filter("commit_id % 5 = 0").select("commit_id"), "main").select("fact_id")
 
 
-@query("tmp_08_anchor_at_head", "facts anchors", f"SELECT f.fact_id, coalesce(a.branch, 'main') AS branch, coalesce(a.valid_from, {HEAD}) AS valid_from FROM facts f LEFT JOIN anchors a ON f.fact_id = a.fact_id")
+@query("tmp_08_anchor_at_head", "facts anchors commits", f"SELECT f.fact_id, coalesce(a.branch, 'main') AS branch, coalesce(a.valid_from, {HEAD}) AS valid_from FROM facts f LEFT JOIN anchors a ON f.fact_id = a.fact_id")
 def _(v: Views) -> DataFrame:
-    return v.facts.select("fact_id").join(v.anchors.select("fact_id", "branch", "valid_from"), "fact_id", "left").select("fact_id", *D.anchored_at(F.lit(HEAD), F.lit("main")))
+    return v.facts.select("fact_id").join(v.anchors.select("fact_id", "branch", "valid_from"), "fact_id", "left").select("fact_id", *D.anchored_at(F.lit(last(v).first()["head"]), F.lit("main")))
 
 
 @query("tmp_09_closed", "facts anchors", "SELECT f.fact_id, f.status, a.valid_until FROM facts f JOIN anchors a ON f.fact_id = a.fact_id WHERE f.status IN ('expired', 'superseded') AND a.valid_until IS NOT NULL ORDER BY f.t_recorded")
@@ -266,12 +270,13 @@ def _(v: Views) -> DataFrame:
     keys = ["user_id", "subject", "predicate"]
     f = v.facts.join(v.anchors.select("fact_id", "branch", "valid_from"), "fact_id", "left")
     now = O.top_per(f.filter("status = 'active'"), keys, [F.col("seq")], 1)
-    now = D._flag(now, head(v), "valid_from", "at_from", True)
+    reach = materialise(head(v))
+    now = D._flag(now, reach, "valid_from", "at_from", reach.count() <= D.MANY_COMMITS)
     now = now.select(*keys, *[F.col(x).alias(f"c_{x}") for x in ("fact_id", "object_str", "trust_tier", "branch", "valid_from", "at_from")])
     both = f.filter("status = 'candidate'").join(now, keys, "left")
     c = lambda x: F.col(f"c_{x}")
     seen = F.when(F.col("seq") % 9 == 0, c("fact_id"))
-    return both.select("fact_id", L.reconcile(F.col, c, seen, F.lit(HEAD), F.coalesce(c("at_from"), F.lit(False))).alias("outcome"))
+    return both.select("fact_id", L.reconcile(F.col, c, seen, F.lit(last(v).first()["head"]), F.coalesce(c("at_from"), F.lit(False))).alias("outcome"))
 
 
 # --- Planning.

@@ -45,10 +45,12 @@ SELECT concat('fact_', lpad(cast(d.doc_id AS string), 8, '0')) AS fact_id, d.doc
   CASE WHEN d.doc_id % 4 = 1 THEN substring(d.text, 1, 40) END AS raw_quote, d.lang AS lang, concat(d.lang, ' ', d.source) AS tags_text
 FROM {{documents}} d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM {{labels}} GROUP BY doc_id) l ON d.doc_id = l.doc_id""",
     "commits": """
-SELECT p_partkey AS commit_id, CASE WHEN p_partkey > 1 THEN floor(p_partkey / 2) END AS parent_id, p_name AS message, p_size AS patch_id FROM {part}""",
+SELECT p_partkey AS commit_id, CASE WHEN p_partkey % 25 = 13 THEN p_partkey - 1 - p_partkey % 4 WHEN p_partkey > 1 THEN p_partkey - 1 END AS parent_id, CASE WHEN p_partkey % 25 = 20 THEN p_partkey - 8 END AS parent2_id,
+  p_name AS message, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE concat('diff --git a/f b/f', chr(10), 'index ', cast(p_partkey AS string), '..', chr(10), '@@ -', cast(p_partkey AS string), ',2 +1,2 @@', chr(10), '-old ', cast(p_size AS string), chr(10), '+new   ', p_type) END AS diff, concat(cast(p_size AS string), p_type) AS change
+FROM {part}""",
     "anchors": f"""
 SELECT concat('fact_', lpad(cast(doc_id AS string), 8, '0')) AS fact_id, CASE WHEN doc_id % 13 = 0 THEN 'repo_b' ELSE 'repo_a' END AS repo_id, CASE WHEN doc_id % 2 = 0 THEN 'main' ELSE 'feat' END AS branch,
-  1 + doc_id % 199 AS valid_from, CASE WHEN doc_id % 5 = 0 THEN 1 + (doc_id * 7) % 199 END AS valid_until, CASE WHEN doc_id % 3 = 0 THEN 1 + (doc_id * 3) % 199 END AS introduced_by,
+  1 + doc_id * 2 AS valid_from, CASE WHEN doc_id % 5 = 0 THEN 1 + (doc_id * 7) % 199 END AS valid_until, CASE WHEN doc_id % 3 = 0 THEN 1 + doc_id * 3 END AS introduced_by,
   {text_id("src/f", "doc_id % 40")} AS path_glob
 FROM {{documents}} WHERE doc_id % 6 <> 1""",
     "episodes": """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of this name in the shared folder; made first if it isn't there whole."""
+    path = f"{shared_folder(spark)}/{name}"
+    if not whole(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def join_by_key(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: Column) -> DataFrame:
     """Left outer join with `right`, a materialised table that has one row a key; some keys may hold much of `left`.
 

@@ -296,3 +296,38 @@ def test_pagerank_sums_to_one(spark):
 
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3)], "src bigint, dst bigint")
     assert math.isclose(sum(r["rank"] for r in G.pagerank(edges).collect()), 1.0, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_on_random_dags(spark, seed):
+    """Reach, ancestry and merge bases of commits with up to three parents, several roots and missing parents."""
+    import random
+
+    rng = random.Random(seed)
+    n = 60
+    parents = {c: sorted(rng.sample(range(max(0, c - 12), c), min(c, rng.choice([0, 1, 1, 1, 1, 2, 3])))) for c in range(n)}
+    for own in parents.values():
+        rng.shuffle(own)
+    rows = [(c, p, i) for c, own in parents.items() for i, p in enumerate(own or [None])] + [(n, 999, 0)]
+    reach = {n: {n}}
+    for c in range(n):
+        reach[c] = {c}.union(*[reach[p] for p in parents[c]])
+    index = D.Chains(spark.createDataFrame(rows, "commit_id bigint, parent_id bigint, place int"))
+    got = index.reached(spark.createDataFrame([(c,) for c in [*range(n + 1), 12345]], "head bigint")).collect()
+    assert len(got) == len(set(got)) and {(r["head"], r["commit_id"]) for r in got} == {(h, c) for h, own in reach.items() for c in own}
+    pairs = [(rng.randrange(n + 1), rng.randrange(n + 1)) for _ in range(150)]
+    frame = spark.createDataFrame(pairs, "l bigint, r bigint")
+    assert all(r["f"] == (r["r"] in reach[r["l"]]) for r in index.reaches(frame, "l", "r", "f").collect())
+    want = set()
+    for a, b in pairs:
+        common = reach[a] & reach[b]
+        want |= {(a, b, c) for c in common if not any(c != x and c in reach[x] for x in common)}
+    assert {tuple(r) for r in index.merge_bases(frame).collect()} == want
+
+
+def test_patch_ids(spark):
+    a = "diff --git a/f b/f\nindex 1..2\n@@ -1,2 +1,2 @@ x\n-old\n+new  y"
+    b = "diff --git a/f b/f\nindex 8..9 100644\n@@ -70,2 +75,2 @@ x\n-old\n+new y"
+    rows = spark.createDataFrame([(a,), (b,), (a.replace("old", "odd"),), ("",), (None,), ("index 1..2\n",)], "d string").select(D.patch_id(F.col("d")).alias("p")).collect()
+    ids = [r["p"] for r in rows]
+    assert ids[0] == ids[1] != ids[2] and ids[3:] == [None] * 3

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from chronofact.shipping import ship
 from chronofact.storage import join_by_key, materialise, shared_folder
 
-__all__ = ["BitFilter", "id_of", "join_by_key", "lower_ascii", "materialise", "shared_folder", "text_of", "whole_row"]
+__all__ = ["BitFilter", "by_slices", "id_of", "join_by_key", "lower_ascii", "materialise", "shared_folder", "text_of", "whole_row"]
 
 #: ASCII white space, as the contracts define it: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
@@ -16,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A null id sorts before every other id.
 NULL_ID = -(2**63)
+#: Rows whose texts a worker takes at once.
+SLICE = 256
 
 
 def text_of(column: str = "text") -> Column:
@@ -37,6 +45,24 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def by_slices(df: DataFrame, text_col: str, kinds: str, make: Callable[[list[str | None]], list]) -> DataFrame:
+    """df without its text but with the columns, `kinds`, that `make` gives of the texts: SLICE rows at a time, so that a worker holds no more than their texts and results."""
+    ship(df.sparkSession)
+    rest = [c for c in df.columns if c != text_col]
+    names = [x.split()[0] for x in kinds.split(", ")]
+    schema = StructType([*df.select(*rest).schema, *StructType.fromDDL(kinds)])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for part in parts:
+            for a in range(0, len(part), SLICE):
+                some = part.slice(a, SLICE)
+                made = make(some.column(len(rest)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(rest)], *[pa.array(x, arrow.field(n).type) for n, x in zip(names, made, strict=True)]], [*rest, *names])
+
+    return df.select(*rest, text_col).mapInArrow(run, schema)
+
+
 class BitFilter:
     """A Bloom filter as bitmaps of SEGMENT bits, a row each. It has at most MOST_BITS (128 MB), so that it can be broadcast
     whatever it holds; with more entries than that is meant for, it passes more rows than it need, never fewer.

@@ -15,14 +15,13 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import id_of, materialise, text_of
+from chronofact.llm.common import by_slices, id_of, materialise, text_of
 from chronofact.shipping import ship
 
 SEQUENCE = 4096
@@ -106,23 +105,22 @@ class WordTokenizer:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """doc_id, __id, __draw, doc_tokens and the pieces as an array of (start, length, ids_crc32)."""
+    """doc_id, __id, __draw, tokens and the pieces' start and crc as arrays."""
     ship(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
-    @F.pandas_udf("start array<bigint>, crc array<bigint>, tokens bigint")
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer.of(tokenizer_path)
-        for texts in parts:
-            out = []
-            for text in texts:
-                ids = tokenizer.encode(text) + end
-                starts = range(0, len(ids), 4 * length)
-                out.append(([a // 4 for a in starts], [zlib.crc32(ids[a : a + 4 * length]) for a in starts], len(ids) // 4))
-            yield pd.DataFrame(out, columns=["start", "crc", "tokens"])
+    def cut(texts: list[str]) -> list[list]:
+        tokenizer, out = WordTokenizer.of(tokenizer_path), ([], [], [])
+        for text in texts:
+            ids = tokenizer.encode(text) + end
+            starts = range(0, len(ids), 4 * length)
+            for to, x in zip(out, ([a // 4 for a in starts], [zlib.crc32(ids[a : a + 4 * length]) for a in starts], len(ids) // 4), strict=True):
+                to.append(x)
+        return [*out]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), text_of(text_col).alias("__t"))
-    return rows.select("doc_id", "__id", F.xxhash64("__id", F.xxhash64("__t"), F.monotonically_increasing_id(), F.lit(29)).alias("__draw"), cut("__t").alias("__cut"))
+    rows = rows.select("doc_id", "__id", F.xxhash64("__id", F.xxhash64("__t"), F.monotonically_increasing_id(), F.lit(29)).alias("__draw"), "__t")
+    return by_slices(rows, "__t", "start array<bigint>, crc array<bigint>, tokens bigint", cut)
 
 
 class RoomTree:
@@ -163,7 +161,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ship(docs.sparkSession)
     cut = materialise(pieces(docs, tokenizer_path, id_col, text_col, length, end_id))
     groups = max(1, -(-cut.count() // group_docs))
-    cut = cut.select("doc_id", "__id", F.pmod("__draw", F.lit(groups)).alias("__group"), F.col("__cut.tokens").alias("doc_tokens"), F.explode(F.arrays_zip(F.col("__cut.start").alias("start"), F.col("__cut.crc").alias("crc"))).alias("__p"))
+    cut = cut.select("doc_id", "__id", F.pmod("__draw", F.lit(groups)).alias("__group"), F.col("tokens").alias("doc_tokens"), F.explode(F.arrays_zip("start", "crc")).alias("__p"))
     cut = cut.select("doc_id", "__id", "__group", "doc_tokens", F.col("__p.start").alias("start"), F.col("__p.crc").alias("ids_crc32"))
     cut = cut.withColumn("length", F.least(F.lit(length).cast("bigint"), F.col("doc_tokens") - F.col("start")))
 

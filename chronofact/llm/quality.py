@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import BitFilter, id_of, join_by_key, materialise, text_of, whole_row
+from chronofact.llm.common import BitFilter, by_slices, id_of, join_by_key, materialise, text_of, whole_row
 from chronofact.shipping import ship
 
 #: Labelled rows that the classifier is fitted on, at most: those whose ids have the least hashes.
@@ -166,17 +166,15 @@ def with_evidence(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     weights, models = fit(sampled(docs, labels, id_col, text_col, label_id, columns, fit_rows))
     shared = docs.sparkSession.sparkContext.broadcast((weights, models))
 
-    @F.pandas_udf("empty boolean, quality double, toxic double")
-    def odds(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def odds(texts: list[str]) -> list:
         weights, models = shared.value
-        for texts in parts:
-            x = np.array([figures(t.encode("utf-8", "surrogatepass"), weights) for t in texts]).reshape(len(texts), -1)
-            none = {"quality": 2.0, "toxic": -2.0}
-            yield pd.DataFrame({"empty": x[:, 0] == 0} | {t: np.clip(x @ m[:-1] + m[-1], -30, 30) if (m := models[t]) is not None else np.full(len(x), none[t]) for t in TARGETS})
+        x = np.array([figures(t.encode("utf-8", "surrogatepass"), weights) for t in texts]).reshape(len(texts), -1)
+        none = {"quality": 2.0, "toxic": -2.0}
+        return [x[:, 0] == 0, *[np.clip(x @ m[:-1] + m[-1], -30, 30) if (m := models[t]) is not None else np.full(len(x), none[t]) for t in TARGETS]]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), F.coalesce(host.cast("string"), F.lit("\0")).alias("__host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("__path"), text_of(text_col).alias("__t"), _site(host, path).alias("__ph"))
-    rows = rows.select("doc_id", "__id", "__ph", F.xxhash64("__t").alias("__th"), "__host", F.concat_ws("\1", "__host", "__path").alias("__path"), odds("__t").alias("__o"))
-    rows = rows.select("doc_id", "__id", "__th", "__ph", "__host", "__path", F.col("__o.empty").alias("__empty"), *[F.col(f"__o.{t}").alias(f"{t}_log_odds") for t in TARGETS])
+    rows = rows.select("doc_id", "__id", "__ph", F.xxhash64("__t").alias("__th"), "__host", F.concat_ws("\1", "__host", "__path").alias("__path"), "__t")
+    rows = by_slices(rows, "__t", ", ".join(["__empty boolean", *[f"{t}_log_odds double" for t in TARGETS]]), odds)
     return materialise(rows.withColumns({f"__p_{t}": 1 / (1 + F.exp(-F.col(f"{t}_log_odds"))) for t in TARGETS})), [t for t in TARGETS if models[t] is not None]
 
 

@@ -126,9 +126,18 @@ def _(v: Views) -> DataFrame:
     return v.facts.select("fact_id", F.round(S.recency(F.col("t_recorded"), F.lit(NOW)), 6).alias("recency"))
 
 
-@query("dat_03_as_of", "facts", "SELECT fact_id FROM facts WHERE t_recorded <= 1704067200000 + 30000000")
+MIDDLE = "(SELECT (min(t_recorded) + max(t_recorded)) // 2 FROM facts)"
+
+
+def middle(v: Views) -> int:
+    """The middle of the time that the facts were recorded in, which moves with them."""
+    first, last = v.facts.agg(F.min("t_recorded"), F.max("t_recorded")).first()
+    return ((first or 0) + (last or 0)) // 2
+
+
+@query("dat_03_as_of", "facts", f"SELECT fact_id FROM facts WHERE t_recorded <= {MIDDLE}")
 def _(v: Views) -> DataFrame:
-    return v.facts.filter(F.coalesce(F.col("t_recorded") <= 1704067200000 + 30000000, F.lit(True))).select("fact_id")
+    return v.facts.filter(F.coalesce(F.col("t_recorded") <= middle(v), F.lit(True))).select("fact_id")
 
 
 @query("mth_01_confidence", "facts", "SELECT fact_id, round(0.75 + 0.25 * confidence, 6) AS factor FROM facts")

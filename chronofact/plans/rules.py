@@ -14,7 +14,7 @@ from chronofact.operators import graph as G
 from chronofact.operators import inject as I
 from chronofact.operators import lifecycle as L
 from chronofact.plans.registry import Views, query
-from chronofact.plans.retrieval import FNV, NOW, TOKENS, _concept
+from chronofact.plans.retrieval import FNV, MIDDLE, NOW, TOKENS, _concept, middle
 from chronofact.storage import materialise
 
 HEAD = "(SELECT max(commit_id)::bigint FROM commits)"
@@ -117,13 +117,13 @@ def _(v: Views) -> DataFrame:
     return v.facts.filter("status IN ('expired', 'superseded')").join(v.anchors.filter("valid_until IS NOT NULL"), "fact_id").select("fact_id", "status", "valid_until")
 
 
-@query("tmp_10_why_asof", "facts episodes fact_edges", """WITH c AS (SELECT fact_id, t_recorded, unnest([seq, seq * 3 + 1, seq * 11]) AS id FROM facts WHERE t_recorded <= 1704067200000 + 30000000),
+@query("tmp_10_why_asof", "facts episodes fact_edges", f"""WITH c AS (SELECT fact_id, t_recorded, unnest([seq, seq * 3 + 1, seq * 11]) AS id FROM facts WHERE t_recorded <= {MIDDLE}),
 j AS (SELECT c.fact_id, count(e.episode_id) FILTER (e.created_at <= timestamp '2024-01-15') AS evidence, count(*) FILTER (e.episode_id IS NULL) AS missing, count(*) FILTER (e.created_at > timestamp '2024-01-15') AS future FROM c LEFT JOIN episodes e ON e.episode_id = c.id GROUP BY c.fact_id),
 g AS (SELECT from_id AS fact_id, edge_id FROM fact_edges WHERE created_at <= timestamp '1996-01-01' UNION SELECT to_id, edge_id FROM fact_edges WHERE created_at <= timestamp '1996-01-01'), n AS (SELECT fact_id, count(*) AS edges FROM g GROUP BY fact_id)
 SELECT j.fact_id, evidence, missing, coalesce(n.edges, 0) AS edges, missing = 0 AND future = 0 AS complete FROM j LEFT JOIN n ON n.fact_id = j.fact_id""")
 def _(v: Views) -> DataFrame:
     at = F.lit("2024-01-15").cast("timestamp_ntz")
-    cited = v.facts.filter(F.col("t_recorded") <= 1704067200000 + 30000000).select("fact_id", F.explode(F.array("seq", F.col("seq") * 3 + 1, F.col("seq") * 11)).alias("episode_id"))
+    cited = v.facts.filter(F.col("t_recorded") <= middle(v)).select("fact_id", F.explode(F.array("seq", F.col("seq") * 3 + 1, F.col("seq") * 11)).alias("episode_id"))
     seen = v.episodes.select("episode_id", (F.col("created_at").cast("timestamp_ntz") <= at).alias("past"))
     j = cited.join(seen, "episode_id", "left").groupBy("fact_id").agg(F.count_if(F.col("past")).alias("evidence"), F.count_if(F.col("past").isNull()).alias("missing"), F.count_if(~F.col("past")).alias("future"))
     edges = v.fact_edges.filter(F.col("created_at").cast("timestamp_ntz") <= F.lit("1996-01-01").cast("timestamp_ntz"))

@@ -1,8 +1,8 @@
 """The store's tools over a folder of Parquet: remember, recall, why, promote, forget, resolve, checkpoint.
 
-Facts are an append-only log of versions; every write is one append and the current view takes each fact's last version, so a write
-that is lost half way leaves the store as it was. All calls take batches and return DataFrames; times and ids are the
-caller's, never drawn here.
+Facts are an append-only log of versions, and the current view takes each fact's last one. A call's rows, in however many tables, are named by one
+snapshot (`sources/log.py`): they are seen all at once or not at all, and a call that read what another writer changed meanwhile is done again. All calls take batches and return
+DataFrames; times and ids are the caller's, never drawn here.
 """
 
 from __future__ import annotations
@@ -16,16 +16,24 @@ from chronofact.functions import text as T
 from chronofact.operators import facts as O
 from chronofact.operators import inject as I
 from chronofact.operators import lifecycle as L
+from chronofact.operators import provenance as P
 from chronofact.operators import retrieve as R
 from chronofact.operators.index import StoredIndex, vector_of, words_of
+from chronofact.sources.log import Snapshot, SnapshotLog
 from chronofact.storage import materialise
 
 FACT = (
     "fact_id string, subject string, predicate string, object_str string, fact_kind string, temporal_kind string, status string, promotion_state string, trust_tier string, sensitivity string, asserted_by string, "
-    "confidence double, evidence_count bigint, t_recorded bigint, t_expired bigint, invalidated_by string, user_id string, workspace_id string, session_id string, raw_quote string, tags_text string, event_ids array<string>, version bigint, t_written bigint"
+    "confidence double, evidence_count bigint, t_recorded bigint, t_expired bigint, invalidated_by string, user_id string, workspace_id string, session_id string, raw_quote string, tags_text string, event_ids array<string>, branch string, path_globs array<string>, contradiction_count bigint, version bigint, t_written bigint"
 )
+EPISODE = "episode_id string, session_id string, event_type string, payload string, created_at bigint"
+EDGE = "from_id string, edge_kind string, to_id string, created_at bigint"
+PROMOTION = "fact_id string, from_state string, to_state string, decision string, created_at bigint"
 INJECTION = "user_id string, fact_id string, scope_session string, event string, at_ms bigint"
-DEFAULTS = {"fact_kind": "semantic", "temporal_kind": "dynamic", "status": "candidate", "promotion_state": "session_only", "trust_tier": "low", "sensitivity": "public", "asserted_by": "agent", "confidence": 0.5, "evidence_count": 1, "tags_text": ""}
+DEFAULTS = {"fact_kind": "semantic", "temporal_kind": "dynamic", "status": "candidate", "promotion_state": "session_only", "trust_tier": "low", "sensitivity": "public", "asserted_by": "agent", "confidence": 0.5, "evidence_count": 1, "tags_text": "", "contradiction_count": 0}
+KEYS = ["user_id", "subject", "predicate"]
+#: Facts that nothing meets any more.
+CLOSED = ("expired", "superseded")
 
 
 class FactStore:
@@ -33,58 +41,99 @@ class FactStore:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.spark.createDataFrame([], FACT).write.mode("append").parquet(f"{self.folder}/facts")
-        self.spark.createDataFrame([], "episode_id string, session_id string, event_type string, payload string, created_at bigint").write.mode("append").parquet(f"{self.folder}/episodes")
-        self.spark.createDataFrame([], INJECTION).write.mode("append").parquet(f"{self.folder}/injections")
+        self.tables = SnapshotLog(spark, self.folder, {"facts": FACT, "episodes": EPISODE, "edges": EDGE, "promotions": PROMOTION, "injections": INJECTION})
 
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(FACT).parquet(f"{self.folder}/facts")
+    def log(self, at: Snapshot | None = None) -> DataFrame:
+        return (at or self.tables.latest()).read("facts")
 
-    def current(self) -> DataFrame:
+    def current(self, at: Snapshot | None = None) -> DataFrame:
         """Each fact's last version."""
-        return O.latest(self.log(), "fact_id", "version")
+        return O.latest(self.log(at), "fact_id", "version")
 
     def episodes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/episodes")
+        return self.tables.latest().read("episodes")
 
-    def _append(self, rows: DataFrame) -> None:
-        kinds = {f.name: f.dataType for f in self.log().schema}
-        rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]).write.mode("append").parquet(f"{self.folder}/facts")
+    def edges(self) -> DataFrame:
+        return self.tables.latest().read("edges")
+
+    def promotions(self) -> DataFrame:
+        """Every decision of a sweep, with the state before and after."""
+        return self.tables.latest().read("promotions")
+
+    def _versions(self, rows: DataFrame) -> DataFrame:
+        kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], FACT).schema}
+        return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
     def capture(self, episodes: DataFrame) -> None:
         """Append episodes: episode_id, session_id, event_type, payload, created_at."""
-        episodes.write.mode("append").parquet(f"{self.folder}/episodes")
+        self.tables.append(episodes=episodes)
 
-    def remember(self, rows: DataFrame) -> DataFrame:
-        """Append new facts with their defaults; rows that bear secrets are refused and returned."""
+    def _sifted(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """First versions of new facts with their defaults, and the rows that bear secrets."""
         said = F.concat_ws(" ", "subject", "predicate", "object_str", *[c for c in ("raw_quote", "tags_text") if c in rows.columns])
         checked = rows.withColumn("__secret", X.contains_secret(said))
         good = checked.filter("not __secret").drop("__secret").withColumn("version", F.lit(1)).withColumn("t_written", F.col("t_recorded"))
         for name, value in DEFAULTS.items():
             good = good.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in good.columns else F.lit(value))
-        self._append(good)
-        return checked.filter("__secret").drop("__secret")
-
-    def learn(self, rows: DataFrame) -> DataFrame:
-        """remember, then fold each key's facts in order of arrival; what changed is appended, as of the key's last arrival. The refused rows."""
-        refused = self.remember(rows)
-        now = self.current().filter(~F.col("status").isin("expired", "rejected", "superseded"))
-        keys = ["user_id", "subject", "predicate"]
-        touched = now.join(rows.select(*keys).distinct(), keys, "left_semi")
-        level = S.scope_level(F.col("workspace_id"), F.col("session_id"), F.col("promotion_state"))
-        prec = S.precedence_rank(F.col("asserted_by"), F.col("trust_tier"), F.col("promotion_state"), F.col("tags_text"), F.col("session_id"), F.col("session_id"))
-        arrivals = touched.select(*keys, F.col("t_recorded").alias("seq"), "fact_id", F.xxhash64("object_str").alias("object_hash"), "trust_tier", "asserted_by", level.alias("level"), prec.alias("prec"), "evidence_count")
-        verdict = L.fold_arrivals(arrivals, keys).select("fact_id", F.col("status").alias("__s"), F.col("evidence_count").alias("__n"))
-        new = touched.join(verdict, "fact_id").filter((F.col("__s") != F.col("status")) | (F.col("__n") != F.col("evidence_count")))
-        last = rows.groupBy(*keys).agg(F.max("t_recorded").alias("__at"))
-        new = new.join(last, keys).withColumn("t_written", F.greatest("t_written", "__at"))
-        self._append(new.withColumn("status", F.col("__s")).withColumn("evidence_count", F.col("__n")).withColumn("version", F.col("version") + 1).drop("__s", "__n", "__at"))
+        return self._versions(good), checked.filter("__secret").drop("__secret")
+
+    def remember(self, rows: DataFrame) -> DataFrame:
+        """Append new facts with their defaults; rows that bear secrets are refused and returned."""
+        good, refused = self._sifted(rows)
+        self.tables.append(facts=good)
         return refused
 
+    def learn(self, rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+        """remember, and let each new fact meet the open ones of its user, subject and predicate (`lifecycle.cascade`), in order of time and id. The refused rows.
+
+        New facts, changed versions (as of the key's last arrival) and edges are written at once. Rows whose id is known are passed over, so a batch that is given again changes nothing. With `files` (path_glob),
+        the paths there are, a fact all of whose concrete paths are gone gives way to any other value. Facts without user, subject or predicate meet none.
+        """
+        sifted, refused = self._sifted(rows)
+
+        def build(at: Snapshot) -> dict[str, DataFrame]:
+            now = self.current(at)
+            new = materialise(sifted.join(now.select("fact_id"), "fact_id", "left_anti"))
+            open_ = now.filter(~F.col("status").isin(*CLOSED)).join(new.select(*KEYS).distinct(), KEYS, "left_semi")
+            both = materialise(open_.withColumn("incoming", F.lit(False)).unionByName(new.withColumn("incoming", F.lit(True))))
+            gone = self._without_targets(both, files)
+            feats = L.features(F.col, F.lit(False) if files is None else F.col("__gone"))
+            counts = {c: F.coalesce(c, F.lit(0)) for c in ("evidence_count", "contradiction_count")}
+            arrivals = gone.dropna(subset=KEYS).select(*KEYS, F.col("t_recorded").alias("seq"), "fact_id", "incoming", "status", *[v.alias(c) for c, v in counts.items()], *[v.alias(c) for c, v in feats.items()])
+            out = materialise(L.cascade(arrivals, KEYS))
+            fates = out.filter("existing IS NULL").select("fact_id", *[F.col(c).alias(f"__{c}") for c in ("status", "evidence_count", "contradiction_count", "closed_by", "closed_at")])
+            last = new.groupBy(*KEYS).agg(F.max("t_recorded").alias("__at"))
+            changed = ~(F.col("__status").eqNullSafe(F.col("status")) & F.col("__evidence_count").eqNullSafe(F.coalesce("evidence_count", F.lit(0))) & F.col("__contradiction_count").eqNullSafe(F.coalesce("contradiction_count", F.lit(0))))
+            later = both.join(fates, "fact_id").filter(changed).join(last, KEYS)
+            set_ = {
+                "status": F.col("__status"), "evidence_count": F.col("__evidence_count"), "contradiction_count": F.col("__contradiction_count"), "t_expired": F.coalesce("__closed_at", "t_expired"),
+                "invalidated_by": F.coalesce("__closed_by", "invalidated_by"), "t_written": F.greatest("t_written", "__at"), "version": F.col("version") + 1,
+            }
+            met = out.filter("existing IS NOT NULL").select(F.col("fact_id").alias("incoming"), "existing", "relation", F.lit(True).alias("overrides"))
+            edges = L.effects(met, "incoming").join(new.select(F.col("fact_id").alias("incoming"), F.col("t_recorded").alias("created_at")), "incoming")
+            return {"facts": new.unionByName(self._versions(later.withColumns(set_))), "edges": edges.select("from_id", "edge_kind", "to_id", "created_at")}
+
+        self.tables.transact(build)
+        return refused
+
+    def _without_targets(self, facts: DataFrame, files: DataFrame | None) -> DataFrame:
+        """facts with __gone: all concrete paths that they speak of, at least one, are missing from files."""
+        if files is None:
+            return facts
+        own = F.when(F.col("predicate") == "do_not_edit", F.array("subject")).otherwise(F.array().cast("array<string>"))
+        paths = facts.select("fact_id", F.explode(F.concat(own, F.filter(F.coalesce("path_globs", F.array().cast("array<string>")), lambda g: ~F.contains(g, F.lit("*"))))).alias("path_glob"))
+        there = paths.join(files.select("path_glob").distinct().withColumn("__there", F.lit(True)), "path_glob", "left")
+        gone = there.groupBy("fact_id").agg(F.bool_and(F.col("__there").isNull()).alias("__gone"))
+        return facts.join(gone, "fact_id", "left")
+
     def forget(self, ids: DataFrame, at_ms: int) -> None:
         """Expire facts (column fact_id) at the user's wish; each is its own reason."""
-        gone = self.current().join(ids.select("fact_id").distinct(), "fact_id", "left_semi")
-        self._append(gone.withColumn("status", F.lit("expired")).withColumn("t_expired", F.lit(at_ms)).withColumn("invalidated_by", F.col("fact_id")).withColumn("t_written", F.lit(at_ms)).withColumn("version", F.col("version") + 1))
+
+        def build(at: Snapshot) -> dict[str, DataFrame]:
+            gone = self.current(at).join(ids.select("fact_id").distinct(), "fact_id", "left_semi")
+            return {"facts": self._versions(gone.withColumns({"status": F.lit("expired"), "t_expired": F.lit(at_ms), "invalidated_by": F.col("fact_id"), "t_written": F.lit(at_ms), "version": F.col("version") + 1}))}
+
+        self.tables.transact(build)
 
     def recall(self, queries: DataFrame, user: str, workspace: str | None = None, session: str | None = None, k: int = 15, now_ms: int | None = None, valid: DataFrame | None = None) -> DataFrame:
         """(query_id, fact_id, score, rank) for queries (query_id, text and, if there is one, broad): passes by scope with the queries' expansions, broad fill, short pools filled by meaning; fused,
@@ -117,15 +166,16 @@ class FactStore:
         none = self.spark.createDataFrame([], "fact_id string, path_glob string")
         told = self.injections().filter(F.col("scope_session").eqNullSafe(F.lit(session)))
         planned = materialise(I.plan(scored, "user_id", event, none if anchors is None else anchors, none if files is None else files, told, now_ms)).filter("card IS NOT NULL")
-        planned.select("user_id", "fact_id", F.lit(session).cast("string").alias("scope_session"), F.lit(event).alias("event"), F.lit(now_ms).cast("bigint").alias("at_ms")).write.mode("append").parquet(f"{self.folder}/injections")
+        told_now = planned.select("user_id", "fact_id", F.lit(session).cast("string").alias("scope_session"), F.lit(event).alias("event"), F.lit(now_ms).cast("bigint").alias("at_ms"))
+        self.tables.append(injections=told_now)
         return I.capsule(planned, "user_id", "Relevant memory")
 
     def injections(self) -> DataFrame:
         """What was told, to whom and when."""
-        return self.spark.read.schema(INJECTION).parquet(f"{self.folder}/injections")
+        return self.tables.latest().read("injections")
 
     def why(self, ids: DataFrame, as_of_ms: int | None = None) -> DataFrame:
-        """Provenance of facts (column fact_id): versions, evidence found, ids missing, whether the chain is whole. Nothing that was written later."""
+        """Provenance of facts (column fact_id) at a glance: last version, evidence found, ids missing, whether the chain is whole. Quotes are redacted. Nothing that was written later."""
         facts = self.log().join(ids.select("fact_id").distinct(), "fact_id", "left_semi")
         if as_of_ms is not None:
             facts = facts.filter(F.coalesce("t_written", "t_recorded") <= as_of_ms)
@@ -139,19 +189,50 @@ class FactStore:
         )
         none = F.array().cast("array<string>")
         out = last.join(counts, "fact_id", "left")
-        return out.select("fact_id", "asserted_by", "raw_quote", "status", "version", F.coalesce("evidence", none).alias("evidence"), F.coalesce("missing", none).alias("missing"), (F.coalesce(F.size("missing"), F.lit(0)) + F.coalesce("__late", F.lit(0)) == 0).alias("complete"))
+        return out.select("fact_id", "asserted_by", X.redact(F.col("raw_quote")).alias("raw_quote"), "status", "version", F.coalesce("evidence", none).alias("evidence"), F.coalesce("missing", none).alias("missing"), (F.coalesce(F.size("missing"), F.lit(0)) + F.coalesce("__late", F.lit(0)) == 0).alias("complete"))
+
+    def provenance(self, ids: DataFrame, depth: int = 3, as_of_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """The whole report: (root, fact_id, hop) of what facts (column fact_id) superseded or rest on, and (fact_id, part, line) of every fact on the way, redacted. Nothing that was written later."""
+        at = self.tables.latest()
+        past = lambda df, c: df if as_of_ms is None else df.filter(F.col(c) <= as_of_ms)
+        edges = past(at.read("edges"), "created_at")
+        facts = O.latest(past(at.read("facts").withColumn("t_written", F.coalesce("t_written", "t_recorded")), "t_written"), "fact_id", "version")
+        hops = P.chain(ids.join(facts.select("fact_id"), "fact_id", "left_semi"), edges, depth)
+        met = materialise(facts.join(hops.select("fact_id").distinct(), "fact_id", "left_semi"))
+        cited = met.select("fact_id", F.explode("event_ids").alias("episode_id"))
+        return hops, P.lines(met, cited, at.read("episodes"), at.read("promotions"), edges, None if as_of_ms is None else F.lit(as_of_ms))
 
     def promote(self, dry_run: bool = True, at_ms: int | None = None) -> DataFrame:
-        """The sweep's decisions on session facts and held candidates; appended unless it's a dry run."""
-        pool = self.current().filter("promotion_state IN ('session_only', 'workspace_candidate')")
+        """The sweep's decisions on session facts and held candidates; unless it's a dry run, new versions and an audit row a decision are written at once.
+
+        A fact that is disputed, or touches a CONFLICTS_WITH edge, is held until that is resolved.
+        """
         said = F.concat_ws(" ", "subject", "predicate", "object_str", "raw_quote", "tags_text")
         scoped = F.lower(F.concat_ws(" ", "predicate", "object_str", "raw_quote", "tags_text")).rlike(L.REPO_WORDING)
-        decided = pool.withColumn("decision", L.session_to_workspace(F.col, L.secret_bearing(F.col, X.contains_secret(said)), F.col("status") == "disputed", scoped, F.lit(0)))
-        if not dry_run:
+
+        def decide(at: Snapshot) -> DataFrame:
+            pool = self.current(at).filter("promotion_state IN ('session_only', 'workspace_candidate')")
+            fights = at.read("edges").filter("edge_kind = 'CONFLICTS_WITH'")
+            fights = fights.select(F.explode(F.array("from_id", "to_id")).alias("fact_id")).distinct().withColumn("__fights", F.lit(True))
+            open_ = (F.col("status") == "disputed") | F.coalesce("__fights", F.lit(False))
+            return pool.join(fights, "fact_id", "left").withColumn("decision", L.session_to_workspace(F.col, L.secret_bearing(F.col, X.contains_secret(said)), open_, scoped, F.lit(0)))
+
+        if dry_run:
+            return decide(self.tables.latest()).select("fact_id", "decision")
+        made: list[DataFrame] = []
+
+        def build(at: Snapshot) -> dict[str, DataFrame]:
+            decided = materialise(decide(at))
+            made[:] = [decided.select("fact_id", "decision")]
             up, held = F.col("decision").startswith("promote"), F.col("decision").startswith("candidate") & (F.col("promotion_state") == "session_only")
-            new = decided.filter(up | held).withColumn("status", F.when(up, "active").otherwise("candidate")).withColumn("promotion_state", F.when(up, "workspace_active").otherwise("workspace_candidate"))
-            self._append(new.withColumn("version", F.col("version") + 1).withColumn("t_written", F.coalesce(F.lit(at_ms).cast("bigint"), F.col("t_written"))).drop("decision"))
-        return decided.select("fact_id", "decision")
+            to = F.when(up, "workspace_active").when(F.col("decision").startswith("candidate"), "workspace_candidate").otherwise(F.col("promotion_state"))
+            when = F.coalesce(F.lit(at_ms).cast("bigint"), F.col("t_written"))
+            audit = decided.select("fact_id", F.col("promotion_state").alias("from_state"), to.alias("to_state"), "decision", when.alias("created_at"))
+            new = decided.filter(up | held).withColumns({"status": F.when(up, "active").otherwise("candidate"), "promotion_state": to, "version": F.col("version") + 1, "t_written": when})
+            return {"facts": self._versions(new), "promotions": audit}
+
+        self.tables.transact(build)
+        return made[0]
 
     def resolve_conflict(self, session: str | None = None) -> DataFrame:
         """Per user, subject and predicate the winner by precedence and the runner-up among other values."""

@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofact.functions import scoring as S
+from chronofact.functions import secrets as X
 from chronofact.functions import text as T
 from chronofact.operators import dag as D
 from chronofact.operators import facts as O
 from chronofact.operators import graph as G
 from chronofact.operators import inject as I
 from chronofact.operators import lifecycle as L
+from chronofact.operators import provenance as P
 from chronofact.plans.registry import Views, query
 from chronofact.plans.retrieval import FNV, MIDDLE, NOW, TOKENS, _concept, middle
 from chronofact.storage import materialise
@@ -183,6 +185,25 @@ def _(v: Views) -> DataFrame:
     return L.fold_arrivals(rows, ["user_id", "subject", "predicate"])
 
 
+def cascaded(v: Views) -> DataFrame:
+    """All facts as arrivals with their branches; active ones were there before, targets in some folders are gone."""
+    a = v.anchors.select("fact_id", "branch", "path_glob")
+    f = v.facts.join(a, "fact_id", "left").filter("status NOT IN ('expired', 'superseded')")
+    gone = F.coalesce(F.col("path_glob").isin("src/f7", "src/f12", "src/f30"), F.lit(False))
+    feats = [x.alias(n) for n, x in L.features(F.col, gone).items()]
+    return L.cascade(f.select("user_id", "subject", "predicate", "seq", "fact_id", (F.col("status") != "active").alias("incoming"), "status", "evidence_count", F.lit(0).alias("contradiction_count"), *feats), ["user_id", "subject", "predicate"])
+
+
+@query("lif_11_cascade")
+def _(v: Views) -> DataFrame:
+    return cascaded(v).filter("existing IS NULL").drop("existing", "relation")
+
+
+@query("lif_11_edges")
+def _(v: Views) -> DataFrame:
+    return L.effects(cascaded(v).filter("existing IS NOT NULL").select(F.col("fact_id").alias("incoming"), "existing", "relation", F.lit(True).alias("overrides")))
+
+
 @query("lif_10_scope_level", "facts", f"SELECT fact_id, {_sql(LEVEL, 'facts')} AS level FROM facts")
 def _(v: Views) -> DataFrame:
     return v.facts.select("fact_id", S.scope_level(F.col("workspace_id"), F.col("session_id"), F.col("promotion_state")).alias("level"))
@@ -441,6 +462,37 @@ def _(v: Views) -> DataFrame:
     return v.facts.select("fact_id", F.concat("fact_id", F.lit(" "), "subject", F.lit(" "), "predicate", F.lit(" asserted by "), "asserted_by", F.lit(", "), "status", F.lit(", recorded "), F.col("t_recorded").cast("string")).alias("line"))
 
 
+def _redacted(text: str) -> str:
+    for kind, pattern in X.PATTERNS:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '[REDACTED:{kind}]', 'g')"
+    return text
+
+
+CHAIN = f"""WITH RECURSIVE w(root, fact_id, hop) AS (SELECT fact_id, fact_id, 0 FROM facts WHERE status = 'disputed' UNION SELECT w.root, e.to_id, w.hop + 1 FROM w JOIN fact_edges e ON e.from_id = w.fact_id WHERE e.edge_kind IN ('SUPERSEDES', 'SUPPORTED_BY') AND w.hop < 2),
+h AS (SELECT root, fact_id, min(hop) AS hop FROM w GROUP BY root, fact_id)"""
+
+
+def why_chain(v: Views) -> DataFrame:
+    return P.chain(v.facts.filter("status = 'disputed'").select("fact_id"), v.fact_edges, 2)
+
+
+@query("gra_05_chain", "facts fact_edges", f"{CHAIN} SELECT root, fact_id, hop FROM h")
+def _(v: Views) -> DataFrame:
+    return why_chain(v)
+
+
+@query("gra_05_provenance", "facts fact_edges episodes", f"""{CHAIN}, m AS (SELECT * FROM facts WHERE fact_id IN (SELECT fact_id FROM h)), c AS (SELECT DISTINCT fact_id, unnest([seq, seq * 3 + 1, seq * 11]) AS id FROM m)
+SELECT fact_id, 'fact' AS part, concat({_redacted("subject")}, ' ', predicate, ' asserted by ', asserted_by, ' status ', status, ' recorded ', cast(t_recorded AS varchar)) AS line FROM m UNION ALL SELECT fact_id, 'quote', {_redacted("raw_quote")} FROM m WHERE raw_quote IS NOT NULL
+UNION ALL SELECT c.fact_id, CASE WHEN e.episode_id IS NULL THEN 'missing' ELSE 'evidence' END, concat_ws(' ', cast(c.id AS varchar), e.event_type) FROM c LEFT JOIN episodes e ON e.episode_id = c.id
+UNION ALL SELECT fact_id, 'promotion', concat('session_only to ', promotion_state, ' ', asserted_by) FROM m WHERE promotion_state <> 'session_only'
+UNION ALL SELECT from_id, 'edge', concat(edge_kind, ' to ', to_id) FROM fact_edges WHERE from_id IN (SELECT fact_id FROM m) UNION ALL SELECT to_id, 'edge', concat(edge_kind, ' from ', from_id) FROM fact_edges WHERE to_id IN (SELECT fact_id FROM m)""")
+def _(v: Views) -> DataFrame:
+    met = v.facts.join(why_chain(v).select("fact_id").distinct(), "fact_id", "left_semi")
+    cited = met.select("fact_id", F.explode(F.array("seq", F.col("seq") * 3 + 1, F.col("seq") * 11)).alias("episode_id"))
+    moves = met.filter("promotion_state <> 'session_only'").select("fact_id", F.lit("session_only").alias("from_state"), F.col("promotion_state").alias("to_state"), F.col("asserted_by").alias("decision"), F.col("t_recorded").alias("created_at"))
+    return P.lines(met, cited, v.episodes, moves, v.fact_edges)
+
+
 @query("gra_06_about_hop", "facts", "SELECT a.fact_id, count(*) AS n FROM facts a JOIN facts b ON a.subject = b.subject AND a.lang = b.lang AND a.status = 'active' AND b.status = 'active' AND b.fact_kind = 'open_loop' GROUP BY a.fact_id")
 def _(v: Views) -> DataFrame:
     active = v.facts.filter("status = 'active'").select("fact_id", "subject", "lang", "fact_kind")

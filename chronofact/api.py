@@ -155,7 +155,7 @@ class FactStore:
         return R.mmr(ranked, R.sparse_embedding(near, "fact_id", "semantic_text"), "query_id", "fact_id").filter(F.col("rank") <= k).select("query_id", "fact_id", "score", "rank")
 
     def inject_context(self, user: str, event: str = "SessionStart", workspace: str | None = None, session: str | None = None, now_ms: int = 0, anchors: DataFrame | None = None, files: DataFrame | None = None, valid: DataFrame | None = None) -> DataFrame:
-        """(user_id, markdown): the capsule of a user's visible facts, as `inject.plan` has it. anchors (fact_id, path_glob), files (path_glob) and valid (fact_id) tell of the work tree, if there is one.
+        """(user_id, markdown): the capsule of a user's visible facts, as `inject.plan` has it, with notes on the conflicts that facts told have won. anchors (fact_id, path_glob), files (path_glob) and valid (fact_id) tell of the work tree, if there is one.
 
         What is told is recorded, and isn't told again within the hour.
         """
@@ -165,10 +165,34 @@ class FactStore:
         scored = seen.withColumn("prec", prec).withColumn("score", F.col("confidence")).withColumn("key", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")))
         none = self.spark.createDataFrame([], "fact_id string, path_glob string")
         told = self.injections().filter(F.col("scope_session").eqNullSafe(F.lit(session)))
-        planned = materialise(I.plan(scored, "user_id", event, none if anchors is None else anchors, none if files is None else files, told, now_ms)).filter("card IS NOT NULL")
-        told_now = planned.select("user_id", "fact_id", F.lit(session).cast("string").alias("scope_session"), F.lit(event).alias("event"), F.lit(now_ms).cast("bigint").alias("at_ms"))
-        self.tables.append(injections=told_now)
-        return I.capsule(planned, "user_id", "Relevant memory")
+        return self._told(I.candidates(scored, "user_id", event, none if anchors is None else anchors, none if files is None else files, told, now_ms), "user_id", event, user, session, now_ms)
+
+    def _told(self, rows: DataFrame, by: str, event: str, user: str, session: str | None, now_ms: int) -> DataFrame:
+        """The capsules of candidates, recorded."""
+        planned = materialise(I.fill(rows, by, event).filter("card IS NOT NULL"))
+        once = planned.select("fact_id").distinct()
+        self.tables.append(injections=once.select(F.lit(user).alias("user_id"), "fact_id", F.lit(session).cast("string").alias("scope_session"), F.lit(event).alias("event"), F.lit(now_ms).cast("bigint").alias("at_ms")))
+        return I.capsule(planned, by, "Relevant memory", I.conflict_notes(rows, [by]))
+
+    def inject_requests(self, requests: DataFrame, event: str, user: str, workspace: str | None = None, session: str | None = None, now_ms: int = 0, anchors: DataFrame | None = None, files: DataFrame | None = None, valid: DataFrame | None = None) -> DataFrame:
+        """(request_id, markdown) for prompts and tool calls: those that pass the gate get a capsule of what `recall` finds for them.
+
+        requests: request_id, text, and where known drift, new_entities, entities (their number), tool, args, success. Before a tool only trusted facts are told, at most five. What is told is
+        recorded as in inject_context; the requests of one call don't see each other's cards.
+        """
+        kinds = {"drift": "double", "new_entities": "boolean", "entities": "int", "tool": "string", "args": "string", "success": "boolean"}
+        asked = requests.select("request_id", F.coalesce("text", F.lit("")).alias("text"), *[(F.col(c) if c in requests.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+        fires = I.should_fire(F.lit(event), F.col("drift"), F.col("new_entities"), F.coalesce("entities", F.lit(0)), F.col("tool"), F.col("args"), F.coalesce("success", F.lit(True)))
+        fired = materialise(asked.filter(fires).select(F.col("request_id").alias("query_id"), F.concat_ws(" ", "text", "args").alias("text")))
+        found = self.recall(fired, user, workspace, session, k=R.MMR_POOL, now_ms=now_ms, valid=valid)
+        facts = self.current()
+        prec = S.precedence_rank(F.col("asserted_by"), F.col("trust_tier"), F.col("promotion_state"), F.col("tags_text"), F.col("session_id"), F.lit(session))
+        scored = found.select(F.col("query_id").alias("request_id"), "fact_id", "score").join(facts, "fact_id").withColumn("prec", prec).withColumn("key", T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")))
+        told = self.injections().filter(F.col("scope_session").eqNullSafe(F.lit(session)) & (F.col("user_id") == user))
+        none = self.spark.createDataFrame([], "fact_id string, path_glob string")
+        fresh = I.not_recent(scored, told.drop("user_id"), now_ms, [])
+        empty = self.spark.createDataFrame([], "request_id string, fact_id string, at_ms bigint").withColumn("request_id", F.col("request_id").cast(scored.schema["request_id"].dataType))
+        return self._told(I.candidates(fresh, "request_id", event, none if anchors is None else anchors, none if files is None else files, empty, now_ms), "request_id", event, user, session, now_ms)
 
     def injections(self) -> DataFrame:
         """What was told, to whom and when."""

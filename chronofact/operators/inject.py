@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofact.functions import text as T
-from chronofact.functions.secrets import safe_for_send
+from chronofact.functions.secrets import redact, safe_for_send
 from chronofact.operators.facts import top_per
 from chronofact.storage import join_by_key, materialise
 
@@ -18,6 +18,8 @@ DRIFT_THRESHOLD = 0.35
 #: Commands that memory may tell something about.
 SHELL_TOOLS = r"\b(npm|pnpm|yarn|bun|node|tsx|tsc|vitest|jest|mocha|uv|poetry|pip|pytest|tox|nox|hatch|ruff|mypy|pyright|biome|eslint|prettier|cargo|go\s+test|make|cmake|docker|docker-compose|git)\b"
 FILE_TOOLS = r"\b(rm|mv|cp|chmod|chown|ln)\b"
+#: What a precedence is called, by rank.
+RANKS = ("safety", "current-session user instruction", "repo structured evidence", "workspace decision", "user static profile", "user dynamic profile", "older session memory", "agent inference", "repo prose")
 TITLES = {
     "open_loops": "Open loops / unfinished work", "task_state": "Task state", "repo_constraints": "Repo constraints",
     "procedure": "Applicable procedure", "user_preferences": "User preferences", "conflict_notes": "Conflict notes",
@@ -115,9 +117,18 @@ def plan(scored: DataFrame, by: str, event: str, anchors: DataFrame, files: Data
     order: perishable facts are verified, unsafe ones dropped, then what the event doesn't suit and what was just told; conflicts are resolved; the budget is filled;
     at boot and after compaction open loops that it left out are told all the same ('forced').
     """
+    return fill(candidates(scored, by, event, anchors, files, injected, now_ms), by, event, budget_tokens)
+
+
+def candidates(scored: DataFrame, by: str, event: str, anchors: DataFrame, files: DataFrame, injected: DataFrame, now_ms: int) -> DataFrame:
+    """What may be told, before conflicts and the budget: a written table."""
     rows = verified(scored, anchors, files)
     rows = rows.filter(safe_for_send(F.col) & lifecycle_safe(F.col("trust_tier"), F.lit(event)))
-    rows = materialise(not_recent(rows, injected, now_ms, [by]))
+    return materialise(not_recent(rows, injected, now_ms, [by]))
+
+
+def fill(rows: DataFrame, by: str, event: str, budget_tokens: int | None = None) -> DataFrame:
+    """The rest of plan, from candidates."""
     won = resolve_conflicts(rows.select(by, "subject", "predicate", "fact_id", F.sha2("object_str", 256).alias("object_hash"), "prec", "key"), [by])
     body = T.card_body(*[F.col(c) for c in ("subject", "predicate", "object_str", "fact_kind", "trust_tier")], F.lit(""))
     cards = rows.join(won.select(by, F.col("winner").alias("fact_id")), [by, "fact_id"], "left_semi").withColumn("card", T.card(F.col("fact_id"), body))
@@ -148,10 +159,33 @@ def resolve_conflicts(facts: DataFrame, by: list[str]) -> DataFrame:
     return best.join(values, slot).join(runner, slot, "left").select(*slot, "winner", "winner_prec", "runner_up", "runner_prec", "n_values")
 
 
-def capsule(selected: DataFrame, by: str, header: str) -> DataFrame:
-    """(by, markdown): sections in their fixed order, cards in place order; of `selected`: by, section, place, card."""
+def conflict_notes(facts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, fact_id, conflict_id, note): for each slot with several values, why the winner (fact_id) beat the best of another value; redacted, repository prose as a claim.
+
+    facts: by, subject, predicate, fact_id, object_str, trust_tier, asserted_by, prec, key. Values go by hash until the two that are told are known.
+    """
+    slim = facts.select(*by, "subject", "predicate", "fact_id", F.sha2("object_str", 256).alias("object_hash"), "prec", "key")
+    pairs = materialise(resolve_conflicts(slim, by).filter("runner_up IS NOT NULL"))
+    value = redact(F.col("object_str"))
+    shown = F.when((F.col("trust_tier") == "low") & (F.col("asserted_by") == "deterministic_parser"), T.claim(value)).otherwise(value)
+    quoted = F.substring(F.to_json(F.array(shown)), F.lit(2), F.length(F.to_json(F.array(shown))) - 2)
+    texts = lambda name: facts.select(*by, F.col("fact_id").alias(name), quoted.alias(f"__{name}")).distinct()
+    both = pairs.join(texts("winner"), [*by, "winner"]).join(texts("runner_up"), [*by, "runner_up"])
+    label = lambda c: F.coalesce(F.get(F.array(*map(F.lit, RANKS)), F.col(c)), F.lit("memory"))
+    reason = F.when(F.col("winner_prec") < F.col("runner_prec"), F.concat(label("winner_prec"), F.lit(" > "), label("runner_prec"))).otherwise("higher precedence")
+    note = F.concat(F.lit("Conflicting "), redact(F.concat_ws(" ", "subject", "predicate")), F.lit(": "), "__winner", F.lit(" wins over "), "__runner_up", F.lit(" ("), reason, F.lit(")."))
+    return both.select(*by, F.col("winner").alias("fact_id"), T.conflict_id(F.col("subject"), F.col("predicate")).alias("conflict_id"), note.alias("note"))
+
+
+def capsule(selected: DataFrame, by: str, header: str, notes: DataFrame | None = None) -> DataFrame:
+    """(by, markdown): sections in their fixed order, cards in place order; of `selected`: by, fact_id, section, place, card. Last come the notes (by, fact_id, conflict_id, note) on facts that are told."""
     order = F.array_position(F.array(*map(F.lit, T.SECTIONS)), F.col("section"))
-    lists = selected.groupBy(by, "section").agg(F.array_sort(F.collect_list(F.struct("place", "card"))).alias("cards"), F.first(order).alias("at"))
+    lines = selected.select(by, "section", order.alias("at"), "place", "card")
+    if notes is not None:
+        told = notes.join(selected.select(by, "fact_id", "place"), [by, "fact_id"])
+        line = F.concat(F.lit("- "), "note", F.lit(" [conflict:"), "conflict_id", F.lit("]"))
+        lines = lines.unionByName(told.select(by, F.lit("conflict_notes").alias("section"), F.lit(len(T.SECTIONS) + 1).cast("bigint").alias("at"), "place", line.alias("card")))
+    lists = lines.groupBy(by, "section", "at").agg(F.array_sort(F.collect_list(F.struct("place", "card"))).alias("cards"))
     title = F.create_map(*[x for k, v in TITLES.items() for x in (F.lit(k), F.lit(v))])[F.col("section")]
     block = F.concat(F.lit("**"), title, F.lit(":**\n"), F.array_join(F.transform("cards", lambda c: c["card"]), "\n"))
     whole = lists.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("at", block.alias("text")))).alias("blocks"))

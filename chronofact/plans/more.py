@@ -267,9 +267,8 @@ def _(v: Views) -> DataFrame:
 
 @query("inj_07_win_reasons", "facts", f"SELECT fact_id, (['safety', 'current-session user instruction', 'repo structured evidence', 'workspace decision', 'user static profile', 'user dynamic profile', 'older session memory', 'agent inference', 'repo prose'])[{_sql(PREC, 'facts', chr(39) + 's4' + chr(39))} + 1] AS reason FROM facts")
 def _(v: Views) -> DataFrame:
-    labels = ("safety", "current-session user instruction", "repo structured evidence", "workspace decision", "user static profile", "user dynamic profile", "older session memory", "agent inference", "repo prose")
     prec = S.precedence_rank(F.col("asserted_by"), F.col("trust_tier"), F.col("promotion_state"), F.col("tags_text"), F.col("session_id"), F.lit("s4"))
-    return v.facts.select("fact_id", F.element_at(F.array(*map(F.lit, labels)), prec + 1).alias("reason"))
+    return v.facts.select("fact_id", F.element_at(F.array(*map(F.lit, I.RANKS)), prec + 1).alias("reason"))
 
 
 @query("inj_12_boot_capsule", "facts", "WITH b AS (SELECT fact_id, subject, predicate, object_str, fact_kind, CASE fact_kind WHEN 'constraint' THEN 3 WHEN 'procedural' THEN 2 ELSE 1 END AS p, t_recorded FROM facts WHERE status = 'active' AND session_id IS NULL AND trust_tier = 'high' AND sensitivity <> 'secret' ORDER BY p DESC, t_recorded DESC, fact_id LIMIT 12) SELECT fact_id, md5(CASE WHEN fact_kind = 'open_loop' THEN concat('Unfinished: ', object_str) ELSE concat(subject, ' ', replace(predicate, '_', ' '), ': ', object_str) END) AS line FROM b")

@@ -375,6 +375,27 @@ def _(v: Views) -> DataFrame:
     return I.resolve_conflicts(with_precedence(v), ["user_id"])
 
 
+def _redacted(text: str) -> str:
+    for kind, pattern in X.PATTERNS:
+        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '[REDACTED:{kind}]', 'g')"
+    return text
+
+
+_LABELS = "[" + ", ".join(f"'{x}'" for x in I.RANKS) + "]"
+_SHOWN = lambda a: f"CASE WHEN {a}.trust_tier = 'low' AND {a}.asserted_by = 'deterministic_parser' THEN concat('the repo claims: \"', trim(regexp_replace({_redacted(a + '.object_str')}, '\\s+', ' ', 'g')), '\"') ELSE {_redacted(a + '.object_str')} END"
+
+
+@query("inj_06_notes", "facts", f"""WITH p AS (SELECT *, sha256(object_str) AS oh, {_sql(PREC, "facts", "'s4'")} AS prec, sha256(concat(subject, '::', predicate, '::', object_str)) AS k FROM facts WHERE status = 'active'),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id, subject, predicate ORDER BY prec, k, fact_id) = 1),
+o AS (SELECT p.* FROM p JOIN b ON b.user_id = p.user_id AND b.subject = p.subject AND b.predicate = p.predicate AND b.oh <> p.oh QUALIFY row_number() OVER (PARTITION BY p.user_id, p.subject, p.predicate ORDER BY p.prec, p.k, p.fact_id) = 1)
+SELECT b.user_id, b.fact_id, substr(sha256(concat(b.subject, '::', b.predicate)), 1, 8) AS conflict_id, sha256(concat('Conflicting ', {_redacted("concat(b.subject, ' ', b.predicate)")}, ': ', to_json({_SHOWN("b")}), ' wins over ', to_json({_SHOWN("o")}), ' (',
+CASE WHEN b.prec < o.prec THEN concat(({_LABELS})[b.prec + 1], ' > ', ({_LABELS})[o.prec + 1]) ELSE 'higher precedence' END, ').')) AS note FROM b JOIN o ON b.user_id = o.user_id AND b.subject = o.subject AND b.predicate = o.predicate""")
+def _(v: Views) -> DataFrame:
+    prec = S.precedence_rank(F.col("asserted_by"), F.col("trust_tier"), F.col("promotion_state"), F.col("tags_text"), F.col("session_id"), F.lit("s4"))
+    rows = v.facts.filter("status = 'active'").withColumn("prec", prec).withColumn("key", F.sha2(T.content_key(F.col("subject"), F.col("predicate"), F.col("object_str")), 256))
+    return I.conflict_notes(rows, ["user_id"]).withColumn("note", F.sha2("note", 256))
+
+
 _TK = f"tk AS (SELECT prompt_id AS id, conv_id, turn, lower(text) AS low, {TOKENS.format('text')} AS tk FROM prompts), ft AS (SELECT id, unnest(tk) AS f FROM tk UNION ALL " + " UNION ALL ".join(f"SELECT id, 'concept:{n}' FROM (SELECT id, low, tk AS t FROM tk) WHERE {_concept(t)} = 1" for n, t in T.CONCEPTS) + f"""),
 hf AS (SELECT f, {FNV.format("f")} AS h FROM (SELECT DISTINCT f FROM ft)), en AS (SELECT id, h % 1536 AS dim, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END * CASE WHEN starts_with(ft.f, 'concept:') THEN 3 ELSE 1 END)::double AS v FROM ft JOIN hf ON ft.f = hf.f GROUP BY ALL HAVING v <> 0),
 em AS (SELECT id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM en)"""
@@ -462,12 +483,6 @@ def _(v: Views) -> DataFrame:
     return v.facts.select("fact_id", F.concat("fact_id", F.lit(" "), "subject", F.lit(" "), "predicate", F.lit(" asserted by "), "asserted_by", F.lit(", "), "status", F.lit(", recorded "), F.col("t_recorded").cast("string")).alias("line"))
 
 
-def _redacted(text: str) -> str:
-    for kind, pattern in X.PATTERNS:
-        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '[REDACTED:{kind}]', 'g')"
-    return text
-
-
 CHAIN = f"""WITH RECURSIVE w(root, fact_id, hop) AS (SELECT fact_id, fact_id, 0 FROM facts WHERE status = 'disputed' UNION SELECT w.root, e.to_id, w.hop + 1 FROM w JOIN fact_edges e ON e.from_id = w.fact_id WHERE e.edge_kind IN ('SUPERSEDES', 'SUPPORTED_BY') AND w.hop < 2),
 h AS (SELECT root, fact_id, min(hop) AS hop FROM w GROUP BY root, fact_id)"""
 

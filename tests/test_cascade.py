@@ -205,3 +205,22 @@ def test_provenance_over_a_cycle(spark, tmp_path):
     parts = {(r["fact_id"], r["part"]) for r in early.collect()}
     assert ("new", "later") in parts and ("new", "promotion") not in parts and ("new", "edge") in parts
     assert store.why(spark.createDataFrame([("new",)], "fact_id string")).first()["raw_quote"] == "see [REDACTED:url_password]host/x"
+
+
+def test_capsules_for_prompts_and_tools(spark, tmp_path):
+    """Only requests that pass the gate are answered, from what they ask; a conflict is noted beside its winner; nothing is told twice."""
+    store = FactStore(spark, str(tmp_path))
+    rows = [
+        ("w1", "deploy", "strategy", 'canary "slow" rollout', "user", "high", "u", "w", 1, "active", None, None, None, None), ("w2", "deploy", "strategy", "big bang rollout", "agent", "high", "u", "w", 2, "active", None, None, None, None),
+        ("p1", "repo", "claims", "canary rollout is slow", "deterministic_parser", "low", "u", "w", 3, "active", None, None, None, None),
+    ]
+    store.remember(spark.createDataFrame(rows, FACTS))
+    ask = spark.createDataFrame([("q1", "canary rollout", 0.9, None), ("q2", "canary rollout", 0.1, None)], "request_id string, text string, drift double, tool string")
+    got = {r["request_id"]: r["markdown"] for r in store.inject_requests(ask, "UserPromptSubmit", "u", "w", "s", now_ms=1000).collect()}
+    assert set(got) == {"q1"}
+    assert 'Conflicting deploy strategy: "canary \\"slow\\" rollout" wins over "big bang rollout" (older session memory > agent inference). [conflict:' in got["q1"] and "**Conflict notes:**" in got["q1"]
+    assert 'the repo claims: "canary rollout is slow"' in got["q1"] and got["q1"].count("big bang") == 1
+    assert store.inject_requests(ask, "UserPromptSubmit", "u", "w", "s", now_ms=2000).filter("markdown LIKE '%canary%'").count() == 0
+    tool = spark.createDataFrame([("t1", "canary rollout", "bash", "npm run deploy"), ("t2", "canary rollout", "bash", "echo"), ("t3", "canary rollout", "read", "x")], "request_id string, text string, tool string, args string")
+    got = {r["request_id"]: r["markdown"] for r in store.inject_requests(tool, "PreToolUse", "u", "w", "other", now_ms=3000).collect()}
+    assert set(got) == {"t1"} and "the repo claims" not in got["t1"] and "slow" in got["t1"]

@@ -331,3 +331,16 @@ def test_patch_ids(spark):
     rows = spark.createDataFrame([(a,), (b,), (a.replace("old", "odd"),), ("",), (None,), ("index 1..2\n",)], "d string").select(D.patch_id(F.col("d")).alias("p")).collect()
     ids = [r["p"] for r in rows]
     assert ids[0] == ids[1] != ids[2] and ids[3:] == [None] * 3
+
+
+def test_feature_index_is_that_of_the_stored_index(spark, sf_dir):
+    """hsh_04 says where the stored index puts a subject as a feature."""
+    from chronofact.operators import index
+
+    got = {r["subject"]: (r["dim"], r["sign"]) for r in QUERIES["hsh_04_feature_index"](spark, sf_dir).collect()}
+    for subject, where in got.items():
+        h = 2166136261
+        for c in subject:
+            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        assert where == (h % index.DIM, -1 if h >= 1 << 31 else 1)
+    assert got

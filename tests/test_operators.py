@@ -344,3 +344,12 @@ def test_feature_index_is_that_of_the_stored_index(spark, sf_dir):
             h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
         assert where == (h % index.DIM, -1 if h >= 1 << 31 else 1)
     assert got
+
+
+def test_anchor_upsert_moves_anchors(spark, sf_dir):
+    """lif_05: a third to two thirds of the anchors have a newer version, which wins; the others stay."""
+    v = Views(spark, sf_dir)
+    old = {r["fact_id"]: (r["branch"], r["valid_until"], (int(r["fact_id"][5:]) % 199) % 2 == 1) for r in v.anchors.collect()}
+    got = {r["fact_id"]: (r["branch"], r["valid_until"]) for r in QUERIES["lif_05_anchor_upsert"](spark, sf_dir).collect()}
+    assert got == {k: ("moved", None) if moved else (branch, until) for k, (branch, until, moved) in old.items()}
+    assert len(old) / 3 < sum(branch == "moved" for branch, _ in got.values()) < 2 * len(old) / 3

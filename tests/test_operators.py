@@ -353,3 +353,11 @@ def test_anchor_upsert_moves_anchors(spark, sf_dir):
     got = {r["fact_id"]: (r["branch"], r["valid_until"]) for r in QUERIES["lif_05_anchor_upsert"](spark, sf_dir).collect()}
     assert got == {k: ("moved", None) if moved else (branch, until) for k, (branch, until, moved) in old.items()}
     assert len(old) / 3 < sum(branch == "moved" for branch, _ in got.values()) < 2 * len(old) / 3
+
+
+def test_malformed_anchor_arrays_give_null(spark, sf_dir):
+    """src_09: some arrays are malformed and give null, the others are counted."""
+    v = Views(spark, sf_dir)
+    bad = {r["fact_id"] for r in v.anchors.collect() if int(r["fact_id"][5:]) % 199 % 4 == 3}
+    got = {r["fact_id"]: r["n_globs"] for r in QUERIES["src_09_anchor_arrays"](spark, sf_dir).collect()}
+    assert 0 < len(bad) < len(got) and got == {k: None if k in bad else 1 for k in got}

@@ -2,14 +2,17 @@
 
 A document is the set of its w-word shingles (words as in `simhash`, 64-bit hashes). Two sets of likeness 0.8 or more share a
 shingle of their prefixes: the first n - ceil(0.8 n) + 1 of n shingles in an order that is the same for all documents. Any
-order gives the same pairs; shingles that a sample of documents has often come last, so that few documents meet.
+order gives the same pairs; shingles that a sample of documents has often come last, so that few documents meet. Two sets of m and n
+shingles have the likeness if they share at least 4 (m + n) / 9. Where they meet first, none of the shingles before is common, so
+each must have that many from there on: at that shingle, and only there need it be so, both places are early enough (`may_meet`).
 
 Pairs are first held against bitmaps of the sets, which bound the common shingles from above; whole sets are compared only for the
-pairs that may have the likeness. Documents with equal sets are one node. Prefix shingles of at most SMALL nodes give all their pairs. Under crowded ones,
-a few rounds compare each node with one pivot a shingle and follow the components; shingles whose nodes are all in one
-component are done, for their pairs can link nothing more. In those left, each node outside the shingle's largest component
-is compared with every node of another component. So the components are those of all pairs, and a large group of
-near copies costs a multiple of its rows, not of its pairs.
+pairs that may have the likeness. Documents with equal sets are one node. Prefix shingles of at most SMALL nodes give all their pairs that may meet. Under
+crowded ones, nodes whose place lets them meet no size there are left out; a few rounds compare each node with one pivot a shingle, first the one
+with the fewest shingles before, and follow the components; shingles whose nodes are all in one component are done, for their pairs can
+link nothing more. In those left, each node outside the shingle's largest component is compared with every node of another component
+that it may meet. So the components are those of all pairs, and a large group of near copies costs a multiple of its rows, unless
+many of its members come close to the likeness without having it.
 
 Defined results: a null text equals an empty one; texts without words are one node; fewer words than a shingle make one
 shingle; a null doc_id is the smallest id; of repeated rows one stays; an empty table gives an empty result.
@@ -92,9 +95,9 @@ def with_prefix(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], words: in
     return by_slices(rows, "__t", "__fp bigint, __n int, __prefix array<bigint>, __bits binary", prefixes)
 
 
-def may_reach(m: Column, n: Column) -> Column:
-    """Whether sets of these sizes can have the likeness at all."""
-    return DEN * F.least(m, n) >= NUM * F.greatest(m, n)
+def may_meet(m: Column, p: Column, n: Column, q: Column) -> Column:
+    """Whether sets of sizes m and n can have the likeness if their first common shingle is at places p and q, from 0."""
+    return (NUM + DEN) * F.least(m - p, n - q) >= NUM * (m + n)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -125,39 +128,49 @@ def _pairs(one: Column, other: Column) -> list[Column]:
 
 def links(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(__a, __b): pairs of nodes of the likeness, connecting all that have it. nodes: __fp, __id, __th, __n, __prefix, __bits."""
-    keys = nodes.select(F.explode("__prefix").alias("__key"), "__fp", "__n")
+    keys = nodes.select(F.posexplode("__prefix").alias("__p", "__key"), "__fp", "__n")
     met = materialise(keys.groupBy("__key").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1"))
     total = met.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
     members = materialise(join_by_key(keys, met, ["__key"], "__c", total, F.col("__fp")).filter("__c IS NOT NULL"))
-    lists = members.filter(F.col("__c") <= SMALL).groupBy("__key").agg(F.collect_list(F.struct("__fp", "__n")).alias("__m"))
+    lists = members.filter(F.col("__c") <= SMALL).groupBy("__key").agg(F.collect_list(F.struct("__fp", "__n", "__p")).alias("__m"))
     ones = lists.select("__m", F.explode("__m").alias("__x")).select("__x", F.explode("__m").alias("__y"))
-    small = ones.filter((F.col("__x.__fp") < F.col("__y.__fp")) & may_reach(F.col("__x.__n"), F.col("__y.__n"))).select(F.col("__x.__fp").alias("__a"), F.col("__y.__fp").alias("__b"))
+    meet = may_meet(F.col("__x.__n"), F.col("__x.__p"), F.col("__y.__n"), F.col("__y.__p"))
+    small = ones.filter((F.col("__x.__fp") < F.col("__y.__fp")) & meet).select(F.col("__x.__fp").alias("__a"), F.col("__y.__fp").alias("__b"))
     edges = verified(small.distinct(), nodes, docs, words)
-    crowd = members.filter(F.col("__c") > SMALL).select("__key", "__fp", "__n")
+    crowd = _with_company(members.filter(F.col("__c") > SMALL))
     for i in range(ROUNDS + 1):
         crowd, open_keys = _unsettled(crowd, edges)
         if not open_keys.take(1):
             break
         total = open_keys.agg(F.sum("__c")).first()[0]
         if i < ROUNDS:
-            pivot = crowd.groupBy("__key").agg(F.count(F.lit(1)).alias("__c"), F.min_by(F.struct("__fp", "__n", "__root"), F.xxhash64("__fp", F.lit(i))).alias("__y"))
+            pivot = crowd.groupBy("__key").agg(F.count(F.lit(1)).alias("__c"), F.min_by(F.struct("__fp", "__n", "__p", "__root"), F.struct(F.col("__p") if i == 0 else F.lit(0), F.xxhash64("__fp", F.lit(i)))).alias("__y"))
             both = join_by_key(crowd, materialise(pivot), ["__key"], "__c", total, F.col("__fp"))
-            found = both.filter((F.col("__root") != F.col("__y.__root")) & may_reach(F.col("__n"), F.col("__y.__n"))).select(*_pairs(F.col("__fp"), F.col("__y.__fp")))
+            found = both.filter((F.col("__root") != F.col("__y.__root")) & may_meet(F.col("__n"), F.col("__p"), F.col("__y.__n"), F.col("__y.__p"))).select(*_pairs(F.col("__fp"), F.col("__y.__fp")))
         else:  # every pair that could still link components
             sizes = crowd.groupBy("__key", "__root").agg(F.count(F.lit(1)).alias("__k"))
             largest = materialise(sizes.groupBy("__key").agg(F.max_by("__root", F.struct("__k", "__root")).alias("__most"), F.sum("__k").alias("__c")))
             outside = join_by_key(crowd, largest, ["__key"], "__c", total, F.col("__fp")).filter(F.col("__root") != F.col("__most"))
-            outside = materialise(outside.select("__key", F.col("__fp").alias("__y"), F.col("__n").alias("__yn"), F.col("__root").alias("__yr")))
-            both = crowd.join(outside, "__key").filter((F.col("__root") != F.col("__yr")) & may_reach(F.col("__n"), F.col("__yn")))
+            outside = materialise(outside.select("__key", F.col("__fp").alias("__y"), F.col("__n").alias("__yn"), F.col("__p").alias("__yp"), F.col("__root").alias("__yr")))
+            both = crowd.join(outside, "__key").filter((F.col("__root") != F.col("__yr")) & may_meet(F.col("__n"), F.col("__p"), F.col("__yn"), F.col("__yp")))
             found = both.select(*_pairs(F.col("__fp"), F.col("__y")))
         edges = materialise(edges.unionByName(verified(found.distinct(), nodes, docs, words)))
     return edges
 
 
+def _with_company(crowd: DataFrame) -> DataFrame:
+    """The rows of crowd whose place lets them meet any size under their shingle, by the earliest place of that size."""
+    sizes = crowd.groupBy("__key", "__n").agg(F.min("__p").alias("__p"), F.count(F.lit(1)).alias("__c"))
+    sizes = materialise(sizes.groupBy("__key").agg(F.collect_list(F.struct("__n", "__p")).alias("__sizes"), F.sum("__c").alias("__c")))
+    total = sizes.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
+    met = join_by_key(crowd.select("__key", "__fp", "__n", "__p"), sizes, ["__key"], "__c", total, F.col("__fp"))
+    return materialise(met.filter(F.exists("__sizes", lambda x: may_meet(F.col("__n"), F.col("__p"), x["__n"], x["__p"]))).select("__key", "__fp", "__n", "__p"))
+
+
 def _unsettled(crowd: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """crowd's rows under shingles whose nodes are in several components, with __root; and those shingles, with their number of rows."""
     rooted = crowd.drop("__root").join(components(edges), "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
-    rooted = materialise(rooted.select("__key", "__fp", "__n", "__root"))
+    rooted = materialise(rooted.select("__key", "__fp", "__n", "__p", "__root"))
     keys = materialise(rooted.groupBy("__key").agg(F.count(F.lit(1)).alias("__c"), (F.min("__root") != F.max("__root")).alias("__open")))
     total = keys.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
     return materialise(join_by_key(rooted, keys, ["__key"], "__c", total, F.col("__fp")).filter("__open").drop("__c", "__open")), keys.filter("__open")

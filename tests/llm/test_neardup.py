@@ -86,3 +86,15 @@ def test_edge_cases(docs, empty):
     assert got.columns == docs.columns
     assert sorted(-(2**63) if r["doc_id"] is None else r["doc_id"] for r in got.collect()) == kept([(r[0], r[1]) for r in rows()])
     assert neardup.drop_near_duplicates(empty).count() == 0
+
+
+def test_crowd_of_unlike_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies edited too much to have the likeness meet under common shingles; only the pairs that may have it are compared."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    found = list(enumerate([" ".join(base)] + [edited(base, 1 + k % 8, rng) for k in range(300)]))
+    pairs, verified = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda p, *rest: (pairs.append(p.count()), verified(p, *rest))[1])
+    docs = spark.createDataFrame(found, "doc_id bigint, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect()) == kept(found)
+    assert sum(pairs) < 5 * len(found)

@@ -1,5 +1,8 @@
 """Near-deduplication by exact Jaccard likeness of word shingles: a prefix-filtered join whose pairs are all verified.
 
+With a `radius`, SimHash comes first: documents whose fingerprints lie within it are linked, by the multi-index hashing of `simhash`. These
+links miss nearly all pairs that share just four fifths of their shingles; the join begins with their components and adds every pair of the likeness.
+
 A document is the set of its w-word shingles (words as in `simhash`, 64-bit hashes). Two sets of likeness 0.8 or more share a
 shingle of their prefixes: the first n - ceil(0.8 n) + 1 of n shingles in an order that is the same for all documents. Any
 order gives the same pairs; shingles that a sample of documents has often come last, so that few documents meet. Two sets of m and n
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.llm.common import BitFilter, by_slices, id_of, join_by_key, materialise, text_of, whole_row
-from chronofact.llm.simhash import components, shingle_hashes
+from chronofact.llm.simhash import SEGMENTS, components, fingerprint, grouped, shingle_hashes
 
 #: Likeness as a fraction, so that comparisons are whole numbers.
 NUM, DEN = 4, 5
@@ -83,16 +86,16 @@ def frequent(rows: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.nd
     return top["__key"].to_numpy(np.int64), top["__c"].to_numpy(np.int64)
 
 
-def with_prefix(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int) -> DataFrame:
-    """rows with __fp (hash of the set), __n (its size), __prefix and __bits."""
+def with_prefix(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int, prints: bool) -> DataFrame:
+    """rows with __fp (hash of the set), __n (its size), __prefix, __bits and __sim (SimHash fingerprint, null without `prints`)."""
     shared = rows.sparkSession.sparkContext.broadcast(order)
 
     def prefixes(texts: list[str | None]) -> list[list]:
         sets = [shingle_set(t, words) for t in texts]
         nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-        return [nodes, list(map(len, sets)), [prefix(s, *shared.value) for s in sets], [bitmap(s) for s in sets]]
+        return [nodes, list(map(len, sets)), [prefix(s, *shared.value) for s in sets], [bitmap(s) for s in sets], list(map(fingerprint, texts)) if prints else [None] * len(texts)]
 
-    return by_slices(rows, "__t", "__fp bigint, __n int, __prefix array<bigint>, __bits binary", prefixes)
+    return by_slices(rows, "__t", "__fp bigint, __n int, __prefix array<bigint>, __bits binary, __sim bigint", prefixes)
 
 
 def may_meet(m: Column, p: Column, n: Column, q: Column) -> Column:
@@ -100,6 +103,13 @@ def may_meet(m: Column, p: Column, n: Column, q: Column) -> Column:
     return (NUM + DEN) * F.least(m - p, n - q) >= NUM * (m + n)
 
 
+def alike(found: DataFrame, radius: int, segments: int) -> DataFrame:
+    """(__a, __b): sets, connecting all that have documents whose fingerprints are connected within `radius` bits. found: __fp, __sim."""
+    rows = materialise(found.select(F.col("__fp").alias("__id"), F.lit(0).cast("bigint").alias("__th"), F.col("__sim").alias("__fp")).distinct())
+    met = join_by_key(rows, grouped(rows, radius, segments), ["__fp"], "__n", rows.count(), F.col("__id"))
+    return materialise(met.select(F.col("__best.__id").alias("__a"), F.col("__id").alias("__b")).filter("__a <> __b").distinct())
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """The pairs (__a, __b) whose sets have the likeness. nodes: __fp, __id, __th, __n, __bits; docs: __id, __th, __t."""
     @F.pandas_udf("boolean")
@@ -126,8 +136,8 @@ def _pairs(one: Column, other: Column) -> list[Column]:
     return [F.least(one, other).alias("__a"), F.greatest(one, other).alias("__b")]
 
 
-def links(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(__a, __b): pairs of nodes of the likeness, connecting all that have it. nodes: __fp, __id, __th, __n, __prefix, __bits."""
+def links(nodes: DataFrame, docs: DataFrame, words: int, known: DataFrame | None = None) -> DataFrame:
+    """(__a, __b): the links known, if any, and pairs of nodes of the likeness, connecting all that have it. nodes: __fp, __id, __th, __n, __prefix, __bits."""
     keys = nodes.select(F.posexplode("__prefix").alias("__p", "__key"), "__fp", "__n")
     met = materialise(keys.groupBy("__key").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1"))
     total = met.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
@@ -137,6 +147,8 @@ def links(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     meet = may_meet(F.col("__x.__n"), F.col("__x.__p"), F.col("__y.__n"), F.col("__y.__p"))
     small = ones.filter((F.col("__x.__fp") < F.col("__y.__fp")) & meet).select(F.col("__x.__fp").alias("__a"), F.col("__y.__fp").alias("__b"))
     edges = verified(small.distinct(), nodes, docs, words)
+    if known is not None:
+        edges = materialise(known.unionByName(edges))
     crowd = _with_company(members.filter(F.col("__c") > SMALL))
     for i in range(ROUNDS + 1):
         crowd, open_keys = _unsettled(crowd, edges)
@@ -176,13 +188,13 @@ def _unsettled(crowd: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return materialise(join_by_key(rooted, keys, ["__key"], "__c", total, F.col("__fp")).filter("__open").drop("__c", "__open")), keys.filter("__open")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """The document with the smallest id of each component, with all columns of `docs`."""
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int | None = None, segments: int = SEGMENTS) -> DataFrame:
+    """The document with the smallest id of each component, with all columns of `docs`. With a radius, fingerprints within it link documents too."""
     rows = docs.select(whole_row(docs).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), text_of(text_col).alias("__t"))
     texts = rows.select("__id", "__th", "__t")
-    found = materialise(with_prefix(texts, frequent(texts, docs.count(), words), words))
+    found = materialise(with_prefix(texts, frequent(texts, docs.count(), words), words, radius is not None))
     nodes = materialise(found.groupBy("__fp").agg(F.min(F.struct("__id", "__th", "__n", "__prefix", "__bits")).alias("__f")).select("__fp", "__f.*"))
-    rooted = nodes.join(components(links(nodes, texts, words)), "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
+    rooted = nodes.join(components(links(nodes, texts, words, None if radius is None else alike(found, radius, segments))), "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
     best = rooted.groupBy("__root").agg(F.min(F.struct("__id", "__th")).alias("__best"))
     # Nearly all rows stay where they are: only those that may be dropped, or repeated, meet the ones that are kept.
     keep = materialise(best.select("__best.*"))

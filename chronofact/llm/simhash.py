@@ -163,7 +163,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _grouped(rows: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+def grouped(rows: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """rows: __id, __th, __fp. One row per fingerprint: __n rows, __first (its least (id, text hash)), __best (that of its component)."""
     prints = materialise(rows.groupBy("__fp").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("__id", "__th")).alias("__first")))
     roots = components(materialise(links(prints.select("__fp"), radius, segments)))
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), id_of(id_col).alias("__id"), text_of(text_col).alias("__t"))
     rows = materialise(with_fingerprint(rows, "__t", "__fp", words).select("doc_id", "__id", F.lit(0).cast("bigint").alias("__th"), "__fp"))
-    groups = _grouped(rows, radius, segments)
+    groups = grouped(rows, radius, segments)
     out = join_by_key(rows, groups, ["__fp"], "__n", rows.count(), F.col("__id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.nullif(F.col("__best.__id"), F.lit(NULL_ID)).alias("component_id"))
 
@@ -186,5 +186,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The document with the smallest id of each component, with all columns of `docs`."""
     rows = docs.select(whole_row(docs).alias("__row"), id_of(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__th"), text_of(text_col).alias("__t"))
     prints = materialise(with_fingerprint(rows, "__t", "__fp", words).select("__id", "__th", "__fp"))
-    keep = _grouped(prints, radius, segments).select(F.col("__best.__id").alias("__id"), F.col("__best.__th").alias("__th")).distinct()
+    keep = grouped(prints, radius, segments).select(F.col("__best.__id").alias("__id"), F.col("__best.__th").alias("__th")).distinct()
     return rows.join(materialise(keep), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select("__row.*")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm import exact_dedup, mixing, neardup, packing, quality
+from chronofact.llm import exact_dedup, mixing, neardup, packing, quality, simhash
 from chronofact.llm.common import materialise
 from chronofact.llm.queries import tokenizer
 
@@ -31,8 +31,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a Jaccard likeness of 0.8 or more the one with the smallest doc_id stays."""
-    return neardup.drop_near_duplicates(docs)
+    """Of documents linked by SimHash fingerprints within 2 bits, or by five-word shingles with a Jaccard likeness of 0.8 or more, the one with the smallest doc_id stays."""
+    return neardup.drop_near_duplicates(docs, radius=simhash.RADIUS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mix", mix),
     ("pack", pack),
 ]
-#: Tokens, shingles and the classifier aren't SQL; tests hold the stages against brute force.
+#: Tokens, fingerprints, shingles and the classifier aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

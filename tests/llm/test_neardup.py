@@ -88,6 +88,22 @@ def test_edge_cases(docs, empty):
     assert neardup.drop_near_duplicates(empty).count() == 0
 
 
+def test_stage_links_fingerprints(spark, sf_dir):
+    """Texts that mostly repeat one passage: fingerprints within 2 bits, a Jaccard likeness far below 0.8."""
+    import corpus_pipeline
+    from chronofact.llm import simhash
+
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(13))
+    found = [(i, " ".join([passage] * 200 + [f"w{rng.randrange(10**6)}" for _ in range(20)])) for i in range(40)] + [(40, "another text of some words")]
+    first = simhash.fingerprint(found[0][1])
+    assert all((simhash.fingerprint(t) ^ first).bit_count() <= 2 for _, t in found[:40])
+    assert len(kept(found)) == 41
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in found], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir)
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 40]
+
+
 def test_crowd_of_unlike_copies_makes_few_pairs(spark, monkeypatch):
     """Copies edited too much to have the likeness meet under common shingles; only the pairs that may have it are compared."""
     rng = random.Random(4)

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from chronofact.shipping import ship
 from chronofact.storage import join_by_key, materialise, shared_folder
 
-__all__ = ["BitFilter", "by_slices", "id_of", "join_by_key", "lower_ascii", "materialise", "shared_folder", "text_of", "whole_row"]
+__all__ = ["BitFilter", "by_slices", "id_of", "join_by_key", "lower_ascii", "materialise", "shared_folder", "text_of", "weights", "whole_row"]
 
 #: ASCII white space, as the contracts define it: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
@@ -35,6 +35,11 @@ def id_of(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column), F.lit(NULL_ID))
 
 
+def weights(df: DataFrame, column: str) -> tuple[int, int]:
+    """Sum and maximum of a column, 0 for an empty table: what `join_by_key` is told of a table's weights."""
+    return tuple(df.agg(F.coalesce(F.sum(column), F.lit(0)), F.coalesce(F.max(column), F.lit(0))).first())
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as a struct; names are taken as they are, dots and all."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])

@@ -23,6 +23,8 @@ shingle; a null doc_id is the smallest id; of repeated rows one stays; an empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import BitFilter, by_slices, id_of, join_by_key, materialise, text_of, whole_row
+from chronofact.llm.common import BitFilter, by_slices, id_of, join_by_key, materialise, text_of, weights, whole_row
 from chronofact.llm.simhash import SEGMENTS, components, fingerprint, grouped, shingle_hashes
 
 #: Likeness as a fraction, so that comparisons are whole numbers.
@@ -79,11 +81,20 @@ def with_set(df: DataFrame, text_col: str, out: str, words: int) -> DataFrame:
 
 
 def frequent(rows: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the shingles that a sample of documents has most often, sorted by hash."""
+    """(hashes, counts) of about FREQUENT shingles that a sample of documents has most often, sorted by hash. The driver sees how many have each count, and those."""
     some = rows.filter(F.pmod(F.xxhash64("__id", "__th"), F.lit(max(1, total // SAMPLE))) == 0)
     each = with_set(some, "__t", "__s", words).select(F.explode("__s").alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__c"))
-    top = each.filter("__c > 1").orderBy(F.desc("__c"), "__key").limit(FREQUENT).toPandas().sort_values("__key")
-    return top["__key"].to_numpy(np.int64), top["__c"].to_numpy(np.int64)
+    each = materialise(each.filter("__c > 1"))
+    least, part, room = 2, 1 << 20, FREQUENT
+    for c, n in each.groupBy("__c").agg(F.count(F.lit(1)).alias("__k")).orderBy(F.desc("__c")).collect():
+        if n > room:  # of these, a share by hash
+            least, part = c, (room << 20) // n
+            break
+        room -= n
+    top = each.filter((F.col("__c") > least) | ((F.col("__c") == least) & (F.pmod(F.xxhash64("__key"), F.lit(1 << 20)) < part))).toArrow()
+    hashes, counts = top["__key"].to_numpy(), top["__c"].to_numpy()
+    at = np.argsort(hashes)
+    return hashes[at], counts[at]
 
 
 def with_prefix(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int, prints: bool) -> DataFrame:
@@ -106,12 +117,23 @@ def may_meet(m: Column, p: Column, n: Column, q: Column) -> Column:
 def alike(found: DataFrame, radius: int, segments: int) -> DataFrame:
     """(__a, __b): sets, connecting all that have documents whose fingerprints are connected within `radius` bits. found: __fp, __sim."""
     rows = materialise(found.select(F.col("__fp").alias("__id"), F.lit(0).cast("bigint").alias("__th"), F.col("__sim").alias("__fp")).distinct())
-    met = join_by_key(rows, grouped(rows, radius, segments), ["__fp"], "__n", rows.count(), F.col("__id"))
+    groups = grouped(rows, radius, segments)
+    total, most = weights(groups, "__n")
+    met = join_by_key(rows, groups, ["__fp"], "__n", total, F.col("__id"), most)
     return materialise(met.select(F.col("__best.__id").alias("__a"), F.col("__id").alias("__b")).filter("__a <> __b").distinct())
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (__a, __b) whose sets have the likeness. nodes: __fp, __id, __th, __n, __bits; docs: __id, __th, __t."""
+def sets_of(named: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(__fp, __s): the whole sets of the nodes in named (__fp), without repeats. nodes: __fp, __id, __th; docs: __id, __th, __t."""
+    named = materialise(nodes.join(named, "__fp", "left_semi").select("__fp", "__id", "__th"))
+    row = F.xxhash64("__id", "__th")
+    texts = BitFilter.of(named, row, named.count()).mark(docs, row, "__in").filter("__in").select("__id", "__th", "__t")
+    texts = texts.join(named, ["__id", "__th"]).dropDuplicates(["__fp"])
+    return materialise(with_set(texts, "__t", "__s", words).select("__fp", "__s"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (__a, __b) whose sets have the likeness. nodes: __fp, __n, __bits; sets: gives (__fp, __s) of all in the pairs that it gets."""
     @F.pandas_udf("boolean")
     def may(a: pd.Series, b: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([may_share(*x) for x in zip(a, b, m.tolist(), n.tolist(), strict=True)], dtype=bool)
@@ -121,13 +143,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) ->
     pairs = materialise(pairs)
     if not pairs.take(1):
         return pairs
-    named = pairs.select(F.explode(F.array("__a", "__b")).alias("__fp")).distinct()
-    named = materialise(nodes.join(named, "__fp", "left_semi").select("__fp", "__id", "__th"))
-    row = F.xxhash64("__id", "__th")
-    texts = BitFilter.of(named, row, named.count()).mark(docs, row, "__in").filter("__in").select("__id", "__th", "__t")
-    texts = texts.join(named, ["__id", "__th"]).dropDuplicates(["__fp"])
-    sets = materialise(with_set(texts, "__t", "__s", words).select("__fp", "__s"))
-    both = pairs.join(sets.select(F.col("__fp").alias("__a"), F.col("__s").alias("__sa")), "__a").join(sets.select(F.col("__fp").alias("__b"), F.col("__s").alias("__sb")), "__b")
+    found = sets(pairs)
+    both = pairs.join(found.select(F.col("__fp").alias("__a"), F.col("__s").alias("__sa")), "__a").join(found.select(F.col("__fp").alias("__b"), F.col("__s").alias("__sb")), "__b")
     common = F.size(F.array_intersect("__sa", "__sb"))
     return materialise(both.filter((NUM + DEN) * common >= NUM * (F.size("__sa") + F.size("__sb"))).select("__a", "__b"))
 
@@ -136,56 +153,64 @@ def _pairs(one: Column, other: Column) -> list[Column]:
     return [F.least(one, other).alias("__a"), F.greatest(one, other).alias("__b")]
 
 
-def links(nodes: DataFrame, docs: DataFrame, words: int, known: DataFrame | None = None) -> DataFrame:
-    """(__a, __b): the links known, if any, and pairs of nodes of the likeness, connecting all that have it. nodes: __fp, __id, __th, __n, __prefix, __bits."""
+def linked(nodes: DataFrame, docs: DataFrame, words: int, known: DataFrame | None = None) -> DataFrame:
+    """(__fp, __root): the components that all pairs of nodes of the likeness make, with the links known, if any. nodes: __fp, __id, __th, __n, __prefix, __bits."""
     keys = nodes.select(F.posexplode("__prefix").alias("__p", "__key"), "__fp", "__n")
     met = materialise(keys.groupBy("__key").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1"))
-    total = met.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
+    total, _ = weights(met, "__c")
     members = materialise(join_by_key(keys, met, ["__key"], "__c", total, F.col("__fp")).filter("__c IS NOT NULL"))
     lists = members.filter(F.col("__c") <= SMALL).groupBy("__key").agg(F.collect_list(F.struct("__fp", "__n", "__p")).alias("__m"))
     ones = lists.select("__m", F.explode("__m").alias("__x")).select("__x", F.explode("__m").alias("__y"))
     meet = may_meet(F.col("__x.__n"), F.col("__x.__p"), F.col("__y.__n"), F.col("__y.__p"))
     small = ones.filter((F.col("__x.__fp") < F.col("__y.__fp")) & meet).select(F.col("__x.__fp").alias("__a"), F.col("__y.__fp").alias("__b"))
-    edges = verified(small.distinct(), nodes, docs, words)
+    of_pairs = lambda p: sets_of(p.select(F.explode(F.array("__a", "__b")).alias("__fp")).distinct(), nodes, docs, words)
+    edges = verified(small.distinct(), nodes, of_pairs)
     if known is not None:
         edges = materialise(known.unionByName(edges))
-    crowd = _with_company(members.filter(F.col("__c") > SMALL))
+    labels = components(edges)
+    crowd, weight = _unsettled(_with_company(members.filter(F.col("__c") > SMALL)), labels)
+    named = crowd.select("__fp").distinct()
+    of_crowd = cache(lambda: sets_of(named, nodes, docs, words))  # texts are read once for all rounds
     for i in range(ROUNDS + 1):
-        crowd, open_keys = _unsettled(crowd, edges)
-        if not open_keys.take(1):
+        if not weight[0]:
             break
-        total = open_keys.agg(F.sum("__c")).first()[0]
         if i < ROUNDS:
             pivot = crowd.groupBy("__key").agg(F.count(F.lit(1)).alias("__c"), F.min_by(F.struct("__fp", "__n", "__p", "__root"), F.struct(F.col("__p") if i == 0 else F.lit(0), F.xxhash64("__fp", F.lit(i)))).alias("__y"))
-            both = join_by_key(crowd, materialise(pivot), ["__key"], "__c", total, F.col("__fp"))
+            both = join_by_key(crowd, materialise(pivot), ["__key"], "__c", weight[0], F.col("__fp"), weight[1])
             found = both.filter((F.col("__root") != F.col("__y.__root")) & may_meet(F.col("__n"), F.col("__p"), F.col("__y.__n"), F.col("__y.__p"))).select(*_pairs(F.col("__fp"), F.col("__y.__fp")))
         else:  # every pair that could still link components
             sizes = crowd.groupBy("__key", "__root").agg(F.count(F.lit(1)).alias("__k"))
             largest = materialise(sizes.groupBy("__key").agg(F.max_by("__root", F.struct("__k", "__root")).alias("__most"), F.sum("__k").alias("__c")))
-            outside = join_by_key(crowd, largest, ["__key"], "__c", total, F.col("__fp")).filter(F.col("__root") != F.col("__most"))
+            outside = join_by_key(crowd, largest, ["__key"], "__c", weight[0], F.col("__fp"), weight[1]).filter(F.col("__root") != F.col("__most"))
             outside = materialise(outside.select("__key", F.col("__fp").alias("__y"), F.col("__n").alias("__yn"), F.col("__p").alias("__yp"), F.col("__root").alias("__yr")))
             both = crowd.join(outside, "__key").filter((F.col("__root") != F.col("__yr")) & may_meet(F.col("__n"), F.col("__p"), F.col("__yn"), F.col("__yp")))
             found = both.select(*_pairs(F.col("__fp"), F.col("__y")))
-        edges = materialise(edges.unionByName(verified(found.distinct(), nodes, docs, words)))
-    return edges
+        new = verified(found.distinct(), nodes, lambda p: of_crowd())
+        if new.take(1):
+            edges = materialise(edges.unionByName(new))
+            labels = components(edges, labels)
+            if i < ROUNDS:
+                crowd, weight = _unsettled(crowd, labels)
+    return labels
 
 
 def _with_company(crowd: DataFrame) -> DataFrame:
     """The rows of crowd whose place lets them meet any size under their shingle, by the earliest place of that size."""
     sizes = crowd.groupBy("__key", "__n").agg(F.min("__p").alias("__p"), F.count(F.lit(1)).alias("__c"))
     sizes = materialise(sizes.groupBy("__key").agg(F.collect_list(F.struct("__n", "__p")).alias("__sizes"), F.sum("__c").alias("__c")))
-    total = sizes.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
-    met = join_by_key(crowd.select("__key", "__fp", "__n", "__p"), sizes, ["__key"], "__c", total, F.col("__fp"))
+    total, most = weights(sizes, "__c")
+    met = join_by_key(crowd.select("__key", "__fp", "__n", "__p"), sizes, ["__key"], "__c", total, F.col("__fp"), most)
     return materialise(met.filter(F.exists("__sizes", lambda x: may_meet(F.col("__n"), F.col("__p"), x["__n"], x["__p"]))).select("__key", "__fp", "__n", "__p"))
 
 
-def _unsettled(crowd: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """crowd's rows under shingles whose nodes are in several components, with __root; and those shingles, with their number of rows."""
-    rooted = crowd.drop("__root").join(components(edges), "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
+def _unsettled(crowd: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """crowd's rows under shingles whose nodes are in several components, with __root; and how many those are, in all and under one shingle."""
+    rooted = crowd.drop("__root").join(labels, "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
     rooted = materialise(rooted.select("__key", "__fp", "__n", "__p", "__root"))
     keys = materialise(rooted.groupBy("__key").agg(F.count(F.lit(1)).alias("__c"), (F.min("__root") != F.max("__root")).alias("__open")))
-    total = keys.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
-    return materialise(join_by_key(rooted, keys, ["__key"], "__c", total, F.col("__fp")).filter("__open").drop("__c", "__open")), keys.filter("__open")
+    total, most = weights(keys, "__c")
+    left = materialise(join_by_key(rooted, keys, ["__key"], "__c", total, F.col("__fp"), most).filter("__open").drop("__c", "__open"))
+    return left, weights(keys.filter("__open"), "__c")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int | None = None, segments: int = SEGMENTS) -> DataFrame:
@@ -194,7 +219,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = rows.select("__id", "__th", "__t")
     found = materialise(with_prefix(texts, frequent(texts, docs.count(), words), words, radius is not None))
     nodes = materialise(found.groupBy("__fp").agg(F.min(F.struct("__id", "__th", "__n", "__prefix", "__bits")).alias("__f")).select("__fp", "__f.*"))
-    rooted = nodes.join(components(links(nodes, texts, words, None if radius is None else alike(found, radius, segments))), "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
+    rooted = nodes.join(linked(nodes, texts, words, None if radius is None else alike(found, radius, segments)), "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
     best = rooted.groupBy("__root").agg(F.min(F.struct("__id", "__th")).alias("__best"))
     # Nearly all rows stay where they are: only those that may be dropped, or repeated, meet the ones that are kept.
     keep = materialise(best.select("__best.*"))
@@ -203,5 +228,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     row = F.xxhash64("__id", "__th")
     rows = BitFilter.of(moved, row, moved.count()).mark(rows.drop("__t"), row, "__maybe")
     met = rows.filter("__maybe").join(moved.withColumn("__moved", F.lit(True)), ["__id", "__th"], "left")
-    once = met.filter("__moved AND __kept").dropDuplicates(["__id", "__th"])
-    return rows.filter("not __maybe").select("__row.*").unionByName(met.filter("__moved IS NULL").select("__row.*")).unionByName(once.select("__row.*"))
+    once = met.filter("__moved IS NULL OR __kept").dropDuplicates(["__id", "__th"])  # a row that isn't in moved is there once
+    return rows.filter("not __maybe").select("__row.*").unionByName(once.select("__row.*"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.common import NULL_ID, id_of, join_by_key, materialise, text_of, whole_row
+from chronofact.llm.common import NULL_ID, id_of, join_by_key, materialise, text_of, weights, whole_row
 from chronofact.shipping import ship
 
 SEED = 42
@@ -144,22 +144,26 @@ def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, cro
     return (found.unionByName(whole) if many.take(1) else found).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(__fp, __root): each node of the edges (__a, __b) and the smallest node of its component."""
+def components(edges: DataFrame, start: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+    """(__fp, __root): each node of the edges (__a, __b) and the smallest node of its component. start: what this gave of some of the edges."""
     both = materialise(edges.union(edges.select("__b", "__a")))
-    labels = materialise(both.groupBy("__a").agg(F.min("__b").alias("__m")).select(F.col("__a").alias("__fp"), F.least("__a", "__m").alias("__root")))
+    labels = both.groupBy("__a").agg(F.min("__b").alias("__m")).select(F.col("__a").alias("__fp"), F.least("__a", "__m").alias("__root"))
+    if start is not None:
+        labels = labels.join(start.withColumnRenamed("__root", "__s"), "__fp", "left").select("__fp", F.least("__root", "__s").alias("__root"))
+    labels = materialise(labels)
     nodes = labels.count()
     for _ in range(rounds):
         told = both.join(labels, both["__b"] == labels["__fp"]).select(F.col("__a").alias("__fp"), "__root")
         least = told.unionByName(labels).groupBy("__fp").agg(F.min("__root").alias("__root"))
         old = labels.select(F.col("__fp").alias("__old_fp"), F.col("__root").alias("__old"))
         least = materialise(least.join(old, F.col("__fp") == F.col("__old_fp")).select("__fp", "__root", (F.col("__root") != F.col("__old")).alias("__new")))
-        if not least.filter("__new").take(1):
-            return labels
         # Jump to the root's own root; a root may be that of most nodes.
-        share = least.groupBy("__root").agg(F.count(F.lit(1)).alias("__n"))
+        share = least.groupBy("__root").agg(F.count(F.lit(1)).alias("__n"), F.max("__new").alias("__new"))
         roots = materialise(share.join(least.select(F.col("__fp").alias("__root"), F.col("__root").alias("__rr")), "__root"))
-        labels = materialise(join_by_key(least.select("__fp", "__root"), roots, ["__root"], "__n", nodes, F.col("__fp")).select("__fp", F.least("__root", "__rr").alias("__root")))
+        most, new = roots.agg(F.max("__n"), F.max("__new")).first()
+        if not new:
+            return labels
+        labels = materialise(join_by_key(least.select("__fp", "__root"), roots.drop("__new"), ["__root"], "__n", nodes, F.col("__fp"), most).select("__fp", F.least("__root", "__rr").alias("__root")))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -170,7 +174,8 @@ def grouped(rows: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) ->
     rooted = prints.join(roots, "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
     best = rooted.groupBy("__root").agg(F.min("__first").alias("__best"), F.count(F.lit(1)).alias("__k"))
     best, rooted = materialise(best), materialise(rooted)
-    return materialise(join_by_key(rooted, best, ["__root"], "__k", prints.count(), F.col("__fp")).drop("__root", "__k"))
+    total, most = weights(best, "__k")
+    return materialise(join_by_key(rooted, best, ["__root"], "__k", total, F.col("__fp"), most).drop("__root", "__k"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:

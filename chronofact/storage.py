@@ -46,22 +46,25 @@ def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Dat
     return spark.read.parquet(path)
 
 
-def join_by_key(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: Column) -> DataFrame:
+def join_by_key(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: Column, most: int | None = None) -> DataFrame:
     """Left outer join with `right`, a materialised table that has one row a key; some keys may hold much of `left`.
 
     `weight` names the column of `right` with the number of `left` rows that carry the key, `total` is the sum
     of all of them. Keys above HOT_SHARE of the total, at most 1 / HOT_SHARE of them, are joined by broadcast;
     their rows then go anywhere (`spread`) in the shuffle join with the rest, so no task gets more than
-    that share of one key.
+    that share of one key. Where the largest weight is told, as `most`, and isn't above it, there is no broadcast.
     """
     values = [c for c in right.columns if c not in keys]
     least = max(1000, int(total * HOT_SHARE))
     packed = right.select(*[F.col(k).alias(f"__jk_{k}") for k in keys], F.col(weight).alias("__jw"), F.struct(*values).alias("__jv"))
+    first, kind = keys[0], left.schema[keys[0]].dataType
+    on = [F.col("__js") == F.col(f"__jk_{first}"), *[F.col(k) == F.col(f"__jk_{k}") for k in keys[1:]]]
+    if most is not None and most <= least:
+        both = left.withColumn("__js", F.col(first)).join(packed, on, "left")
+        return both.select(*left.columns, *[F.col("__jv")[v].alias(v) for v in values])
     hot = packed.filter(F.col("__jw") > least).drop("__jw").withColumnRenamed("__jv", "__jhot")
     cold = packed.filter(F.col("__jw") <= least).drop("__jw").withColumnRenamed("__jv", "__jcold")
     both = left.join(F.broadcast(hot), [F.col(k) == F.col(f"__jk_{k}") for k in keys], "left").drop(*[f"__jk_{k}" for k in keys])
-    first, kind = keys[0], left.schema[keys[0]].dataType
     both = both.withColumn("__js", F.when(F.col("__jhot").isNull(), F.col(first)).otherwise(F.xxhash64(spread).cast(kind)))
-    on = [F.col("__js") == F.col(f"__jk_{first}"), *[F.col(k) == F.col(f"__jk_{k}") for k in keys[1:]]]
     both = both.join(cold, on, "left").withColumn("__jv", F.coalesce("__jhot", "__jcold"))
     return both.select(*left.columns, *[F.col("__jv")[v].alias(v) for v in values])

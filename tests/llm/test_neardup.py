@@ -114,3 +114,58 @@ def test_crowd_of_unlike_copies_makes_few_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(found, "doc_id bigint, text string").repartition(3)
     assert sorted(r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect()) == kept(found)
     assert sum(pairs) < 5 * len(found)
+
+
+def test_driver_plans_little(spark, monkeypatch):
+    """Rounds over a crowd read no texts again, and the plans that the driver makes and keeps are few."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    found = list(enumerate([" ".join(base)] + [edited(base, 1 + k % 8, rng) for k in range(150)]))
+    read, with_set = [], neardup.with_set
+    monkeypatch.setattr(neardup, "with_set", lambda *a: (read.append(1), with_set(*a))[1])
+    docs = spark.createDataFrame(found, "doc_id bigint, text string").repartition(3)
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = max([e.executionId() for e in _java(store.executionsList())], default=-1)
+    got = neardup.drop_near_duplicates(docs, radius=2)
+    assert len(read) <= 3  # the sample's, the small groups', the crowd's
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    own = [e for e in _java(store.executionsList()) if e.executionId() > before]
+    assert len(own) <= 160
+    assert not any("TakeOrderedAndProject" in e.physicalPlanDescription() for e in own)  # each task would send the driver FREQUENT rows
+    assert 0 < got.count() <= len(kept(found))
+
+
+def _java(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_frequent_is_bounded_among_equal_counts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FREQUENT", 400)
+    both = " ".join(f"b{i}" for i in range(2004))
+    found = [(1, 1, both + " " + " ".join(f"c{i}" for i in range(100))), (2, 2, both), (3, 3, " ".join(f"c{i}" for i in range(100))), (4, 4, " ".join(f"c{i}" for i in range(100)))]
+    hashes, counts = neardup.frequent(spark.createDataFrame(found, "__id bigint, __th bigint, __t string"), 4, 5)
+    assert (counts == 3).sum() == 96 and set(counts.tolist()) == {2, 3}
+    assert 200 < (counts == 2).sum() < 420
+    assert (hashes[1:] > hashes[:-1]).all()
+
+
+def test_join_by_key_without_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from chronofact.storage import join_by_key, materialise
+
+    left = spark.createDataFrame([(k % 7, k) for k in range(50)] + [(None, -1)], "k bigint, v bigint")
+    right = materialise(left.filter("k < 5").groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    told = join_by_key(left, right, ["k"], "n", 50, F.col("v"), 8)
+    assert "__jhot" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, told.collect())) == sorted(map(str, join_by_key(left, right, ["k"], "n", 50, F.col("v")).collect()))
+
+
+def test_components_go_on_from_earlier_ones(spark):
+    from chronofact.llm.simhash import components
+
+    edges = lambda found: spark.createDataFrame(found, "__a bigint, __b bigint")
+    one = [(i, i + 1) for i in range(0, 40, 2)]
+    more = one + [(i, i + 2) for i in range(1, 19, 2)] + [(38, 39), (90, 91)]
+    assert {tuple(r) for r in components(edges(more), components(edges(one))).collect()} == {tuple(r) for r in components(edges(more)).collect()}

@@ -16,7 +16,7 @@ from chronofact.operators import inject as I
 from chronofact.operators import lifecycle as L
 from chronofact.operators import retrieve as R
 import __spark_entry__  # noqa: F401  registers all queries
-from chronofact.plans.registry import QUERIES, Views
+from chronofact.plans.registry import ORACLES, QUERIES, Views
 from chronofact.plans.rules import boot_plan, candidate_cards
 from chronofact.sources import store
 from chronofact.streaming import streams
@@ -361,3 +361,25 @@ def test_malformed_anchor_arrays_give_null(spark, sf_dir):
     bad = {r["fact_id"] for r in v.anchors.collect() if int(r["fact_id"][5:]) % 199 % 4 == 3}
     got = {r["fact_id"]: r["n_globs"] for r in QUERIES["src_09_anchor_arrays"](spark, sf_dir).collect()}
     assert 0 < len(bad) < len(got) and got == {k: None if k in bad else 1 for k in got}
+
+
+def held_against_sql(spark, name, folder, tables):
+    """A query's rows and those of its SQL, sorted, over tables written to a folder."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLES[name])
+    got = QUERIES[name](spark, str(folder)).select(*[c[0] for c in want.description]).collect()
+    return sorted(map(tuple, got), key=str), sorted(want.fetchall(), key=str)
+
+
+def test_rerank_lift_without_pairs(spark, sf_dir, tmp_path):
+    """evl_09: facts that only helped, or only didn't, make no pair: no division by their number, and zero pairs where no fact is known."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")}
+    for i, kind in enumerate(("error", "purchase", "signup")):
+        got, want = held_against_sql(spark, "evl_09_rerank_lift", tmp_path / str(i), tables | {"events": events.withColumn("event_type", F.lit(kind))})
+        assert got == want == [(0, None, None)]

@@ -10,10 +10,14 @@ RRF_K = 60
 CONSENSUS = 0.5 / 60
 
 
+def decay(age_ms: Column) -> Column:
+    """0.7 plus 0.3 halving every 30 days, above 1 before it begins; null for an unknown age."""
+    return F.lit(0.7) + F.lit(0.3) * F.pow(F.lit(0.5), age_ms.cast("double") / HALF_LIFE_MS)
+
+
 def recency(t_ms: Column, now_ms: Column) -> Column:
-    """0.7 plus 0.3 halving every 30 days; 1 if the time is unknown."""
-    age = F.greatest(now_ms - t_ms, F.lit(0)).cast("double")
-    return F.when(t_ms.isNull(), 1.0).otherwise(F.lit(0.7) + F.lit(0.3) * F.pow(F.lit(0.5), age / HALF_LIFE_MS))
+    """decay() of a time's age; 1 if the time is unknown or to come."""
+    return F.when(t_ms.isNull(), 1.0).otherwise(decay(F.greatest(now_ms - t_ms, F.lit(0))))
 
 
 def confidence_factor(c: Column) -> Column:

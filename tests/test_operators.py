@@ -391,3 +391,11 @@ def test_imperatives_end_and_begin_as_in_sql(spark, sf_dir, tmp_path):
     documents = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got, want = held_against_sql(spark, "str_11_strip_imperatives", tmp_path, {"documents": documents, "labels": spark.read.parquet(f"{sf_dir}/labels.parquet")})
     assert got == want and len(got) == len(texts)
+
+
+def test_recency_of_times_to_come(spark, sf_dir, tmp_path):
+    """dat_01: facts recorded after the time that is asked for rise above 1, as the SQL says; scores stay at 1 at most."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 129_550)
+    got, want = held_against_sql(spark, "dat_01_recency", tmp_path, {"documents": documents, "labels": spark.read.parquet(f"{sf_dir}/labels.parquet")})
+    assert got == want and {r[1] > 1 for r in got} == {True, False}
+    assert spark.range(1).select(S.recency(F.lit(2000), F.lit(1000)), S.recency(F.lit(None).cast("bigint"), F.lit(1000))).first() == (1.0, 1.0)

@@ -399,3 +399,55 @@ def test_recency_of_times_to_come(spark, sf_dir, tmp_path):
     got, want = held_against_sql(spark, "dat_01_recency", tmp_path, {"documents": documents, "labels": spark.read.parquet(f"{sf_dir}/labels.parquet")})
     assert got == want and {r[1] > 1 for r in got} == {True, False}
     assert spark.range(1).select(S.recency(F.lit(2000), F.lit(1000)), S.recency(F.lit(None).cast("bigint"), F.lit(1000))).first() == (1.0, 1.0)
+
+
+def merging(n):
+    """A trunk of n commits; every fifth merges a branch of two that forks from the one five before it, and a long branch merges the trunk and is merged again."""
+    rows, c, long_ = [(0, None, 0)], 0, None
+    trunk = [0]
+    for i in range(1, n):
+        c += 1
+        rows.append((c, trunk[-1], 0))
+        trunk.append(c)
+        if i % 5 == 0:
+            rows += [(c + 1, trunk[-5], 0), (c + 2, c + 1, 0), (c, c + 2, 1)]
+            c += 2
+        if i % 40 == 20:
+            c += 1
+            rows += [(c, trunk[-3] if long_ is None else long_, 0), (c, trunk[-2], 1)]
+            long_ = c
+        if i % 40 == 39:
+            rows.append((trunk[-1], long_, 2))
+    return rows
+
+
+def test_ancestors_without_a_row_for_every_head_and_branch(spark):
+    """tmp_03: numbers of ancestors and the least of them, from tables that grow with the commits and merges, not with heads times branches."""
+    rows = merging(300)
+    parents = defaultdict(list)
+    for c, p, _ in rows:
+        parents[c] += [] if p is None else [p]
+    reach = {}
+
+    def down(c):
+        if c not in reach:
+            reach[c] = {c}.union(*[down(p) for p in parents[c]])
+        return reach[c]
+
+    for c in sorted(parents):
+        down(c)
+    index = D.Chains(spark.createDataFrame(rows, "commit_id bigint, parent_id bigint, place int"))
+    assert {tuple(r) for r in index.ancestors().select("commit_id", "n", "root").collect()} == {(c, len(own), min(own)) for c, own in reach.items()}
+    assert index.steps.count() < len(rows)
+
+
+def with_gaps(spark, sf_dir):
+    """part of two copies with gaps, so some parents are no commits."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey < 60 AND p_partkey % 17 <> 11")
+    return {"part": part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 75))}
+
+
+def test_ancestors_of_lost_parents(spark, sf_dir, tmp_path):
+    """tmp_03: a parent that is no commit of the table counts as an ancestor, as in the SQL."""
+    got, want = held_against_sql(spark, "tmp_03_ancestors", tmp_path, with_gaps(spark, sf_dir))
+    assert got == want and len({r[2] for r in got}) > 2

@@ -22,7 +22,7 @@ from chronofact.storage import join_by_key, materialise, stored
 #: Heads' histories up to so many rows are held by every task; longer ones are joined by shuffle.
 MANY_COMMITS = 2_000_000
 #: Sums along a chain are made by blocks of so many commits.
-BLOCK = 4096
+BLOCK = 512
 #: Merges between two places of a chain are met by blocks of so many commits.
 NEAR = 256
 
